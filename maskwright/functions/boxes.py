@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright import settings
+from maskwright.functions.bind import let
 
 
 def box(x, y, width, height) -> Column:
@@ -361,39 +362,50 @@ def similarity_transform(src: Column, dst: Column) -> Column:
     Fewer than two pairs give the identity, coincident sources a pure translation.
     """
     count = F.least(F.size(src), F.size(dst))
-    pairs = F.slice(
+    zipped = F.slice(
         F.zip_with(src, dst, lambda s, d: F.struct(s.alias("s"), d.alias("d"))),
         1,
         F.greatest(count, F.lit(1)),
     )
     n = F.greatest(count, F.lit(1)).cast("double")
-    mean = lambda side, axis: _total(F.transform(pairs, lambda p: p[side][axis])) / n
-    sx, sy, dx, dy = mean("s", "x"), mean("s", "y"), mean("d", "x"), mean("d", "y")
-    means = F.struct(sx.alias("sx"), sy.alias("sy"), dx.alias("dx"), dy.alias("dy"))
 
-    def solve(m: Column) -> Column:
+    def fit(pairs: Column) -> Column:
+        mean = lambda side, axis: _total(F.transform(pairs, lambda p: p[side][axis])) / n
+        means = F.struct(
+            mean("s", "x").alias("sx"),
+            mean("s", "y").alias("sy"),
+            mean("d", "x").alias("dx"),
+            mean("d", "y").alias("dy"),
+        )
+        return let(means, lambda m: solve(pairs, m))
+
+    def solve(pairs: Column, m: Column) -> Column:
         u = lambda p, axis: p["s"][axis] - m["s" + axis]
         v = lambda p, axis: p["d"][axis] - m["d" + axis]
-        denom = _total(
-            F.transform(pairs, lambda p: u(p, "x") * u(p, "x") + u(p, "y") * u(p, "y"))
-        )
-        along = _total(
-            F.transform(pairs, lambda p: u(p, "x") * v(p, "x") + u(p, "y") * v(p, "y"))
-        )
-        across = _total(
-            F.transform(pairs, lambda p: u(p, "x") * v(p, "y") - u(p, "y") * v(p, "x"))
-        )
-        safe = F.when(denom != 0, denom)
-        a = F.when(denom == 0, 1.0).otherwise(along / safe)
-        b = F.when(denom == 0, 0.0).otherwise(across / safe)
-        return _transform(
-            a, b, m["dx"] - (a * m["sx"] - b * m["sy"]), m["dy"] - (b * m["sx"] + a * m["sy"])
+        sums = F.struct(
+            _total(F.transform(pairs, lambda p: u(p, "x") * u(p, "x") + u(p, "y") * u(p, "y"))).alias(
+                "denom"
+            ),
+            _total(F.transform(pairs, lambda p: u(p, "x") * v(p, "x") + u(p, "y") * v(p, "y"))).alias(
+                "along"
+            ),
+            _total(F.transform(pairs, lambda p: u(p, "x") * v(p, "y") - u(p, "y") * v(p, "x"))).alias(
+                "across"
+            ),
         )
 
-    fitted = F.transform(F.array(means), solve)[0]
-    return F.when(count < 2, _transform(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))).otherwise(
-        fitted
-    )
+        def finish(s: Column) -> Column:
+            safe = F.when(s["denom"] != 0, s["denom"])
+            a = F.when(s["denom"] == 0, 1.0).otherwise(s["along"] / safe)
+            b = F.when(s["denom"] == 0, 0.0).otherwise(s["across"] / safe)
+            return _transform(
+                a, b, m["dx"] - (a * m["sx"] - b * m["sy"]), m["dy"] - (b * m["sx"] + a * m["sy"])
+            )
+
+        return let(sums, finish)
+
+    identity = _transform(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    return F.when(count < 2, identity).otherwise(let(zipped, fit))
 
 
 def _transform(a: Column, b: Column, tx: Column, ty: Column) -> Column:
@@ -422,23 +434,30 @@ def invert_transform(t: Column) -> Column:
     )
 
 
+def invert_transform_once(t: Column) -> Column:
+    return let(t, invert_transform)
+
+
 def alignment_footprint(b: Column, landmarks: Column, size: int = settings.CHIP_SIZE) -> Column:
     """The source rectangle a chip is read from, in whole pixels.
 
     With five landmarks: the inverse-mapped chip corners, one source pixel wider on
     each side plus the second bilinear tap. Without: the box grown by a fifth.
     """
-    inverse = invert_transform(similarity_transform(F.slice(landmarks, 1, 5), template(size)))
     edge = float(size - 1)
-    corners = F.transform(
-        F.array(*[point(F.lit(x), F.lit(y)) for y in (0.0, edge) for x in (0.0, edge)]),
-        lambda p: apply_transform(p, inverse),
-    )
-    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
-    left, top = F.floor(F.array_min(xs)) - 1, F.floor(F.array_min(ys)) - 1
-    warped = F.when(inverse.isNull(), box(0, 0, 0, 0)).otherwise(
-        box(left, top, F.floor(F.array_max(xs)) + 3 - left, F.floor(F.array_max(ys)) + 3 - top)
-    )
+    chip = F.array(*[point(F.lit(x), F.lit(y)) for y in (0.0, edge) for x in (0.0, edge)])
+
+    def around(corners: Column) -> Column:
+        xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
+        left, top = F.floor(F.array_min(xs)) - 1, F.floor(F.array_min(ys)) - 1
+        return box(left, top, F.floor(F.array_max(xs)) + 3 - left, F.floor(F.array_max(ys)) + 3 - top)
+
+    def footprint(inverse: Column) -> Column:
+        corners = F.transform(chip, lambda p: apply_transform(p, inverse))
+        return F.when(inverse.isNull(), box(0, 0, 0, 0)).otherwise(let(corners, around))
+
+    fitted = similarity_transform(F.slice(landmarks, 1, 5), template(size))
+    warped = let(invert_transform_once(fitted), footprint)
     cx, cy = b["x"] + b["width"] / 2, b["y"] + b["height"] / 2
     half_w, half_h = b["width"] * 1.2 / 2, b["height"] * 1.2 / 2
     x0, y0 = F.floor(cx - half_w), F.floor(cy - half_h)

@@ -6,15 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright import settings
+from maskwright.functions.bind import let
 
 # The white space of the web's string functions (not Java's ASCII \s),
 # and the photo extensions accepted.
 WEB_SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WEB_SPACE_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 PHOTO_EXTENSIONS = ("jpg", "jpeg", "png", "webp")
 
 
 def web_trim(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{WEB_SPACE}+|{WEB_SPACE}+$", "")
+    return F.trim(s, F.lit(WEB_SPACE_CHARS))
 
 
 def normalize_name(s: Column) -> Column:
@@ -23,8 +28,7 @@ def normalize_name(s: Column) -> Column:
 
 
 def identity_slug(name: Column) -> Column:
-    slug = F.regexp_replace(normalize_name(name), "[^a-z0-9]+", "-")
-    return F.regexp_replace(slug, "^-+|-+$", "")
+    return F.trim(F.regexp_replace(normalize_name(name), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def identity_id(name: Column) -> Column:
@@ -36,8 +40,7 @@ def identity_id(name: Column) -> Column:
         code_points, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c) % F.lit(4294967296)
     )
     fallback = F.concat(F.lit("person-"), F.lower(F.conv(hashed.cast("string"), 10, 36)))
-    slug = identity_slug(name)
-    return F.when(slug != "", slug).otherwise(fallback)
+    return let(identity_slug(name), lambda slug: F.when(slug != "", slug).otherwise(fallback))
 
 
 def strip_html(s: Column) -> Column:
@@ -68,12 +71,8 @@ def _url_part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, _URL, group)
 
 
-def url_path(url: Column) -> Column:
-    """Path of an absolute URL with dot segments resolved; null when not a URL."""
-    raw = _url_part(url, 4)
-    path = F.when(raw == "", "/").otherwise(raw)
+def _resolve_dots(path: Column) -> Column:
     parts = F.split(path, "/")
-    last_is_dot = F.element_at(parts, -1).isin(".", "..")
     kept = F.aggregate(
         parts,
         F.slice(parts, 1, 0),
@@ -81,25 +80,35 @@ def url_path(url: Column) -> Column:
         .when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1))))
         .otherwise(F.array_append(out, p)),
     )
-    resolved = F.concat(
-        F.array_join(kept, "/"), F.when(last_is_dot, F.lit("/")).otherwise(F.lit(""))
-    )
-    has_dots = path.rlike(r"/\.{1,2}(/|$)")
-    return F.when(
-        url.rlike(_URL), F.when(has_dots, resolved).otherwise(path)
-    )
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.array_join(kept, "/"), tail)
+
+
+def url_path(url: Column) -> Column:
+    """Path of an absolute URL with dot segments resolved; null when not a URL."""
+
+    def tidy(raw: Column) -> Column:
+        return (
+            F.when(raw.rlike(r"/\.{1,2}(/|$)"), _resolve_dots(raw)).when(raw == "", "/").otherwise(raw)
+        )
+
+    return let(url, lambda u: F.when(u.rlike(_URL), let(_url_part(u, 4), tidy)))
 
 
 def url_origin(url: Column) -> Column:
     """scheme://host[:port], lower case, without a default port; null when not a URL."""
-    scheme, host, port = F.lower(_url_part(url, 1)), F.lower(_url_part(url, 2)), _url_part(url, 3)
-    default = (
-        (port == "")
-        | ((scheme == "https") & (port == "443"))
-        | ((scheme == "http") & (port == "80"))
-    )
-    tail = F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    return F.when(url.rlike(_URL), F.concat(scheme, F.lit("://"), host, tail))
+
+    def build(u: Column) -> Column:
+        scheme, host, port = F.lower(_url_part(u, 1)), F.lower(_url_part(u, 2)), _url_part(u, 3)
+        default = (
+            (port == "")
+            | ((scheme == "https") & (port == "443"))
+            | ((scheme == "http") & (port == "80"))
+        )
+        tail = F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port))
+        return F.when(u.rlike(_URL), F.concat(scheme, F.lit("://"), host, tail))
+
+    return let(url, build)
 
 
 def url_extension(url: Column) -> Column:
@@ -109,27 +118,31 @@ def url_extension(url: Column) -> Column:
 
 def url_key(url: Column) -> Column:
     """Dedup key: origin and path, so tracking parameters collapse."""
-    return F.coalesce(F.concat(url_origin(url), url_path(url)), url)
+    return let(url, lambda u: F.coalesce(F.concat(url_origin(u), url_path(u)), u))
 
 
 def is_usable_photo(url: Column) -> Column:
-    return url.startswith("https://") & url_extension(url).isin(*PHOTO_EXTENSIONS)
+    return let(
+        url, lambda u: u.startswith("https://") & url_extension(u).isin(*PHOTO_EXTENSIONS)
+    )
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """An href as a browser reports it: absolute against the page it stands on."""
     origin = url_origin(base)
-    folder = F.regexp_replace(url_path(base), "[^/]*$", "")
-    no_fragment = F.regexp_replace(base, "#.*$", "")
-    return (
-        F.when(ref == "", "")
-        .when(ref.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
-        .when(ref.startswith("#"), F.concat(no_fragment, ref))
-        .when(ref.startswith("?"), F.concat(origin, url_path(base), ref))
-        .otherwise(F.concat(origin, folder, ref))
-    )
+
+    def absolute(r: Column) -> Column:
+        return (
+            F.when(r == "", "")
+            .when(r.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), r)
+            .when(r.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), r))
+            .when(r.startswith("/"), F.concat(origin, r))
+            .when(r.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), r))
+            .when(r.startswith("?"), F.concat(origin, url_path(base), r))
+            .otherwise(F.concat(origin, F.regexp_replace(url_path(base), "[^/]*$", ""), r))
+        )
+
+    return let(ref, absolute)
 
 
 def normalize_text(s: Column) -> Column:
@@ -139,9 +152,7 @@ def normalize_text(s: Column) -> Column:
 
 def strip_initials(normalized: Column) -> Column:
     """Drop single letters, so a middle initial does not break a full-name hit."""
-    return F.trim(
-        F.regexp_replace(F.regexp_replace(normalized, r"\b[a-z]\b", " "), r"\s+", " ")
-    )
+    return F.trim(F.regexp_replace(normalized, "(?:^| )[a-z](?= |$)", ""))
 
 
 def tokens(normalized: Column) -> Column:
@@ -150,8 +161,11 @@ def tokens(normalized: Column) -> Column:
 
 def has_term(haystack: Column, term: Column) -> Column:
     """The FIRST occurrence of ``term`` stands between non-alphanumerics."""
-    at = F.instr(haystack, term)
-    before = F.substring(haystack, at - 1, 1)
-    after = F.substring(haystack, at + F.length(term), 1)
     clear = lambda c: ~c.rlike("[a-z0-9]")
-    return (at > 0) & (F.when(at == 1, True).otherwise(clear(before))) & clear(after)
+
+    def bounded(at: Column) -> Column:
+        before = F.substring(haystack, at - 1, 1)
+        after = F.substring(haystack, at + F.length(term), 1)
+        return (at > 0) & (F.when(at == 1, True).otherwise(clear(before))) & clear(after)
+
+    return F.contains(haystack, term) & let(F.instr(haystack, term), bounded)

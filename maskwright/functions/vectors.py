@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright import settings
+from maskwright.functions.bind import let
 
 
 def _sum(values: Column) -> Column:
@@ -26,9 +27,14 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit copy rounded to float; a zero vector stays zero."""
-    norm = l2_norm(v)
-    inverse = F.when(norm == 0, F.lit(1.0)).otherwise(1.0 / F.when(norm == 0, 1.0).otherwise(norm))
-    return F.transform(v, lambda x: (x.cast("double") * inverse).cast("float"))
+
+    def scaled(norm: Column) -> Column:
+        inverse = F.when(norm == 0, F.lit(1.0)).otherwise(1.0 / F.when(norm == 0, 1.0).otherwise(norm))
+        return let(
+            inverse, lambda i: F.transform(v, lambda x: (x.cast("double") * i).cast("float"))
+        )
+
+    return let(l2_norm(v), scaled)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,16 +68,19 @@ def embedding_fault(
 ) -> Column:
     """Why ``v`` is not usable, or null. ``tolerance=None`` skips the unit-length test."""
     as_float = F.transform(v, lambda x: x.cast("float"))
-    norm = l2_norm(as_float)
-    fault = (
+
+    def judge(norm: Column) -> Column:
+        fault = F.when(norm == 0, "zero")
+        if tolerance is not None:
+            fault = fault.when(F.abs(norm - 1.0) > tolerance, "not-unit")
+        return fault
+
+    return (
         F.when(v.isNull(), "missing")
         .when(F.size(v) != width, "width")
         .when(~is_finite(v), "not-finite")
-        .when(norm == 0, "zero")
+        .otherwise(let(l2_norm(as_float), judge))
     )
-    if tolerance is not None:
-        fault = fault.when(F.abs(norm - 1.0) > tolerance, "not-unit")
-    return fault
 
 
 def is_valid_embedding(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright import settings
 from maskwright.functions import text
+from maskwright.functions.bind import let
 
 # The vocabulary and weights scores depend on. All of it can be replaced
 # by passing other Rules.
@@ -64,49 +65,60 @@ def _any_term(haystack: Column, terms: tuple[str, ...]) -> Column:
     )
 
 
-def _prepare(df: DataFrame, name: Column, filename: Column, caption: Column) -> DataFrame:
-    """The normalised texts, computed once per row."""
-    file_text, caption_text = F.coalesce(filename, F.lit("")), F.coalesce(caption, F.lit(""))
-    return (
-        df.withColumn(
-            "__hay", text.normalize_text(F.concat(file_text, F.lit(" "), caption_text))
-        )
-        .withColumn("__file", text.strip_initials(text.normalize_text(file_text)))
-        .withColumn("__contig", text.strip_initials(F.col("__hay")))
-        .withColumn("__name_tokens", text.tokens(text.normalize_text(name)))
-        .withColumn("__full", F.array_join("__name_tokens", " "))
+def _texts(name: Column, filename: Column, caption: Column) -> Column:
+    """The normalised texts of a candidate, as one struct."""
+    file, caption = F.coalesce(filename, F.lit("")), F.coalesce(caption, F.lit(""))
+    hay = text.normalize_text(F.concat(file, F.lit(" "), caption))
+    name_tokens = text.tokens(text.normalize_text(name))
+    return let(
+        F.struct(hay.alias("hay"), name_tokens.alias("want")),
+        lambda t: F.struct(
+            t["hay"].alias("hay"),
+            text.strip_initials(text.normalize_text(file)).alias("file"),
+            text.strip_initials(t["hay"]).alias("contig"),
+            text.tokens(t["hay"]).alias("present"),
+            t["want"].alias("want"),
+            F.array_join(t["want"], " ").alias("full"),
+        ),
     )
 
 
-def _score(aliases: Column, rules: Rules) -> Column:
-    hay, contig, file = F.col("__hay"), F.col("__contig"), F.col("__file")
-    full, wanted = F.col("__full"), F.col("__name_tokens")
-    at = F.instr(contig, full)
-    hit = at > 0
-    present = text.tokens(hay)
-    covered = F.size(F.filter(wanted, lambda t: F.array_contains(present, t)))
-    total = F.size(wanted)
-    base = (
-        F.when(hit, rules.full_name)
-        .when(covered == total, rules.all_tokens)
-        .otherwise(rules.coverage * (covered / F.greatest(total, F.lit(1))))
-    )
-    cleaned = F.transform(aliases, lambda a: text.strip_initials(text.normalize_text(a)))
-    alias_hit = F.exists(cleaned, lambda a: (F.length(a) >= 3) & (F.instr(contig, a) > 0))
-    score = base
-    score = score + F.when(F.instr(file, full) > 0, rules.file_name).otherwise(0.0)
-    score = score + F.when(F.coalesce(alias_hit, F.lit(False)) & ~hit, rules.alias).otherwise(0.0)
-    score = score + F.when(_any_term(file, rules.composition_terms), rules.composition).otherwise(0.0)
-    for terms, factor in rules.negative:
-        score = score * F.when(_any_term(hay, terms), factor).otherwise(1.0)
-    following = F.split(F.trim(F.substring(contig, at + F.length(full), F.length(contig))), " ")[0]
-    preceding = F.element_at(F.split(F.trim(F.substring(contig, F.lit(1), at - 1)), " "), -1)
-    score = score * F.when(hit & following.isin(*SUFFIXES), rules.suffix).otherwise(1.0)
-    score = score * F.when(
-        hit & (following.isin(*JOINERS) | preceding.isin(*JOINERS)), rules.co_subject
-    ).otherwise(1.0)
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    return F.when((hay == "") | (total == 0) | F.isnan(score), 0.0).otherwise(clamped)
+def _score(texts: Column, aliases: Column, rules: Rules) -> Column:
+    def judge(t: Column) -> Column:
+        hay, contig, file = t["hay"], t["contig"], t["file"]
+        full, wanted, present = t["full"], t["want"], t["present"]
+        at = F.instr(contig, full)
+        hit = F.contains(contig, full)
+        covered = F.size(F.filter(wanted, lambda w: F.array_contains(present, w)))
+        total = F.size(wanted)
+        base = (
+            F.when(hit, rules.full_name)
+            .when(covered == total, rules.all_tokens)
+            .otherwise(rules.coverage * (covered / F.greatest(total, F.lit(1))))
+        )
+        cleaned = F.transform(aliases, lambda a: text.strip_initials(text.normalize_text(a)))
+        alias_hit = F.exists(cleaned, lambda a: (F.length(a) >= 3) & F.contains(contig, a))
+        score = base + F.when(F.contains(file, full), rules.file_name).otherwise(0.0)
+        score = score + F.when(
+            F.when(hit, False).otherwise(F.coalesce(alias_hit, F.lit(False))), rules.alias
+        ).otherwise(0.0)
+        score = score + F.when(
+            _any_term(file, rules.composition_terms), rules.composition
+        ).otherwise(0.0)
+        for terms, factor in rules.negative:
+            score = score * F.when(_any_term(hay, terms), factor).otherwise(1.0)
+        following = F.split(F.trim(F.substring(contig, at + F.length(full), F.length(contig))), " ")[0]
+        preceding = F.element_at(F.split(F.trim(F.substring(contig, F.lit(1), at - 1)), " "), -1)
+        score = score * F.when(hit & following.isin(*SUFFIXES), rules.suffix).otherwise(1.0)
+        score = score * F.when(
+            hit & (following.isin(*JOINERS) | preceding.isin(*JOINERS)), rules.co_subject
+        ).otherwise(1.0)
+        clamp = lambda s: F.when(F.isnan(s), 0.0).otherwise(
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
+        )
+        return F.when((hay == "") | (total == 0), 0.0).otherwise(let(score, clamp))
+
+    return let(texts, judge)
 
 
 def score_candidates(
@@ -121,19 +133,18 @@ def score_candidates(
     reach ``rules.best_without_full_name()``; when ``floor`` is above that, rows without
     the hit are dropped before the costly part.
     """
-    prepared = _prepare(candidates, F.col("name"), F.col("filename"), F.col("caption"))
+    rows = candidates
+    texts = _texts(F.col("name"), F.col("filename"), F.col("caption"))
     if floor is not None and floor > rules.best_without_full_name() + 1e-9:
-        prepared = prepared.where(
-            (F.col("__full") != "") & (F.instr(F.col("__contig"), F.col("__full")) > 0)
-        )
+        hit = let(texts, lambda t: (t["full"] != "") & F.contains(t["contig"], t["full"]))
+        rows = rows.where(hit)
     if aliases is not None:
-        prepared = prepared.join(
+        rows = rows.join(
             aliases.select("name", F.col("aliases").alias("__aliases")), "name", "left"
         )
     else:
-        prepared = prepared.withColumn("__aliases", F.array().cast("array<string>"))
-    helpers = ["__hay", "__file", "__contig", "__name_tokens", "__full", "__aliases"]
-    scored = prepared.withColumn("score", _score(F.col("__aliases"), rules)).drop(*helpers)
+        rows = rows.withColumn("__aliases", F.array().cast("array<string>"))
+    scored = rows.withColumn("score", _score(texts, F.col("__aliases"), rules)).drop("__aliases")
     return scored if floor is None else scored.where(F.col("score") >= floor)
 
 

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from maskwright.plans import text_queries, vector_queries  # noqa: F401
+from maskwright.plans import box_queries, text_queries, vector_queries  # noqa: F401
 from maskwright.plans.registry import ORACLES, QUERIES  # noqa: F401

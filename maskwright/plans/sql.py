@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 def r6(x: str) -> str:
-    return f"round({x}, 6) + 0.0"
+    """Six decimals by plain arithmetic, so that both engines round alike."""
+    return f"(floor(({x})::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE)"
 
 
 def norm(v: str) -> str:

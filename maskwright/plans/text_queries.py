@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import text
-from maskwright.lineage import table
+from maskwright.lineage import spread, table
 from maskwright.operators import gallery, ranking, reports
 from maskwright.plans import sql
 from maskwright.plans.registry import query
+from maskwright.plans.rounding import r6
 from maskwright.sources import media, responses
 
 # Digits in another script, so that some names slug to nothing.
@@ -17,11 +18,17 @@ _DIGITS, _OTHER = "0123456789", "〇一二三四五六七八九"
 
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
-    customers = table(spark, folder, "customer")
+    customers = spread(table(spark, folder, "customer"))
     digits = F.translate(F.regexp_replace("c_name", "[^0-9]", ""), _DIGITS, _OTHER)
     return (
         customers.select(F.concat(F.lit("  "), F.upper("c_name"), F.lit("\u00a0 x ")).alias("name"))
-        .unionByName(table(spark, folder, "documents").select(F.col("text").alias("name")))
+        .unionByName(customers.select(digits.alias("name")))
+        .unionByName(table(spark, folder, "part").select(F.col("p_name").alias("name")))
+        .unionByName(
+            table(spark, folder, "pages").select(
+                F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("name")
+            )
+        )
     )
 
 
@@ -30,24 +37,24 @@ _NAMES = f"""
     UNION ALL SELECT translate(regexp_replace(c_name, '[^0-9]', '', 'g'), '{_DIGITS}', '{_OTHER}')
       FROM customer
     UNION ALL SELECT p_name FROM part
-    UNION ALL SELECT text FROM documents"""
+    UNION ALL SELECT regexp_extract(html, '(?s)<title>(.*?)</title>', 1) FROM pages"""
 
 
 @query(
     f"""
     WITH n AS ({_NAMES})
     SELECT md5({sql.normalize_name('name')}) AS name_key, md5({sql.identity_id('name')}) AS id_key,
-           CASE WHEN {sql.slug('name')} = '' THEN {sql.identity_id('name')} END AS hashed_id,
+           CASE WHEN starts_with({sql.identity_id('name')}, 'person-') THEN {sql.identity_id('name')} END AS hashed_id,
            count(*) AS n
     FROM n GROUP BY ALL"""
 )
 def name_keys(spark, folder):
-    name = F.col("name")
-    ids = text.identity_id(name)
     keyed = _names(spark, folder).select(
-        F.md5(text.normalize_name(name)).alias("name_key"),
-        F.md5(ids).alias("id_key"),
-        F.when(text.identity_slug(name) == "", ids).alias("hashed_id"),
+        text.normalize_name(F.col("name")).alias("name"), text.identity_id(F.col("name")).alias("id")
+    ).select(
+        F.md5("name").alias("name_key"),
+        F.md5("id").alias("id_key"),
+        F.when(F.col("id").startswith("person-"), F.col("id")).alias("hashed_id"),
     )
     return reports.count_reasons(keyed, ["name_key", "id_key", "hashed_id"])
 
@@ -60,7 +67,7 @@ def name_keys(spark, folder):
     FROM t"""
 )
 def text_normalize(spark, folder):
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         "doc_id", text.normalize_text(F.col("text")).alias("n")
     )
     n = F.col("n")
@@ -78,7 +85,7 @@ def text_normalize(spark, folder):
     SELECT page_id, md5(s) AS stripped, len(s)::BIGINT AS n_chars FROM t"""
 )
 def html_text(spark, folder):
-    stripped = table(spark, folder, "pages").select(
+    stripped = spread(table(spark, folder, "pages")).select(
         "page_id", text.strip_html(F.col("html")).alias("s")
     )
     return stripped.select(
@@ -174,7 +181,7 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").select(
+    pages = spread(table(spark, folder, "pages")).select(
         "page_id",
         "url",
         text.strip_html(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"),
@@ -269,7 +276,7 @@ def _scored(source: str) -> str:
 )
 def context_score(spark, folder):
     scored = ranking.score_candidates(_candidates(spark, folder))
-    return scored.select("name", "source_ord", "ord", (F.round("score", 6) + 0.0).alias("score"))
+    return scored.select("name", "source_ord", "ord", r6(F.col("score")).alias("score"))
 
 
 @query(
@@ -286,7 +293,7 @@ def context_score(spark, folder):
 )
 def candidate_rank(spark, folder):
     ranked = ranking.rank_candidates(_candidates(spark, folder))
-    return ranked.select("name", "rank", "url", (F.round("score", 6) + 0.0).alias("score"))
+    return ranked.select("name", "rank", "url", r6(F.col("score")).alias("score"))
 
 
 # ---- landed responses: each page answers as a source would, and is parsed back.
@@ -294,7 +301,7 @@ def candidate_rank(spark, folder):
 
 def _page_facts(spark: SparkSession, folder: str) -> DataFrame:
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return table(spark, folder, "pages").select(
+    return spread(table(spark, folder, "pages")).select(
         "page_id", "url", "html", F.concat(F.lit("file:"), title).alias("title"), title.alias("plain"),
         F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("name"),
     )

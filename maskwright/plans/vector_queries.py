@@ -10,14 +10,11 @@ from maskwright.lineage import cut, table
 from maskwright.operators import enroll, matching, reports
 from maskwright.plans import sql
 from maskwright.plans.registry import query
+from maskwright.plans.rounding import r6
 
 WIDTH = 64
 
 
-def r6(c: Column) -> Column:
-    return F.round(c, 6) + F.lit(0.0)
-
-
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
 

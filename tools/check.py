@@ -27,6 +27,7 @@ def session(cpus: str = "8"):
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("maskwright-check")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
