@@ -434,10 +434,6 @@ def invert_transform(t: Column) -> Column:
     )
 
 
-def invert_transform_once(t: Column) -> Column:
-    return let(t, invert_transform)
-
-
 def alignment_footprint(b: Column, landmarks: Column, size: int = settings.CHIP_SIZE) -> Column:
     """The source rectangle a chip is read from, in whole pixels.
 
@@ -457,7 +453,7 @@ def alignment_footprint(b: Column, landmarks: Column, size: int = settings.CHIP_
         return F.when(inverse.isNull(), box(0, 0, 0, 0)).otherwise(let(corners, around))
 
     fitted = similarity_transform(F.slice(landmarks, 1, 5), template(size))
-    warped = let(invert_transform_once(fitted), footprint)
+    warped = let(let(fitted, invert_transform), footprint)
     cx, cy = b["x"] + b["width"] / 2, b["y"] + b["height"] / 2
     half_w, half_h = b["width"] * 1.2 / 2, b["height"] * 1.2 / 2
     x0, y0 = F.floor(cx - half_w), F.floor(cy - half_h)

@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright import settings
 from maskwright.functions import boxes, vectors
+from maskwright.functions.bind import let
 from maskwright.operators import blocks
 
 
@@ -65,7 +66,7 @@ def face_chips(
     landmarks = F.col("landmarks")
     marked = landmarks.isNotNull() & (F.size(landmarks) >= 5)
     fitted = boxes.similarity_transform(F.slice(landmarks, 1, 5), boxes.template(size))
-    inverse = boxes.invert_transform(fitted)
+    inverse = let(fitted, boxes.invert_transform)
     footprint = boxes.alignment_footprint(F.col("box"), landmarks, size)
     planned = (
         detections.withColumn("__marked", marked)
@@ -73,22 +74,25 @@ def face_chips(
         .withColumn("__rect", footprint)
         .join(images.select("media_id", "width", "height", "data"), "media_id")
     )
-    x0 = F.greatest(F.lit(0.0), F.col("__rect.x"))
-    y0 = F.greatest(F.lit(0.0), F.col("__rect.y"))
-    x1 = F.least(F.col("width").cast("double"), F.col("__rect.x") + F.col("__rect.width"))
-    y1 = F.least(F.col("height").cast("double"), F.col("__rect.y") + F.col("__rect.height"))
+
+    def inside(r: Column) -> Column:
+        x0, y0 = F.greatest(F.lit(0.0), r["x"]), F.greatest(F.lit(0.0), r["y"])
+        x1 = F.least(F.col("width").cast("double"), r["x"] + r["width"])
+        y1 = F.least(F.col("height").cast("double"), r["y"] + r["height"])
+        whole = lambda v: F.greatest(F.lit(0), v.cast("int"))
+        return F.struct(
+            x0.cast("int").alias("x0"),
+            y0.cast("int").alias("y0"),
+            whole(x1 - x0).alias("w"),
+            whole(y1 - y0).alias("h"),
+        )
+
     cut_rows = planned.select(
         "media_id",
         "det_ord",
         F.col("__marked").alias("marked"),
-        F.col("__inv.a").alias("a"),
-        F.col("__inv.b").alias("b"),
-        F.col("__inv.tx").alias("tx"),
-        F.col("__inv.ty").alias("ty"),
-        x0.cast("int").alias("x0"),
-        y0.cast("int").alias("y0"),
-        F.greatest(F.lit(0), (x1 - x0).cast("int")).alias("w"),
-        F.greatest(F.lit(0), (y1 - y0).cast("int")).alias("h"),
+        "__inv.*",
+        F.inline(F.array(let(F.col("__rect"), inside))),
         F.col("width").cast("int").alias("width"),
         "data",
     )

@@ -1,4 +1,10 @@
 """Importing this module registers every query."""
 
-from maskwright.plans import box_queries, text_queries, vector_queries  # noqa: F401
+from maskwright.plans import (  # noqa: F401
+    box_queries,
+    report_queries,
+    state_queries,
+    text_queries,
+    vector_queries,
+)
 from maskwright.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -432,8 +432,8 @@ _SIDE = {8: 8, 16: 4, 32: 2}
                  (rw + {_wave_sql('(cell * 4 + 1)', 'k', 'c')}::DOUBLE) * stride AS cy,
                  exp({_wave_sql('(cell * 4 + 2)', 'k', 'c')}::DOUBLE) * stride AS w,
                  exp({_wave_sql('(cell * 4 + 3)', 'k', 'c')}::DOUBLE) * stride AS h,
-                 (col + {_wave_sql('(cell * 10)', 'k')}::DOUBLE) * stride AS eye_x,
-                 (rw + {_wave_sql('(cell * 10 + 9)', 'k')}::DOUBLE) * stride AS mouth_y
+                 (col + {_wave_sql('0', 'k')}::DOUBLE) * stride AS eye_x,
+                 (rw + {_wave_sql('9', 'k')}::DOUBLE) * stride AS mouth_y
           FROM v WHERE score >= 0.6)
     SELECT media_id, stride::INTEGER AS stride, cell::INTEGER AS cell, {sql.r6('score')} AS score,
            {sql.r6('cx - w / 2')} AS x, {sql.r6('cy - h / 2')} AS y, {sql.r6('w')} AS width,
@@ -458,7 +458,7 @@ def tensor_decode(spark, folder):
                 F.when(present, score(k)).alias("cls"),
                 score(c).alias("obj"),
                 series(cells * 4, lambda i: _wave(i, k, c)).alias("bbox"),
-                series(cells * 10, lambda i: _wave(i, k)).alias("kps"),
+                F.flatten(F.array_repeat(series(10, lambda i: _wave(i, k)), cells)).alias("kps"),
             )
         )
     tensors = parts[0].unionByName(parts[1]).unionByName(parts[2])
