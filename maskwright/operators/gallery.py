@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import text
+from maskwright.lineage import cut
 from maskwright.operators import scan
 
 
@@ -118,36 +119,43 @@ def replay(log: DataFrame) -> DataFrame:
     removed before. Everything is a running value, so neither the log nor a much-edited
     identity is handled by one task.
     """
+    ranges = scan.plan_ranges(log, "seq")
+    switch = F.col("op") == "SET_ENABLED"
     removal = F.when(F.col("op") == "REMOVE", F.lit(0))
     creation = F.when((F.col("op") == "CONFIRM") & ~F.col("explicit"), F.lit(1))
-    state = scan.running(
-        log,
+    edits = scan.running(
+        log.where(~switch),
         ["identity_id"],
         ["seq"],
-        lasts={"__present": F.coalesce(removal, creation)},
+        lasts={"__was": F.coalesce(removal, creation)},
         inclusive=False,
+        ranges=ranges,
     )
-    present = F.coalesce(F.col("__present"), F.lit(0)) == 1
-    state = state.withColumn("__was", present)
-    state = scan.running(
-        state,
+    present = F.coalesce(F.col("__was"), F.lit(0)) == 1
+    edits = edits.withColumn(
+        "effective", F.when(F.col("op") == "REMOVE", present).otherwise(~F.col("explicit") | present)
+    )
+    switches = scan.running(
+        log.where(switch),
         [],
         ["seq"],
-        lasts={"__on": F.when(F.col("op") == "SET_ENABLED", F.col("enabled").cast("int"))},
+        lasts={"__was": F.col("enabled").cast("int")},
         inclusive=False,
+        ranges=ranges,
+    ).withColumn("effective", F.col("enabled").cast("int") != F.coalesce("__was", F.lit(1)))
+    judged = cut(edits.unionByName(switches).drop("__was"))
+    state = scan.running(
+        judged, [], ["seq"], sums={"revision": F.col("effective").cast("bigint")}, ranges=ranges
     )
-    effective = (
-        F.when(F.col("op") == "SET_ENABLED", F.col("enabled").cast("int") != F.coalesce("__on", F.lit(1)))
-        .when(F.col("op") == "REMOVE", F.col("__was"))
-        .otherwise(~F.col("explicit") | F.col("__was"))
-    )
-    state = state.withColumn("effective", effective)
-    state = scan.running(state, [], ["seq"], sums={"revision": F.col("effective").cast("bigint")})
     removed = (F.col("op") == "REMOVE") & F.col("effective")
-    state = scan.running(
-        state, ["identity_id"], ["seq"], sums={"epoch": removed.cast("bigint")}, inclusive=False
+    return scan.running(
+        state,
+        ["identity_id"],
+        ["seq"],
+        sums={"epoch": removed.cast("bigint")},
+        inclusive=False,
+        ranges=ranges,
     )
-    return state.drop("__present", "__was", "__on")
 
 
 def gallery_after(replayed: DataFrame) -> DataFrame:

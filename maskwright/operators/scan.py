@@ -1,36 +1,57 @@
 """Running values along an order, without putting a whole key into one task.
 
-A plain window hands every row of a key to one task. Here the order is cut into
-ranges first: each (key, range) is scanned on its own, the ranges of a key are summed
-up (at most ``buckets`` rows per key) and the carry is added back. A key holding a
-third of all rows is thus spread over all ranges, and a running total without any key
-works the same way.
+A plain window hands every row of a key to one task, and a window without keys hands
+the whole table to one. A large table is therefore cut into ranges of the order first:
+each (key, range) is scanned on its own, the ranges of a key are summed up (one row per
+range) and the carry is added back. The number of ranges follows the row count, so a
+range keeps its size whatever the table's. A table small enough for one range takes the
+plain window.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright import settings
 from maskwright.lineage import cut
 
-_BUCKET, _CARRY, _LOCAL = "__range", "__carry_", "__local_"
+_RANGE, _CARRY, _LOCAL = "__range", "__carry_", "__local_"
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Quantiles of the leading order column and equal steps between them."""
 
+    cuts: tuple = ()
+    steps: int = 1
 
-def _boundaries(df: DataFrame, order: str, buckets: int) -> list:
-    """Balanced cut points of the leading order column; they shape the work, not the result."""
-    fractions = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(order, fractions, 1000).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    def of(self, column: str) -> Column:
+        """Range number of a value; it never decreases with the value."""
+        value = F.col(column)
+        marks = F.array(*[F.lit(c) for c in self.cuts])
+        slot = F.size(F.filter(marks, lambda c: c <= value))
+        if self.steps == 1:
+            return slot.cast("bigint")
+        low, high = F.get(marks, slot - 1), F.get(marks, slot)
+        step = F.floor((value - low) * self.steps / F.when(high > low, high - low))
+        inside = F.greatest(F.lit(0), F.least(F.lit(self.steps - 1), step))
+        return (slot * self.steps + F.coalesce(inside, F.lit(0))).cast("bigint")
 
 
-def range_bucket(df: DataFrame, order: str, buckets: int) -> Column:
-    cuts = _boundaries(df, order, buckets)
-    if not cuts:
-        return F.lit(0)
-    array = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(array, lambda c: c <= F.col(order)))
+def plan_ranges(df: DataFrame, column: str, rows: int | None = None) -> Ranges:
+    """Ranges of about ``rows`` rows each. They shape the work, never the result."""
+    rows = rows or settings.SCAN_ROWS
+    count = df.count()
+    if count <= rows:
+        return Ranges()
+    wanted = -(-count // rows)
+    quantiles = min(wanted, 64)
+    fractions = [i / quantiles for i in range(quantiles + 1)]
+    row = df.agg(F.percentile_approx(column, fractions, 1000).alias("q")).first()
+    return Ranges(tuple(sorted(set(row["q"] or []))), -(-wanted // quantiles))
 
 
 def running(
@@ -41,25 +62,36 @@ def running(
     lasts: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     inclusive: bool = True,
-    buckets: int = settings.SCAN_BUCKETS,
+    ranges: Ranges | None = None,
 ) -> DataFrame:
     """Add running sums, last non-null values and maxima to every row.
 
-    ``order`` must be unique within ``keys`` and its first column numeric. With
-    ``inclusive=False`` a row sees only the rows before it.
+    ``order`` must be unique within ``keys`` and its first column a number. With
+    ``inclusive=False`` a row sees only the rows before it. Chained calls over the same
+    rows should share one ``ranges``.
     """
     sums, lasts, maxes = sums or {}, lasts or {}, maxes or {}
-    df = df.withColumn(_BUCKET, range_bucket(df, order[0], buckets))
+    ranges = plan_ranges(df, order[0]) if ranges is None else ranges
     inputs = {**sums, **lasts, **maxes}
-    for name, value in inputs.items():
-        df = df.withColumn(_LOCAL + name, value)
-
-    end = 0 if inclusive else -1
-    local = (
-        Window.partitionBy(*keys, _BUCKET)
+    parts = list(keys)
+    if ranges.cuts:
+        df = df.withColumn(_RANGE, ranges.of(order[0]))
+        parts.append(_RANGE)
+    df = df.withColumns({_LOCAL + n: v for n, v in inputs.items()})
+    window = (
+        Window.partitionBy(*parts)
         .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, end)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    local = {n: F.sum(_LOCAL + n).over(window) for n in sums}
+    local |= {n: F.last(_LOCAL + n, ignorenulls=True).over(window) for n in lasts}
+    local |= {n: F.max(_LOCAL + n).over(window) for n in maxes}
+    helpers = [_LOCAL + n for n in inputs]
+    zero = F.lit(0).cast("bigint")
+    if not ranges.cuts:
+        done = df.withColumns(local)
+        return done.withColumns({n: F.coalesce(F.col(n), zero) for n in sums}).drop(*helpers)
+
     position = F.struct(*[F.col(c) for c in order])
     totals = [F.sum(_LOCAL + n).alias(_CARRY + n) for n in sums]
     totals += [
@@ -67,41 +99,25 @@ def running(
         for n in lasts
     ]
     totals += [F.max(_LOCAL + n).alias(_CARRY + n) for n in maxes]
-    summary = df.groupBy(*keys, _BUCKET).agg(*totals)
+    summary = df.groupBy(*parts).agg(*totals)
     earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(_BUCKET)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = summary.select(
-        *[F.col(k).alias("__k_" + k) for k in keys],
-        F.col(_BUCKET).alias("__k_range"),
+        *[F.col(k).alias("__k_" + k) for k in parts],
         *[F.sum(_CARRY + n).over(earlier).alias(_CARRY + n) for n in sums],
         *[F.last(_CARRY + n, ignorenulls=True).over(earlier).alias(_CARRY + n) for n in lasts],
         *[F.max(_CARRY + n).over(earlier).alias(_CARRY + n) for n in maxes],
     )
-    on = F.col(_BUCKET) == F.col("__k_range")
-    for k in keys:
+    on = F.lit(True)
+    for k in parts:
         on = on & F.col(k).eqNullSafe(F.col("__k_" + k))
-    for n in sums:
-        df = df.withColumn(_LOCAL + n, F.sum(_LOCAL + n).over(local))
-    for n in lasts:
-        df = df.withColumn(_LOCAL + n, F.last(_LOCAL + n, ignorenulls=True).over(local))
-    for n in maxes:
-        df = df.withColumn(_LOCAL + n, F.max(_LOCAL + n).over(local))
-    joined = df.join(carry, on, "left")
-    for n in sums:
-        zero = F.lit(0)
-        joined = joined.withColumn(
-            n, F.coalesce(F.col(_LOCAL + n), zero) + F.coalesce(F.col(_CARRY + n), zero)
-        )
-    for n in lasts:
-        joined = joined.withColumn(n, F.coalesce(F.col(_LOCAL + n), F.col(_CARRY + n)))
-    for n in maxes:
-        joined = joined.withColumn(n, F.greatest(F.col(_LOCAL + n), F.col(_CARRY + n)))
-    helper = [_BUCKET, "__k_range", *["__k_" + k for k in keys]]
-    helper += [p + n for n in inputs for p in (_LOCAL, _CARRY)]
-    return joined.drop(*helper)
+    joined = df.withColumns(local).join(carry, on, "left")
+    merged = {n: F.coalesce(F.col(n), zero) + F.coalesce(_CARRY + n, zero) for n in sums}
+    merged |= {n: F.coalesce(F.col(n), F.col(_CARRY + n)) for n in lasts}
+    merged |= {n: F.greatest(F.col(n), F.col(_CARRY + n)) for n in maxes}
+    helpers += [_RANGE, *["__k_" + k for k in parts], *[_CARRY + n for n in inputs]]
+    return joined.withColumns(merged).drop(*helpers)
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -52,8 +52,13 @@ def degraded(
     marked = rounds.withColumn("__fail", failed.cast("bigint")).withColumn(
         "__lost", (F.lit(False) if lost is None else lost).cast("bigint")
     )
+    ranges = scan.plan_ranges(rounds, order[0])
     counted = scan.running(
-        marked, keys, order, sums={"__fails": F.col("__fail"), "__losses": F.col("__lost")}
+        marked,
+        keys,
+        order,
+        sums={"__fails": F.col("__fail"), "__losses": F.col("__lost")},
+        ranges=ranges,
     )
     valid = (F.col("__fail") == 0) & (F.col("__lost") == 0)
     based = scan.running(
@@ -64,6 +69,7 @@ def degraded(
             "__fails_then": F.when(F.col("__valid"), F.col("__fails")),
             "__losses_then": F.when(F.col("__valid"), F.col("__losses")),
         },
+        ranges=ranges,
     )
     zero = F.lit(0).cast("bigint")
     return (
@@ -86,17 +92,25 @@ def resource_latch(
     its epoch unreadable; other failures are recoverable.
     """
     known = F.when(F.col(resource) != "", F.col(resource))
-    prior = scan.running(samples, keys, order, lasts={"__before": known}, inclusive=False)
+    ranges = scan.plan_ranges(samples, order[0])
+    prior = scan.running(
+        samples, keys, order, lasts={"__before": known}, inclusive=False, ranges=ranges
+    )
     fresh = known.isNotNull() & (F.col("__before").isNull() | (known != F.col("__before")))
     epochs = scan.running(
         prior.withColumn("__fresh", fresh.cast("bigint")),
         keys,
         order,
         sums={"resource_epoch": F.col("__fresh")},
+        ranges=ranges,
     )
     tainted = F.when(F.col(outcome) == "tainted", F.col("resource_epoch"))
     latched = scan.running(
-        epochs.withColumn("__tainted", tainted), keys, order, maxes={"__last": F.col("__tainted")}
+        epochs.withColumn("__tainted", tainted),
+        keys,
+        order,
+        maxes={"__last": F.col("__tainted")},
+        ranges=ranges,
     )
     return latched.withColumn(
         "unreadable", F.coalesce(F.col("__last") == F.col("resource_epoch"), F.lit(False))
@@ -119,25 +133,29 @@ def admit_one_at_a_time(
     history is cut there and the stretches run independently.
     """
     order = [arrived, tie]
-    earlier = scan.running(frames, keys, order, maxes={"__until": F.col(done)}, inclusive=False)
+    ranges = scan.plan_ranges(frames, arrived)
+    earlier = scan.running(
+        frames, keys, order, maxes={"__until": F.col(done)}, inclusive=False, ranges=ranges
+    )
     free = F.coalesce(F.col("__until") <= F.col(arrived), F.lit(True))
     parts = scan.running(
-        earlier.withColumn("__free", free.cast("bigint")), keys, order, sums={"__part": F.col("__free")}
-    ).select(*keys, arrived, done, tie, "__part")
+        earlier.withColumn("__free", free.cast("bigint")),
+        keys,
+        order,
+        sums={"__part": F.col("__free")},
+        ranges=ranges,
+    ).select(*keys, arrived, done, tie, F.col("__part").alias("part"))
     schema = T.StructType(
         [*[parts.schema[c] for c in (*keys, arrived, tie)], T.StructField("busy", T.BooleanType())]
     )
 
-    def fold(until, rows):
-        out = []
-        picked = rows[[*keys, arrived, tie, done]].itertuples(index=False, name=None)
-        for *label, finish in picked:
-            busy = until is not None and label[len(keys)] < until
-            until = until if busy else finish
-            out.append((*label, busy))
-        return until, out
+    def fold(until, row):
+        start = getattr(row, arrived)
+        busy = until is not None and start < until
+        label = [getattr(row, c) for c in (*keys, arrived, tie)]
+        return (until if busy else getattr(row, done)), [(*label, busy)]
 
-    judged = run_in_order(parts, [*keys, "__part"], order, fold, schema.fieldNames(), schema)
+    judged = run_in_order(parts, [*keys, "part"], order, fold, schema.fieldNames(), schema)
     return frames.join(judged, [*keys, arrived, tie])
 
 

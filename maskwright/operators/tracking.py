@@ -98,25 +98,19 @@ def fold_signal(tracks: list[list], signal: str | None, now: float) -> list[list
     return tracks
 
 
-def fold_rows(state, rows: pd.DataFrame, o: TrackOptions):
-    """Apply rounds and signals in row order; returns the new state and one output row per
-    live track and round."""
+def fold_row(state, r, o: TrackOptions):
+    """Apply one round or signal; returns the new state and a row per live track."""
     tracks, next_id = state or ([], 0)
-    out = []
-    has_signal = "signal" in rows.columns
-    for r in rows.itertuples(index=False):
-        now = r.captured_ms
-        signal = r.signal if has_signal and isinstance(r.signal, str) else None
-        if signal is not None:
-            tracks = fold_signal(tracks, signal, now)
-            continue
-        boxes = [
-            (b["x"], b["y"], b["width"], b["height"], b.get("identity_id"))
-            for b in (r.boxes if r.boxes is not None else [])
-        ]
-        tracks, next_id = fold_round(tracks, boxes, now, next_id, o)
-        out.extend((r.video_id, r.generation, r.segment, now, i, *t) for i, t in enumerate(tracks))
-    return (tracks, next_id), out
+    signal = getattr(r, "signal", None)
+    if isinstance(signal, str):
+        return (fold_signal(tracks, signal, r.captured_ms), next_id), []
+    boxes = [
+        (b["x"], b["y"], b["width"], b["height"], b.get("identity_id"))
+        for b in (r.boxes if r.boxes is not None else [])
+    ]
+    tracks, next_id = fold_round(tracks, boxes, r.captured_ms, next_id, o)
+    label = (r.video_id, r.generation, r.segment, r.captured_ms)
+    return (tracks, next_id), [(*label, i, *t) for i, t in enumerate(tracks)]
 
 
 TRACK_COLUMNS = (
@@ -138,7 +132,7 @@ def track_schema(rounds: DataFrame) -> T.StructType:
 def run_in_order(
     df: DataFrame, keys: list[str], order: list[str], fold: Callable, columns, schema: T.StructType
 ) -> DataFrame:
-    """Feed each key's rows to ``fold(state, rows) -> (state, output rows)`` in order.
+    """Feed each key's rows to ``fold(state, row) -> (state, output rows)`` in order.
 
     Partitions are sorted by Spark and streamed batch by batch, so a task holds one batch
     and one state, never a whole key.
@@ -147,17 +141,12 @@ def run_in_order(
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for rows in batches:
-            if not len(rows):
-                continue
-            key_frame = rows[keys]
-            change = (key_frame != key_frame.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            edges = sorted({0, *change, len(rows)})
             out = []
-            for a, b in zip(edges, edges[1:]):
-                key = tuple(key_frame.iloc[a])
+            labels = zip(*[rows[k].tolist() for k in keys])
+            for key, row in zip(labels, rows.itertuples(index=False)):
                 if key != last:
                     last, state = key, None
-                state, produced = fold(state, rows.iloc[a:b])
+                state, produced = fold(state, row)
                 out.extend(produced)
             yield pd.DataFrame(out, columns=list(columns))
 
@@ -177,14 +166,17 @@ def with_segments(
     independent and one long video spreads over many tasks. Rows where ``keep`` holds
     never start a stretch.
     """
-    timed = scan.running(rows, keys, [time, tie], lasts={"__previous": F.col(time)}, inclusive=False)
+    ranges = scan.plan_ranges(rows, time)
+    timed = scan.running(
+        rows, keys, [time, tie], lasts={"__previous": F.col(time)}, inclusive=False, ranges=ranges
+    )
     pause = F.col("__previous").isNull() | (F.col(time) - F.col("__previous") > gap)
     if keep is not None:
         pause = pause & (~keep | F.col("__previous").isNull())
     cutting = timed.withColumn("__cut", pause.cast("bigint"))
-    return scan.running(cutting, keys, [time, tie], sums={"segment": F.col("__cut")}).drop(
-        "__previous", "__cut"
-    )
+    return scan.running(
+        cutting, keys, [time, tie], sums={"segment": F.col("__cut")}, ranges=ranges
+    ).drop("__previous", "__cut")
 
 
 def track_rounds(rounds: DataFrame, options: TrackOptions = TrackOptions()) -> DataFrame:
@@ -209,7 +201,7 @@ def track_rounds(rounds: DataFrame, options: TrackOptions = TrackOptions()) -> D
         rows,
         [*keys, "segment"],
         ["captured_ms", "seq"],
-        lambda state, part: fold_rows(state, part, options),
+        lambda state, row: fold_row(state, row, options),
         TRACK_COLUMNS,
         track_schema(rounds),
     )
@@ -221,17 +213,21 @@ def velocities(observations: DataFrame, keys: list[str], tie: str) -> DataFrame:
     A non-positive time step keeps the previous velocity; the first has none.
     """
     order = ["seen_ms", tie]
+    ranges = scan.plan_ranges(observations, "seen_ms")
     prior = scan.running(
         observations,
         keys,
         order,
         lasts={"__t": F.col("seen_ms"), "__x": F.col("x"), "__y": F.col("y")},
         inclusive=False,
+        ranges=ranges,
     )
     dt = F.col("seen_ms") - F.col("__t")
     speed = lambda now, before: F.when(dt > 0, (F.col(now) - F.col(before)) / F.when(dt > 0, dt))
     moved = prior.withColumn("__vx", speed("x", "__x")).withColumn("__vy", speed("y", "__y"))
-    known = scan.running(moved, keys, order, lasts={"vx": F.col("__vx"), "vy": F.col("__vy")})
+    known = scan.running(
+        moved, keys, order, lasts={"vx": F.col("__vx"), "vy": F.col("__vy")}, ranges=ranges
+    )
     return (
         known.withColumn("vx", F.coalesce("vx", F.lit(0.0)))
         .withColumn("vy", F.coalesce("vy", F.lit(0.0)))
@@ -334,13 +330,10 @@ def sample_frames(
         ]
     )
 
-    def fold(last, part: pd.DataFrame):
-        out = []
-        for video, now, seq, live in zip(part.video_id, part.frame_ms, part.seq, part.live):
-            if last is None or now - last >= (active_ms if live else idle_ms):
-                out.append((video, now, seq))
-                last = now
-        return last, out
+    def fold(last, r):
+        if last is not None and r.frame_ms - last < (active_ms if r.live else idle_ms):
+            return last, []
+        return r.frame_ms, [(r.video_id, r.frame_ms, r.seq)]
 
     return run_in_order(
         rows, ["video_id", "segment"], ["frame_ms", "seq"], fold, schema.fieldNames(), schema

@@ -46,4 +46,4 @@ BROADCAST_BYTES = 64 * 1024 * 1024   # largest gallery shipped to every executor
 BLOCK_ROWS = 4096                    # rows of one side of a blocked vector task
 FOLD_ROWS = 128                      # largest group folded inside one JVM row
 GROUP_ROWS = 4096                    # largest group handed to one grouped task
-SCAN_BUCKETS = 32                    # order ranges of a two-level running total
+SCAN_ROWS = 2_000_000               # rows of one range of a running value

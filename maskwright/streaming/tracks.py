@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskwright import settings
 from maskwright.operators import matching, temporal
-from maskwright.operators.tracking import TRACK_COLUMNS, TrackOptions, fold_rows, track_schema
+from maskwright.operators.tracking import TRACK_COLUMNS, TrackOptions, fold_row, track_schema
 
 
 class TrackProcessor(StatefulProcessor):
@@ -32,7 +32,10 @@ class TrackProcessor(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["captured_ms", "seq"])
         batch["segment"] = 0
         state = json.loads(self.tracks.get()[0]) if self.tracks.exists() else None
-        state, out = fold_rows(state, batch, self.options)
+        out = []
+        for row in batch.itertuples(index=False):
+            state, produced = fold_row(state, row, self.options)
+            out.extend(produced)
         self.tracks.update((json.dumps(state),))
         if self.idle_ms is not None:
             for timer in self.handle.listTimers():
