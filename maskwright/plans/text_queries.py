@@ -93,6 +93,11 @@ def html_text(spark, folder):
     )
 
 
+_HREFS = """list_transform(
+      regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1),
+      lambda r: replace(regexp_replace(r, '^["'']|["'']$', '', 'g'), '&amp;', '&'))"""
+
+
 def _links(spark: SparkSession, folder: str) -> DataFrame:
     return media.discover_media(
         table(spark, folder, "pages"), keep=("page_id", "url"), tag="a", attribute="href"
@@ -100,7 +105,7 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LINKS = f"""
-    l0 AS (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1) AS refs
+    l0 AS (SELECT page_id, url, {_HREFS} AS refs
            FROM pages),
     l1 AS (SELECT page_id, url, unnest(range(len(refs)))::INTEGER AS ord, unnest(refs) AS ref FROM l0),
     links AS (SELECT *, {sql.resolve_url('url', 'trim(ref)')} AS media_url FROM l1)"""
@@ -228,7 +233,7 @@ _CANDIDATES = f"""
               concat_ws('_', replace(title, ' ', '_'), {_list(_FILE_WORDS)}[page_id % {len(_FILE_WORDS)} + 1]) AS filename,
               concat_ws(' ', para, name, {_list(_PHRASES)}[page_id % {len(_PHRASES)} + 1]) AS caption
             FROM p2),
-    lk0 AS (SELECT *, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1) AS refs FROM p2),
+    lk0 AS (SELECT *, {_HREFS} AS refs FROM p2),
     lk1 AS (SELECT page_id, url, name, title, unnest(range(len(refs))) AS o, unnest(refs) AS ref FROM lk0),
     linked AS (SELECT name, 1 AS source_ord, page_id * 1000 + o AS ord,
               {sql.resolve_url('url', 'trim(ref)')} || '.png?src=' || o AS url,

@@ -17,12 +17,22 @@ def discover_media(
     tag: str = "img",
     attribute: str = "src",
 ) -> DataFrame:
-    """Every ``tag`` of every document in order: ``keep..., ord, ref, media_url``."""
+    """Every ``tag`` of every document in order: ``keep..., ord, ref, media_url``.
+
+    Attribute values may be quoted either way or bare.
+    """
     found = F.regexp_extract_all(
-        html, F.lit(rf'(?i)<{tag}\b[^>]*?\b{attribute}\s*=\s*"([^"]*)"'), 1
+        html,
+        F.lit(rf"""(?i)<{tag}\b[^>]*?\s{attribute}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""),
+        1,
+    )
+    refs = documents.select(*keep, F.posexplode(found).alias("ord", "__raw"))
+    bare = F.regexp_replace("__raw", "^[\"']|[\"']$", "")
+    return (
+        refs.withColumn("ref", F.replace(bare, F.lit("&amp;"), F.lit("&")))
+        .drop("__raw")
+        .withColumn("media_url", text.resolve_url(F.col("url"), F.trim("ref")))
     )
-    refs = documents.select(*keep, F.posexplode(found).alias("ord", "ref"))
-    return refs.withColumn("media_url", text.resolve_url(F.col("url"), F.trim("ref")))
 
 
 def type_fault(media_type: Column) -> Column:
@@ -56,7 +66,8 @@ def read_image_bytes(
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted files with content, and ``(path, reason)`` of refused ones.
 
-    Size tests read the file listing only, so a refused file is never opened.
+    Size tests read the file listing only, so a refused file is never opened. Spark's
+    file listing leaves empty files out, so they are in neither result.
     """
     files = spark.read.format("binaryFile").load(path)
     if media_type is None:
