@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright import settings
+from maskwright.lineage import cut
 
 LEFT, RIGHT, BLOCK = "__bi", "__bj", "__b"
 
@@ -31,6 +32,21 @@ def with_group_size(df: DataFrame, keys: list[str], name: str = "__n") -> DataFr
     return df.join(sizes, on, "left").drop(*["__g_" + k for k in keys])
 
 
+def split_by_size(
+    df: DataFrame, keys: list[str], limit: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups up to ``limit`` rows, and rows of larger groups or None.
+
+    Only the keys are read and counted (map-side first). Without a large group the input
+    is handed back as it is; otherwise the few large keys are written once and joined.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
+    if large.isEmpty():
+        return df, None
+    large = cut(large)
+    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+
+
 def pair_blocks(
     df: DataFrame, keys: list[str], order: str, block_rows: int = settings.BLOCK_ROWS
 ) -> DataFrame:

@@ -252,10 +252,9 @@ def prototypes(
     first nearest row, so exact copies collapse and fewer than ``k`` may remain.
     """
     rows = faces.select(*keys, F.col("ord").cast("bigint").alias("ord"), "embedding")
-    sized = blocks.with_group_size(rows, keys)
-    chosen = _grouped_prototypes(sized.where(F.col("__n") <= group_rows), keys, k)
-    large = sized.where(F.col("__n") > group_rows).drop("__n")
-    if not large.isEmpty():
+    small, large = blocks.split_by_size(rows, keys, group_rows)
+    chosen = _grouped_prototypes(small, keys, k)
+    if large is not None:
         chosen = chosen.unionByName(_round_prototypes(large, keys, k))
     return chosen
 

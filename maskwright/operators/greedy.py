@@ -181,11 +181,9 @@ def keep_first_come(
         features.alias("__features"),
         (F.lit(False) if fixed is None else fixed).alias("__fixed"),
     )
-    sized = blocks.with_group_size(named, keys)
-    small = sized.where(F.col("__n") <= group_rows).drop("__n")
+    small, large = blocks.split_by_size(named, keys, group_rows)
     kept = _grouped(small, keys, conflict)
-    large = sized.where(F.col("__n") > group_rows).drop("__n")
-    if not large.isEmpty():
+    if large is not None:
         kept = kept.unionByName(_rounds(large, keys, conflict, block_rows))
     return kept.withColumnRenamed("__ord", order)
 
@@ -216,11 +214,9 @@ def keep_first_boxes(
         (F.lit(False) if fixed is None else fixed).alias("f"),
         F.struct(*[F.col(c) for c in data]).alias("row"),
     )
-    sized = blocks.with_group_size(df, keys)
-    folded = (
-        sized.where(F.col("__n") <= fold_rows)
-        .groupBy(*[F.col(k).alias("__g_" + k) for k in keys])
-        .agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    small, large = blocks.split_by_size(df, keys, fold_rows)
+    folded = small.groupBy(*[F.col(k).alias("__g_" + k) for k in keys]).agg(
+        F.array_sort(F.collect_list(item)).alias("__items")
     )
     keep = F.aggregate(
         "__items",
@@ -234,13 +230,12 @@ def keep_first_boxes(
     result = folded.select(F.posexplode(keep).alias("kept_ord", "__r")).select(
         "__r.row.*", (F.col("kept_ord") + 1).cast("bigint").alias("kept_ord")
     )
-    large = sized.where(F.col("__n") > fold_rows)
-    if large.isEmpty():
+    if large is None:
         return result
 
 
 
-    ranked = cut(rank_in_group(large.drop("__n"), keys, order, "__rank"))
+    ranked = cut(rank_in_group(large, keys, order, "__rank"))
     flag = F.lit(False) if fixed is None else fixed
     kept = keep_first_come(
         ranked, keys, "__rank", box_features(F.col(box)), matrix_conflict, flag, group_rows, block_rows

@@ -6,7 +6,7 @@ supplier numbers, sides from the quantity, score from the discount.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright import settings
@@ -18,10 +18,6 @@ from maskwright.plans.registry import query
 from maskwright.plans.rounding import r6
 
 
-_ORDER = (
-    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-    "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus",
-)
 _LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax"
 _A = sql.box("l_partkey % 97", "l_suppkey % 89", "10 + l_quantity", "10 + l_quantity")
 _B = sql.box(
@@ -260,23 +256,23 @@ def box_layout(spark, folder):
     )
 
 
-# ---- greedy selection. Ranks make the order total: whole rows, ties included.
+# ---- greedy selection. Line columns break ties; rows equal in all of them are copies.
 
+_TIES = ["line", "part", "supplier", "side"]
 _RANKED = f"""
     ranked AS (
-      SELECT l_orderkey AS media_id, {_A} AS box, l_discount AS score,
-             row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER[1:])}) AS ord
-      FROM lineitem
+      SELECT l_orderkey AS media_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier,
+             l_quantity AS side, {_A} AS box, l_discount AS score FROM lineitem
     )"""
 
 
 def _detections(spark: SparkSession, folder: str) -> DataFrame:
-    """Detections with their arrival order inside a medium, as the detector would emit them."""
-    whole = table(spark, folder, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(*_ORDER[1:])
-    return whole.withColumn("ord", F.row_number().over(order)).select(
+    return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("media_id"),
-        F.col("ord").cast("bigint").alias("ord"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supplier"),
+        F.col("l_quantity").alias("side"),
         F.col("l_discount").alias("score"),
         _box_a().alias("box"),
     )
@@ -284,30 +280,34 @@ def _detections(spark: SparkSession, folder: str) -> DataFrame:
 
 def _greedy_sql(order: str, conflict: str, fixed: str = "false") -> str:
     return f"""
-    o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY {order}) AS i FROM ranked),
+    o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY {order}, line, part, supplier, side) AS i
+          FROM ranked),
     r AS (
       SELECT media_id, 0::BIGINT AS i, []::STRUCT(x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE)[] AS kept,
-             NULL::BIGINT AS ord, true AS dropped
+             NULL::INTEGER AS line, NULL::BIGINT AS part, NULL::BIGINT AS supplier, true AS dropped
       FROM (SELECT DISTINCT media_id FROM o)
       UNION ALL
       SELECT o.media_id, o.i,
              CASE WHEN {fixed} OR len(list_filter(r.kept, lambda k: {conflict})) = 0
                   THEN list_append(r.kept, o.box) ELSE r.kept END,
-             o.ord,
+             o.line, o.part, o.supplier,
              NOT ({fixed} OR len(list_filter(r.kept, lambda k: {conflict})) = 0)
       FROM r JOIN o ON o.media_id = r.media_id AND o.i = r.i + 1
     )
-    SELECT media_id, ord, row_number() OVER (PARTITION BY media_id ORDER BY i) AS kept_ord
+    SELECT media_id, line, part, supplier, row_number() OVER (PARTITION BY media_id ORDER BY i) AS kept_ord
     FROM r WHERE NOT dropped"""
 
 
+_KEPT = ["media_id", "line", "part", "supplier", "kept_ord"]
+
+
 @query(
     f"WITH RECURSIVE {_RANKED}, "
-    + _greedy_sql("score DESC, ord", f"{sql.iou('k', 'o.box', guard=False)} > 0.3")
+    + _greedy_sql("score DESC", f"{sql.iou('k', 'o.box', guard=False)} > 0.3")
 )
 def nms(spark, folder):
-    kept = detections.suppress(_detections(spark, folder), ["media_id"], ["ord"], 0.3)
-    return kept.select("media_id", "ord", "kept_ord")
+    kept = detections.suppress(_detections(spark, folder), ["media_id"], _TIES, 0.3)
+    return kept.select(*_KEPT)
 
 
 _SAME = (
@@ -317,21 +317,20 @@ _SAME = (
 
 
 @query(
-    f"WITH RECURSIVE {_RANKED}, "
-    + _greedy_sql("score < 0.05, ord", _SAME, fixed="o.score >= 0.05")
+    f"WITH RECURSIVE {_RANKED}, " + _greedy_sql("score < 0.05", _SAME, fixed="o.score >= 0.05")
 )
 def cross_pass_merge(spark, folder):
     rows = _detections(spark, folder)
     first, second = rows.where("score >= 0.05"), rows.where("not score >= 0.05")
-    merged = detections.merge_passes(first, second, ["media_id"], ["ord"])
-    return merged.select("media_id", "ord", "kept_ord")
+    return detections.merge_passes(first, second, ["media_id"], _TIES).select(*_KEPT)
 
 
-_TILES = f"""
+_TILES = """
     ranked AS (
-      SELECT media_id, ord, ord % 3 * 8 AS oy, ord % 2 * 10 AS ox,
-             {{'x': box.x + ord % 2 * 10, 'y': box.y + ord % 3 * 8, 'width': box.width, 'height': box.height}} AS box
-      FROM (SELECT * FROM ranked0)
+      SELECT * REPLACE ({'x': box.x + line % 2 * 10, 'y': box.y + line % 3 * 8,
+                         'width': box.width, 'height': box.height} AS box),
+             line % 3 * 8 AS oy, line % 2 * 10 AS ox
+      FROM ranked0
     )"""
 
 
@@ -341,14 +340,13 @@ _TILES = f"""
     + ", "
     + _TILES
     + ", "
-    + _greedy_sql("oy, ox, ord", f"{sql.iou('k', 'o.box', guard=False)} > 0.4")
+    + _greedy_sql("oy, ox", f"{sql.iou('k', 'o.box', guard=False)} > 0.4")
 )
 def tile_merge(spark, folder):
-    tiled = _detections(spark, folder).withColumn("oy", F.col("ord") % 3 * 8).withColumn(
-        "ox", F.col("ord") % 2 * 10
+    tiled = _detections(spark, folder).withColumn("oy", F.col("line") % 3 * 8).withColumn(
+        "ox", F.col("line") % 2 * 10
     )
-    merged = detections.merge_tiles(tiled, ["media_id"], ["ord"])
-    return merged.select("media_id", "ord", "kept_ord")
+    return detections.merge_tiles(tiled, ["media_id"], _TIES).select(*_KEPT)
 
 
 @query(
