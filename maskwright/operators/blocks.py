@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright import settings
 from maskwright.lineage import cut
@@ -52,18 +53,134 @@ def pair_blocks(
 ) -> DataFrame:
     """Replicate each row to the block pairs of its group that it belongs to."""
     sized = with_group_size(df, keys)
-    count = F.ceil(F.col("__n") / F.lit(block_rows)).cast("int")
-    block = F.pmod(F.xxhash64(order), count.cast("bigint")).cast("int")
+    count = F.ceil(F.col("__n") / F.lit(block_rows)).cast("bigint")
+    block = F.pmod(F.xxhash64(order), count)
     return (
         sized.withColumn("__blocks", count)
         .withColumn(BLOCK, block)
-        .withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+        .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1)))
         .withColumn(LEFT, F.least(BLOCK, "__j"))
         .withColumn(RIGHT, F.greatest(BLOCK, "__j"))
         .drop("__n", "__blocks", "__j")
     )
 
 
+# Pivots per large group, and how many large groups may be planned on the driver.
+PIVOTS, PLANNED_GROUPS = 64, 256
+# Angles of single-precision unit vectors are only known to about half this.
+ANGLE_SLACK = 2e-3
+_SUB = 1 << 20
+
+
+def near_blocks(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    vector: str,
+    minimum: float,
+    block_rows: int = settings.BLOCK_ROWS,
+) -> DataFrame:
+    """Like :func:`pair_blocks`, but only for block pairs that can reach ``minimum`` cosine.
+
+    Groups of one block need no pairing. Rows of a larger group go to the cell of their
+    nearest pivot; by the triangle inequality on angles two cells whose pivots are
+    further apart than both radii and the threshold angle together hold no pair, so
+    their blocks never meet. Cells of any size are hashed into bounded blocks.
+    """
+    small, large = split_by_size(df, keys, block_rows)
+    zero = F.lit(0).cast("bigint")
+    single = small.withColumns({BLOCK: zero, LEFT: zero, RIGHT: zero})
+    if large is None:
+        return single
+    large = cut(large)
+    return single.unionByName(_cells(large, keys, order, vector, minimum, block_rows))
+
+
+def _cells(df, keys, order, vector, minimum, block_rows):
+    first = Window.partitionBy(*keys).orderBy(F.xxhash64(order), order)
+    pivots = cut(
+        df.select(*keys, order, vector)
+        .withColumn("__p", F.row_number().over(first))
+        .where(F.col("__p") <= PIVOTS)
+    )
+    if minimum <= 0 or pivots.select(*keys).distinct().count() > PLANNED_GROUPS:
+        return pair_blocks(df, keys, order, block_rows)
+    rows = pivots.orderBy("__p").select(*keys, vector).toArrow()
+    labels = list(zip(*[rows[k].to_pylist() for k in keys]))
+    units = unit_rows(matrix(rows[vector]))
+    of_group = {
+        g: units[[i for i, label in enumerate(labels) if label == g]] for g in dict.fromkeys(labels)
+    }
+    shared = df.sparkSession.sparkContext.broadcast(of_group)
+    fields = [T.StructField("__cell", T.LongType()), T.StructField("__angle", T.DoubleType())]
+
+    def assign(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mine = unit_rows(matrix(batch.column(vector)))
+            owner = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            cell, angle = np.zeros(len(mine), np.int64), np.zeros(len(mine))
+            for g in set(owner):
+                at = np.array([i for i, o in enumerate(owner) if o == g])
+                cosines = mine[at].astype(np.float64) @ shared.value[g].T.astype(np.float64)
+                cell[at] = cosines.argmax(axis=1)
+                angle[at] = np.arccos(np.clip(cosines.max(axis=1), -1, 1))
+            angle[~mine.any(axis=1)] = 0.0
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell), pa.array(angle)],
+                names=[*batch.schema.names, "__cell", "__angle"],
+            )
+
+    placed = cut(df.mapInArrow(assign, T.StructType([*df.schema.fields, *fields])))
+    stats = placed.groupBy(*keys, "__cell").agg(F.count("*").alias("n"), F.max("__angle").alias("r"))
+    cells: dict[tuple, dict] = {}
+    for row in stats.collect():
+        cells.setdefault(tuple(row[k] for k in keys), {})[row["__cell"]] = (
+            -(-row["n"] // block_rows), row["r"]
+        )
+    reach = float(np.arccos(np.clip(minimum, -1, 1))) + ANGLE_SLACK
+    plan = []
+    for g, own in cells.items():
+        p = of_group[g].astype(np.float64)
+        apart = np.arccos(np.clip(p @ p.T, -1, 1))
+        for c, (subs, r) in own.items():
+            partners = [
+                (d, other) for d, (other, q) in own.items() if apart[c, d] <= r + q + reach or c == d
+            ]
+            plan.append((*g, c, subs, partners))
+    schema = T.StructType(
+        [
+            *[df.schema[k] for k in keys],
+            T.StructField("__cell", T.LongType()),
+            T.StructField("__subs", T.LongType()),
+            T.StructField(
+                "__partners",
+                T.ArrayType(
+                    T.StructType(
+                        [T.StructField("cell", T.LongType()), T.StructField("subs", T.LongType())]
+                    )
+                ),
+            ),
+        ]
+    )
+    planned = df.sparkSession.createDataFrame(plan, schema)
+    # at most PLANNED_GROUPS * PIVOTS rows
+    met = (
+        placed.join(F.broadcast(planned), [*keys, "__cell"])
+        .withColumn(BLOCK, F.col("__cell") * _SUB + F.pmod(F.xxhash64(order), F.col("__subs")))
+        .withColumn("__partner", F.explode("__partners"))
+        .withColumn(
+            "__other",
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__partner.subs") - 1)),
+        )
+        .withColumn("__other", F.col("__partner.cell") * _SUB + F.col("__other"))
+        .withColumn(LEFT, F.least(BLOCK, "__other"))
+        .withColumn(RIGHT, F.greatest(BLOCK, "__other"))
+    )
+    return met.select(*df.columns, BLOCK, LEFT, RIGHT)
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float32) -> np.ndarray:
     """A list column of one width as a 2-d array, without a Python object per row."""
     if isinstance(column, pa.ChunkedArray):

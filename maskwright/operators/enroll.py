@@ -115,7 +115,7 @@ def similarity_graph(
             T.StructField("alike", T.BooleanType()),
         ]
     )
-    spread = blocks.pair_blocks(distinct, keys, "__ord", block_rows)
+    spread = blocks.near_blocks(distinct, keys, "__ord", "embedding", minimum, block_rows)
     columns = [*keys, "__ord", "embedding", "__copies", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]
     partial = (
         spread.select(*columns)
@@ -445,7 +445,7 @@ def similar_pairs(
             .append_column("cosine", pa.array(s, pa.float64()))
         )
 
-    spread = blocks.pair_blocks(distinct, keys, "__ord", block_rows)
+    spread = blocks.near_blocks(distinct, keys, "__ord", "embedding", minimum, block_rows)
     columns = [*keys, "__ord", "embedding", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]
     return (
         spread.select(*columns)

@@ -85,6 +85,25 @@ def test_pairs_collapse_copies(spark, block_rows):
     assert {(r.ord_a, r.ord_b) for r in got} == want
 
 
+def test_far_cells_never_meet(spark):
+    """Tight clusters in a group of many blocks: fewer block pairs, the same graph."""
+    from maskwright.operators import blocks
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(240):
+        v = np.eye(12)[i % 12] + rng.normal(size=12) * 0.03
+        rows.append(("g", i, [float(np.float32(x)) for x in v]))
+    rows.append(("g", 240, [0.0] * 12))
+    df = spark.createDataFrame(rows, FACES)
+    near = blocks.near_blocks(df, ["name"], "ord", "embedding", 0.8, 10)
+    every = blocks.pair_blocks(df, ["name"], "ord", 10)
+    assert near.count() < every.count() / 3
+    graph = enroll.similarity_graph(df, ["name"], 0.8, 10).collect()
+    degree, label, _ = naive.cluster([r[2] for r in rows], 0.2, 3)
+    assert {r.ord: (r.degree, r.component) for r in graph} == {i: (degree[i], label[i]) for i in range(241)}
+
+
 def test_preview_accounts_for_every_candidate(spark):
     rng = np.random.default_rng(2)
     centre = rng.normal(size=5)
