@@ -433,16 +433,107 @@ def _rounds(spark: SparkSession, folder: str) -> DataFrame:
 _TRACKER = tracking.TrackOptions(max_age_ms=24 * HOUR)
 
 
-@query()
+# ---- the tracker as one recursive query: a step per round, tracks carried as a list.
+
+_TRACK = "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, vx DOUBLE, vy DOUBLE, seen BIGINT, misses BIGINT, who VARCHAR)"
+_OVERLAP_W = "(least(t.x + t.w, d.x + d.w) - greatest(t.x, d.x))"
+_OVERLAP_H = "(least(t.y + t.h, d.y + d.h) - greatest(t.y, d.y))"
+_TRACK_IOU = f"""(CASE WHEN {_OVERLAP_W} > 0 AND {_OVERLAP_H} > 0 THEN {_OVERLAP_W} * {_OVERLAP_H}
+    / (t.w * t.h + d.w * d.h - {_OVERLAP_W} * {_OVERLAP_H}) ELSE 0.0::DOUBLE END)"""
+_CENTER_GAP = "sqrt(pow(d.x + d.w / 2 - (t.x + t.w / 2), 2) + pow(d.y + d.h / 2 - (t.y + t.h / 2), 2))"
+
+
+def _pairs(value: str) -> str:
+    """Every (track, detection) index pair with a value, as a flat list."""
+    return f"""flatten(list_transform(live, lambda t, i: list_transform(dets, lambda d, j:
+        {{'v': {value}, 't': i, 'd': j}})))"""
+
+
+_TRACKER_SQL = f"""
+    gen AS (SELECT *, (sum((event_type = 'signup')::INTEGER) OVER {_ORDERED})::BIGINT AS generation FROM ev),
+    box AS (SELECT *, {{'x': x, 'y': k::DOUBLE, 'w': (8 + k % 7)::DOUBLE, 'h': (8 + k % 5)::DOUBLE,
+                       'who': 'id-' || k % 4}} AS b FROM gen),
+    rounds AS (
+      SELECT video_id, generation, ms, row_number() OVER (PARTITION BY video_id, generation ORDER BY ms, seq) AS i,
+             CASE WHEN event_type = 'error' THEN []
+                  WHEN event_type = 'click' THEN [b, {{'x': b.x + 25, 'y': b.y + 25, 'w': b.w, 'h': b.h, 'who': b.who}}]
+                  ELSE [b] END AS dets
+      FROM box
+    ),
+    st AS (
+      SELECT video_id, generation, 0::BIGINT AS i, NULL::BIGINT AS ms, []::{_TRACK}[] AS tracks, 0::BIGINT AS next_id
+      FROM (SELECT DISTINCT video_id, generation FROM rounds)
+      UNION ALL
+      SELECT video_id, generation, i, ms,
+             list_concat(list_filter(moved, lambda t: t.misses <= 4),
+               list_transform(born, lambda j, n: {{'id': next_id + n - 1, 'x': dets[j].x, 'y': dets[j].y, 'w': dets[j].w,
+                 'h': dets[j].h, 'vx': 0.0::DOUBLE, 'vy': 0.0::DOUBLE, 'seen': ms, 'misses': 0::BIGINT, 'who': dets[j].who}})),
+             next_id + len(born)
+      FROM (
+        SELECT *, list_filter(range(1, len(dets) + 1), lambda j: NOT list_contains(list_transform(won, lambda p: p.d), j)) AS born,
+          list_transform(live, lambda t, n: CASE
+            WHEN list_contains(list_transform(won, lambda p: p.t), n) THEN
+              list_transform(list_filter(won, lambda p: p.t = n), lambda p: {{'id': t.id, 'x': dets[p.d].x, 'y': dets[p.d].y,
+                'w': dets[p.d].w, 'h': dets[p.d].h,
+                'vx': CASE WHEN ms > t.seen THEN (dets[p.d].x - t.x) / (ms - t.seen) ELSE t.vx END,
+                'vy': CASE WHEN ms > t.seen THEN (dets[p.d].y - t.y) / (ms - t.seen) ELSE t.vy END,
+                'seen': ms, 'misses': 0::BIGINT, 'who': dets[p.d].who}})[1]
+            ELSE {{'id': t.id, 'x': t.x, 'y': t.y, 'w': t.w, 'h': t.h, 'vx': t.vx, 'vy': t.vy, 'seen': t.seen,
+                   'misses': t.misses + 1, 'who': t.who}} END) AS moved
+        FROM (
+          SELECT *, list_filter([m1, m2, n1, list_filter(near, lambda p: p.t <> n1.t AND p.d <> n1.d)[1]],
+                                lambda p: p IS NOT NULL) AS won
+          FROM (
+            SELECT *, near[1] AS n1 FROM (
+              SELECT *, list_sort(list_filter({_pairs(_CENTER_GAP)}, lambda p:
+                  p.v <= greatest(1.5::DOUBLE * greatest(live[p.t].w, live[p.t].h), 24)
+                  AND (m1 IS NULL OR (p.t <> m1.t AND p.d <> m1.d)) AND (m2 IS NULL OR (p.t <> m2.t AND p.d <> m2.d)))) AS near
+              FROM (
+                SELECT *, list_filter(best, lambda p: p.t <> m1.t AND p.d <> m1.d)[1] AS m2 FROM (
+                  SELECT *, best[1] AS m1 FROM (
+                    SELECT *, list_sort(list_filter({_pairs('-' + _TRACK_IOU)}, lambda p: -p.v > 0.3::DOUBLE)) AS best
+                    FROM (
+                      SELECT r.video_id, r.generation, r.i, r.ms, r.dets, s.next_id,
+                             list_filter(s.tracks, lambda t: r.ms - t.seen <= {24 * HOUR}) AS live
+                      FROM st s JOIN rounds r ON r.video_id = s.video_id AND r.generation = s.generation AND r.i = s.i + 1
+                    )
+                  )
+                )
+              )
+            )
+          )
+        )
+      )
+    )"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE {_E}, {_TRACKER_SQL},
+    u AS (SELECT video_id, generation, ms AS captured_ms, unnest(range(len(tracks))) AS "position", unnest(tracks) AS t FROM st)
+    SELECT video_id, generation, captured_ms, "position", {sql.r6('t.x')} AS x, {sql.r6('t.y')} AS y,
+           {sql.r6('t.vx * 3600000')} AS vx_hour, t.seen AS last_seen_ms, t.misses AS misses, t.who AS identity_id FROM u"""
+)
 def track_rounds(spark, folder):
     tracks = tracking.track_rounds(_rounds(spark, folder), _TRACKER)
     return tracks.select(
-        "video_id", "generation", "captured_ms", "position", "track_id", r6(F.col("x")).alias("x"),
-        r6(F.col("y")).alias("y"), "last_seen_ms", "misses", "identity_id",
+        "video_id", "generation", "captured_ms", "position", r6(F.col("x")).alias("x"),
+        r6(F.col("y")).alias("y"), r6(F.col("vx") * HOUR).alias("vx_hour"), "last_seen_ms", "misses", "identity_id",
     )
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {_E}, {_TRACKER_SQL},
+    ver AS (SELECT video_id, generation, ms AS from_ms, tracks,
+                   lead(ms) OVER (PARTITION BY video_id, generation ORDER BY i) AS until_ms FROM st WHERE i > 0),
+    u AS (SELECT video_id, generation, from_ms, until_ms, unnest(tracks) AS t FROM ver),
+    f AS (SELECT video_id, generation, ms AS frame_ms FROM gen WHERE event_type = 'view')
+    SELECT video_id, generation, frame_ms, {sql.r6('t.x + t.vx * greatest(0, frame_ms - t.seen)')} AS x,
+           {sql.r6('t.y + t.vy * greatest(0, frame_ms - t.seen)')} AS y, t.w AS width, t.h AS height
+    FROM f JOIN u USING (video_id, generation)
+    WHERE frame_ms >= from_ms AND (until_ms IS NULL OR frame_ms < until_ms) AND frame_ms - t.seen <= {24 * HOUR}"""
+)
 def coasted_tracks(spark, folder):
     """The tracker's output shown at every view event of the same generation."""
     rounds = cut(_rounds(spark, folder))
@@ -451,7 +542,8 @@ def coasted_tracks(spark, folder):
     g = temporal.generations(e, ["video_id"], ["ms", "seq"], F.col("event_type") == "signup")
     frames = g.where("event_type = 'view'").select("video_id", "generation", F.col("ms").alias("frame_ms"))
     at = tracking.coast_positions(frames, versions, ["video_id", "generation"], 24 * HOUR)
-    return at.withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y")))
+    at = at.withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y")))
+    return at.drop("track_id")
 
 
 @query(

@@ -399,7 +399,48 @@ def near_duplicate_drop(spark, folder):
     return mark(unique, False).unionByName(mark(dropped, True))
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE v AS (
+      SELECT label, vec_id, embedding, embedding::DOUBLE[] AS u, {sql.unit('embedding')}::DOUBLE[] AS n,
+             row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings
+    ),
+    dd AS (
+      SELECT label, 0::BIGINT AS i, []::DOUBLE[][] AS kept, NULL::BIGINT AS vec_id, false AS dropped
+      FROM embeddings GROUP BY label
+      UNION ALL
+      SELECT r.label, v.i,
+             CASE WHEN len(list_filter(r.kept, lambda k: list_dot_product(k, v.u) >= 0.4)) > 0
+                  THEN r.kept ELSE list_append(r.kept, v.u) END,
+             v.vec_id, len(list_filter(r.kept, lambda k: list_dot_product(k, v.u) >= 0.4)) > 0
+      FROM dd r JOIN v ON v.label = r.label AND v.i = r.i + 1
+    ),
+    un AS (SELECT v.* FROM v JOIN dd ON dd.vec_id = v.vec_id WHERE NOT dropped),
+    ed AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM un a JOIN un b ON a.label = b.label AND a.vec_id <> b.vec_id
+           WHERE list_dot_product(a.n, b.n) >= 1 - 0.7::DOUBLE),
+    reach AS (
+      SELECT vec_id AS x, vec_id AS m FROM un
+      UNION
+      SELECT ed.b, reach.m FROM reach JOIN ed ON ed.a = reach.x WHERE reach.m <= ed.b
+    ),
+    gr AS (SELECT label, vec_id, (SELECT count(*) FROM ed WHERE ed.a = un.vec_id) AS degree,
+                  (SELECT min(m) FROM reach WHERE reach.x = un.vec_id) AS comp FROM un),
+    sz AS (SELECT label, comp, count(*) AS members FROM gr GROUP BY ALL),
+    big AS (SELECT label, arg_max(comp, (members, -comp)) AS comp, max(members) AS members FROM sz GROUP BY label),
+    hub AS (SELECT label, arg_max(comp, (degree, -vec_id)) AS comp FROM gr GROUP BY label),
+    pick AS (SELECT label, CASE WHEN members < 3 THEN hub.comp ELSE big.comp END AS comp,
+                    CASE WHEN members < 3 THEN 'small-cluster' ELSE 'outlier' END AS why FROM big JOIN hub USING (label)),
+    kp AS (SELECT gr.label, gr.vec_id, embedding FROM gr JOIN pick ON pick.label = gr.label AND pick.comp = gr.comp
+           JOIN embeddings e ON e.vec_id = gr.vec_id),
+    {sql.farthest_points('kp', 'label', 8)},
+    rows_ AS (
+      SELECT label, 'duplicate' AS reason FROM dd WHERE dropped
+      UNION ALL SELECT gr.label, why FROM gr JOIN pick ON pick.label = gr.label AND pick.comp <> gr.comp
+      UNION ALL SELECT label, 'kept' FROM picked
+      UNION ALL SELECT label, 'too-few' FROM picked GROUP BY label HAVING count(*) < 3
+    )
+    SELECT 'label-' || label AS name, reason, count(*) AS n FROM rows_ GROUP BY ALL"""
+)
 def enrolment_preview(spark, folder):
     """All labels at once: dedup, cluster, prototypes and every rejection, counted by reason."""
     rows = _vectors(spark, folder).select(
@@ -418,24 +459,24 @@ def enrolment_preview(spark, folder):
     reasons = reports.count_reasons(rejected.withColumn(
         "reason", F.when(F.col("reason").startswith("too-few"), "too-few").otherwise(F.col("reason"))
     ), ["name", "reason"])
-    return reasons.unionByName(
-        kept.groupBy("name").agg(F.count("*").alias("n")).withColumn("reason", F.lit("kept"))
-    )
+    kept_count = kept.groupBy("name").agg(F.count("*").alias("n"))
+    return reasons.unionByName(kept_count.select("name", F.lit("kept").alias("reason"), "n"))
 
 
-@query(
-    f"""
-    WITH s AS (SELECT label, vec_id,
+_HEALTH = f"""
+    hs AS (SELECT label, vec_id,
         CASE WHEN label = 0 THEN {_SCALED} WHEN vec_id % 10 < label THEN embedding
              ELSE list_transform(embedding, lambda x: (x::DOUBLE * 1.5::DOUBLE)::FLOAT) END AS v
       FROM embeddings),
-    f AS (SELECT label, abs({sql.norm('v')} - 1) <= 0.001 AS ok FROM s),
-    c AS (SELECT label, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS rejected
-          FROM f GROUP BY label)
-    SELECT 'label-' || label AS identity_id, kept, rejected,
+    hf AS (SELECT label, abs({sql.norm('v')} - 1) <= 0.001 AS ok FROM hs),
+    hc AS (SELECT label, count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS rejected
+          FROM hf GROUP BY label),
+    health AS (SELECT 'label-' || label AS identity_id, kept, rejected,
            CASE WHEN kept = 0 THEN 'dropped' WHEN rejected > 0 THEN 'degraded' ELSE 'ok' END AS status
-    FROM c"""
-)
+    FROM hc)"""
+
+
+@query(f"WITH {_HEALTH} SELECT * FROM health")
 def gallery_health(spark, folder):
     """Some vectors are stretched first, so that identities lose some or all of them."""
     rows = _vectors(spark, folder)
@@ -447,6 +488,61 @@ def gallery_health(spark, folder):
     return matching.sanitize_gallery(gallery, WIDTH)[1]
 
 
+@query(
+    f"""
+    WITH RECURSIVE {_PROTOTYPES}, {_MATCH_TAIL}, {_WINNERS}, {_HEALTH},
+    raw AS (
+      SELECT q.vec_id, max({sql.dot('q.embedding', 'e.embedding')}) AS c
+      FROM embeddings q, embeddings e JOIN picked p ON e.label = p.label AND e.vec_id = p.vec_id
+      GROUP BY ALL
+    )
+    SELECT query_id // 5 AS media_id, count(*) AS face_count, count(*) FILTER (WHERE score >= 0.3) AS matched_count,
+           {sql.r6('max(c)')} AS best_cosine, 0.3::DOUBLE AS threshold, 1::BIGINT AS min_agreements,
+           (SELECT count(*) FROM health WHERE status = 'dropped') AS dropped_identities,
+           (SELECT count(*) FROM health WHERE status = 'degraded') AS degraded_identities
+    FROM top JOIN raw ON vec_id = query_id WHERE rn = 1 GROUP BY 1"""
+)
+def media_diagnostics(spark, folder):
+    gallery = _label_gallery(_prototype_rows(spark, folder), "prototype")
+    scored = matching.score_queries(
+        _queries(spark, folder), gallery, default_threshold=0.30, min_agreements=1
+    )
+    faces = reports.face_diagnostics(_detections(spark, folder), scored)
+    report = reports.media_diagnostics(faces, gallery_health(spark, folder), 0.3, 1)
+    return report.withColumn("best_cosine", r6(F.col("best_cosine")))
+
+
+@query(
+    """
+    SELECT 'label-' || label AS identity_id, 'samples/' || vec_id || '.jpg' AS url, 'kept' AS outcome,
+           vec_id || '.jpg' AS filename, 1.0::DOUBLE AS score FROM embeddings WHERE label >= 3
+    UNION ALL
+    SELECT 'label-' || label, 'samples/' || vec_id || '.jpg', '2 faces', NULL, NULL FROM embeddings WHERE label < 3"""
+)
+def curated_preview(spark, folder):
+    """Every vector is a directory reference; labels under 3 show two faces per photo."""
+    rows = _vectors(spark, folder)
+    owner = F.concat(F.lit("label-"), F.col("label").cast("string")).alias("identity_id")
+    references = rows.select(
+        owner,
+        F.col("label").cast("string").alias("name"),
+        F.col("vec_id").alias("ord"),
+        F.concat(F.lit("samples/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("path"),
+        F.lit(None).cast("string").alias("source"),
+    )
+    found = rows.select(owner, F.col("vec_id").alias("ord"), "embedding", "label")
+    found = found.unionByName(found.where("label < 3")).drop("label")
+    kept, rejected = enroll.curated_preview(references, found)
+    return kept.select(
+        "identity_id", "url", F.lit("kept").alias("outcome"), "filename", "score"
+    ).unionByName(
+        rejected.select(
+            "identity_id", "url", F.col("reason").alias("outcome"),
+            F.lit(None).cast("string").alias("filename"), F.lit(None).cast("double").alias("score"),
+        )
+    )
+
+
 @query(
     f"""
     SELECT 'name-' || label AS identity_id, 'Name ' || label AS name, 0.4::DOUBLE AS threshold,
