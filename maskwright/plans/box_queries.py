@@ -598,7 +598,69 @@ def mask_coverage(spark, folder):
     return reports.mask_coverage(masks, targets, "page").select("page", "covered")
 
 
-@query()
+_CHIP_X = [f"(vec_id * {3 + i} % 8)::DOUBLE" for i in _N]
+_CHIP_Y = [f"(vec_id * {5 + i} % 8)::DOUBLE" for i in _N]
+_CHIP_TX = [f"({x * 16 / 112!r}::DOUBLE)" for x in _TX]
+_CHIP_TY = [f"({y * 16 / 112!r}::DOUBLE)" for y in _TY]
+
+
+def _tap(x: str, y: str, weight: str, width: str, height: str, ox: str, oy: str, green: bool) -> str:
+    """One bilinear tap, zero outside width x height."""
+    inside = f"{x} >= 0 AND {x} < {width} AND {y} >= 0 AND {y} < {height}"
+    level = f"lv[(({y} + {oy}) * 8 + {x} + {ox} + 1)::BIGINT]"
+    level = f"(255 - {level})" if green else level
+    return f"(CASE WHEN {inside} THEN {level} * {weight} ELSE 0.0::DOUBLE END)"
+
+
+def _channels(width: str, height: str, ox: str = "0", oy: str = "0") -> str:
+    """Two equal channels and the complementary one, each rounded to float as stored."""
+
+    def channel(green: bool) -> str:
+        taps = [
+            ("x0", "y0", "(1 - fx) * (1 - fy)"),
+            ("(x0 + 1)", "y0", "fx * (1 - fy)"),
+            ("x0", "(y0 + 1)", "(1 - fx) * fy"),
+            ("(x0 + 1)", "(y0 + 1)", "fx * fy"),
+        ]
+        total = " + ".join(_tap(*t, width, height, ox, oy, green) for t in taps)
+        return f"((({total})::FLOAT::DOUBLE - 127.5::DOUBLE) * (1.0::DOUBLE / 127.5::DOUBLE))::FLOAT::DOUBLE"
+
+    return f"(2 * {channel(False)} + {channel(True)})"
+
+
+@query(
+    f"""
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x:
+                 greatest(0, least(255, floor(x::DOUBLE * 255 + 128)))::DOUBLE) AS lv FROM embeddings),
+    grid AS (SELECT dx, dy FROM range(16) a(dx), range(16) b(dy)),
+    m AS (SELECT *, {_SUM(lambda i: _CHIP_X[i])} / 5 AS mx, {_SUM(lambda i: _CHIP_Y[i])} / 5 AS my,
+                 {_SUM(lambda i: _CHIP_TX[i])} / 5 AS qx, {_SUM(lambda i: _CHIP_TY[i])} / 5 AS qy
+          FROM e WHERE vec_id % 2 = 0),
+    s AS (SELECT *,
+      {_SUM(lambda i: f'(({_CHIP_X[i]} - mx) * ({_CHIP_X[i]} - mx) + ({_CHIP_Y[i]} - my) * ({_CHIP_Y[i]} - my))')} AS den,
+      {_SUM(lambda i: f'(({_CHIP_X[i]} - mx) * ({_CHIP_TX[i]} - qx) + ({_CHIP_Y[i]} - my) * ({_CHIP_TY[i]} - qy))')} AS na,
+      {_SUM(lambda i: f'(({_CHIP_X[i]} - mx) * ({_CHIP_TY[i]} - qy) - ({_CHIP_Y[i]} - my) * ({_CHIP_TX[i]} - qx))')} AS nb
+      FROM m),
+    f AS (SELECT *, CASE WHEN den = 0 THEN 1 ELSE na / den END AS ta, CASE WHEN den = 0 THEN 0 ELSE nb / den END AS tb FROM s),
+    g AS (SELECT *, qx - (ta * mx - tb * my) AS tx, qy - (tb * mx + ta * my) AS ty, ta * ta + tb * tb AS det FROM f),
+    i AS (SELECT *, ta / det AS ia, -tb / det AS ib FROM g),
+    w0 AS (SELECT vec_id, lv, ia * dx - ib * dy - (ia * tx - ib * ty) AS sx, ib * dx + ia * dy - (ib * tx + ia * ty) AS sy
+           FROM i, grid),
+    w1 AS (SELECT vec_id, lv, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM w0),
+    warped AS (SELECT vec_id, sum({_channels('8', '8')}) AS total FROM w1 GROUP BY vec_id),
+    bx AS (SELECT *, (vec_id % 5)::DOUBLE AS x, (vec_id % 4)::DOUBLE AS y, (2 + vec_id % 3)::DOUBLE AS w, (2 + vec_id % 4)::DOUBLE AS h
+           FROM e WHERE vec_id % 2 = 1),
+    cr AS (SELECT *, greatest(0, floor(x + w / 2 - w * 1.2::DOUBLE / 2)) AS cx, greatest(0, floor(y + h / 2 - h * 1.2::DOUBLE / 2)) AS cy,
+                  least(8, ceil(x + w / 2 + w * 1.2::DOUBLE / 2)) AS ex, least(8, ceil(y + h / 2 + h * 1.2::DOUBLE / 2)) AS ey FROM bx),
+    r0 AS (SELECT vec_id, lv, cx, cy, ex - cx AS cw, ey - cy AS ch,
+                  greatest(0, least(ex - cx - 1, (dx + 0.5::DOUBLE) * ((ex - cx) / 16) - 0.5::DOUBLE)) AS sx,
+                  greatest(0, least(ey - cy - 1, (dy + 0.5::DOUBLE) * ((ey - cy) / 16) - 0.5::DOUBLE)) AS sy FROM cr, grid),
+    r1 AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM r0),
+    resized AS (SELECT vec_id, sum({_channels('cw', 'ch', 'cx', 'cy')}) AS total
+                FROM r1 GROUP BY vec_id)
+    SELECT vec_id AS media_id, 768 AS "values", floor(total * 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE AS total
+    FROM (SELECT * FROM warped UNION ALL SELECT * FROM resized)"""
+)
 def face_chips(spark, folder):
     """Chips from 8 x 8 rasters made of each embedding's components, one face per raster."""
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -620,7 +682,7 @@ def face_chips(spark, folder):
     )
     made = chips.face_chips(images, found, size=16)
     total = F.aggregate("chip", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return made.select("media_id", F.size("chip").alias("values"), F.round(total, 3).alias("total"))
+    return made.select("media_id", F.size("chip").alias("values"), (F.floor(total * 1000 + 0.5) / F.lit(1000.0)).alias("total"))
 
 
 @query(
