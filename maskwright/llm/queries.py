@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import decontaminate
+from maskwright.llm import decontaminate, language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,11 @@ def op5_decontamination(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, folder, "benchmark").select("item_id", "text"))
     return decontaminate.report(hits)
+
+
+@query()
+def op8_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
