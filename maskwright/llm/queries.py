@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import decontaminate, language_id
+from maskwright.llm import byte_bpe, decontaminate, language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,22 @@ def query(sql: str | None = None):
     return register
 
 
+def default_tokenizer(spark: SparkSession):
+    """The multilingual byte-level vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.tables(spark, path, public_tokenizers.PATTERN)
+
+
+@query()
+def op3_byte_bpe(spark, folder):
+    held = default_tokenizer(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, held).select("doc_id", "ids")
+    return byte_bpe.digests(byte_bpe.decode(encoded, held))
+
+
 @query()
 def op5_decontamination(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
