@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id
+from maskwright.llm import byte_bpe, decontaminate, language_id, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def op3_byte_bpe(spark, folder):
     return byte_bpe.digests(byte_bpe.decode(encoded, held))
 
 
+@query()
+def op4_simhash(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.report(simhash.components(simhash.fingerprints(docs)))
+
+
 @query()
 def op5_decontamination(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
