@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, simhash
+from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,35 @@ def op8_language_id(spark, folder):
     model = language_id.fit(docs.where(~language_id.held_out()))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query(f"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS place
+  FROM documents
+),
+totals AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
+bad AS (
+  SELECT l.source, line FROM lines l JOIN totals t ON t.source IS NOT DISTINCT FROM l.source
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+  GROUP BY l.source, line, host_pages
+  HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_PAGES}
+     AND count(DISTINCT doc_id) > host_pages * {line_dedup.MAX_RATIO}::DOUBLE
+),
+judged AS (
+  SELECT doc_id, line, place,
+         EXISTS (SELECT 1 FROM bad b WHERE b.line = l.line AND b.source IS NOT DISTINCT FROM l.source) AS gone
+  FROM lines l
+),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, sum(gone::INT) AS n_dropped,
+         string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY place) AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, d.source, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+""")
+def op10_line_dedup(spark, folder):
+    return line_dedup.report(line_dedup.drop_boilerplate(table(spark, folder, "documents").select("doc_id", "text", "source")))
