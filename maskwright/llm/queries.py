@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, simhash
+from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op5_decontamination(spark, folder):
     return decontaminate.report(hits)
 
 
+@query(quality_rules.oracle())
+def op7_quality_rules(spark, folder):
+    judged = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+
+
 @query()
 def op8_language_id(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
