@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, quality_rules, simhash
+from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,15 @@ def op3_byte_bpe(spark, folder):
     return byte_bpe.digests(byte_bpe.decode(encoded, held))
 
 
+@query()
+def op2_quality_model(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    model = quality_model.fit(docs, labels.where(~language_id.held_out()))
+    scored = quality_model.score(docs, model).select("doc_id", "score", "predicted")
+    return scored.select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
 @query()
 def op4_simhash(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
