@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, quality_model, quality_rules, simhash
+from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, paragraph_dedup, quality_model, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,11 @@ def op5_decontamination(spark, folder):
     return decontaminate.report(hits)
 
 
+@query()
+def op6_paragraph_dedup(spark, folder):
+    return paragraph_dedup.find_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query(quality_rules.oracle())
 def op7_quality_rules(spark, folder):
     judged = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text"))
