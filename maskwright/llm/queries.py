@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, paragraph_dedup, quality_model, quality_rules, simhash
+from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,11 @@ def op8_language_id(spark, folder):
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query()
+def op9_suffix_dedup(spark, folder):
+    return suffix_dedup.report(suffix_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text")))
+
+
 @query(f"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
