@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup
+from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op3_byte_bpe(spark, folder):
     return byte_bpe.digests(byte_bpe.decode(encoded, held))
 
 
+@query(lm_scoring.oracle())
+def op1_lm_scoring(spark, folder):
+    return lm_scoring.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op2_quality_model(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
