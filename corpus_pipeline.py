@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from maskwright.lineage import ensure_checkpoint_dir, table
 from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, simhash
@@ -21,8 +20,7 @@ from maskwright.llm.queries import default_tokenizer
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letter or lie between two languages."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs, model)
-    return found.where(~F.col("ambiguous")).select(*docs.columns)
+    return language_id.keep_identified(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

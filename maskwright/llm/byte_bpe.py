@@ -288,7 +288,7 @@ def tables(spark, path: str, pattern: str):
 def encode(docs: DataFrame, held, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``, the token ids of the whole text."""
     kept = docs.drop("ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    schema = tb.schema(kept.schema.fields, "ids array<int>")
 
     def run(batches):
         codec = _codec(held)
@@ -297,13 +297,13 @@ def encode(docs: DataFrame, held, text: str = "text") -> DataFrame:
                 ids = codec.ids(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
-    return kept.mapInArrow(run, schema + ", ids array<int>")
+    return kept.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, held, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that its ids stand for."""
     kept = encoded.drop("decoded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    schema = tb.schema(kept.schema.fields, "decoded binary")
 
     def run(batches):
         codec = _codec(held)
@@ -312,7 +312,7 @@ def decode(encoded: DataFrame, held, ids: str = "ids") -> DataFrame:
                 [*batch.columns, codec.decode(batch.column(ids))], names=[*batch.schema.names, "decoded"]
             )
 
-    return kept.mapInArrow(run, schema + ", decoded binary")
+    return kept.mapInArrow(run, schema)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -19,10 +19,10 @@ are one item; repeated document rows are separate rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +140,9 @@ class Automaton:
         return spans, found
 
 
-def _word_hashes(words) -> np.ndarray:
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     data = np.frombuffer(joined, dtype=np.uint8)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -155,9 +157,7 @@ class Matcher:
         self.automaton = automaton
         self.vocabulary = np.sort(_word_hashes(sorted(automaton.vocabulary)))
         pairs = sorted(automaton.follows)
-        self.pairs = np.sort(
-            tb.chain(_word_hashes([a for a, _ in pairs]), _word_hashes([b for _, b in pairs]))
-        ) if pairs else np.zeros(0, np.uint64)
+        self.pairs = np.sort(tb.chain(_word_hashes([a for a, _ in pairs]), _word_hashes([b for _, b in pairs])))
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, list, set, np.ndarray, np.ndarray]]:
         """Per text: words, merged spans in words, items, and each word's byte bounds."""
@@ -307,7 +307,7 @@ def _chain(first, second, rest):
 def _one_pass(docs: DataFrame, matcher: Matcher) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(matcher)
     kept = docs.drop("n_words", "spans", "items")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + SPANS
+    schema = tb.schema(kept.schema.fields, SPANS)
 
     def run(batches):
         for batch in batches:
@@ -339,24 +339,23 @@ def decontaminate(
     between their words; a document of which a larger share than ``max_coverage`` of the
     words is covered is dropped whole. Other texts come back unchanged, byte for byte.
     """
-    hits = find_hits(docs, benchmark, window, **limits)
+    hits = find_hits(tb.pack(docs), benchmark, window, **limits)
     covered = F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)")
     kept = hits.where((covered == 0) | (covered <= F.col("n_words") * F.lit(float(max_coverage))))
     spans = F.expr(f"filter(spans, x -> x.end - x.start >= {int(min_span)})")
-    cleaned = kept.withColumn(
-        "text", F.when(F.size(spans) > 0, _without("text", spans)).otherwise(F.col("text"))
-    )
-    out = [F.col(f"`{c}`") for c in docs.columns]
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        count = F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-        out = [count.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return cleaned.select(*out)
+    replaced = {}
+    if max_coverage > 0:
+        hit = F.size(spans) > 0
+        kept = kept.withColumn("text", F.when(hit, _without("text", spans)).otherwise(F.col("text")))
+        if "n_chars" in docs.columns:
+            count = F.length("text").cast(docs.schema["n_chars"].dataType)
+            replaced["n_chars"] = F.when(hit, count).otherwise(F.col("__rest.n_chars"))
+    return tb.unpack(kept, docs.columns, **replaced)
 
 
 def _without(text: str, spans) -> F.Column:
     @F.pandas_udf("string")
-    def cut_words(texts, all_spans):
+    def cut_words(texts: pd.Series, all_spans: pd.Series) -> pd.Series:
         out = []
         for value, own in zip(texts, all_spans):
             if value is None or not len(own):
@@ -370,8 +369,6 @@ def _without(text: str, spans) -> F.Column:
                 parts.append(raw[at : starts[span["start"]]])
                 at = int(ends[span["end"] - 1])
             out.append(b"".join([*parts, raw[at:]]).decode())
-        import pandas as pd
-
         return pd.Series(out)
 
     return cut_words(F.col(text), spans)

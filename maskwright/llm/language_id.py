@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> Dat
     """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``; a map over the rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("lang_pred", "score", "ambiguous")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    schema = tb.schema(kept.schema.fields, "lang_pred string, score double, ambiguous boolean")
 
     def run(batches):
         for batch in batches:
@@ -184,7 +184,13 @@ def identify(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> Dat
                     names=[*part.schema.names, "lang_pred", "score", "ambiguous"],
                 )
 
-    return kept.mapInArrow(run, schema + ", lang_pred string, score double, ambiguous boolean")
+    return kept.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, ambiguous: float = AMBIGUOUS) -> DataFrame:
+    """``docs`` without texts that have no letter or lie between two languages."""
+    found = identify(tb.pack(docs), model, ambiguous)
+    return tb.unpack(found.where(~F.col("ambiguous")), docs.columns)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -112,12 +112,12 @@ def report(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """``docs`` with their columns as they were, ``text`` cleaned and ``n_chars`` counted anew
     where a line went."""
-    found = drop_boilerplate(docs, host, **limits)
-    out = []
-    for c in docs.columns:
-        if c == "n_chars":
-            counted = F.length("text").cast(docs.schema[c].dataType)
-            out.append(F.when(F.col("n_dropped") > 0, counted).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
-    return found.select(*out)
+    packed = docs.select(
+        F.col(f"`{host}`").alias("host"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__rest")
+    )
+    found = drop_boilerplate(packed, "host", **limits)
+    replaced = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        replaced["n_chars"] = F.when(F.col("n_dropped") > 0, counted).otherwise(F.col("__rest.n_chars"))
+    return found.select(*[replaced.get(c, F.col("__rest").getField(c)).alias(c) for c in docs.columns])

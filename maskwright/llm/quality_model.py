@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         .mapInArrow(run, "doc_id long, label int, pooled binary")
     )
     rows = sorted((r.doc_id, r.label, bytes(r.pooled)) for r in pooled.orderBy(F.xxhash64("doc_id"), "pooled").limit(max_rows).collect())
-    x = np.array([np.frombuffer(p, dtype=np.float32) for _, _, p in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(p, dtype=np.float32) for _, _, p in rows])
     return Model(vectors, _train(x, np.array([int(y) for _, y, _ in rows])))
 
 
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; a map over the rows."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("score", "predicted")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    schema = tb.schema(kept.schema.fields, "score double, predicted int")
 
     def run(batches):
         for batch in batches:
@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: Model, good: float = GOOD) -> DataFrame:
                     names=[*part.schema.names, "score", "predicted"],
                 )
 
-    return kept.mapInArrow(run, schema + ", score double, predicted int")
+    return kept.mapInArrow(run, schema)

@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
     """``docs`` without its text, with ``fingerprint`` as a long."""
     kept = docs.drop("fingerprint")
     fields = [f for f in kept.schema if f.name != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["fingerprint long"])
+    schema = tb.schema(fields, "fingerprint long")
 
     def run(batches):
         for batch in batches:

@@ -95,11 +95,18 @@ def _fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _rivals(batches):
     """From fragments sorted by key, content and place: ``rival`` false for those with an
     earlier equal, true for the others of a key that has several."""
-    last, alone = None, None
+    last, alone, place = None, None, None
     for batch in batches:
-        if not batch.num_rows:
+        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        fresh = np.ones(len(table), dtype=bool)  # a repeated row is at the same place, not later
+        fresh[1:] = (table[1:, :4] != table[:-1, :4]).any(1)
+        if len(table):
+            fresh[0] = place is None or (table[0, :4] != place).any()
+            place = table[-1, :4]
+        table = table[fresh]
+        if not len(table):
             continue
-        key, content, doc, start, windows = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        key, content, doc, start, windows = table.T
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new_set = new_key | np.concatenate(([True], content[1:] != content[:-1]))
         if last is not None and key[0] == last[0]:
@@ -247,7 +254,9 @@ def _refine_keys(length: int, chunk: int):
             yield from parts(pa.Table.from_batches(held))
 
     def parts(table):
-        key, doc, start = (table.column(c).to_numpy() for c in ("key", "doc", "start"))
+        place = np.column_stack([table.column(c).to_numpy() for c in ("key", "doc", "start")])
+        fresh = np.concatenate(([True], (place[1:] != place[:-1]).any(1)))  # rows may be repeated
+        table, (key, doc, start) = table.filter(pa.array(fresh)), place[fresh].T
         raw = table.column("bytes").to_pylist()
         sizes = np.cumsum([len(x) for x in raw])
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -330,16 +339,17 @@ def find_spans(
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without text, with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the
     remaining bytes."""
-    spans = find_spans(docs, **options)
+    spans = find_spans(docs, **options).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
     others = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    joined = others.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(spans, "doc", "left")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    joined = others.join(spans, own == F.col("__doc"), "left")
     fields = [f for f in others.schema if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = tb.schema(fields, "n_bytes long, n_removed long, n_spans long, kept binary")
 
     def run(batches):
         for batch in batches:
             for part in tb.blocks(batch, "text"):
-                out = [_without(*row) for row in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+                out = [_without(*row) for row in zip(part.column("text").to_pylist(), part.column("__spans").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in fields)]
                     + [pa.array([r[k] for r in out], pa.int64()) for k in range(3)]
@@ -347,9 +357,7 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
                     names=[*(f.name for f in fields), "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    return joined.select(*[F.col(f"`{c}`") for c in others.columns], "spans").mapInArrow(
-        run, schema + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    )
+    return joined.select(*[F.col(f"`{c}`") for c in others.columns], F.col("__spans")).mapInArrow(run, schema)
 
 
 def _without(text, spans):

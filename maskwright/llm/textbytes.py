@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 BLOCK_BYTES = 2 << 20
 
@@ -22,6 +25,24 @@ _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers: dict[int, np.ndarray] = {}
 
 
+def schema(fields: list[StructField], added: str) -> StructType:
+    """``fields`` and the columns of the DDL string ``added``."""
+    return StructType([*fields, *StructType.fromDDL(added).fields])
+
+
+def pack(docs: DataFrame, *needed: str) -> DataFrame:
+    """``text``, the ``needed`` columns, and all columns but the text as one struct, so that
+    an operator's own column names cannot meet theirs."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(*needed, "text", F.struct(*rest).alias("__rest"))
+
+
+def unpack(found: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns that were packed, ``text`` as it is now and others as ``replaced``."""
+    out = {c: F.col("text") if c == "text" else F.col("__rest").getField(c) for c in columns} | replaced
+    return found.select(*[out[c].alias(c) for c in columns])
+
+
 def byte_table(member) -> np.ndarray:
     """``table[b]`` is true for the byte values ``member`` accepts."""
     return np.array([bool(member(b)) for b in range(256)])
