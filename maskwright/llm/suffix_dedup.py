@@ -35,7 +35,7 @@ from maskwright.llm import textbytes as tb
 LENGTH = 100
 GRAM = 24
 HOT_ROWS = 20_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _NO_ID = (1 << 63) - 1
 
