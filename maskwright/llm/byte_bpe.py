@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from maskwright.llm import textbytes as tb
 
 LONG_PIECE = 128
-CACHE_PIECES = 600_000
-STEP_ROWS = 4_000_000
+CACHE_PIECES = 300_000
+STEP_ROWS = 1_500_000
 DECODE_IDS = 500_000
 
 # A row is a token: its key (piece and byte offset), the next token and that one's key. The
@@ -143,7 +143,7 @@ class Codec:
         self.ints = list(range(int(tables.ids.max()) + 1))  # one object per id, shared by the cache
         self.whole = dict(zip(tables.tokens, (self.ints[i] for i in tables.ids.tolist())))
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         left, right, rank = tables.merges.astype(np.int64).T
         self._load("merges", {"lr": (left << 32) | right, "id": rank})
         self._load("vocabulary", {"id": tables.ids, "hex": [t.hex() for t in tables.tokens]})
