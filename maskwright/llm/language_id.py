@@ -129,11 +129,15 @@ def fit(
     ridge: float = RIDGE,
 ) -> Model:
     """Learn from ``docs(doc_id, text, lang)``; only a sample's profiles reach the driver."""
-    order = F.xxhash64("doc_id", "text")
-    labelled = docs.where("lang is not null and doc_id is not null and text is not null")
-    ranked = labelled.select("text", "lang", order.alias("h")).withColumn(
-        "r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    labelled = docs.where("lang is not null and doc_id is not null and text is not null").select(
+        "text", "lang", F.xxhash64("doc_id", "text").alias("h")
     )
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
+    # hashes are even, so a share of them holds the lowest ``per_language`` with room to spare
+    share = F.least(F.lit(1.0), (2.0 * per_language + 50) / F.col("n"))
+    low = F.lit(-(2.0**63)) + share * (2.0**64)
+    near = labelled.join(F.broadcast(counts), "lang").where(F.col("h") <= low).drop("n")
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     sample = ranked.where(F.col("r") <= per_language).orderBy("r", "lang").limit(max_rows)
 
     def run(batches):
