@@ -50,7 +50,7 @@ def test_verdict_bounds():
 def test_lm_scores(spark, vocabulary, min_count):
     docs, shown = tables(spark)
     docs = docs.unionByName(shown.selectExpr("doc_id + 100000 AS doc_id", "text", "source"))
-    build = lambda d: lm_scoring.score(d, vocabulary=vocabulary, min_count=min_count, dense=10, part_pairs=3000)
+    build = lambda d: lm_scoring.score(d, vocabulary=vocabulary, min_count=min_count, dense=10, part_pairs=3000, home_docs=50)
     compare(spark, build, lm_scoring.oracle(vocabulary, min_count), docs)
 
 
