@@ -60,20 +60,39 @@ def center(b: Column) -> Column:
     return point(b["x"] + b["width"] / 2, b["y"] + b["height"] / 2)
 
 
+def number(v: Column) -> Column:
+    """Not NaN; Spark orders NaN above every number, plain arithmetic compares it false."""
+    return ~F.isnan(v)
+
+
+def complete(b: Column) -> Column:
+    """All four values are there and are numbers; anything else meets no other box."""
+    parts = [b[k] for k in ("x", "y", "width", "height")]
+    return F.coalesce(*[F.when(p.isNull() | F.isnan(p), False) for p in parts], F.lit(True))
+
+
 def contains(b: Column, p: Column) -> Column:
-    """Inclusive on all four edges."""
+    """Inclusive on all four edges; a NaN edge or coordinate contains nothing."""
+    right, bottom = b["x"] + b["width"], b["y"] + b["height"]
     return (
         (p["x"] >= b["x"])
-        & (p["x"] <= b["x"] + b["width"])
+        & (p["x"] <= right)
         & (p["y"] >= b["y"])
-        & (p["y"] <= b["y"] + b["height"])
+        & (p["y"] <= bottom)
+        & number(p["x"]) & number(p["y"]) & number(right) & number(bottom)
     )
 
 
+def overlaps(a: Column, b: Column, threshold: float) -> Column:
+    """Detector overlap above the threshold; NaN overlaps nothing."""
+    shared = detector_iou(a, b)
+    return (shared > threshold) & number(shared)
+
+
 def same_face(a: Column, b: Column, threshold: float = settings.MERGE_IOU) -> Column:
     """Two passes saw the same face: overlap, or either centre inside the other."""
     return (
-        (detector_iou(a, b) > threshold) | contains(a, center(b)) | contains(b, center(a))
+        overlaps(a, b, threshold) | contains(a, center(b)) | contains(b, center(a))
     )
 
 

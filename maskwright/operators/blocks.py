@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,10 +183,16 @@ def _cells(df, keys, order, vector, minimum, block_rows):
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float32) -> np.ndarray:
-    """A list column of one width as a 2-d array, without a Python object per row."""
+    """A list column of one width as a 2-d array, without a Python object per row.
+
+    A null list or lists of different lengths are an error, never shifted rows.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    widths = pc.min_max(pc.list_value_length(column)).as_py() if rows else {"min": 0, "max": 0}
+    if column.null_count or widths["min"] != widths["max"]:
+        raise ValueError(f"vectors must share one width and none be null, found {widths} and {column.null_count} null")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return np.ascontiguousarray(flat, dtype=dtype).reshape(rows, -1 if rows else 0)
 
@@ -216,11 +223,23 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
 SLACK = 1e-4
 
 
+def strips(rows: int, columns: int, cells: int = 4_000_000) -> list[slice]:
+    """Slices of ``rows`` whose products with ``columns`` fill at most about ``cells``."""
+    step = max(1, cells // max(1, columns))
+    return [slice(at, min(at + step, rows)) for at in range(0, rows, step)]
+
+
+def same_width(a: np.ndarray, b: np.ndarray) -> None:
+    if len(a) and len(b) and a.shape[1] != b.shape[1]:
+        raise ValueError(f"vectors of width {a.shape[1]} meet vectors of width {b.shape[1]}")
+
+
 def pairs_at_least(a: np.ndarray, b: np.ndarray, bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs and exact scores of rows of ``a`` and ``b`` whose product reaches ``bound``.
 
-    ``bound`` is a number or one value per row of ``b``. Works in strips, so memory
-    stays bounded whatever the sizes.
+    ``bound`` is a number or one value per row of ``b``. The score matrix is worked off in
+    strips; the pairs returned are as many as there are, so a caller with many rows on
+    both sides reduces them strip by strip (:func:`strips`).
     """
     bound = np.broadcast_to(np.asarray(bound, dtype=np.float64), (len(b),))
     strip = max(1, 8_000_000 // max(1, len(b)))

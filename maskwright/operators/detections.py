@@ -93,7 +93,7 @@ def suppress(
         keys,
         [-F.col(score), *[F.col(t) for t in ties]],
         box,
-        lambda kept, new: boxes.detector_iou(kept, new) > threshold,
+        lambda kept, new: boxes.overlaps(kept, new, threshold),
         greedy.overlap_conflict(threshold),
         **sizes,
     )
@@ -170,7 +170,7 @@ def merge_tiles(
         keys,
         [F.col("oy"), F.col("ox"), *[F.col(r) for r in rank]],
         "box",
-        lambda kept, new: boxes.detector_iou(kept, new) > threshold,
+        lambda kept, new: boxes.overlaps(kept, new, threshold),
         greedy.overlap_conflict(threshold),
         **sizes,
     )

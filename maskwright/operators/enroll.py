@@ -202,38 +202,39 @@ def _grouped_prototypes(faces: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def _round_prototypes(faces: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The same picks for groups too large for a task: k aggregations to one row per group."""
-    rows = faces.select(
-        *keys,
-        "ord",
-        vectors.l2_norm(F.col("embedding")).alias("__norm"),
-        vectors.l2_normalize(F.col("embedding")).alias("__unit"),
-    )
-    best = lambda score: F.max_by(F.struct("ord", "__unit"), F.struct(score, -F.col("ord")))
-    picks = rows.groupBy(*keys).agg(F.array(best(F.col("__norm"))).alias("__picks"))
-    for _ in range(k - 1):
-        gap = F.array_min(
-            F.transform("__picks", lambda p: F.lit(1.0) - vectors.dot(F.col("__unit"), p["__unit"]))
-        )
-        fresh = ~F.exists("__picks", lambda p: p["ord"] == F.col("ord"))
-        following = (
-            rows.join(picks, keys)
-            .where(fresh)
-            .withColumn("__gap", gap)
-            .groupBy(*keys)
-            .agg(best(F.col("__gap")).alias("__next"))
-        )
-        picks = picks.join(following, keys, "left").select(
+    """The same picks for groups too large for a task: k rounds, each one scan that brings
+    the running distance to the nearest pick up to date and aggregates the next pick."""
+    state = cut(
+        faces.select(
             *keys,
-            F.when(F.col("__next").isNull(), F.col("__picks"))
-            .otherwise(F.array_append("__picks", F.col("__next")))
-            .alias("__picks"),
+            "ord",
+            vectors.l2_norm(F.col("embedding")).alias("__score"),
+            vectors.l2_normalize(F.col("embedding")).alias("__unit"),
+            F.lit(float("inf")).alias("__gap"),
+            F.lit(False).alias("__taken"),
+        )
+    )
+    best = F.max_by(F.struct("ord", "__unit"), F.struct("__score", -F.col("ord"))).alias("__pick")
+    picks = None
+    for _ in range(k):
+        pick = cut(state.where("not __taken").groupBy(*keys).agg(best))
+        if pick.isEmpty():
+            break
+        picks = pick if picks is None else picks.unionByName(pick)
+        nearer = F.lit(1.0) - vectors.dot(F.col("__unit"), F.col("__pick.__unit"))
+        state = cut(
+            # a group without a further pick has all its rows taken
+            state.join(pick, keys)
+            .withColumn("__gap", F.least("__gap", nearer))
+            .withColumn("__taken", F.col("__taken") | (F.col("ord") == F.col("__pick.ord")))
+            .select(*keys, "ord", F.col("__gap").alias("__score"), "__unit", "__gap", "__taken")
         )
-    near = rows.join(picks, keys).select(*keys, "ord", "__unit", F.posexplode("__picks").alias("__i", "__p"))
-    score = vectors.dot(F.col("__p.__unit"), F.col("__unit"))
+    rows = faces.select(*keys, "ord", vectors.l2_normalize(F.col("embedding")).alias("__unit"))
+    score = vectors.dot(F.col("__pick.__unit"), F.col("__unit"))
     return (
-        near.withColumn("__score", score)
-        .groupBy(*keys, "__i")
+        rows.join(picks, keys)
+        .withColumn("__score", score)
+        .groupBy(*keys, F.col("__pick.ord").alias("__i"))
         .agg(F.max_by("ord", F.struct("__score", -F.col("ord"))).alias("ord"))
         .select(*keys, "ord")
         .distinct()

@@ -110,7 +110,7 @@ def set_enabled(meta: DataFrame, enabled: bool) -> DataFrame:
     )
 
 
-def replay(log: DataFrame) -> DataFrame:
+def replay(log: DataFrame, range_rows: int | None = None) -> DataFrame:
     """Judge every mutation as if applied one after the other.
 
     ``log(seq, op, identity_id, explicit, enabled, threshold, created_at)`` with op
@@ -119,7 +119,7 @@ def replay(log: DataFrame) -> DataFrame:
     removed before. Everything is a running value, so neither the log nor a much-edited
     identity is handled by one task.
     """
-    ranges = scan.plan_ranges(log, "seq")
+    ranges = scan.plan_ranges(log, "seq", range_rows)
     switch = F.col("op") == "SET_ENABLED"
     removal = F.when(F.col("op") == "REMOVE", F.lit(0))
     creation = F.when((F.col("op") == "CONFIRM") & ~F.col("explicit"), F.lit(1))

@@ -212,6 +212,7 @@ def keep_first_boxes(
     item = F.struct(
         F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("o"),
         (F.lit(False) if fixed is None else fixed).alias("f"),
+        boxes.complete(F.col(box)).alias("c"),
         F.struct(*[F.col(c) for c in data]).alias("row"),
     )
     small, large = blocks.split_by_size(df, keys, fold_rows)
@@ -223,7 +224,9 @@ def keep_first_boxes(
         F.slice("__items", 1, 0),
         lambda out, r: F.when(
             r["f"]
-            | ~F.exists(out, lambda k: column_conflict(k["row"][box], r["row"][box])),
+            | ~F.exists(
+                out, lambda k: k["c"] & r["c"] & column_conflict(k["row"][box], r["row"][box])
+            ),
             F.array_append(out, r),
         ).otherwise(out),
     )
@@ -232,9 +235,6 @@ def keep_first_boxes(
     )
     if large is None:
         return result
-
-
-
     ranked = cut(rank_in_group(large, keys, order, "__rank"))
     flag = F.lit(False) if fixed is None else fixed
     kept = keep_first_come(

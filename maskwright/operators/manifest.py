@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 LEDGER = "path STRING, bytes BIGINT, sha256 STRING, shipped BOOLEAN"
 
 
-def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
-    """JSON ledger rows; missing, malformed and empty ledgers are errors, not empty sets."""
-    rows = spark.read.schema(f"{schema}, _broken STRING").option("multiLine", True).option(
+def read_ledger(
+    spark: SparkSession, path: str, schema: str = LEDGER, root: str | None = None
+) -> DataFrame:
+    """JSON ledger rows; missing, malformed and empty ledgers are errors, not empty sets.
+
+    ``root`` names the field that holds the entries of an object-shaped ledger. An entry
+    without a path is malformed, and so is an object read without its ``root``.
+    """
+    shape = schema if root is None else f"`{root}` ARRAY<STRUCT<{schema}>>"
+    rows = spark.read.schema(f"{shape}, _broken STRING").option("multiLine", True).option(
         "mode", "PERMISSIVE"
     ).option("columnNameOfCorruptRecord", "_broken").json(path)
+    if root is not None:
+        rows = rows.select("_broken", F.explode_outer(root).alias("entry")).select("_broken", "entry.*")
     if rows.isEmpty():
         raise ValueError("the ledger has no entries")
     return rows.select(
         *[
-            F.when(F.col("_broken").isNull(), F.col(c))
+            F.when(F.col("_broken").isNull() & F.col("path").isNotNull(), F.col(c))
             .otherwise(F.raise_error(F.lit("the ledger is malformed")))
             .alias(c)
             for c in rows.columns

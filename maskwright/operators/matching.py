@@ -5,8 +5,9 @@ Gallery rows: ``(identity_id, identity_ord, kind, ord, embedding)`` with kind
 ``(identity_id, threshold)``. Query rows: ``(query_id, embedding)``.
 
 A small gallery (its bytes are counted first) is shipped once to every executor and
-queries are scored where they lie: no shuffle. A larger one is cut into blocks, both
-sides meet block by block, and partial results per (query, identity) are added up.
+queries are scored where they lie: no shuffle. A larger one is shipped part by part, each
+of that size; partial results per (query, identity) of all parts are added up. Vectors
+must share one width: :func:`reject_vectors` sets others aside first.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from maskwright import settings
 from maskwright.functions import vectors
+from maskwright.lineage import cut
 from maskwright.operators import blocks
 
 MATCH_COLUMNS = ("identity_id", "score")
@@ -53,6 +55,13 @@ def sanitize_gallery(
     return clean, status
 
 
+def reject_vectors(queries: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Queries whose vector can be compared, and ``(query_id, fault)`` of the others."""
+    judged = queries.withColumn("__fault", vectors.embedding_fault(F.col("embedding"), width, None))
+    rejected = judged.where("__fault is not null").select("query_id", F.col("__fault").alias("fault"))
+    return judged.where("__fault is null").drop("__fault"), rejected
+
+
 def choose_gallery(gallery: DataFrame) -> DataFrame:
     """Prototypes where an identity has some, else its embeddings; hard negatives stay."""
     has = gallery.groupBy("identity_id").agg(
@@ -105,9 +114,19 @@ class _Gallery:
 
 def _partial_matches(queries: np.ndarray, g: _Gallery, margin: float) -> dict[str, np.ndarray]:
     """Per (query row, identity) that any decisive score was found for: best positive
-    score, number of positives at the threshold, best negative score."""
-    unit = blocks.unit_rows(queries)
+    score, number of positives at the threshold, best negative score.
+
+    Hits are reduced strip by strip, so a pile of near copies costs one strip of pairs."""
+    blocks.same_width(queries, g.vectors)
     bound = np.where(g.negative, g.threshold - margin - blocks.SLACK, g.threshold)
+    parts = [
+        _reduced(blocks.unit_rows(queries[strip]), strip.start, g, bound)
+        for strip in blocks.strips(len(queries), len(g.vectors))
+    ] or [_reduced(queries[:0], 0, g, bound)]
+    return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+
+def _reduced(unit: np.ndarray, start: int, g: _Gallery, bound: np.ndarray) -> dict[str, np.ndarray]:
     i, j, s = blocks.pairs_at_least(unit, g.vectors, bound)
     span = int(g.identity.max()) + 1 if len(g.identity) else 1
     code, slot = np.unique(i * span + g.identity[j], return_inverse=True)
@@ -119,7 +138,7 @@ def _partial_matches(queries: np.ndarray, g: _Gallery, margin: float) -> dict[st
     np.add.at(agree, slot[~neg], 1)
     np.maximum.at(negative, slot[neg], s[neg])
     return {
-        "row": code // span,
+        "row": code // span + start,
         "identity_ord": code % span,
         "best": positive,
         "agree": agree,
@@ -129,6 +148,7 @@ def _partial_matches(queries: np.ndarray, g: _Gallery, margin: float) -> dict[st
 
 def _best_scores(queries: np.ndarray, g: _Gallery) -> tuple[np.ndarray, np.ndarray]:
     """Highest positive score of each query and the earliest identity reaching it."""
+    blocks.same_width(queries, g.vectors)
     keep = ~g.negative
     vecs, identity = g.vectors[keep], g.identity[keep]
     best = np.full(len(queries), -np.inf)
@@ -212,41 +232,40 @@ def _score_broadcast(queries, rules, margin, want_best, want_match):
     )
 
 
-def _meet_in_blocks(queries, gallery, meet, schema, block_rows, gallery_rows):
-    """Hash both sides into blocks and hand every pair of blocks to ``meet(q, g)``."""
-    columns = max(1, -(-gallery_rows // block_rows))
-    rows = max(1, -(-queries.count() // (4 * block_rows)))
-    block = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n).cast("bigint")).cast("int")
-    left = (
-        queries.select("query_id", "embedding")
-        .withColumn("__r", block(rows, "query_id"))
-        .withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    )
-    right = gallery.withColumn("__c", block(columns, "identity_ord", "kind", "ord")).withColumn(
-        "__r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
-    )
-    empty = schema_to_arrow(schema).empty_table()
-
-    def both(q: pa.Table, g: pa.Table) -> pa.Table:
-        return meet(q, g) if q.num_rows and g.num_rows else empty
+def _meet_in_parts(queries, gallery, meet, schema, part_rows, gallery_rows):
+    """Map-only passes over the queries, one per part of the gallery.
 
-    return left.groupBy("__r", "__c").cogroup(right.groupBy("__r", "__c")).applyInArrow(both, schema)
+    Parts are of about ``part_rows`` rows and shipped one after the other, so driver and
+    executors hold one part at a time and queries never cross a shuffle; ``meet(q, g)``
+    returns what a part adds, which is written before the next part is read.
+    """
+    parts = max(1, -(-gallery_rows // part_rows))
+    dealt = gallery.withColumn(
+        "__part", F.pmod(F.xxhash64("identity_ord", "kind", "ord"), F.lit(parts).cast("bigint"))
+    )
+    dealt = cut(dealt) if parts > 1 else dealt
+    slim = queries.select("query_id", "embedding")
+    found = None
+    for part in range(parts):
+        rows = dealt.where(F.col("__part") == part).drop("__part").toArrow()
+        if not rows.num_rows:
+            continue
+        shared = queries.sparkSession.sparkContext.broadcast(rows)
 
+        def run(batches, shared=shared):
+            for batch in batches:
+                for strip in blocks.strips(batch.num_rows, shared.value.num_rows):
+                    piece = batch.slice(strip.start, strip.stop - strip.start)
+                    yield from meet(pa.Table.from_batches([piece]), shared.value).to_batches()
 
-def schema_to_arrow(schema: T.StructType) -> pa.Schema:
-    plain = {
-        "string": pa.string(),
-        "double": pa.float64(),
-        "bigint": pa.int64(),
-        "int": pa.int32(),
-        "boolean": pa.bool_(),
-        "array<float>": pa.list_(pa.float32()),
-    }
-    return pa.schema([pa.field(f.name, plain[f.dataType.simpleString()]) for f in schema.fields])
+        own = cut(slim.mapInArrow(run, schema))
+        shared.unpersist()
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
-def _score_blocked(queries, rules, margin, want_best, want_match, block_rows, gallery_rows):
-    """Every query block meets every gallery block; partial results are added up."""
+def _score_in_parts(queries, rules, margin, want_best, want_match, part_rows, gallery_rows):
+    """Every query meets the gallery part by part; partial results are added up."""
     id_type = queries.schema["query_id"].dataType
     schema = T.StructType(
         [
@@ -298,7 +317,7 @@ def _score_blocked(queries, rules, margin, want_best, want_match, block_rows, ga
     rows = rules.select(
         "identity_ord", "kind", "ord", "embedding", "threshold", F.col("need").cast("bigint").alias("need")
     )
-    partial = _meet_in_blocks(queries, rows, meet, schema, block_rows, gallery_rows)
+    partial = _meet_in_parts(queries, rows, meet, schema, part_rows, gallery_rows)
     limits = rules.select("identity_ord", "threshold", "need").distinct()
     whole = partial.groupBy("query_id", "identity_ord", "role").agg(
         F.max("best").alias("best"), F.sum("agree").alias("agree"), F.max("negative").alias("negative")
@@ -331,7 +350,7 @@ def score_queries(
     want_best: bool = True,
     want_match: bool = True,
     broadcast_bytes: int = settings.BROADCAST_BYTES,
-    block_rows: int = settings.BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """One row per query: unthresholded best cosine, and the accepted identity if any.
 
@@ -353,9 +372,8 @@ def score_queries(
     if size["rows"] * size["width"] * 4 <= broadcast_bytes:
         scored = _score_broadcast(queries, rules, margin, want_best, want_match)
     else:
-        scored = _score_blocked(
-            queries, rules, margin, want_best, want_match, block_rows, size["rows"]
-        )
+        block_rows = block_rows or max(1, broadcast_bytes // (4 * max(1, size["width"])))
+        scored = _score_in_parts(queries, rules, margin, want_best, want_match, block_rows, size["rows"])
     names = gallery.select("identity_ord", "identity_id").distinct()
     best_names = names.select(
         F.col("identity_ord").alias("best_ord"), F.col("identity_id").alias("best_identity_id")
@@ -389,7 +407,7 @@ def top_k_cosines(
     gallery: DataFrame,
     k: int,
     broadcast_bytes: int = settings.BROADCAST_BYTES,
-    block_rows: int = settings.BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k highest cosines of each query within each identity, best first.
 
@@ -448,7 +466,8 @@ def top_k_cosines(
 
         partial = queries.select("query_id", "embedding").mapInArrow(local, schema)
     else:
-        partial = _meet_in_blocks(queries, rows, top, schema, block_rows, size["n"])
+        block_rows = block_rows or max(1, broadcast_bytes // (4 * max(1, size["w"])))
+        partial = _meet_in_parts(queries, rows, top, schema, block_rows, size["n"])
     best = Window.partitionBy("query_id", "identity_ord").orderBy(F.desc("cosine"))
     names = gallery.select("identity_ord", "identity_id").distinct()
     return (
@@ -462,11 +481,11 @@ def top_k_cosines(
 def enabled_only(media: DataFrame, meta: DataFrame, identity_count: int | None = None) -> DataFrame:
     """Nothing is processed while protection is off or the list is empty.
 
-    ``meta`` is the one-row state table.
+    ``meta`` is the state table; its latest revision decides.
     """
     if identity_count == 0:
         return media.limit(0)
-    switch = meta.select(F.col("enabled").alias("__on")).limit(1)
+    switch = meta.agg(F.max_by("enabled", "revision").alias("__on"))
     return (
         media.withColumn("__one", F.lit(1))
         .join(F.broadcast(switch.withColumn("__one", F.lit(1))), "__one")

@@ -43,6 +43,7 @@ def degraded(
     failed: Column,
     lost: Column | None = None,
     streak: int = settings.FAIL_STREAK,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Add ``fail_streak`` and ``degraded`` after each round.
 
@@ -52,7 +53,7 @@ def degraded(
     marked = rounds.withColumn("__fail", failed.cast("bigint")).withColumn(
         "__lost", (F.lit(False) if lost is None else lost).cast("bigint")
     )
-    ranges = scan.plan_ranges(rounds, order[0])
+    ranges = scan.plan_ranges(rounds, order[0], range_rows)
     counted = scan.running(
         marked,
         keys,
@@ -84,7 +85,12 @@ def degraded(
 
 
 def resource_latch(
-    samples: DataFrame, keys: list[str], order: list[str], resource: str, outcome: str
+    samples: DataFrame,
+    keys: list[str],
+    order: list[str],
+    resource: str,
+    outcome: str,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Add ``resource_epoch`` and ``unreadable``.
 
@@ -92,7 +98,7 @@ def resource_latch(
     its epoch unreadable; other failures are recoverable.
     """
     known = F.when(F.col(resource) != "", F.col(resource))
-    ranges = scan.plan_ranges(samples, order[0])
+    ranges = scan.plan_ranges(samples, order[0], range_rows)
     prior = scan.running(
         samples, keys, order, lasts={"__before": known}, inclusive=False, ranges=ranges
     )

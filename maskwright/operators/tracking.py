@@ -109,12 +109,12 @@ def fold_row(state, r, o: TrackOptions):
         for b in (r.boxes if r.boxes is not None else [])
     ]
     tracks, next_id = fold_round(tracks, boxes, r.captured_ms, next_id, o)
-    label = (r.video_id, r.generation, r.segment, r.captured_ms)
+    label = (r.video_id, r.generation, r.segment, r.captured_ms, r.seq)
     return (tracks, next_id), [(*label, i, *t) for i, t in enumerate(tracks)]
 
 
 TRACK_COLUMNS = (
-    "video_id", "generation", "segment", "captured_ms", "position", "track_id",
+    "video_id", "generation", "segment", "captured_ms", "seq", "position", "track_id",
     "x", "y", "width", "height", "vx", "vy", "last_seen_ms", "misses", "identity_id",
 )
 
@@ -123,6 +123,7 @@ def track_schema(rounds: DataFrame) -> T.StructType:
     kind = {
         "video_id": rounds.schema["video_id"].dataType,
         "generation": T.LongType(), "segment": T.LongType(), "captured_ms": T.LongType(),
+        "seq": T.LongType(),
         "position": T.LongType(), "track_id": T.LongType(), "last_seen_ms": T.LongType(),
         "misses": T.LongType(), "identity_id": T.StringType(),
     }
@@ -248,7 +249,8 @@ def coast_positions(
 ) -> DataFrame:
     """Every live track's predicted box at every presented frame.
 
-    ``frames(keys, frame_ms)``; ``versions(keys, track_id, from_ms, until_ms, last_seen_ms,
+    ``frames(keys, frame_ms, ..)``, whose columns all come along, so frames of one time
+    stay apart; ``versions(keys, track_id, from_ms, until_ms, last_seen_ms,
     x, y, width, height, vx, vy)`` valid over ``[from_ms, until_ms)`` (null = open). A
     version lives at most ``max_age_ms`` after its last observation, so it falls into a
     bounded number of time slots and the interval join becomes an equi-join on the slot.
@@ -269,14 +271,15 @@ def coast_positions(
             ),
         )
     )
-    slotted = frames.withColumn("__slot", F.floor(F.col("frame_ms") / slot))
+    slotted = frames.select(
+        *keys, "frame_ms", F.struct(*frames.columns).alias("__frame"), F.floor(F.col("frame_ms") / slot).alias("__slot")
+    )
     live = slotted.join(spread, [*keys, "__slot"]).where(
         (F.col("frame_ms") >= F.col("from_ms")) & (F.col("frame_ms") < F.col("__end"))
     )
     at = lambda p, v: coasted(F.col(p), F.col(v), F.col("last_seen_ms"), F.col("frame_ms"))
     return live.select(
-        *keys,
-        "frame_ms",
+        *[F.col(f"__frame.{c}").alias(c) for c in frames.columns],
         "track_id",
         at("x", "vx").alias("x"),
         at("y", "vy").alias("y"),
@@ -286,19 +289,21 @@ def coast_positions(
 
 
 def track_versions(tracks: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Tracks as versions valid until the video's next detection round."""
+    """Tracks as versions valid until the video's next detection round; of rounds captured
+    at one time, the last by ``seq`` is the one shown."""
     keys = ["video_id", "generation"]
     times = rounds.select(*keys, "captured_ms", "seq")
     backwards = times.select(
         *keys, (-F.col("captured_ms")).alias("__neg"), (-F.col("seq")).alias("__tie"), "captured_ms"
     )
     following = scan.running(
-        backwards, keys, ["__neg", "__tie"], lasts={"until_ms": F.col("captured_ms")}, inclusive=False
-    ).groupBy(*keys, "captured_ms").agg(F.max("until_ms").alias("until_ms"))
+        backwards.withColumn("seq", -F.col("__tie")), keys, ["__neg", "__tie"],
+        lasts={"until_ms": F.col("captured_ms")}, inclusive=False,
+    ).select(*keys, "captured_ms", "seq", "until_ms")
     return (
-        tracks.join(following, [*keys, "captured_ms"], "left")
+        tracks.join(following, [*keys, "captured_ms", "seq"], "left")
         .withColumnRenamed("captured_ms", "from_ms")
-        .drop("segment", "position", "misses")
+        .drop("segment", "seq", "position", "misses")
     )
 
 

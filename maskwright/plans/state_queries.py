@@ -211,9 +211,11 @@ def stale_replies(spark, folder):
 # ---- video streams
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
+def _events(spark: SparkSession, folder: str, step: int = 1) -> DataFrame:
+    """``step`` makes times coarser, so that rows of a video share one."""
     e = table(spark, folder, "events")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = F.floor(ms / step) * step if step > 1 else ms
     k = F.get_json_object("props", "$.k").cast("bigint")
     return e.select(
         F.col("user_id").alias("video_id"), ms.alias("ms"), F.col("event_id").alias("seq"), "event_type",
@@ -224,6 +226,14 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 _E = """
     ev AS (SELECT user_id AS video_id, epoch_us(ts) // 1000 AS ms, event_id AS seq, event_type, value AS x,
                   (props->>'$.k')::BIGINT AS k, value FROM events)"""
+DAY = 24 * 3_600_000
+
+
+def coarse(sql_text: str, step: int = DAY) -> str:
+    """The same SQL over the coarser times of ``_events(.., step)``."""
+    return sql_text.replace("epoch_us(ts) // 1000 AS ms", f"epoch_us(ts) // 1000 // {step} * {step} AS ms")
+
+
 _ORDERED = "(PARTITION BY video_id ORDER BY ms, seq)"
 _BEFORE = "(PARTITION BY video_id ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
@@ -287,12 +297,16 @@ def degraded_streaks(spark, folder):
            bool_or(outcome = 'tainted') OVER (PARTITION BY video_id, resource_epoch ORDER BY ms, seq) AS unreadable FROM e"""
 )
 def resource_latch(spark, folder):
+    e = _resources(spark, folder)
+    latched = temporal.resource_latch(e, ["video_id"], ["ms", "seq"], "resource", "outcome")
+    return latched.select("video_id", "seq", "resource_epoch", "unreadable")
+
+
+def _resources(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("k")
-    e = _events(spark, folder).withColumn(
+    return _events(spark, folder).withColumn(
         "resource", F.when(k % 10 < 3, "").otherwise(F.concat(F.lit("r"), (k % 3).cast("string")))
     ).withColumn("outcome", F.when(F.col("event_type") == "error", "tainted").otherwise("ok"))
-    latched = temporal.resource_latch(e, ["video_id"], ["ms", "seq"], "resource", "outcome")
-    return latched.select("video_id", "seq", "resource_epoch", "unreadable")
 
 
 @query(
@@ -383,7 +397,11 @@ def track_velocity(spark, folder):
 )
 def coast_positions(spark, folder):
     """View events are presented frames; every other event is an observation."""
-    e = _events(spark, folder)
+    return positions(spark, folder)
+
+
+def positions(spark: SparkSession, folder: str, step: int = 1) -> DataFrame:
+    e = _events(spark, folder, step)
     v = _observations(e)
     following = _following(v)
     versions = following.select(
@@ -395,8 +413,7 @@ def coast_positions(spark, folder):
         "video_id", F.col("seq").alias("frame_seq"), F.col("ms").alias("frame_ms")
     )
     at = tracking.coast_positions(frames, versions, ["video_id"], 24 * HOUR)
-    seq_of = frames.select("video_id", "frame_ms", "frame_seq")
-    return at.join(seq_of, ["video_id", "frame_ms"]).select(
+    return at.select(
         "video_id", "frame_seq", "track_id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y")
     )
 
@@ -410,8 +427,8 @@ def _following(v: DataFrame) -> DataFrame:
     ).drop("__neg", "__tie")
 
 
-def _rounds(spark: SparkSession, folder: str) -> DataFrame:
-    e = _events(spark, folder)
+def _rounds(spark: SparkSession, folder: str, step: int = 1) -> DataFrame:
+    e = _events(spark, folder, step)
     g = temporal.generations(e, ["video_id"], ["ms", "seq"], F.col("event_type") == "signup")
     side = lambda by: 8 + F.col("k") % by
     box = lambda dx: F.struct(
@@ -536,9 +553,13 @@ def track_rounds(spark, folder):
 )
 def coasted_tracks(spark, folder):
     """The tracker's output shown at every view event of the same generation."""
-    rounds = cut(_rounds(spark, folder))
+    return coasted(spark, folder)
+
+
+def coasted(spark: SparkSession, folder: str, step: int = 1) -> DataFrame:
+    rounds = cut(_rounds(spark, folder, step))
     versions = tracking.track_versions(tracking.track_rounds(rounds, _TRACKER), rounds)
-    e = _events(spark, folder)
+    e = _events(spark, folder, step)
     g = temporal.generations(e, ["video_id"], ["ms", "seq"], F.col("event_type") == "signup")
     frames = g.where("event_type = 'view'").select("video_id", "generation", F.col("ms").alias("frame_ms"))
     at = tracking.coast_positions(frames, versions, ["video_id", "generation"], 24 * HOUR)

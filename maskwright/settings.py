@@ -5,8 +5,6 @@ DEFAULT_THRESHOLD = 0.73
 HARD_NEGATIVE_MARGIN = 0.02
 MIN_AGREEMENTS = 5
 PRODUCTION_THRESHOLD = 0.40
-PRODUCTION_AGREEMENTS = 1
-EMBEDDING_WIDTH = 512
 NORM_TOLERANCE = 1e-3
 DUPLICATE_COSINE = 0.98
 CLUSTER_RADIUS = 0.35
@@ -22,7 +20,6 @@ MIN_MEDIA_PX = 32
 MERGE_IOU = 0.4
 NMS_IOU = 0.3
 DETECTION_SCORE = 0.5
-FAST_INPUT, FULL_INPUT = 320, 640
 STRIDES = (8, 16, 32)
 TILE_GRID, TILE_OVERLAP, MIN_TILE_PX = 3, 0.25, 64
 CROWD_FACES = 2
@@ -34,14 +31,14 @@ ASSOCIATION_RADIUS_FACTOR, MIN_ASSOCIATION_RADIUS_PX = 1.5, 24
 SAMPLE_IDLE_MS, SAMPLE_ACTIVE_MS = 800, 250
 FAIL_STREAK = 3
 MAX_TRACKED_VIDEOS = 8
-MAX_INFLIGHT = 2
 QUEUE_WAIT_MS = 60_000
 FRAME_MAX_WIDTH = 480
 MAX_IMAGE_BYTES = 12 * 1024 * 1024
 MAX_IMAGE_PIXELS = 12_000_000
 MAX_BASE64_CHARS = -(-MAX_IMAGE_BYTES // 3) * 4
 
-# Where Spark work changes shape. None of these changes a result.
+# Where Spark work changes shape. None of these changes a result; each large path has a
+# registered query that must equal the small path's SQL.
 BROADCAST_BYTES = 64 * 1024 * 1024   # largest gallery shipped to every executor
 BLOCK_ROWS = 4096                    # rows of one side of a blocked vector task
 FOLD_ROWS = 128                      # largest group folded inside one JVM row

@@ -23,8 +23,8 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
     people = F.from_json("value", f"ARRAY<STRUCT<{PEOPLE}>>", {"mode": "PERMISSIVE"})
     checked = whole.select(
-        F.when(F.ltrim("value").startswith("["), people)
-        .otherwise(F.raise_error(F.lit("the directory is not an array of people")))
+        F.when(F.ltrim("value").startswith("[") & people.isNotNull(), people)
+        .otherwise(F.raise_error(F.lit("the directory is not an array of people, or cut short")))
         .alias("people")
     )
     return checked.select(F.posexplode("people").alias("person_ord", "person")).select(

@@ -5,7 +5,7 @@ The engine reads responses that something else fetched: ``raw(name, body)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import text
@@ -27,7 +27,7 @@ _IMAGEINFO = (
     " Categories: STRUCT<value: STRING>>>>>>>>"
 )
 _SEARCH = "STRUCT<search: ARRAY<STRUCT<id: STRING>>>"
-_CLAIM = "ARRAY<STRUCT<mainsnak: STRUCT<datavalue: STRUCT<value: STRING>>>>"
+_CLAIM = "ARRAY<STRUCT<mainsnak: STRUCT<datavalue: STRUCT<value: VARIANT>>>>"
 _ENTITIES = (
     f"STRUCT<entities: MAP<STRING, STRUCT<claims: STRUCT<{IMAGE_CLAIM}: {_CLAIM},"
     f" {CATEGORY_CLAIM}: {_CLAIM}>>>>"
@@ -108,6 +108,11 @@ def repository_candidates(
     )
 
 
+def _string(value: Column) -> Column:
+    """A claim's value if it is a JSON string; objects and numbers name no file."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string"))
+
+
 def knowledge_claims(search: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Image titles ``(name, ord, title)`` and first category ``(name, category)`` of the
     best search hit of each name."""
@@ -119,7 +124,7 @@ def knowledge_claims(search: DataFrame, entities: DataFrame) -> tuple[DataFrame,
     )
     claims = best.join(parsed, ["name", "entity"])
     values = lambda c: F.filter(
-        F.transform(F.col(f"value.claims.{c}"), lambda s: s["mainsnak"]["datavalue"]["value"]),
+        F.transform(F.col(f"value.claims.{c}"), lambda s: _string(s["mainsnak"]["datavalue"]["value"])),
         lambda v: v.isNotNull(),
     )
     images = claims.select("name", F.posexplode(values(IMAGE_CLAIM)).alias("ord", "file")).select(

@@ -102,3 +102,24 @@ def test_tiles_and_cascade(spark):
     moved = det([(1, 0, one)]).withColumn("oy", F.lit(5)).withColumn("ox", F.lit(7))
     assert detections.merge_tiles(moved, ["media_id"], ["i"]).first().box.x == 7.0
     assert boxes is not None
+
+
+def test_odd_boxes_give_one_answer_on_every_path(spark):
+    """NaN, infinite, null and negative boxes: the fold, the task and the rounds agree."""
+    nan, inf = float("nan"), float("inf")
+    odd = [
+        (0.0, 0.0, 10.0, 10.0), (nan, 0.0, 10.0, 10.0), (1.0, 1.0, 10.0, 10.0), (0.0, nan, 10.0, 10.0),
+        (0.0, 0.0, inf, 10.0), (-inf, 0.0, inf, 10.0), (0.0, 0.0, -5.0, 10.0), (5.0, 5.0, 0.0, 0.0),
+        (0.0, 0.0, nan, 10.0), None, (0.0, None, 10.0, 10.0), (2.0, 2.0, 10.0, inf),
+    ]
+    rows = [(1, k, b, k % 3 == 0) for k, b in enumerate(odd)]
+    kind = "media long, place int, box struct<x: double, y: double, width: double, height: double>, second boolean"
+    df = spark.createDataFrame(rows, kind)
+    paths = ({}, {"fold_rows": 1}, {"fold_rows": 1, "group_rows": 1, "block_rows": 3})
+    for run in (
+        lambda sizes: detections.suppress(df.withColumn("score", F.lit(1.0)), ["media"], ["place"], 0.3, **sizes),
+        lambda sizes: detections.merge_passes(df.where("not second"), df.where("second"), ["media"], ["place"], **sizes),
+    ):
+        kept = [sorted(r.place for r in run(sizes).collect()) for sizes in paths]
+        assert kept[0] == kept[1] == kept[2]
+        assert {1, 3, 8} <= set(kept[0])

@@ -133,3 +133,53 @@ def test_analyse_media_keeps_media_without_faces(spark):
     assert (r.x, r.y) == (89.0, 38.75)
     assert math.isclose(r.width, 11.0) and math.isclose(r.height, 11.25)
     assert {(s.media_id, s.face_count, s.region_count) for s in summary.collect()} == {(1, 1, 1), (2, 0, 0)}
+
+
+def _gallery(spark, rows):
+    return spark.createDataFrame(
+        [(f"i{o}", o, kind, k, v) for o, kind, k, v in rows],
+        "identity_id string, identity_ord long, kind string, ord long, embedding array<float>",
+    )
+
+
+@pytest.mark.parametrize("bad", [[1.0], None, [1.0, 0.0, 0.0, 0.0]])
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_rows": 1}])
+def test_ragged_and_null_vectors_are_errors(spark, bad, sizes):
+    from maskwright.operators import blocks
+
+    known = _gallery(spark, [(0, "embedding", 0, [1.0, 0.0]), (1, "embedding", 0, [0.0, 1.0])])
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, bad)], "query_id long, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="width"):
+        matching.match(asked, known, default_threshold=0.5, min_agreements=1, **sizes).collect()
+    with pytest.raises(Exception, match="width|size"):
+        matching.top_k_cosines(asked, known, 1, **sizes).collect()
+    usable, rejected = matching.reject_vectors(asked, 2)
+    assert [r.query_id for r in rejected.collect()] == [2]
+    assert [r.identity_id for r in matching.match(usable, known, default_threshold=0.5, min_agreements=1, **sizes).collect()] == ["i0"]
+    import pyarrow as pa
+
+    assert blocks.matrix(pa.array([[1.0, 2.0], [3.0, 4.0]]).slice(1)).tolist() == [[3.0, 4.0]]
+
+
+def test_pile_of_copies_is_reduced_strip_by_strip(monkeypatch):
+    from maskwright.operators import blocks
+
+    seen = []
+    plain = blocks.pairs_at_least
+    monkeypatch.setattr(blocks, "pairs_at_least", lambda a, b, bound: seen.append(len(a) * len(b)) or plain(a, b, bound))
+    import pyarrow as pa
+
+    n = 3000
+    rows = pa.table({
+        "embedding": [[1.0, 0.0]] * n, "identity_ord": [k % 3 for k in range(n)], "kind": ["embedding"] * n,
+        "threshold": [0.5] * n, "need": [1] * n,
+    })
+    found = matching._partial_matches(np.tile(np.float32([1, 0]), (4000, 1)), matching._Gallery(rows), 0.02)
+    assert max(seen) <= 4_000_000 and len(found["row"]) == 12_000 and set(found["agree"]) == {1000}
+
+
+def test_latest_revision_decides(spark):
+    media = spark.createDataFrame([(1,)], "media_id long")
+    states = spark.createDataFrame([(True, 1), (False, 3), (True, 2)], "enabled boolean, revision long")
+    assert matching.enabled_only(media, states).count() == 0
+    assert matching.enabled_only(media, states.where("revision < 3")).count() == 1

@@ -104,3 +104,27 @@ def test_discovery_and_vectors(spark):
     assert sorted(v.collect()) == sorted(again.collect())
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     assert v.where(F.abs(norm - 1) > 1e-5).count() == 0
+
+
+def test_truncated_directory_and_object_ledgers_fail(spark, tmp_path):
+    people = json.dumps([{"id": "a", "name": "A", "aliases": [], "references": []}])
+    (tmp_path / "cut.json").write_text(people[:-5])
+    with pytest.raises(Exception, match="cut short"):
+        directory.read_directory(spark, str(tmp_path / "cut.json")).collect()
+    (tmp_path / "ledger.json").write_text(json.dumps({"models": [{"path": "a", "bytes": 1, "sha256": "x", "shipped": True}]}))
+    with pytest.raises(Exception, match="malformed"):
+        manifest.read_ledger(spark, str(tmp_path / "ledger.json")).collect()
+    rows = manifest.read_ledger(spark, str(tmp_path / "ledger.json"), root="models").collect()
+    assert [(r.path, r.bytes, r.shipped) for r in rows] == [("a", 1, True)]
+    (tmp_path / "pathless.json").write_text(json.dumps({"models": [{"bytes": 1}]}))
+    with pytest.raises(Exception, match="malformed"):
+        manifest.read_ledger(spark, str(tmp_path / "pathless.json"), root="models").collect()
+
+
+def test_only_string_claims_name_files(spark):
+    claim = lambda v: {"mainsnak": {"datavalue": {"value": v}}}
+    entity = {"entities": {"Q1": {"claims": {"P18": [claim({"id": "Q5"}), claim(7), claim("x.jpg"), {}, claim(None)], "P373": [claim(3), claim("Cat")]}}}}
+    search = spark.createDataFrame([("n", json.dumps({"search": [{"id": "Q1"}]}))], "name string, body string")
+    images, categories = responses.knowledge_claims(search, spark.createDataFrame([("n", json.dumps(entity))], "name string, body string"))
+    assert [(r.ord, r.title) for r in images.collect()] == [(0, "File:x.jpg")]
+    assert [r.category for r in categories.collect()] == ["Cat"]

@@ -225,3 +225,16 @@ def test_sampling_and_admission(spark):
         ["v"], ["t"], F.col("f") == 1, F.col("l") == 1,
     )
     assert [r.degraded for r in lost.orderBy("t").collect()] == [False, True, True, False]
+
+
+def test_tied_capture_times_keep_the_last_round_visible(spark):
+    box = lambda x: [{"x": x, "y": 0.0, "width": 10.0, "height": 10.0, "identity_id": "a"}]
+    kind = ("video_id long, generation long, captured_ms long, seq long,"
+            " boxes array<struct<x: double, y: double, width: double, height: double, identity_id: string>>")
+    rounds = spark.createDataFrame([(1, 0, 100, 1, box(0.0)), (1, 0, 100, 2, box(4.0))], kind)
+    versions = tracking.track_versions(tracking.track_rounds(rounds), rounds)
+    frames = spark.createDataFrame(
+        [(1, 0, 150, "first"), (1, 0, 150, "second")], "video_id long, generation long, frame_ms long, frame string"
+    )
+    shown = tracking.coast_positions(frames, versions, ["video_id", "generation"]).collect()
+    assert sorted((r.frame, r.x) for r in shown) == [("first", 4.0), ("second", 4.0)]
