@@ -1,7 +1,6 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
-A text is split by a pattern into pieces, and each distinct piece is encoded once per
-worker. A piece starts as one row per byte; each step joins neighbouring tokens to the
+A text is split by a pattern into pieces, and a task encodes each distinct piece once. A piece starts as one row per byte; each step joins neighbouring tokens to the
 merge table and contracts the leftmost pair of lowest rank of every piece, until no piece
 changes. Decoding joins token ids to the vocabulary and aggregates bytes in order.
 
@@ -11,7 +10,7 @@ contraction as a loop over one table. There all occurrences of a piece's lowest
 contracted together, left to right, which is the same as one after the other unless that
 made a pair of lower rank; such a piece repeats its step with the leftmost pair alone.
 
-A worker holds the merge table (about six rows per vocabulary entry), at most
+A task holds the merge table (about six rows per vocabulary entry), at most
 ``CACHE_PIECES`` encoded pieces and one block of texts.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; ids that are null
@@ -36,7 +35,7 @@ from maskwright.llm import textbytes as tb
 LONG_PIECE = 128
 CACHE_PIECES = 300_000
 STEP_ROWS = 1_500_000
-DECODE_IDS = 500_000
+DECODE_IDS = 250_000
 
 # A row is a token: its key (piece and byte offset), the next token and that one's key. The
 # least (rank, offset) of a piece is its leftmost pair of lowest rank.
@@ -133,25 +132,64 @@ class Tables:
         self.merges = np.array(splits, dtype=np.int32).reshape(-1, 3)
 
 
-class Codec:
-    """A worker's DuckDB tables and the pieces encoded so far."""
+class Decoder:
+    """The vocabulary in a task's own DuckDB."""
 
     def __init__(self, tables: Tables):
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self._load("vocabulary", {"id": tables.ids, "hex": [t.hex() for t in tables.tokens]})
+
+    def _load(self, name: str, columns: dict) -> None:
+        self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
+        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
+        self.db.unregister("given")
+
+    def close(self) -> None:
+        self.db.close()
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """Bytes of each row of ids, in blocks of about ``DECODE_IDS``."""
+        sizes = np.array([len(x) if x.is_valid else 0 for x in ids]) if ids.null_count else np.diff(ids.offsets)
+        out: list[bytes] = []
+        start = 0
+        upto = np.cumsum(sizes)
+        while start < len(ids):
+            base = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, base + DECODE_IDS, side="right")))
+            out.extend(self._decode(ids.slice(start, stop - start), sizes[start:stop]))
+            start = stop
+        return pa.array(out, pa.binary())
+
+    def _decode(self, ids: pa.Array, sizes: np.ndarray) -> list[bytes]:
+        tokens = ids.flatten()
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.db.register("given", pa.table({"d": rows, "pos": np.arange(len(rows), dtype=np.int32), "id": tokens}))
+        found = self.db.execute(
+            "SELECT d, string_agg(hex, '' ORDER BY pos) AS hex, count(hex) AS known"
+            " FROM given LEFT JOIN vocabulary USING (id) GROUP BY d"
+        ).fetchall()
+        self.db.unregister("given")
+        out = [b""] * len(sizes)
+        for d, text, known in found:
+            if known != sizes[d]:
+                raise ValueError("a token id is not in the vocabulary")
+            out[d] = bytes.fromhex(text)
+        return out
+
+
+class Codec(Decoder):
+    """A task's merge table and the pieces it has encoded so far."""
+
+    def __init__(self, tables: Tables):
+        super().__init__(tables)
         self.pattern = regex.compile(tables.pattern)
         self.ascii = ascii_pattern(tables.pattern) or self.pattern
         self.bytes = tables.bytes
         self.ints = list(range(int(tables.ids.max()) + 1))  # one object per id, shared by the cache
         self.whole = dict(zip(tables.tokens, (self.ints[i] for i in tables.ids.tolist())))
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         left, right, rank = tables.merges.astype(np.int64).T
         self._load("merges", {"lr": (left << 32) | right, "id": rank})
-        self._load("vocabulary", {"id": tables.ids, "hex": [t.hex() for t in tables.tokens]})
-
-    def _load(self, name: str, columns: dict) -> None:
-        self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
-        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
-        self.db.unregister("given")
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not in the cache; afterwards all of ``pieces`` are."""
@@ -238,47 +276,6 @@ class Codec:
         upto = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
         return pa.ListArray.from_arrays(upto, np.concatenate(parts) if parts else np.zeros(0, np.int32))
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """Bytes of each row of ids, in blocks of about ``DECODE_IDS``."""
-        sizes = np.array([len(x) if x.is_valid else 0 for x in ids]) if ids.null_count else np.diff(ids.offsets)
-        out: list[bytes] = []
-        start = 0
-        upto = np.cumsum(sizes)
-        while start < len(ids):
-            base = upto[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(upto, base + DECODE_IDS, side="right")))
-            out.extend(self._decode(ids.slice(start, stop - start), sizes[start:stop]))
-            start = stop
-        return pa.array(out, pa.binary())
-
-    def _decode(self, ids: pa.Array, sizes: np.ndarray) -> list[bytes]:
-        tokens = ids.flatten()
-        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.db.register("given", pa.table({"d": rows, "pos": np.arange(len(rows), dtype=np.int32), "id": tokens}))
-        found = self.db.execute(
-            "SELECT d, string_agg(hex, '' ORDER BY pos) AS hex, count(hex) AS known"
-            " FROM given LEFT JOIN vocabulary USING (id) GROUP BY d"
-        ).fetchall()
-        self.db.unregister("given")
-        out = [b""] * len(sizes)
-        for d, text, known in found:
-            if known != sizes[d]:
-                raise ValueError("a token id is not in the vocabulary")
-            out[d] = bytes.fromhex(text)
-        return out
-
-
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(held) -> Codec:
-    """One codec per worker process, kept between its tasks."""
-    key = hash((held.value.pattern, held.value.ids.tobytes(), held.value.merges.tobytes()))
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(held.value)
-    return _codecs[key]
-
 
 def tables(spark, path: str, pattern: str):
     """The vocabulary at ``path``, ready to be shipped; its size is fixed by the file."""
@@ -291,11 +288,12 @@ def encode(docs: DataFrame, held, text: str = "text") -> DataFrame:
     schema = tb.schema(kept.schema.fields, "ids array<int>")
 
     def run(batches):
-        codec = _codec(held)
+        codec = Codec(held.value)
         for batch in batches:
             for part in tb.blocks(batch, text):
                 ids = codec.ids(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+        codec.close()
 
     return kept.mapInArrow(run, schema)
 
@@ -306,11 +304,12 @@ def decode(encoded: DataFrame, held, ids: str = "ids") -> DataFrame:
     schema = tb.schema(kept.schema.fields, "decoded binary")
 
     def run(batches):
-        codec = _codec(held)
+        decoder = Decoder(held.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, codec.decode(batch.column(ids))], names=[*batch.schema.names, "decoded"]
+                [*batch.columns, decoder.decode(batch.column(ids))], names=[*batch.schema.names, "decoded"]
             )
+        decoder.close()
 
     return kept.mapInArrow(run, schema)
 
