@@ -31,6 +31,7 @@ FEATURES = 4096
 PER_LANGUAGE = 500
 MAX_ROWS = 4000
 RIDGE = 1e-3
+PROFILE_ROWS = 256
 AMBIGUOUS = 0.15
 UNDETERMINED = "und"
 
@@ -102,8 +103,9 @@ class Model:
         n = len(texts)
         if not self.languages:
             return pd.DataFrame({"lang_pred": [UNDETERMINED] * n, "score": np.zeros(n), "ambiguous": np.ones(n, bool)})
-        x = profiles(texts, len(self.weights) - 1)
-        margins = (x @ self.weights[:-1] + self.weights[-1]) * self.scale
+        strips = [texts.slice(at, PROFILE_ROWS) for at in range(0, n, PROFILE_ROWS)]
+        products = [profiles(s, len(self.weights) - 1) @ self.weights[:-1] for s in strips]
+        margins = (np.concatenate(products) + self.weights[-1]) * self.scale
         loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).sum(2)
         order = np.argsort(loss, axis=1, kind="stable")
         likely = np.exp(loss.min(1, keepdims=True) - loss)
@@ -143,11 +145,13 @@ def fit(
     def run(batches):
         for batch in batches:
             for part in tb.blocks(batch, "text"):
-                rows = profiles(part.column("text"), features)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), pa.array([r.tobytes() for r in rows.astype(np.float16)], pa.binary())],
-                    names=["lang", "profile"],
-                )
+                for at in range(0, part.num_rows, PROFILE_ROWS):
+                    strip = part.slice(at, PROFILE_ROWS)
+                    rows = profiles(strip.column("text"), features).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays(
+                        [strip.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())],
+                        names=["lang", "profile"],
+                    )
 
     rows = sorted(
         (r.lang, bytes(r.profile)) for r in sample.select("text", "lang").mapInArrow(run, "lang string, profile binary").collect()
