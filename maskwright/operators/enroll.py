@@ -39,8 +39,10 @@ def drop_near_duplicates(
     faces: DataFrame, keys: list[str], minimum: float = settings.DUPLICATE_COSINE, **sizes
 ) -> tuple[DataFrame, DataFrame]:
     """First-come removal: a face leaves when it is too close to an earlier kept one."""
-    kept = greedy.keep_first_come(
-        faces, keys, "ord", F.col("embedding"), greedy.cosine_conflict(minimum), **sizes
+    kept = cut(
+        greedy.keep_first_come(
+            faces, keys, "ord", F.col("embedding"), greedy.cosine_conflict(minimum), **sizes
+        )
     )
     unique = faces.join(kept, [*keys, "ord"], "left_semi")
     dropped = faces.join(kept, [*keys, "ord"], "left_anti").select(

@@ -375,15 +375,15 @@ def score_queries(
         block_rows = block_rows or max(1, broadcast_bytes // (4 * max(1, size["width"])))
         scored = _score_in_parts(queries, rules, margin, want_best, want_match, block_rows, size["rows"])
     names = gallery.select("identity_ord", "identity_id").distinct()
-    best_names = names.select(
-        F.col("identity_ord").alias("best_ord"), F.col("identity_id").alias("best_identity_id")
-    )
-    match_names = names.select(F.col("identity_ord").alias("match_ord"), "identity_id")
-    return (
-        scored.join(best_names, "best_ord", "left")
-        .join(match_names, "match_ord", "left")
-        .select("query_id", "best_identity_id", "best_cosine", "identity_id", "score")
-    )
+    if size["rows"] * size["width"] * 4 <= broadcast_bytes:
+        names = F.broadcast(names)  # no more rows than the gallery that was just shipped
+    # Queries without an identity get keys of their own below every real one, so that they
+    # do not meet in one task.
+    spread = F.lit(-1).cast("bigint") - F.pmod(F.xxhash64("query_id"), F.lit(10_007))
+    for found, name in (("best_ord", "best_identity_id"), ("match_ord", "identity_id")):
+        own = names.select(F.col("identity_ord").alias("__own"), F.col("identity_id").alias(name))
+        scored = scored.join(own, F.coalesce(found, spread) == F.col("__own"), "left").drop("__own")
+    return scored.select("query_id", "best_identity_id", "best_cosine", "identity_id", "score")
 
 
 def match(queries: DataFrame, gallery: DataFrame, identities: DataFrame | None = None, **options):

@@ -152,3 +152,14 @@ def mask_coverage(
         .withColumn("covered", F.coalesce("__met", F.lit(False)))
         .drop("__met")
     )
+
+
+def class_ranges(rows: DataFrame, label: str, value: str) -> DataFrame:
+    """Per class: count, least, greatest and lower median of ``value``, and whether some
+    threshold separates two classes whole (``separable``, the same for all rows)."""
+    ranges = rows.groupBy(label).agg(
+        F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
+        F.percentile_approx(value, 0.5, 1_000_000).alias("lower_median"),
+    )
+    verdict = ranges.agg((F.min("high") < F.max("low")).alias("separable"))
+    return ranges.crossJoin(F.broadcast(verdict))  # one row

@@ -3,6 +3,7 @@
 from maskwright.plans import (  # noqa: F401
     box_queries,
     large_path_queries,
+    outcome_queries,
     report_queries,
     state_queries,
     text_queries,
