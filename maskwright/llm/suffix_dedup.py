@@ -76,20 +76,48 @@ def fragments_of(texts: pa.Array, length: int, gram: int):
 
 
 def _fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Fragments, and (``gone``) the stretches that repeat an earlier fragment of the same
+    block, merged; so text that repeats itself adds few rows to a key."""
+
     def run(batches):
         for batch in batches:
             for part in tb.blocks(batch, "text"):
                 rows, starts, windows, keys, content = fragments_of(part.column("text"), length, gram)
+                doc = part.column("doc").to_numpy()[rows]
+                order = np.lexsort((starts, doc, content, keys))
+                doc, starts, windows = doc[order], starts[order], windows[order]
+                keys, content = keys[order].view(np.int64), content[order].view(np.int64)
+                again = np.zeros(len(keys), dtype=bool)
+                again[1:] = (keys[1:] == keys[:-1]) & (content[1:] == content[:-1])
+                owner = np.maximum.accumulate(np.where(again, 0, np.arange(len(keys))))
+                later = again & ((doc != doc[owner]) | (starts != starts[owner]))  # not a repeated row
+                spans = _merged(doc[later], starts[later], starts[later] + windows[later])
+                n = len(spans)
+                names = ["key", "content", "doc", "start", "windows", "gone"]
+                columns = [
+                    (keys, spans[:, 0] * 31 + spans[:, 1], np.int64), (content, spans[:, 1], np.int64),
+                    (doc, spans[:, 0], np.int64), (starts, spans[:, 1], np.int32),
+                    (windows, spans[:, 2] - spans[:, 1], np.int32), (again[~again], np.ones(n, bool), bool),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys.view(np.int64)), pa.array(content.view(np.int64)),
-                        part.column("doc").take(pa.array(rows)),
-                        pa.array(starts.astype(np.int32)), pa.array(windows.astype(np.int32)),
-                    ],
-                    names=["key", "content", "doc", "start", "windows"],
+                    [pa.array(np.concatenate((a if name == "gone" else a[~again], b)).astype(kind))
+                     for name, (a, b, kind) in zip(names, columns)],
+                    names=names,
                 )
 
-    return docs.mapInArrow(run, "key long, content long, doc long, start int, windows int")
+    return docs.mapInArrow(run, "key long, content long, doc long, start int, windows int, gone boolean")
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(doc, start, end) of runs of windows that follow each other."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return np.zeros((0, 3), dtype=np.int64)
+    head = np.ones(len(doc), dtype=bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    tail = np.append(head[1:], True)
+    return np.column_stack([doc[head], start[head], end[tail]])
 
 
 def _rivals(batches):
@@ -97,7 +125,11 @@ def _rivals(batches):
     earlier equal, true for the others of a key that has several."""
     last, alone, place = None, None, None
     for batch in batches:
-        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])
+        settled = batch.column("gone").to_numpy(zero_copy_only=False).astype(bool)
+        if settled.any():
+            yield _met(table[settled][:, [0, 2, 3, 4]], np.zeros((0, 4), dtype=np.int64))
+            table = table[~settled]
         fresh = np.ones(len(table), dtype=bool)  # a repeated row is at the same place, not later
         fresh[1:] = (table[1:, :4] != table[:-1, :4]).any(1)
         if len(table):
@@ -128,15 +160,17 @@ def _rivals(batches):
         rivals = rows[wanted[chosen]]
         gone = ~new_set
         gone_rows = np.column_stack([key, doc, start, windows])[gone]
-        both = np.concatenate([gone_rows, rivals])
         last = (key[-1], content[-1])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2].astype(np.int32)),
-                pa.array(both[:, 3].astype(np.int32)), pa.array(np.arange(len(both)) >= len(gone_rows)),
-            ],
-            names=["key", "doc", "start", "windows", "rival"],
-        )
+        yield _met(gone_rows, rivals)
+
+
+def _met(gone: np.ndarray, rivals: np.ndarray) -> pa.RecordBatch:
+    both = np.concatenate([gone, rivals])
+    kinds = [np.int64, np.int64, np.int32, np.int32]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(both[:, k].astype(kind)) for k, kind in enumerate(kinds)), pa.array(np.arange(len(both)) >= len(gone))],
+        names=["key", "doc", "start", "windows", "rival"],
+    )
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
