@@ -14,6 +14,9 @@ Refining. A task sorts the suffixes of its fragments to depth ``length``: bucket
 doubling the depth; refined pointers are written back and reused, and buckets of one drop
 out. The windows of a bucket are equal strings, of which the first stays.
 
+Up to ``ship_docs`` ids of documents with rival fragments are shipped so that
+other texts stay where they are.
+
 A key with more than ``hot_rows`` distinct fragments skips the task: its windows are keyed
 by their own hash, which a map-side combined minimum and a join settle in parts.
 
@@ -35,6 +38,7 @@ from maskwright.llm import textbytes as tb
 LENGTH = 100
 GRAM = 24
 HOT_ROWS = 20_000
+SHIP_DOCS = 2_000_000
 CHUNK_BYTES = 1 << 20
 
 _NO_ID = (1 << 63) - 1
@@ -344,6 +348,7 @@ def find_spans(
     length: int = LENGTH,
     gram: int = GRAM,
     hot_rows: int = HOT_ROWS,
+    ship_docs: int = SHIP_DOCS,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """``(doc, spans)`` of documents with covered bytes; spans may overlap."""
@@ -354,8 +359,11 @@ def find_spans(
         .mapInArrow(_rivals, "key long, doc long, start int, windows int, rival boolean")
     )
     whole = met.where("not rival").select("doc", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
-    rivals = met.where("rival").drop("rival").distinct()
+    rivals = met.where("rival").drop("rival")
     hot = cut(rivals.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key"))
+    asked = cut(rivals.select("doc").distinct())
+    if asked.count() <= ship_docs:  # else the join below reads all texts
+        keyed = keyed.join(F.broadcast(asked), "doc", "left_semi")
     spread = None
     if not hot.isEmpty():
         spread = _hot_windows(_with_bytes(keyed, rivals.join(hot, "key", "left_semi"), length), length)

@@ -53,7 +53,7 @@ def test_refined_buckets_are_the_sorted_order():
 def test_made_documents(spark):
     docs = spark.createDataFrame(odd_documents(), "doc_id long, text string")
     expected = brute_force(docs.collect())
-    for options in ({}, {"hot_rows": 1}, {"chunk_bytes": 300}):
+    for options in ({}, {"hot_rows": 1}, {"chunk_bytes": 300}, {"ship_docs": 0}):
         assert result(docs, **options) == expected
 
 
