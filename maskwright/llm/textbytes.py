@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 # An odd 64-bit multiplier, its inverse modulo 2^64, and mixing multipliers.
 _STEP = 0x9E3779B97F4A7C15
