@@ -81,7 +81,10 @@ class StreakProcessor(StatefulProcessor):
         for r in batch.itertuples(index=False):
             fails = fails + 1 if r.failed else 0
             out.append((key[0], r.captured_ms, r.seq, fails, fails >= self.streak))
-        self.fails.update((fails,))
+        if fails:
+            self.fails.update((fails,))
+        else:  # no state for a video whose last round was valid
+            self.fails.clear()
         yield pd.DataFrame(out, columns=["video_id", "captured_ms", "seq", "fail_streak", "degraded"])
 
     def close(self) -> None:
