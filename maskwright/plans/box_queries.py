@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright import settings
 from maskwright.functions import boxes
 from maskwright.lineage import spread, table
 from maskwright.operators import chips, detections, reports
