@@ -41,8 +41,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes, per document."""
     held = default_tokenizer(spark)
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), held).select("doc_id", "ids")
-    return byte_bpe.digests(byte_bpe.decode(encoded, held))
+    return byte_bpe.digests(byte_bpe.round_trip(docs.select("doc_id", "text"), held))
 
 
 STAGES = [

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from maskwright.llm import textbytes as tb
 
 LONG_PIECE = 128
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 STEP_ROWS = 1_500_000
 DECODE_IDS = 250_000
 
@@ -314,8 +314,28 @@ def decode(encoded: DataFrame, held, ids: str = "ids") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, held, text: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` without the text, in one pass: half the Python workers."""
+    kept = docs.drop("ids", "decoded")
+    fields = [f for f in kept.schema if f.name != text]
+    schema = tb.schema(fields, "ids array<int>, decoded binary")
+
+    def run(batches):
+        codec = Codec(held.value)
+        for batch in batches:
+            for part in tb.blocks(batch, text):
+                ids = codec.ids(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(f.name) for f in fields), ids, codec.decode(ids)],
+                    names=[*(f.name for f in fields), "ids", "decoded"],
+                )
+        codec.close()
+
+    return kept.mapInArrow(run, schema)
+
+
 def digests(decoded: DataFrame) -> DataFrame:
-    """The contract's columns of ``decode(encode(docs))``."""
+    """The contract's columns of ``round_trip(docs)`` or ``decode(encode(docs))``."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -35,8 +35,7 @@ def default_tokenizer(spark: SparkSession):
 def op3_byte_bpe(spark, folder):
     held = default_tokenizer(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, held).select("doc_id", "ids")
-    return byte_bpe.digests(byte_bpe.decode(encoded, held))
+    return byte_bpe.digests(byte_bpe.round_trip(docs, held))
 
 
 @query(lm_scoring.oracle())

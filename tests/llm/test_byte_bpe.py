@@ -79,4 +79,5 @@ def test_query_digests(spark, encoding):
         expected.append((doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                          hashlib.sha256((text or "").encode()).hexdigest()))
     assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
+    assert sorted(map(tuple, bb.digests(bb.round_trip(docs, held)).collect()), key=str) == sorted(expected, key=str)
     assert bb.encode(docs.limit(0), held).count() == 0
