@@ -178,8 +178,8 @@ def _met(gone: np.ndarray, rivals: np.ndarray) -> pa.RecordBatch:
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(key, doc, start, bytes)`` of wanted fragments."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows")).alias("wanted"))
+    """``(key, hot, doc, start, bytes)`` of wanted fragments."""
+    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "hot", "start", "windows")).alias("wanted"))
 
     def run(batches):
         for batch in batches:
@@ -195,11 +195,13 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 end = begin + windows + length - 1
                 held = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [inner.field("key"), part.column("doc").take(pa.array(rows)), inner.field("start"), held],
-                    names=["key", "doc", "start", "bytes"],
+                    [inner.field("key"), inner.field("hot"), part.column("doc").take(pa.array(rows)), inner.field("start"), held],
+                    names=["key", "hot", "doc", "start", "bytes"],
                 )
 
-    return docs.join(per_doc, "doc").select("doc", "text", "wanted").mapInArrow(run, "key long, doc long, start int, bytes binary")
+    return docs.join(per_doc, "doc").select("doc", "text", "wanted").mapInArrow(
+        run, "key long, hot boolean, doc long, start int, bytes binary"
+    )
 
 
 def refine(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -365,11 +367,14 @@ def find_spans(
     if asked.count() <= ship_docs:  # else the join below reads all texts
         keyed = keyed.join(F.broadcast(asked), "doc", "left_semi")
     spread = None
-    if not hot.isEmpty():
-        spread = _hot_windows(_with_bytes(keyed, rivals.join(hot, "key", "left_semi"), length), length)
-        rivals = rivals.join(hot, "key", "left_anti")
+    if hot.isEmpty():
+        fragments = _with_bytes(keyed, rivals.withColumn("hot", F.lit(False)), length)
+    else:  # texts are fetched once for both ways
+        marked = rivals.join(hot.withColumn("hot", F.lit(True)), "key", "left")
+        fragments = cut(_with_bytes(keyed, marked.withColumn("hot", F.col("hot").isNotNull()), length))
+        spread = _hot_windows(fragments.where("hot"), length)
     refined = (
-        _with_bytes(keyed, rivals, length)
+        fragments.where("not hot").drop("hot")
         .repartition("key").sortWithinPartitions("key", "doc", "start")
         .mapInArrow(_refine_keys(length, chunk_bytes), "doc long, start int, end int")
     )
