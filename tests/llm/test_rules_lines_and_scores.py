@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from maskwright.llm import line_dedup, lm_scoring, quality_rules
@@ -61,6 +65,16 @@ def test_lm_scores_odd_tables(spark):
     assert {r.doc_id: r.n_words for r in lm_scoring.score(twice).collect()} == {1: 4, None: 1}
 
 
+def test_lm_pairs_of_the_unknown_word_are_not_shipped():
+    held = lm_scoring.Vocabulary([("a", 9), ("b", 8), ("c", 7)], 100)
+    model = lm_scoring.Model(held, np.ones(4, int), np.zeros(9, int), dense=2, min_count=2, backoff=0.4)
+    texts = ["x y z " * 50 + "a q a", "c b c b c b c a"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["doc", "text"])
+    rows = [r for b in lm_scoring._explode(SimpleNamespace(value=model), 1, 1)([batch]) for r in b.to_pylist() if r["part"] >= 0]
+    assert [r["docs"] for r in rows] == [[2, 2, 2]]
+    assert sorted(rows[0]["times"]) == [1, 3, 3]
+
+
 def pages(spark):
     rows = [(k, f"menu\nbody {k}\nmenu\n  \nfooter" + ("\nrare" if k < 3 else ""), "h" if k % 2 else None, 0) for k in range(40)]
     rows += [(100, None, "h", 1), (101, "", "z", 2), (102, "menu", "z", None)]
