@@ -20,9 +20,10 @@ other texts stay where they are.
 A key with more than ``hot_rows`` distinct fragments skips the task: its windows are keyed
 by their own hash, which a map-side combined minimum and a join settle in parts.
 
-Defined cases: a null text is empty; texts below ``length`` bytes stay whole; rows that
-share an id are taken for copies of one text; a null id sorts after all others. Anchors
-and equal fragments are told apart by 64 bits of hash each.
+Defined cases: a null text is empty; texts below ``length`` bytes stay whole; rows of one
+id and one text are one document. Rows without an id, which come after all others, and
+rows that share an id but not the text are told apart by ``tag``, a hash of the text, in
+whose order they come. Anchors, equal fragments and tags are 64 bits of hash each.
 """
 
 from __future__ import annotations
@@ -87,21 +88,22 @@ def _fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for part in tb.blocks(batch, "text"):
                 rows, starts, windows, keys, content = fragments_of(part.column("text"), length, gram)
-                doc = part.column("doc").to_numpy()[rows]
-                order = np.lexsort((starts, doc, content, keys))
-                doc, starts, windows = doc[order], starts[order], windows[order]
+                doc, tag = (part.column(c).to_numpy()[rows] for c in ("doc", "tag"))
+                order = np.lexsort((starts, tag, doc, content, keys))
+                doc, tag, starts, windows = doc[order], tag[order], starts[order], windows[order]
                 keys, content = keys[order].view(np.int64), content[order].view(np.int64)
                 again = np.zeros(len(keys), dtype=bool)
                 again[1:] = (keys[1:] == keys[:-1]) & (content[1:] == content[:-1])
                 owner = np.maximum.accumulate(np.where(again, 0, np.arange(len(keys))))
-                later = again & ((doc != doc[owner]) | (starts != starts[owner]))  # not a repeated row
-                spans = _merged(doc[later], starts[later], starts[later] + windows[later])
+                # not a repeated row
+                later = again & ((doc != doc[owner]) | (tag != tag[owner]) | (starts != starts[owner]))
+                spans = _merged(doc[later], tag[later], starts[later], starts[later] + windows[later])
                 n = len(spans)
-                names = ["key", "content", "doc", "start", "windows", "gone"]
+                names = ["key", "content", "doc", "tag", "start", "windows", "gone"]
                 columns = [
-                    (keys, spans[:, 0] * 31 + spans[:, 1], np.int64), (content, spans[:, 1], np.int64),
-                    (doc, spans[:, 0], np.int64), (starts, spans[:, 1], np.int32),
-                    (windows, spans[:, 2] - spans[:, 1], np.int32), (again[~again], np.ones(n, bool), bool),
+                    (keys, (spans[:, 0] ^ spans[:, 1]) * 31 + spans[:, 2], np.int64), (content, spans[:, 2], np.int64),
+                    (doc, spans[:, 0], np.int64), (tag, spans[:, 1], np.int64), (starts, spans[:, 2], np.int32),
+                    (windows, spans[:, 3] - spans[:, 2], np.int32), (again[~again], np.ones(n, bool), bool),
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate((a if name == "gone" else a[~again], b)).astype(kind))
@@ -109,19 +111,19 @@ def _fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     names=names,
                 )
 
-    return docs.mapInArrow(run, "key long, content long, doc long, start int, windows int, gone boolean")
+    return docs.mapInArrow(run, "key long, content long, doc long, tag long, start int, windows int, gone boolean")
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(doc, start, end) of runs of windows that follow each other."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(doc, tag, start, end) of runs of windows that follow each other."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order], end[order]
     if not len(doc):
-        return np.zeros((0, 3), dtype=np.int64)
+        return np.zeros((0, 4), dtype=np.int64)
     head = np.ones(len(doc), dtype=bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
-    tail = np.append(head[1:], True)
-    return np.column_stack([doc[head], start[head], end[tail]])
+    head[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > end[:-1])
+    last = np.append(head[1:], True)
+    return np.column_stack([doc[head], tag[head], start[head], end[last]])
 
 
 def _rivals(batches):
@@ -129,20 +131,20 @@ def _rivals(batches):
     earlier equal, true for the others of a key that has several."""
     last, alone, place = None, None, None
     for batch in batches:
-        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]])
+        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:6]])
         settled = batch.column("gone").to_numpy(zero_copy_only=False).astype(bool)
         if settled.any():
-            yield _met(table[settled][:, [0, 2, 3, 4]], np.zeros((0, 4), dtype=np.int64))
+            yield _met(table[settled][:, [0, 2, 3, 4, 5]], np.zeros((0, 5), dtype=np.int64))
             table = table[~settled]
         fresh = np.ones(len(table), dtype=bool)  # a repeated row is at the same place, not later
-        fresh[1:] = (table[1:, :4] != table[:-1, :4]).any(1)
+        fresh[1:] = (table[1:, :5] != table[:-1, :5]).any(1)
         if len(table):
-            fresh[0] = place is None or (table[0, :4] != place).any()
-            place = table[-1, :4]
+            fresh[0] = place is None or (table[0, :5] != place).any()
+            place = table[-1, :5]
         table = table[fresh]
         if not len(table):
             continue
-        key, content, doc, start, windows = table.T
+        key, content, doc, tag, start, windows = table.T
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new_set = new_key | np.concatenate(([True], content[1:] != content[:-1]))
         if last is not None and key[0] == last[0]:
@@ -151,7 +153,7 @@ def _rivals(batches):
         owners = np.flatnonzero(new_set)
         counts = np.bincount(group[owners], minlength=group[-1] + 1)
         wanted = counts >= 2
-        rows = [np.column_stack([key, doc, start, windows])[owners]]
+        rows = [np.column_stack([key, doc, tag, start, windows])[owners]]
         chosen = group[owners]
         if not new_key[0]:  # goes on with the key of the batch before
             wanted[0] = counts[0] >= 1
@@ -163,23 +165,23 @@ def _rivals(batches):
             alone = rows[-1:] if counts[group[-1]] == 1 else None
         rivals = rows[wanted[chosen]]
         gone = ~new_set
-        gone_rows = np.column_stack([key, doc, start, windows])[gone]
+        gone_rows = np.column_stack([key, doc, tag, start, windows])[gone]
         last = (key[-1], content[-1])
         yield _met(gone_rows, rivals)
 
 
 def _met(gone: np.ndarray, rivals: np.ndarray) -> pa.RecordBatch:
     both = np.concatenate([gone, rivals])
-    kinds = [np.int64, np.int64, np.int32, np.int32]
+    kinds = [np.int64, np.int64, np.int64, np.int32, np.int32]
     return pa.RecordBatch.from_arrays(
         [*(pa.array(both[:, k].astype(kind)) for k, kind in enumerate(kinds)), pa.array(np.arange(len(both)) >= len(gone))],
-        names=["key", "doc", "start", "windows", "rival"],
+        names=["key", "doc", "tag", "start", "windows", "rival"],
     )
 
 
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(key, hot, doc, start, bytes)`` of wanted fragments."""
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "hot", "start", "windows")).alias("wanted"))
+    """``(key, hot, doc, tag, start, bytes)`` of wanted fragments."""
+    per_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "hot", "start", "windows")).alias("wanted"))
 
     def run(batches):
         for batch in batches:
@@ -194,13 +196,14 @@ def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 begin = bounds[rows] + starts
                 end = begin + windows + length - 1
                 held = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
+                doc, tag = (part.column(c).take(pa.array(rows)) for c in ("doc", "tag"))
                 yield pa.RecordBatch.from_arrays(
-                    [inner.field("key"), inner.field("hot"), part.column("doc").take(pa.array(rows)), inner.field("start"), held],
-                    names=["key", "hot", "doc", "start", "bytes"],
+                    [inner.field("key"), inner.field("hot"), doc, tag, inner.field("start"), held],
+                    names=["key", "hot", "doc", "tag", "start", "bytes"],
                 )
 
-    return docs.join(per_doc, "doc").select("doc", "text", "wanted").mapInArrow(
-        run, "key long, hot boolean, doc long, start int, bytes binary"
+    return docs.join(per_doc, ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(
+        run, "key long, hot boolean, doc long, tag long, start int, bytes binary"
     )
 
 
@@ -250,8 +253,8 @@ def _nest(coarse: np.ndarray, finer: np.ndarray) -> np.ndarray:
     return coarse + finer - first[coarse]
 
 
-def _repeated(key, doc, start, raw, length: int):
-    """Covered (doc, start, end) runs among whole keys of fragments in order of place."""
+def _repeated(key, doc, tag, start, raw, length: int):
+    """Covered (doc, tag, start, end) runs among whole keys of fragments in order of place."""
     sizes = np.array([len(x) for x in raw])
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     upto = np.cumsum(sizes)
@@ -264,12 +267,12 @@ def _repeated(key, doc, start, raw, length: int):
     again[first] = False
     hit = windows[again]
     if not len(hit):
-        return np.zeros((0, 3), dtype=np.int64)
+        return np.zeros((0, 4), dtype=np.int64)
     own = fragment[hit]
     head = np.concatenate(([True], (hit[1:] > hit[:-1] + length) | (own[1:] != own[:-1])))
     tail = np.concatenate((head[1:], [True]))
     base = start[own] - (upto - sizes)[own]
-    return np.column_stack([doc[own[head]], (hit + base)[head], (hit + base)[tail] + length])
+    return np.column_stack([doc[own[head]], tag[own[head]], (hit + base)[head], (hit + base)[tail] + length])
 
 
 def _refine_keys(length: int, chunk: int):
@@ -294,9 +297,9 @@ def _refine_keys(length: int, chunk: int):
             yield from parts(pa.Table.from_batches(held))
 
     def parts(table):
-        place = np.column_stack([table.column(c).to_numpy() for c in ("key", "doc", "start")])
+        place = np.column_stack([table.column(c).to_numpy() for c in ("key", "doc", "tag", "start")])
         fresh = np.concatenate(([True], (place[1:] != place[:-1]).any(1)))  # rows may be repeated
-        table, (key, doc, start) = table.filter(pa.array(fresh)), place[fresh].T
+        table, (key, doc, tag, start) = table.filter(pa.array(fresh)), place[fresh].T
         raw = table.column("bytes").to_pylist()
         sizes = np.cumsum([len(x) for x in raw])
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -307,10 +310,10 @@ def _refine_keys(length: int, chunk: int):
             nexts = heads[heads > at]
             fit = nexts[nexts <= full]
             stop = len(key) if full >= len(key) else int(fit[-1] if len(fit) else nexts[0] if len(nexts) else len(key))
-            found = _repeated(key[at:stop], doc[at:stop], start[at:stop], raw[at:stop], length)
+            found = _repeated(key[at:stop], doc[at:stop], tag[at:stop], start[at:stop], raw[at:stop], length)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].astype(np.int32))],
-                names=["doc", "start", "end"],
+                [*(pa.array(found[:, k].astype(kind)) for k, kind in enumerate((np.int64, np.int64, np.int32, np.int32)))],
+                names=["doc", "tag", "start", "end"],
             )
             at = stop
 
@@ -333,16 +336,35 @@ def _hot_windows(fragments: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(tb.span_hashes(sums, at, at + length).view(np.int64)),
-                        part.column("doc").take(pa.array(rows)), pa.array(starts.astype(np.int32)),
+                        *(part.column(c).take(pa.array(rows)) for c in ("doc", "tag")), pa.array(starts.astype(np.int32)),
                     ],
-                    names=["window", "doc", "start"],
+                    names=["window", "doc", "tag", "start"],
                 )
 
-    windows = cut(fragments.mapInArrow(run, "window long, doc long, start int"))
-    firsts = cut(windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    windows = cut(fragments.mapInArrow(run, "window long, doc long, tag long, start int"))
+    firsts = cut(windows.groupBy("window").agg(F.min(F.struct("doc", "tag", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     return windows.join(firsts, "window").where(
-        "doc <> first.doc or start <> first.start"
-    ).select("doc", "start", (F.col("start") + length).alias("end"))
+        "doc <> first.doc or tag <> first.tag or start <> first.start"
+    ).select("doc", "tag", "start", (F.col("start") + length).alias("end"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__doc`` and ``__tag``, which rows of one id and one text share. The
+    tag is 0 where the id alone will do; without an id it is not negative, else negative."""
+    own, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    tag = F.xxhash64(text)
+    mixed = cut(
+        docs.where(own.isNotNull()).groupBy(own.alias("__id")).agg(F.min(tag).alias("a"), F.max(tag).alias("b"))
+        .where("a <> b").select("__id")
+    )
+    named = docs.withColumn("__doc", F.coalesce(own, F.lit(_NO_ID)))
+    unnamed = tag.bitwiseAND(F.lit(_NO_ID))
+    if mixed.isEmpty():
+        return named.withColumn("__tag", F.when(own.isNull(), unnamed).when(own == _NO_ID, -1).otherwise(0).cast("long"))
+    shared = tag.bitwiseOR(F.lit(-_NO_ID - 1))
+    several = named.join(mixed, own == F.col("__id"), "left")
+    by_id = F.when(F.col("__id").isNotNull(), shared).when(own == _NO_ID, -1).otherwise(0)
+    return several.withColumn("__tag", F.when(own.isNull(), unnamed).otherwise(by_id).cast("long")).drop("__id")
 
 
 def find_spans(
@@ -353,19 +375,30 @@ def find_spans(
     ship_docs: int = SHIP_DOCS,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """``(doc, spans)`` of documents with covered bytes; spans may overlap."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text")
+    """``(doc, tag, spans)`` of documents with covered bytes, by the keys of ``_keyed``; spans may overlap."""
+    return _spans(_keyed(docs.select("doc_id", "text")), length, gram, hot_rows, ship_docs, chunk_bytes)
+
+
+def _spans(
+    rows: DataFrame,
+    length: int = LENGTH,
+    gram: int = GRAM,
+    hot_rows: int = HOT_ROWS,
+    ship_docs: int = SHIP_DOCS,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    keyed = rows.select(F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), "text")
     met = cut(
         _fragments(keyed, length, gram)
-        .repartition("key").sortWithinPartitions("key", "content", "doc", "start")
-        .mapInArrow(_rivals, "key long, doc long, start int, windows int, rival boolean")
+        .repartition("key").sortWithinPartitions("key", "content", "doc", "tag", "start")
+        .mapInArrow(_rivals, "key long, doc long, tag long, start int, windows int, rival boolean")
     )
-    whole = met.where("not rival").select("doc", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
+    whole = met.where("not rival").select("doc", "tag", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
     rivals = met.where("rival").drop("rival")
     hot = cut(rivals.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("key"))
-    asked = cut(rivals.select("doc").distinct())
+    asked = cut(rivals.select("doc", "tag").distinct())
     if asked.count() <= ship_docs:  # else the join below reads all texts
-        keyed = keyed.join(F.broadcast(asked), "doc", "left_semi")
+        keyed = keyed.join(F.broadcast(asked), ["doc", "tag"], "left_semi")
     spread = None
     if hot.isEmpty():
         fragments = _with_bytes(keyed, rivals.withColumn("hot", F.lit(False)), length)
@@ -375,21 +408,23 @@ def find_spans(
         spread = _hot_windows(fragments.where("hot"), length)
     refined = (
         fragments.where("not hot").drop("hot")
-        .repartition("key").sortWithinPartitions("key", "doc", "start")
-        .mapInArrow(_refine_keys(length, chunk_bytes), "doc long, start int, end int")
+        .repartition("key").sortWithinPartitions("key", "doc", "tag", "start")
+        .mapInArrow(_refine_keys(length, chunk_bytes), "doc long, tag long, start int, end int")
     )
     spans = whole.unionByName(refined)
     spans = spans if spread is None else spans.unionByName(spread)
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without text, with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the
     remaining bytes."""
-    spans = find_spans(docs, **options).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
     others = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    joined = others.join(spans, own == F.col("__doc"), "left")
+    keyed = _keyed(others)
+    spans = _spans(keyed, **options).select(
+        F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans")
+    )
+    joined = keyed.join(spans, ["__doc", "__tag"], "left")
     fields = [f for f in others.schema if f.name != "text"]
     schema = tb.schema(fields, "n_bytes long, n_removed long, n_spans long, kept binary")
 
