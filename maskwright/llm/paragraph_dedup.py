@@ -7,6 +7,13 @@ are cut into bands, tuned so that a pair at the threshold shares a band with pro
 their shingle sets, and linked classes form components. The paragraph of the smallest
 (doc_id, line) of a component stays, all others are removals.
 
+``find_repeats`` compares whole lines. ``find_pieces`` does the same for pieces of a
+document's words, taken across its lines: cut where the hash of a five-word shingle is the
+least within ``RADIUS`` words, so at the same words in every document, some 25 words apart
+and 50 at most. It finds repeats inside longer lines, or laid out in shorter ones, that
+hold or nearly hold a piece; a shorter one may lie across two. Pieces are only compared
+with pieces, as they lie in the lines.
+
 Only classes that share a band with another class have their shingles built and shipped.
 Band groups with the same members are compared once. A group of more than ``group_rows``
 classes is cut into chunks and each pair of chunks is a task of its own, so memory is
@@ -37,6 +44,8 @@ RECALL = 0.999
 MAX_HASHES = 40
 MIN_WORDS = 20
 GROUP_ROWS = 256
+RADIUS = 12
+MAX_PIECE = 50
 
 _STEP = 0xD6E8FEB86659FD93
 _SECOND = np.uint64(_STEP)
@@ -53,22 +62,48 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int
     return best
 
 
+def piece_starts(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Where the pieces of one text begin, from the hashes of its words."""
+    n = len(hashes)
+    if n < 2 * size:
+        return np.zeros(min(n, 1), dtype=np.int64)
+    shingle = tb.chain(*(hashes[k : n - size + 1 + k] for k in range(size)))
+    full = np.full(RADIUS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate((full, shingle, full)), RADIUS)
+    before, after = near[: len(shingle)].min(1), near[RADIUS + 1 :].min(1)
+    heads = np.flatnonzero((shingle < before) & (shingle <= after))
+    heads = np.concatenate(([0], heads[(heads >= size) & (heads <= n - size)], [n]))
+    parts = -(-np.diff(heads) // MAX_PIECE)  # stretches without a cut, in equal parts
+    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(heads[:-1], parts) + inner * np.repeat(np.diff(heads), parts) // np.repeat(parts, parts)
+
+
 class Paragraphs:
-    """The paragraphs of a block of texts, as arrays over words."""
+    """The paragraphs, or pieces, of a block of texts, as arrays over words."""
 
-    def __init__(self, texts: pa.Array, min_words: int):
+    def __init__(self, texts: pa.Array, min_words: int, pieces: int = 0):
         data, bounds = tb.flatten(texts)
         data = tb.LOWER[data]
         breaks = np.flatnonzero(data == 0x0A) + 1
         lines = np.unique(np.concatenate((bounds, breaks)))
         starts, ends, firsts = tb.words(data, lines, tb.NOT_SPACE)
-        counts = np.diff(firsts)
-        used = np.flatnonzero(counts >= max(min_words, 1))
-        self.first, self.n_words = firsts[:-1][used], counts[used]
+        self.words = tb.span_hashes(tb.prefix_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        if pieces:  # of so many words a shingle
+            owns = np.searchsorted(starts, bounds)
+            heads = [a + piece_starts(self.words[a:b], pieces) for a, b in zip(owns[:-1].tolist(), owns[1:].tolist())]
+            first = np.concatenate([np.zeros(0, np.int64), *heads])
+            last = np.minimum(np.append(first[1:], len(starts)), owns[np.searchsorted(owns, first, side="right")])
+            used = np.searchsorted(firsts, first, side="right") - 1
+            keep = last - first >= max(min_words, 1)
+            self.first, self.n_words, used = first[keep], (last - first)[keep], used[keep]
+        else:
+            counts = np.diff(firsts)
+            used = np.flatnonzero(counts >= max(min_words, 1))
+            self.first, self.n_words = firsts[:-1][used], counts[used]
+        self.word = self.first - firsts[:-1][used]
         self.text = np.searchsorted(bounds, lines[:-1][used], side="right") - 1
         newlines = np.concatenate(([0], np.cumsum(data == 0x0A)))
         self.line = newlines[lines[:-1][used]] - newlines[bounds[:-1]][self.text]
-        self.words = tb.span_hashes(tb.prefix_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each paragraph's word sequence."""
@@ -106,13 +141,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def paragraphs(docs: DataFrame, min_words: int, size: int, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, line, n_words, a, b, bands)`` of every paragraph; (a, b) is its class."""
+def paragraphs(docs: DataFrame, min_words: int, size: int, bands: int, rows: int, pieces: bool = False) -> DataFrame:
+    """``(doc_id, line, word, n_words, a, b, bands)`` of every paragraph; (a, b) is its class."""
 
     def run(batches):
         for batch in batches:
             for part in tb.blocks(batch, "text"):
-                found = Paragraphs(part.column("text"), min_words)
+                found = Paragraphs(part.column("text"), min_words, size * pieces)
                 if not len(found.first):
                     continue
                 a, b = found.classes()
@@ -121,14 +156,14 @@ def paragraphs(docs: DataFrame, min_words: int, size: int, bands: int, rows: int
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(found.text)),
-                        pa.array(found.line.astype(np.int32)), pa.array(found.n_words.astype(np.int32)),
+                        *(pa.array(x.astype(np.int32)) for x in (found.line, found.word, found.n_words)),
                         _signed(a), _signed(b), pa.ListArray.from_arrays(offsets, _signed(keys.ravel())),
                     ],
-                    names=["doc_id", "line", "n_words", "a", "b", "bands"],
+                    names=["doc_id", "line", "word", "n_words", "a", "b", "bands"],
                 )
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, line int, n_words int, a long, b long, bands array<long>"
+        run, "doc_id long, line int, word int, n_words int, a long, b long, bands array<long>"
     )
 
 
@@ -223,21 +258,21 @@ def _links(rows):
     )
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, size: int) -> DataFrame:
-    """``(id, shingles)``: the sorted shingle set of each wanted ``(id, doc_id, line)``."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, size: int, pieces: bool) -> DataFrame:
+    """``(id, shingles)``: the sorted shingle set of each wanted ``(id, doc_id, line, word)``."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "word", "id")).alias("wanted"))
     needed = docs.select(F.col("doc_id").cast("long"), "text").join(per_doc, "doc_id")
 
     def run(batches):
         for batch in batches:
             for part in tb.blocks(batch, "text"):
-                found = Paragraphs(part.column("text"), min_words)
+                found = Paragraphs(part.column("text"), min_words, size * pieces)
                 hashes, upto = found.shingles(size) if len(found.first) else (None, None)
-                place = {(t, n): k for k, (t, n) in enumerate(zip(found.text.tolist(), found.line.tolist()))}
+                place = {at: k for k, at in enumerate(zip(found.text.tolist(), found.line.tolist(), found.word.tolist()))}
                 ids, sets = [], []
                 for row, own in enumerate(part.column("wanted").to_pylist()):
                     for item in own:
-                        k = place.get((row, item["line"]))
+                        k = place.get((row, item["line"], item["word"]))
                         if k is not None:
                             ids.append(item["id"])
                             sets.append(np.unique(hashes[upto[k] : upto[k + 1]]).tobytes())
@@ -257,11 +292,30 @@ def find_repeats(
 ) -> DataFrame:
     """``(doc_id, line, n_words, keep_doc_id, keep_line, removed)`` of every paragraph that
     has a repeat; the kept paragraph of each component is among them."""
+    return _repeats(docs, False, min_words, similarity, recall, size, max_hashes, group_rows).drop("word", "keep_word")
+
+
+def find_pieces(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    size: int = SHINGLE,
+    max_hashes: int = MAX_HASHES,
+    group_rows: int = GROUP_ROWS,
+) -> DataFrame:
+    """``(doc_id, line, word, n_words, keep_doc_id, keep_line, keep_word, removed)`` of every
+    piece that has a repeat; ``word`` is its first word's place in ``line``."""
+    return _repeats(docs, True, size, similarity, recall, size, max_hashes, group_rows)
+
+
+def _repeats(
+    docs: DataFrame, pieces: bool, min_words: int, similarity: float, recall: float, size: int, max_hashes: int, group_rows: int
+) -> DataFrame:
     bands, rows = tune(similarity, recall, max_hashes)
-    found = paragraphs(docs.select("doc_id", "text"), min_words, size, bands, rows)
+    found = paragraphs(docs.select("doc_id", "text"), min_words, size, bands, rows, pieces)
     classes = cut(
         found.groupBy("a", "b").agg(
-            F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")
+            F.min(F.struct("doc_id", "line", "word")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")
         ).withColumn("id", F.xxhash64("a", "b"))
     )
     members = (
@@ -269,8 +323,8 @@ def find_repeats(
         .repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups(group_rows), "grp long, id long")
     )
     members = cut(members.distinct())
-    wanted = classes.join(members.select("id").distinct(), "id").select("id", "first.doc_id", "first.line")
-    shingles = cut(_shingles_of(docs, wanted, min_words, size))
+    wanted = classes.join(members.select("id").distinct(), "id").select("id", "first.doc_id", "first.line", "first.word")
+    shingles = cut(_shingles_of(docs, wanted, min_words, size, pieces))
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / (group_rows / 2)).cast("int").alias("chunks"))
     dealt = members.join(cut(sizes), "grp").withColumn(
         "own", F.pmod(F.xxhash64("id", "grp"), F.col("chunks")).cast("int")
@@ -299,9 +353,10 @@ def find_repeats(
         .select("a", "b", F.coalesce("component", "first").alias("keep"))
     )
     return (
-        found.select("doc_id", "line", "n_words", "a", "b").join(cut(kept), ["a", "b"])
+        found.select("doc_id", "line", "word", "n_words", "a", "b").join(cut(kept), ["a", "b"])
         .select(
-            "doc_id", "line", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"),
-            ((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line"))).alias("removed"),
+            "doc_id", "line", "word", "n_words",
+            *(F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("doc_id", "line", "word")),
+            (F.struct("doc_id", "line", "word") != F.col("keep")).alias("removed"),
         )
     )

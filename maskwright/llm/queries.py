@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskwright.lineage import table
 from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup
@@ -67,7 +68,10 @@ def op5_decontamination(spark, folder):
 
 @query()
 def op6_paragraph_dedup(spark, folder):
-    return paragraph_dedup.find_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lines = paragraph_dedup.find_repeats(docs, min_words=paragraph_dedup.SHINGLE)
+    lines = lines.select(F.lit("line").alias("unit"), "*", F.lit(0).alias("word"), F.lit(0).alias("keep_word"))
+    return lines.unionByName(paragraph_dedup.find_pieces(docs).withColumn("unit", F.lit("piece")))
 
 
 @query(quality_rules.oracle())

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 from maskwright.llm import paragraph_dedup as pdup
+from maskwright.llm import queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,3 +77,29 @@ def test_odd_rows(spark):
     )
     assert {tuple(r) for r in pdup.find_repeats(docs).collect()} == {(3, 0, 30, 3, 0, False), (4, 1, 30, 3, 0, True)}
     assert pdup.find_repeats(docs.limit(0)).count() == 0
+
+
+def test_query_finds_repeats_inside_lines_and_across_short_ones(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    fill = lambda n: [f"u{k}" for k in rng.integers(0, 1 << 40, n)]
+    passage, short = fill(120), fill(7)
+    broken = "\n".join(" ".join(passage[k : k + 4]) for k in range(0, 120, 4))
+    rows = [
+        (1, " ".join(fill(90) + passage + fill(70))), (2, " ".join(fill(33)) + "\n" + broken + "\n" + " ".join(fill(40))),
+        (3, " ".join(fill(150))), (4, " ".join(short) + "\n" + " ".join(fill(60))), (5, " ".join(fill(50)) + "\n" + " ".join(short)),
+        (6, "q " * 60_000), (7, None), (None, " ".join(passage)),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op6_paragraph_dedup(spark, str(tmp_path)).collect()
+    removed = [r for r in found if r.removed]
+    pieces = [r for r in removed if r.unit == "piece" and r.doc_id == 2]
+    assert sum(r.n_words for r in pieces) >= 50 and {r.keep_doc_id for r in pieces} == {1}
+    assert {(r.doc_id, r.line, r.keep_doc_id, r.keep_line) for r in removed if r.unit == "line"} == {(5, 1, 4, 0)}
+    assert {r.doc_id for r in found if r.unit == "piece"} == {1, 2, 6}
+
+
+def test_pieces_cover_all_words_once():
+    hashes = np.random.default_rng(2).integers(0, 1 << 62, 3000).astype(np.uint64)
+    for text in (hashes, hashes[:12], hashes[:3], hashes[:0], np.repeat(hashes[:1], 333)):
+        sizes = np.diff(np.append(pdup.piece_starts(text, 5), len(text)))
+        assert sizes.sum() == len(text) and (sizes <= 50).all() and (len(text) < 5 or (sizes >= 5).all())
