@@ -240,10 +240,29 @@ def nms_broken_boxes_grouped(spark, folder):
     return _broken_boxes(spark, folder, **_GROUPED)
 
 
-def _broken_boxes(spark, folder, **sizes):
+# The same over the whole table; those above stay as their SQL has them.
+_WHOLE = ORACLES["nms_broken_boxes"].replace(" WHERE l_orderkey % 8 = 1", "")
+
+
+@query(_WHOLE)
+def nms_broken_boxes_whole(spark, folder):
+    return _broken_boxes(spark, folder, "true")
+
+
+@query(_WHOLE)
+def nms_broken_boxes_whole_rounds(spark, folder):
+    return _broken_boxes(spark, folder, "true", **_ROUNDS)
+
+
+@query(_WHOLE)
+def nms_broken_boxes_whole_grouped(spark, folder):
+    return _broken_boxes(spark, folder, "true", **_GROUPED)
+
+
+def _broken_boxes(spark, folder, chosen="l_orderkey % 8 = 1", **sizes):
     from maskwright.lineage import table
 
-    rows = table(spark, folder, "lineitem").where("l_orderkey % 8 = 1").select(
+    rows = table(spark, folder, "lineitem").where(chosen).select(
         F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
         boxes.box(
