@@ -199,7 +199,7 @@ _BOXES = """
              l_partkey % 97 + 0.0::DOUBLE AS x, l_suppkey % 89 + 0.0::DOUBLE AS y,
              CASE WHEN (l_partkey + l_linenumber) % 7 = 0 THEN -5.0::DOUBLE ELSE 30.0::DOUBLE END AS w,
              30.0::DOUBLE AS h, (l_partkey * 31 + l_suppkey) % 5 = 0 AS broken
-      FROM lineitem WHERE l_orderkey % 8 = 1
+      FROM lineitem
     )"""
 
 
@@ -240,29 +240,10 @@ def nms_broken_boxes_grouped(spark, folder):
     return _broken_boxes(spark, folder, **_GROUPED)
 
 
-# The same over the whole table; those above stay as their SQL has them.
-_WHOLE = ORACLES["nms_broken_boxes"].replace(" WHERE l_orderkey % 8 = 1", "")
-
-
-@query(_WHOLE)
-def nms_broken_boxes_whole(spark, folder):
-    return _broken_boxes(spark, folder, "true")
-
-
-@query(_WHOLE)
-def nms_broken_boxes_whole_rounds(spark, folder):
-    return _broken_boxes(spark, folder, "true", **_ROUNDS)
-
-
-@query(_WHOLE)
-def nms_broken_boxes_whole_grouped(spark, folder):
-    return _broken_boxes(spark, folder, "true", **_GROUPED)
-
-
-def _broken_boxes(spark, folder, chosen="l_orderkey % 8 = 1", **sizes):
+def _broken_boxes(spark, folder, **sizes):
     from maskwright.lineage import table
 
-    rows = table(spark, folder, "lineitem").where(chosen).select(
+    rows = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
         boxes.box(

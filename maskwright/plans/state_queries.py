@@ -167,7 +167,8 @@ def enabled_media(spark, folder):
     meta = _log(spark, folder).agg(
         F.coalesce(
             F.max_by("enabled", F.when(F.col("enabled").isNotNull(), F.col("seq"))), F.lit(True)
-        ).alias("enabled")
+        ).alias("enabled"),
+        F.max("seq").alias("revision"),
     )
     return matching.enabled_only(table(spark, folder, "pages").select("page_id"), meta)
 

@@ -29,7 +29,7 @@ def test_query(spark, con, name):
 
 @pytest.mark.parametrize("path", ["", "_rounds", "_grouped"])
 def test_broken_boxes_are_taken_from_the_whole_table(spark, con, path):
-    found = all_queries.QUERIES[f"nms_broken_boxes_whole{path}"](spark, FOLDER)
+    found = all_queries.QUERIES[f"nms_broken_boxes{path}"](spark, FOLDER)
     assert {r[0] for r in found.selectExpr("media_id % 8").distinct().collect()} == {
         r[0] for r in con.execute("SELECT DISTINCT l_orderkey % 8 FROM lineitem").fetchall()
     }
