@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup
+from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,15 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """)
 def op10_line_dedup(spark, folder):
     return line_dedup.report(line_dedup.drop_boilerplate(table(spark, folder, "documents").select("doc_id", "text", "source")))
+
+
+TOKEN_LIMIT = 2048
+
+
+@query()
+def op11_token_counts(spark, folder):
+    import public_tokenizers
+
+    held = token_counts.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return token_counts.budgets(docs, held, TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_fit")
