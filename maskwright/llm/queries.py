@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.lineage import table
-from maskwright.llm import byte_bpe, decontaminate, language_id, line_dedup, lm_scoring, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup, token_counts
+from maskwright.llm import byte_bpe, decontaminate, hard_negatives, importance, language_id, line_dedup, lm_scoring, paragraph_dedup, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,16 @@ def op11_token_counts(spark, folder):
     held = token_counts.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return token_counts.budgets(docs, held, TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_fit")
+
+
+@query(importance.oracle())
+def op12_importance_resampling(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, folder, "benchmark").select("text"))
+
+
+@query(hard_negatives.oracle())
+def op13_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table(spark, folder, "embeddings").select("vec_id", "label", "embedding"), relabel=label)
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
