@@ -5,9 +5,11 @@ Gallery rows: ``(identity_id, identity_ord, kind, ord, embedding)`` with kind
 ``(identity_id, threshold)``. Query rows: ``(query_id, embedding)``.
 
 A small gallery (its bytes are counted first) is shipped once to every executor and
-queries are scored where they lie: no shuffle. A larger one is shipped part by part, each
-of that size; partial results per (query, identity) of all parts are added up. Vectors
-must share one width: :func:`reject_vectors` sets others aside first.
+queries are scored where they lie: no shuffle. A larger one gets a metric index
+(:mod:`metric_index`): queries go only to those of its cells that can hold a decisive
+score. With ``block_rows`` it is shipped part by part instead, each of that size, which
+passes over all queries once per part. Partial results per (query, identity) are added up.
+Vectors must share one width: :func:`reject_vectors` sets others aside first.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 from maskwright import settings
 from maskwright.functions import vectors
 from maskwright.lineage import cut
-from maskwright.operators import blocks
+from maskwright.operators import blocks, metric_index
 
 MATCH_COLUMNS = ("identity_id", "score")
 
@@ -264,12 +266,10 @@ def _meet_in_parts(queries, gallery, meet, schema, part_rows, gallery_rows):
     return found
 
 
-def _score_in_parts(queries, rules, margin, want_best, want_match, part_rows, gallery_rows):
-    """Every query meets the gallery part by part; partial results are added up."""
-    id_type = queries.schema["query_id"].dataType
-    schema = T.StructType(
+def _partial_schema(queries: DataFrame) -> T.StructType:
+    return T.StructType(
         [
-            T.StructField("query_id", id_type),
+            T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("identity_ord", T.LongType()),
             T.StructField("best", T.DoubleType()),
             T.StructField("agree", T.LongType()),
@@ -278,6 +278,11 @@ def _score_in_parts(queries, rules, margin, want_best, want_match, part_rows, ga
         ]
     )
 
+
+def _score_in_parts(queries, rules, margin, want_best, want_match, part_rows, gallery_rows):
+    """Every query meets the gallery part by part; partial results are added up."""
+    schema = _partial_schema(queries)
+
     def meet(q: pa.Table, g_rows: pa.Table) -> pa.Table:
         g = _Gallery(g_rows)
         vecs, ids = blocks.matrix(q["embedding"]), q["query_id"].combine_chunks()
@@ -318,6 +323,76 @@ def _score_in_parts(queries, rules, margin, want_best, want_match, part_rows, ga
         "identity_ord", "kind", "ord", "embedding", "threshold", F.col("need").cast("bigint").alias("need")
     )
     partial = _meet_in_parts(queries, rows, meet, schema, part_rows, gallery_rows)
+    return _settled(queries, rules, partial, margin)
+
+
+class _Ring(_Gallery):
+    """Rows of one ring of an index cell."""
+
+    def __init__(self, held: dict[str, np.ndarray]):
+        self.vectors, self.identity = held["embedding"], held["identity_ord"]
+        self.negative, self.threshold, self.need = held["negative"].astype(bool), held["threshold"], held["need"]
+
+
+def _partial_rows(ids: pa.Array, p: dict[str, np.ndarray], role: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            ids.take(pa.array(p["row"])), pa.array(p["identity_ord"], pa.int64()), pa.array(p["best"], pa.float64()),
+            pa.array(p["agree"].astype(np.int64)), pa.array(p["negative"], pa.float64()), pa.array([role] * len(p["row"]), pa.string()),
+        ],
+        names=["query_id", "identity_ord", "best", "agree", "negative", "role"],
+    )
+
+
+def _score_by_index(queries, rules, margin, want_best, want_match, part_rows, gallery_rows):
+    """Queries visit only the cells of a metric index that can hold a decisive score."""
+    schema, key = _partial_schema(queries), ["identity_ord", "kind", "ord"]
+    cells = 4 * -(-gallery_rows // part_rows)
+    negative = F.col("kind") == "hard_negative"
+    rows = rules.select(
+        *key, negative.alias("negative"), "embedding", "threshold", F.col("need").cast("bigint").alias("need"),
+        F.when(negative, F.col("threshold") - margin).otherwise(F.col("threshold")).alias("bound"),
+    )
+    slim = queries.select("query_id", "embedding")
+
+    def matches(ids, vectors, rings):
+        parts = []
+        for upper, held in rings:
+            at = np.flatnonzero(~(upper < held["bound"].min()))
+            found = _partial_matches(vectors[at], _Ring(held), margin)
+            parts.append(found | {"row": at[found["row"]]})
+        return _partial_rows(ids, {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, "match")
+
+    def bests(ids, vectors, rings):
+        length = np.sqrt(blocks.exact_dots(vectors, vectors))
+        best, owner = np.full(len(vectors), -np.inf), np.full(len(vectors), -1, dtype=np.int64)
+        for upper, held in sorted(rings, key=lambda ring: -ring[0].max()):
+            at = np.flatnonzero(~(upper * length < best - blocks.SLACK * length))
+            score, own = _best_scores(vectors[at], _Ring(held))
+            better = (own >= 0) & ((score > best[at]) | ((score == best[at]) & (own < owner[at])))
+            best[at[better]], owner[at[better]] = score[better], own[better]
+        hit = np.flatnonzero(owner >= 0)
+        none = np.zeros(len(hit))
+        return _partial_rows(ids, {"row": hit, "identity_ord": owner[hit], "best": best[hit], "agree": none, "negative": none}, "best")
+
+    partial = []
+    if want_match:
+        index = metric_index.build(rows, cells, key)
+        partial.append(metric_index.meet(metric_index.route(slim, index, metric_index.reaching_bound), index, matches, schema, part_rows))
+    if want_best:
+        index = metric_index.build(rows.where("not negative"), cells, key)
+        first = cut(metric_index.meet(metric_index.route(slim, index, metric_index.promising), index, bests, schema, part_rows))
+        floors = first.groupBy("query_id").agg(F.max("best").alias("floor"))
+        asked = slim.join(floors, "query_id")
+        partial += [first, metric_index.meet(metric_index.route(asked, index, metric_index.reaching_floor), index, bests, schema, part_rows)]
+    whole = partial[0]
+    for more in partial[1:]:
+        whole = whole.unionByName(more)
+    return _settled(queries, rules, whole, margin)
+
+
+def _settled(queries, rules, partial, margin):
+    """One row per query from partial results per (query, identity, role)."""
     limits = rules.select("identity_ord", "threshold", "need").distinct()
     whole = partial.groupBy("query_id", "identity_ord", "role").agg(
         F.max("best").alias("best"), F.sum("agree").alias("agree"), F.max("negative").alias("negative")
@@ -351,6 +426,7 @@ def score_queries(
     want_match: bool = True,
     broadcast_bytes: int = settings.BROADCAST_BYTES,
     block_rows: int | None = None,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """One row per query: unthresholded best cosine, and the accepted identity if any.
 
@@ -372,8 +448,11 @@ def score_queries(
     if size["rows"] * size["width"] * 4 <= broadcast_bytes:
         scored = _score_broadcast(queries, rules, margin, want_best, want_match)
     else:
-        block_rows = block_rows or max(1, broadcast_bytes // (4 * max(1, size["width"])))
-        scored = _score_in_parts(queries, rules, margin, want_best, want_match, block_rows, size["rows"])
+        if block_rows:
+            scored = _score_in_parts(queries, rules, margin, want_best, want_match, block_rows, size["rows"])
+        else:
+            part_rows = part_rows or max(1, broadcast_bytes // (4 * max(1, size["width"])))
+            scored = _score_by_index(queries, rules, margin, want_best, want_match, part_rows, size["rows"])
     names = gallery.select("identity_ord", "identity_id").distinct()
     if size["rows"] * size["width"] * 4 <= broadcast_bytes:
         names = F.broadcast(names)  # no more rows than the gallery that was just shipped

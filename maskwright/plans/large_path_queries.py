@@ -65,6 +65,44 @@ def match_agreements_parts(spark, folder):
     ))
 
 
+# A metric index with a few dozen rows in a part of a cell.
+_INDEX = {"broadcast_bytes": 0, "part_rows": 40}
+
+
+@query(ORACLES["match_hard_negative"])
+def match_hard_negative_index(spark, folder):
+    rows = vector_queries._prototype_rows(spark, folder)
+    negatives = vector_queries._label_gallery(rows, "hard_negative", (F.col("label") + 9) % 10)
+    known = vector_queries._label_gallery(rows, "prototype").unionByName(negatives)
+    return _found(matching.match(
+        vector_queries._queries(spark, folder), known, default_threshold=0.25, min_agreements=1, margin=0.02, **_INDEX,
+    ))
+
+
+@query(ORACLES["match_agreements"])
+def match_agreements_index(spark, folder):
+    rows = vector_queries._vectors(spark, folder)
+    label = F.col("label")
+    identities = rows.select("label").distinct().select(
+        F.concat(F.lit("label-"), label.cast("string")).alias("identity_id"),
+        F.when(label % 3 == 0, F.lit(float("nan"))).otherwise(0.2 + label / F.lit(100.0)).alias("threshold"),
+    )
+    return _found(matching.match(
+        vector_queries._queries(spark, folder), vector_queries._label_gallery(rows, "embedding"), identities,
+        default_threshold=0.25, min_agreements=3, **_INDEX,
+    ))
+
+
+@query(ORACLES["best_cosine_report"])
+def best_cosine_report_index(spark, folder):
+    known = vector_queries._label_gallery(vector_queries._prototype_rows(spark, folder), "prototype")
+    scored = matching.score_queries(
+        vector_queries._queries(spark, folder), known, default_threshold=0.30, min_agreements=1, **_INDEX,
+    )
+    faces = reports.face_diagnostics(vector_queries._detections(spark, folder), scored)
+    return faces.withColumn("best_cosine", r6(F.col("best_cosine")))
+
+
 @query(ORACLES["match_hard_negative"])
 def match_hard_negative_parts(spark, folder):
     rows = vector_queries._prototype_rows(spark, folder)
