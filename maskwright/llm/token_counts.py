@@ -19,7 +19,7 @@ the strings of its special tokens, each of which is one token; a special string
 off is ordinary text. Places are code points of the normalised text, which are those of the
 text itself where it is in NFC and its letters keep their number in lower case.
 
-A task holds the vocabulary, at most ``CACHE_WORDS`` counted words and one text's steps.
+A task holds the vocabulary, at most ``CACHE_WORDS`` counted words and one block of texts.
 
 Defined cases: a null or empty text has no steps and no tokens; a very long word or text
 is counted in linear time; repeated rows are counted each; an empty table gives an empty
@@ -30,6 +30,11 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from array import array
+from bisect import bisect_right
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +44,21 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from maskwright.llm import textbytes as tb
 
-CACHE_WORDS = 200_000
-CACHE_PAIRS = 1_000_000
-#: Unicode classes of the patterns that ASCII texts can go without.
-_ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r\x20"}
+CACHE_WORDS = 1_000_000
+CACHE_PAIRS = 500_000
+#: White space of the vocabulary's patterns below U+0250, and all texts of letters from there
+#: but the one whose lower case is two letters. They are in NFC whatever stands beside what.
+SPACES = "\t-\r \x85\xa0"
+SIMPLE = re.compile("[\0-\u012f\u0131-\u024f]*")
+
+
+def simple_pattern(pattern: str) -> re.Pattern:
+    """The pattern for such texts, with classes (which it has in brackets only) spelt out,
+    or a run of white space, so that matches cover a text."""
+    kinds = {c: unicodedata.category(c)[0] for c in map(chr, range(0x250))}
+    for name, kind in ((r"\p{L}", "L"), (r"\p{N}", "N")):
+        pattern = pattern.replace(name, "".join(c for c in kinds if kinds[c] == kind))
+    return re.compile(pattern.replace(r"\s", SPACES) + f"|[{SPACES}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,11 +91,20 @@ class Vocabulary:
             if self.born[made] >= 0 or max(self.born[numbers[a]], self.born[numbers[b]]) >= k:
                 raise ValueError(f"{path}: a token is made twice, or of one that comes later")
             self.born[made], self.left[made], self.right[made] = k, numbers[a], numbers[b]
-        self.joins = {(numbers[a], numbers[b]): k for k, (a, b) in enumerate(merges)}
+        self.joins = {(numbers[a] << 32) | numbers[b]: k for k, (a, b) in enumerate(merges)}
         as_bytes = lambda token: bytes(letters[c] for c in token)
-        self.inner = {as_bytes(t): n for t, n in numbers.items() if not t.endswith(end) and t not in self.specials}
-        self.final = {as_bytes(t[: -len(end)]): n for t, n in numbers.items() if t.endswith(end)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        #: Byte string -> its token inside a word and its token at a word's end, -1 for none.
+        #: Other beginnings of tokens have an empty entry: a search along a word goes on there.
+        self.known: dict[bytes, tuple] = {}
+        for token, number in numbers.items():
+            if token in self.specials:
+                continue
+            final = token.endswith(end)
+            data = as_bytes(token[: -len(end)] if final else token)
+            for k in range(1, len(data)):
+                self.known.setdefault(data[:k], ())
+            held = self.known.get(data) or (-1, -1)
+            self.known[data] = (held[0], number) if final else (number, held[1])
 
 
 class Counter:
@@ -88,62 +113,83 @@ class Counter:
     def __init__(self, held: Vocabulary):
         self.held = held
         self.born, self.left, self.right = held.born.tolist(), held.left.tolist(), held.right.tolist()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[int, list[tuple[int, int]]] = {}
         self.steps: dict[str, bytes] = {}
-        plain = held.pattern
-        for unicode_class, letters in _ASCII.items():
-            plain = plain.replace(f"[{unicode_class}]", f"[{letters}]").replace(unicode_class, letters)
-        space = _ASCII[r"\s"]
-        self.ascii = re.compile(f"{plain}|[{space}]+")
+        self.totals: dict[str, int] = {}
+        self.older: dict[str, int] = {}  # of which words still met come back
+        self.pieces = simple_pattern(held.pattern)
         self.words = pre_tokenizers.Split(Regex(held.pattern), behavior="removed", invert=True)
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.special = re.compile("|".join(map(re.escape, held.specials))) if held.specials else None
 
+    def _edge(self, token: int, half: list[int]) -> list[tuple[int, int]]:
+        """The symbols at one border of a token while it grows, and the rank at which the
+        next merge takes each in."""
+        key = token << 1 | (half is self.left)
+        found = self.edges.get(key)
+        if found is None:
+            found, rank = [], len(self.born)
+            while token >= 0:
+                found.append((token, rank))
+                token, rank = half[token], self.born[token]
+            self.edges[key] = found
+        return found
+
     def apart(self, first: int, second: int) -> bool:
         """Whether no merge crosses the border of two neighbouring tokens. On either side
         the symbol at the border grows by merges of rising rank; a pair across it is merged
         if its rank comes while both are there. Of equal ranks the left one is merged first."""
-        known = self.pairs.get((first, second))
-        if known is not None:
-            return known
-        sides = []
-        for token, half in ((first, self.right), (second, self.left)):
-            spine, ends = [token], [len(self.born)]
-            while half[spine[-1]] >= 0:
-                ends.append(self.born[spine[-1]])
-                spine.append(half[spine[-1]])
-            sides.append(list(zip(spine, ends)))
-        out = not any(
-            (rank := self.held.joins.get((a, b))) is not None and rank < a_ends and rank <= b_ends
-            for a, a_ends in sides[0] for b, b_ends in sides[1]
-        )
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        self.pairs[first, second] = out
+        joins, right = self.held.joins, self._edge(second, self.left)
+        for a, a_ends in self._edge(first, self.right):
+            for b, b_ends in right:
+                rank = joins.get(a << 32 | b)
+                if rank is not None and rank < a_ends and rank <= b_ends:
+                    return False
+        return True
+
+    def follows(self, first: int, second: int) -> bool:
+        """``apart``, worked out once a pair."""
+        key = first << 32 | second
+        out = self.pairs.get(key)
+        if out is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            out = self.pairs[key] = self.apart(first, second)
         return out
 
-    def counts(self, word: str) -> np.ndarray:
-        """Tokens of the word cut off after each of its letters."""
+    def counts(self, word: str, cut_off: bool = True) -> list[int]:
+        """Tokens of the word cut off after each of its letters; without ``cut_off`` only
+        the last of them, those of the whole word, is worked out and the rest are zero."""
         data = word.encode()
-        inner, final, longest = self.held.inner, self.held.final, self.held.longest
-        last, upto = [-1] * (len(data) + 1), [0] * (len(data) + 1)
-        out, ends = [], np.cumsum([len(c.encode()) for c in word]).tolist() if len(data) > len(word) else range(1, len(data) + 1)
-        stops = set(ends)
-        for k in range(1, len(data) + 1):
-            for row in (inner, final) if k in stops else (inner,):
-                for start in range(max(0, k - longest), k):  # the longest token first
-                    token = row.get(data[start:k])
-                    if token is not None and (not start or self.apart(last[start], token)):
-                        break
-                else:
-                    raise ValueError(f"no token ends {data[:k]!r}")
-                if row is inner:
-                    last[k], upto[k] = token, upto[start] + 1
-                else:
-                    out.append(upto[start] + 1)
-        return np.array(out, dtype=np.int32)
-
-    def _cut_word(self, word: str) -> np.ndarray:
+        known, pairs, n = self.held.known.get, self.pairs.get, len(data)
+        last, upto, ended = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            before, count = last[start], upto[start] + 1
+            for end in range(start + 1, n + 1):
+                row = known(data[start:end])
+                if row is None:
+                    break
+                if not row:
+                    continue
+                token, final = row
+                if token >= 0 and last[end] < 0:
+                    fits = not start or pairs(before << 32 | token)
+                    if fits is None:
+                        fits = self.follows(before, token)
+                    if fits:
+                        last[end], upto[end] = token, count
+                if final >= 0 and (cut_off or end == n) and not ended[end]:
+                    fits = not start or pairs(before << 32 | final)
+                    if fits is None:
+                        fits = self.follows(before, final)
+                    if fits:
+                        ended[end] = count
+        if n == len(word):
+            return ended[1:]
+        return [ended[k] for k in accumulate(len(c.encode()) for c in word)]
+
+    def _cut_word(self, word: str) -> list[int]:
         """``counts``, but a word whose beginning the pattern sees as several words (a
         contraction cut off) counts as those there."""
         whole = self.counts(word)
@@ -154,33 +200,67 @@ class Counter:
                     whole[k - 1] = sum(self.counts(p)[-1] for p in parts)
         return whole
 
-    def learn(self, words: set[str], gaps: set[str]) -> None:
-        """Have the steps of all these; white space has none at all its places."""
-        if len(self.steps) + len(words) + len(gaps) > CACHE_WORDS:
-            self.steps = {p: self.steps[p] for p in words if p in self.steps}
-        for word in words - self.steps.keys():
-            self.steps[word] = np.diff(self._cut_word(word), prepend=0).astype(np.int32).tobytes()
-        for gap in gaps - self.steps.keys():
-            self.steps[gap] = bytes(4 * len(gap))
+    def split(self, text: str) -> tuple[list[str], set[str]]:
+        """All of a normalised text in order, and which of its pieces are white space."""
+        if SIMPLE.fullmatch(text):
+            pieces = self.pieces.findall(text.lower())
+            return pieces, {p for p in set(pieces) if p[0] in "\t\n\v\f\r \x85\xa0"}
+        pieces, gaps, upto, text = [], set(), 0, self.normalizer.normalize_str(text)
+        for word, (start, end) in [*self.words.pre_tokenize_str(text), ("", (len(text), len(text)))]:
+            if start > upto:
+                gaps.add(text[upto:start])
+                pieces.append(text[upto:start])
+            if word:
+                pieces.append(word)
+            upto = end
+        return pieces, gaps
+
+    def _steps_of(self, word: str) -> bytes:
+        counts = self._cut_word(word)
+        return array("i", map(sub, counts, [0, *counts[:-1]])).tobytes()
 
     def _ordinary(self, text: str) -> np.ndarray:
-        if text.isascii():
-            pieces = self.ascii.findall(text.lower())
-            different = set(pieces)
-            gaps = {p for p in different if p[0] in " \t\n\v\f\r"}
-        else:
-            pieces, gaps, upto, text = [], set(), 0, self.normalizer.normalize_str(text)
-            for word, (start, end) in [*self.words.pre_tokenize_str(text), ("", (len(text), len(text)))]:
-                if start > upto:
-                    gaps.add(text[upto:start])
-                    pieces.append(text[upto:start])
-                if word:
-                    pieces.append(word)
-                upto = end
-            different = set(pieces)
-        self.learn(different - gaps, gaps)
+        pieces, gaps = self.split(text)
+        different = set(pieces)
+        if len(self.steps) + len(different) > CACHE_WORDS // 4:  # a word's steps are larger than its total
+            self.steps = {p: self.steps[p] for p in different if p in self.steps}
+        for piece in different:
+            if piece not in self.steps:
+                self.steps[piece] = bytes(4 * len(piece)) if piece in gaps else self._steps_of(piece)
         return np.frombuffer(b"".join(map(self.steps.__getitem__, pieces)), dtype=np.int32)
 
+    def _learn_totals(self, different: set[str], gaps: set[str]) -> None:
+        if len(self.totals) + len(different) > CACHE_WORDS // 2:
+            self.older, self.totals = self.totals, {}
+        for piece in different:
+            if piece not in self.totals:
+                if (known := self.older.get(piece)) is None:
+                    known = 0 if piece in gaps else self.counts(piece, False)[-1]
+                self.totals[piece] = known
+
+    def budget(self, text: str | None, budget: int) -> tuple[int, int]:
+        """Tokens of the text, and places of its longest prefix of at most ``budget``. The
+        counts at the pieces' ends tell which piece the prefix ends in, and only that one's
+        own counts are needed."""
+        if not text:
+            return 0, 0
+        if self.special and self.special.search(text):
+            counts = np.cumsum(self.text_steps(text), dtype=np.int64)
+            within = np.flatnonzero(counts <= budget)
+            return int(counts[-1]), int(within[-1]) + 1 if len(within) else 0
+        pieces, gaps = self.split(text)
+        self._learn_totals(set(pieces), gaps)
+        counts = list(map(self.totals.__getitem__, pieces))
+        total = sum(counts)
+        if total <= budget:
+            return total, sum(map(len, pieces))
+        before = [0, *accumulate(counts)]
+        last = min(bisect_right(before, budget) - 1, len(pieces) - 1)
+        fit = sum(map(len, pieces[:last]))
+        inside = np.full(len(pieces[last]), before[last]) if pieces[last] in gaps else before[last] + np.array(self._cut_word(pieces[last]))
+        within = np.flatnonzero(inside <= budget)
+        return total, fit + int(within[-1]) + 1 if len(within) else fit
+
     def text_steps(self, text: str | None) -> np.ndarray:
         """The change of the token count at each place of the text."""
         if not text:
@@ -211,7 +291,7 @@ def _mapped(docs: DataFrame, held, text: str, keep_text: bool, added: str, make)
         counter = Counter(held.value)
         for batch in batches:
             for part in tb.blocks(batch, text):
-                columns = make([counter.text_steps(t) for t in part.column(text).to_pylist()])
+                columns = make(counter, part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *names]
                 )
@@ -222,7 +302,8 @@ def _mapped(docs: DataFrame, held, text: str, keep_text: bool, added: str, make)
 def prefix_counts(docs: DataFrame, held, text: str = "text") -> DataFrame:
     """``docs`` with ``steps``, from which every prefix's token count follows."""
 
-    def make(steps):
+    def make(counter, texts):
+        steps = [counter.text_steps(t) for t in texts]
         upto = np.concatenate(([0], np.cumsum([len(s) for s in steps]))).astype(np.int32)
         return [pa.ListArray.from_arrays(upto, np.concatenate([np.zeros(0, np.int32), *steps]))]
 
@@ -260,10 +341,8 @@ def budgets(docs: DataFrame, held, budget: int, text: str = "text") -> DataFrame
     points of the longest prefix within ``budget``; the steps of one text at a time live in
     a task and none are written."""
 
-    def make(steps):
-        counts = [np.cumsum(s, dtype=np.int64) for s in steps]
-        total = np.array([c[-1] if len(c) else 0 for c in counts], dtype=np.int64)
-        fit = [int(within[-1]) + 1 if len(within := np.flatnonzero(c <= budget)) else 0 for c in counts]
-        return [pa.array(total), pa.array(total > budget), pa.array(fit, pa.int64())]
+    def make(counter, texts):
+        total, fit = zip(*(counter.budget(t, budget) for t in texts))
+        return [pa.array(total, pa.int64()), pa.array([n > budget for n in total]), pa.array(fit, pa.int64())]
 
     return _mapped(docs, held, text, False, "n_tokens long, over_limit boolean, n_fit long", make)

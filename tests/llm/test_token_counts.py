@@ -52,6 +52,18 @@ def test_class_boundaries(counter, library):
     chars = [chr(x) for x in range(0x3100) if not 0xD800 <= x < 0xE000][::3] + [chr(x) for x in range(0x1E000, 0x20000, 31)]
     texts = ["a" + c + "1" + c + c + "!" + c + " " + c + "  " + c for c in chars]
     assert [int(counter.text_steps(t).sum()) for t in texts] == [size(library, t) for t in texts]
+    assert [counter.budget(t, 9)[0] for t in texts] == [size(library, t) for t in texts]
+    mixed = [f"{a}{b}x{a} 1{b}" for a in map(chr, range(0x250)) for b in "\xa0é'"]
+    assert [counter.budget(t, 9)[0] for t in mixed] == [size(library, t) for t in mixed]
+
+
+def test_budgets_are_the_last_place_within(counter):
+    rng = random.Random(3)
+    texts = ODD + ["".join(rng.choice("aethinrs' \n!é") for _ in range(80)) for _ in range(40)]
+    for text in texts:
+        counts = [0, *counter.text_steps(text).cumsum().tolist()]
+        for budget in (0, 1, 2, 5, 11, 10**6):
+            assert counter.budget(text, budget) == (counts[-1], max(k for k, n in enumerate(counts) if n <= budget))
 
 
 def test_small_caches(library, monkeypatch):
@@ -60,7 +72,7 @@ def test_small_caches(library, monkeypatch):
     own = tc.Counter(tc.Vocabulary(PATH))
     for k in range(5):
         text = f"somewordy thingy{k} qwzx again somewordy"
-        assert int(own.text_steps(text).sum()) == size(library, text)
+        assert int(own.text_steps(text).sum()) == own.budget(text, 3)[0] == size(library, text)
 
 
 def test_stored_steps_answer_without_the_text(spark, library):
