@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import boxes
+from maskwright.lineage import cut
 
 
 def count_reasons(rows: DataFrame, by: list[str], name: str = "n") -> DataFrame:
@@ -82,11 +85,50 @@ def check_media(media: DataFrame) -> DataFrame:
     )
 
 
-def similarity_ranges(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Lowest, median and highest score of genuine and impostor comparisons."""
-    return scores.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, percents: dict[str, int], bins: int = 1024) -> DataFrame:
+    """Per class: ``n``, ``low``, ``high`` and, by name, the least value that at least so many
+    percent of the class's values do not exceed. Nulls are left out.
+
+    A first pass counts values in equal bins between a class's least and greatest; those
+    counts add up over tasks and tell which bin holds each rank. A second pass counts the
+    different values of those bins alone, so no class is ever sorted whole.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    ranges = known.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    width = F.col("high") - F.col("low")
+    usable = (width > 0) & (width < float("inf"))
+    slot = F.when(usable, F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("low")) / width * bins))).otherwise(0).cast("int")
+    binned = _meet(known, ranges, by).select(*by, "__v", "n", slot.alias("__slot"))
+    order = Window.partitionBy(*by)
+    counted = binned.groupBy(*by, "__slot").agg(F.count("*").alias("__k"), F.first("n").alias("n"))
+    before = F.sum("__k").over(order.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.expr(f"({p} * n + 99) div 100")).alias("rank")) for name, p in percents.items()])
+    held = cut(counted.withColumn("__before", F.coalesce(before, F.lit(0))).withColumn("__ranks", F.filter(
+        ranks, lambda r: (r["rank"] > F.col("__before")) & (r["rank"] <= F.col("__before") + F.col("__k"))
+    )).where(F.size("__ranks") > 0).select(*by, "__slot", "__before", "__ranks"))
+    values = _meet(binned, held, [*by, "__slot"]).groupBy(*by, "__slot", "__v").agg(
+        F.count("*").alias("__k"), F.first("__before").alias("__before"), F.first("__ranks").alias("__ranks")
     )
+    inside = Window.partitionBy(*by, "__slot").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = values.withColumn("__upto", F.col("__before") + F.sum("__k").over(inside))
+    hit = upto.withColumn("__hit", F.explode(F.filter(
+        "__ranks", lambda r: (r["rank"] <= F.col("__upto")) & (r["rank"] > F.col("__upto") - F.col("__k"))
+    )))
+    found = hit.groupBy(*by).agg(*[F.min(F.when(F.col("__hit.name") == name, F.col("__v"))).alias(name) for name in percents])
+    return _meet(ranges, found, by).select(*by, "n", "low", *percents, "high")
+
+
+def _meet(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of one class side by side, null being a class."""
+    other = b.select(*[F.col(k).alias(f"__of_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    terms = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys] or [F.lit(True)]
+    return a.join(other, functools.reduce(lambda x, y: x & y, terms)).drop(*[f"__of_{k}" for k in keys])
+
+
+def similarity_ranges(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Lowest, median and highest score of genuine and impostor comparisons, and the scores
+    that bound the middle nine tenths."""
+    return exact_quantiles(scores, by, "score", {"p05": 5, "median": 50, "p95": 95})
 
 
 def threshold_sweep(
@@ -118,29 +160,48 @@ def threshold_sweep(
     )
 
 
+def grid_level(box: str, cell: float) -> Column:
+    """How often ``cell`` has to be doubled to be as large as a box's longer side."""
+    side = F.greatest(F.col(f"{box}.width"), F.col(f"{box}.height"), F.lit(float(cell))) / cell
+    level = F.ceil(F.log2(side)).cast("int")
+    return level + F.when(F.pow(F.lit(2.0), level) < side, 1).otherwise(0)  # if the logarithm was rounded
+
+
+def grid_cells(df: DataFrame, others: list[int], cell: float, box: str = "box") -> DataFrame:
+    """Spread boxes over the cells of a hierarchical grid: at a box's own level, where it
+    takes four cells at most (nine at the rounding of an edge), and at those higher levels
+    where the other side has boxes."""
+    own = df.withColumn("__own", grid_level(box, cell))
+    higher = F.filter(F.lit(sorted(others)).cast("array<int>"), lambda x: x > F.col("__own"))
+    at = own.withColumn("__level", F.explode(F.concat(F.array("__own"), higher)))
+    size = F.pow(F.lit(2.0), F.col("__level")) * cell
+    span = lambda low, length: F.sequence(
+        F.floor(F.col(f"{box}.{low}") / size),
+        F.floor((F.col(f"{box}.{low}") + F.greatest(F.col(f"{box}.{length}"), F.lit(0.0))) / size),
+    )
+    return at.withColumn("__cx", F.explode(span("x", "width"))).withColumn("__cy", F.explode(span("y", "height")))
+
+
 def mask_coverage(
     masks: DataFrame, targets: DataFrame, key: str, cell: float = 64.0
 ) -> DataFrame:
     """Add ``covered``: some mask of the same page meets the target rectangle.
 
-    Both sides are spread over grid cells, so a page full of masks is compared cell by
-    cell. ``masks(key, box)``, ``targets(key, target_id, box)``.
+    Both sides lie in a grid whose cells double from level to level; a rectangle is in the
+    cells of the level that fits it, however large it is. Two rectangles meet at the level
+    of the larger one, so each is also put into its few cells of the higher levels the other
+    side uses: tens of rows at most for any rectangle. ``masks(key, box)``,
+    ``targets(key, target_id, box)``; a box with a NaN or infinite number meets nothing.
     """
-
-    def cells(df: DataFrame) -> DataFrame:
-        span = lambda lo, size: F.sequence(
-            F.floor(F.col(f"box.{lo}") / cell),
-            F.floor((F.col(f"box.{lo}") + F.greatest(F.col(f"box.{size}"), F.lit(0.0))) / cell),
-        )
-        return df.withColumn("__cx", F.explode(span("x", "width"))).withColumn(
-            "__cy", F.explode(span("y", "height"))
-        )
-
-    on_grid = cells(masks.where("box.width > 0 and box.height > 0").select(key, "box").distinct())
-    on_grid = on_grid.select(key, "__cx", "__cy", F.col("box").alias("mask"))
-    spread = cells(targets.select(key, "target_id", "box"))
+    finite = functools.reduce(lambda a, b: a & b, [F.abs(F.col(f"box.{c}")) < 1e300 for c in ("x", "y", "width", "height")])
+    masks = masks.where("box.width > 0 and box.height > 0").where(finite).select(key, "box").distinct()
+    held = targets.select(key, "target_id", "box").where(finite)
+    # one row each, of a number for every doubling there is at most
+    levels = [df.agg(F.collect_set(grid_level("box", cell))).first()[0] for df in (masks, held)]
+    on_grid = grid_cells(masks, levels[1], cell).select(key, "__level", "__cx", "__cy", F.col("box").alias("mask"), F.col("__own").alias("__mask"))
     met = (
-        spread.join(on_grid, [key, "__cx", "__cy"])
+        grid_cells(held, levels[0], cell).join(on_grid, [key, "__level", "__cx", "__cy"])
+        .where(F.col("__level") == F.greatest("__own", "__mask"))
         .where(boxes.intersects(F.col("mask"), F.col("box")))
         .select(key, "target_id")
         .distinct()

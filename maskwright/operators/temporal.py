@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from maskwright import settings
 from maskwright.operators import scan
-from maskwright.operators.tracking import run_in_order
+from maskwright.operators.tracking import run_in_order, with_segments
 
 
 def generations(events: DataFrame, keys: list[str], order: list[str], boundary: Column) -> DataFrame:
@@ -84,6 +84,42 @@ def degraded(
     )
 
 
+def lost_coverage(
+    rounds: DataFrame,
+    max_age_ms: int = settings.TRACK_MAX_AGE_MS,
+    forget_ms: int = 3_600_000,
+    streak: int = settings.FAIL_STREAK,
+    range_rows: int | None = None,
+) -> DataFrame:
+    """Rounds and the moments between them at which tracks grew too old, in one history.
+
+    ``rounds(video_id, captured_ms, seq, failed, live)``, ``live`` being the times at which
+    the tracks that live after the round were last seen. A track not seen again within
+    ``max_age_ms`` is lost one millisecond later (before a round of that time), unless a
+    round comes first: that row has ``lost``, and the round's ``seq``. Adds ``fail_streak``
+    and ``degraded``; a round after a pause of more than ``forget_ms`` starts afresh.
+    """
+    keys = ["video_id", "segment"]
+    cut_up = with_segments(
+        rounds.select("video_id", "captured_ms", "seq", "failed", "live"), ["video_id"], "captured_ms", "seq", forget_ms
+    )
+    backwards = cut_up.withColumn("__neg", -F.col("captured_ms")).withColumn("__tie", -F.col("seq"))
+    followed = scan.running(
+        backwards, ["video_id"], ["__neg", "__tie"], lasts={"__next": F.col("captured_ms")}, inclusive=False,
+        ranges=scan.plan_ranges(backwards, "__neg", range_rows),
+    )
+    gone = F.filter(F.array_distinct("live"), lambda t: F.col("__next").isNull() | (t + max_age_ms < F.col("__next")))
+    losses = followed.select(*keys, F.explode(gone).alias("__seen"), "seq").select(
+        *keys, (F.col("__seen") + max_age_ms + 1).alias("captured_ms"), F.lit(0).alias("__turn"), "seq",
+        F.lit(False).alias("failed"), F.lit(True).alias("lost"),
+    )
+    history = losses.unionByName(
+        cut_up.select(*keys, "captured_ms", F.lit(1).alias("__turn"), "seq", "failed", F.lit(False).alias("lost"))
+    )
+    marked = degraded(history, keys, ["captured_ms", "__turn", "seq"], F.col("failed"), F.col("lost"), streak, range_rows)
+    return marked.select("video_id", "captured_ms", "seq", "lost", "fail_streak", "degraded")
+
+
 def resource_latch(
     samples: DataFrame,
     keys: list[str],
@@ -176,3 +212,52 @@ def largest_videos(
     """The largest videos of each page, earlier arrivals first among equals."""
     order = Window.partitionBy(*keys).orderBy(F.desc("area"), arrival)
     return videos.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+ARRIVE, RESIZE, LEAVE = "arrive", "resize", "leave"
+
+
+def watch(watched: dict, kind: str, video, area, limit: int) -> list[tuple]:
+    """Apply one event to the videos a page watches, kept in the order they came to be so;
+    returns ``(is watched, evicted)`` for an arrival."""
+    if kind == LEAVE:
+        watched.pop(video, None)
+        return []
+    if video in watched:
+        watched[video] = area
+        return [(True, None)] if kind == ARRIVE else []
+    if kind != ARRIVE:
+        return []
+    evicted = None
+    if len(watched) >= limit:
+        smallest = min(watched, key=watched.get)  # the earliest among equals
+        if watched[smallest] >= area:
+            return [(False, None)]
+        evicted = smallest
+        del watched[smallest]
+    watched[video] = area
+    return [(True, evicted)]
+
+
+def watched_videos(events: DataFrame, limit: int = settings.MAX_TRACKED_VIDEOS) -> DataFrame:
+    """Which arriving videos a page watches, and which one each of them displaces.
+
+    ``events(page, at_ms, seq, kind, video, area)`` in order of (at_ms, seq): an ``arrive`` takes a
+    free place or that of the smallest watched video, by areas as they are then, if it is
+    larger; ``resize`` changes the area of a watched video and ``leave`` frees its place.
+    Returns ``(page, at_ms, seq, video, watched, evicted)`` of every arrival. A task streams
+    its pages in order with ``limit`` videos in memory.
+    """
+    kinds = {f.name: f.dataType for f in events.schema}
+    schema = T.StructType([
+        *(T.StructField(c, kinds[c]) for c in ("page", "at_ms", "seq", "video")),
+        T.StructField("watched", T.BooleanType()), T.StructField("evicted", kinds["video"]),
+    ])
+
+    def fold(state, row):
+        watched = {} if state is None else state
+        found = watch(watched, row.kind, row.video, row.area, limit)
+        return watched, [(row.page, row.at_ms, row.seq, row.video, *x) for x in found]
+
+    rows = events.select("page", "at_ms", "seq", "kind", "video", "area")
+    return run_in_order(rows, ["page"], ["at_ms", "seq"], fold, schema.fieldNames(), schema)

@@ -149,7 +149,7 @@ def run_in_order(
                     last, state = key, None
                 state, produced = fold(state, row)
                 out.extend(produced)
-            yield pd.DataFrame(out, columns=list(columns))
+            yield pd.DataFrame(out, columns=list(columns), dtype=object)
 
     return (
         df.repartition(*[F.col(k) for k in keys])

@@ -597,6 +597,30 @@ def mask_coverage(spark, folder):
     return reports.mask_coverage(masks, targets, "page").select("page", "covered")
 
 
+@query(
+    """
+    WITH m AS (SELECT DISTINCT l_suppkey AS page, l_partkey % 1000 * 5000.0::DOUBLE - 900000 AS x, l_orderkey % 977 * 3000.0::DOUBLE - 5 AS y,
+                 l_linenumber % 3 * pow(2.0::DOUBLE, l_orderkey % 31) AS w, pow(1.5::DOUBLE, l_partkey % 50) AS h FROM lineitem),
+    t AS (SELECT o_orderkey AS id, o_custkey % 7 AS page, o_custkey % 1000 * 5000.0::DOUBLE AS x, o_orderkey % 977 * 3000.0::DOUBLE AS y,
+                 pow(3.0::DOUBLE, o_orderkey % 17) - 1 AS w, 1.0::DOUBLE + o_custkey % 9000 AS h FROM orders)
+    SELECT id, EXISTS (SELECT 1 FROM m WHERE m.page = t.page AND m.w > 0 AND m.h > 0
+        AND m.x < t.x + t.w AND m.x + m.w > t.x AND m.y < t.y + t.h AND m.y + m.h > t.y) AS covered
+    FROM t"""
+)
+def mask_coverage_of_any_size(spark, folder):
+    """Masks and targets from one to some thousand million pixels wide."""
+    n = lambda c, m: F.col(c) % m
+    power = lambda base, e: F.pow(F.lit(base), e)
+    masks = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("page"), boxes.box(
+        n("l_partkey", 1000) * 5000.0 - 900000, n("l_orderkey", 977) * 3000.0 - 5,
+        n("l_linenumber", 3) * power(2.0, n("l_orderkey", 31)), power(1.5, n("l_partkey", 50)),
+    ).alias("box"))
+    targets = table(spark, folder, "orders").select(F.col("o_orderkey").alias("target_id"), n("o_custkey", 7).alias("page"), boxes.box(
+        n("o_custkey", 1000) * 5000.0, n("o_orderkey", 977) * 3000.0, power(3.0, n("o_orderkey", 17)) - 1, 1.0 + n("o_custkey", 9000),
+    ).alias("box"))
+    return reports.mask_coverage(masks, targets, "page").select(F.col("target_id").alias("id"), "covered")
+
+
 _CHIP_X = [f"(vec_id * {3 + i} % 8)::DOUBLE" for i in _N]
 _CHIP_Y = [f"(vec_id * {5 + i} % 8)::DOUBLE" for i in _N]
 _CHIP_TX = [f"({x * 16 / 112!r}::DOUBLE)" for x in _TX]

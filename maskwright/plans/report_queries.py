@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.functions import images
 from maskwright.lineage import table
 from maskwright.operators import enroll, manifest, reports
 from maskwright.plans.registry import query
@@ -227,6 +228,43 @@ def image_limits(spark, folder):
     )
 
 
+_SHAPE = "doc_id % 7 AS k, n_chars * 7 % 16384 AS w, (doc_id * 37 + n_chars) % 9000 AS h"
+
+
+@query(
+    f"""
+    WITH f AS (SELECT doc_id, {_SHAPE} FROM documents)
+    SELECT doc_id, CASE k WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'gif' WHEN 3 THEN 'bmp' ELSE 'webp' END AS kind,
+           w + (k > 4)::BIGINT AS width, h + (k > 4)::BIGINT AS height,
+           CASE WHEN (w + (k > 4)::BIGINT) * (h + (k > 4)::BIGINT) = 0 THEN 'empty-image'
+                WHEN (w + (k > 4)::BIGINT) * (h + (k > 4)::BIGINT) > 12000000 THEN 'too-many-pixels' ELSE 'ok' END AS fault
+    FROM f"""
+)
+def image_headers(spark, folder):
+    """A file header of each kind for every document, its size made of the document's; sizes
+    that WebP stores less one come out one larger."""
+    n = lambda c, size: F.lpad(F.hex(F.col(c)), 2 * size, "0")
+    little = lambda c, size: F.concat(*[F.substring(n(c, size), 2 * k + 1, 2) for k in range(size - 1, -1, -1)])
+    w, h = F.col("w"), F.col("h")
+    packed = F.concat(*[F.lpad(F.hex(b), 2, "0") for b in (w % 256, F.floor(w / 256) + h % 4 * 64, F.floor(h / 4) % 256, F.floor(h / 1024))])
+    # a JPEG with as many comments before its frame as the document's number gives it
+    comment = F.expr("repeat(concat('FFFFFE', '0006', 'FFC00011'), cast(doc_id % 9 as int))")
+    files = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), n("w", 4), n("h", 4), F.lit("0802000000")),
+        F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), comment, F.lit("FFC2001108"), n("h", 2), n("w", 2), F.lit("03011100")),
+        F.concat(F.lit("474946383961"), little("w", 2), little("h", 2), F.lit("F70000")),
+        F.concat(F.lit("424D00000000000000003600000028000000"), little("w", 4), little("h", 4), F.lit("01001800")),
+        F.concat(F.lit("52494646000000005745425056503820000000000000009D012A"), little("w", 2), little("h", 2), F.lit("0000")),
+        F.concat(F.lit("524946460000000057454250565038580A00000010000000"), little("w", 3), little("h", 3), F.lit("0000")),
+        F.concat(F.lit("5249464600000000574542505650384C000000002F"), packed, F.lit("0000")),
+    ]
+    docs = table(spark, folder, "documents").selectExpr("doc_id", *_SHAPE.split(", "))
+    held = docs.select("doc_id", F.unhex(F.element_at(F.array(*files), (F.col("k") + 1).cast("int"))).alias("content"))
+    size = images.image_size("content")
+    fault = media.image_fault(F.lit(1), F.lit("image/png"), F.col("size.width"), F.col("size.height"))
+    return held.select("doc_id", size.alias("size")).select("doc_id", "size.*", F.coalesce(fault, F.lit("ok")).alias("fault"))
+
+
 @query(
     """
     WITH f AS (SELECT doc_id, lang, base64(encode(text)) AS p, text FROM documents)

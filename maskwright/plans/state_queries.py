@@ -591,3 +591,87 @@ def frame_sampling(spark, folder):
         F.lit(False).alias("inflight"), (F.col("k") + 20).alias("width"), F.lit(64).alias("height"),
     )
     return tracking.sample_frames(frames, 12 * HOUR, 4 * HOUR).select("video_id", "seq")
+
+
+_ROUNDS = f"""
+    {_E}, ro AS (
+      SELECT video_id, ms, seq, event_type = 'error' AS failed,
+             CASE WHEN event_type = 'click' THEN [ms, ms - (k % 50) * 60000] WHEN event_type = 'view' THEN [ms - (k % 50) * 60000]
+                  ELSE []::BIGINT[] END AS live
+      FROM ev
+    )"""
+
+
+@query(
+    f"""
+    WITH {_ROUNDS},
+    p AS (SELECT *, lag(ms) OVER {_ORDERED} AS before, lead(ms) OVER {_ORDERED} AS nxt FROM ro),
+    g AS (SELECT *, sum((before IS NOT NULL AND ms - before > {12 * HOUR})::INTEGER) OVER {_ORDERED} AS segment FROM p),
+    gone AS (
+      SELECT video_id, segment, t + {HOUR} + 1 AS ms, 0 AS turn, seq, false AS failed, true AS lost
+      FROM (SELECT *, unnest(list_distinct(live)) AS t FROM g) WHERE nxt IS NULL OR t + {HOUR} < nxt
+    ),
+    h AS (SELECT * FROM gone UNION ALL SELECT video_id, segment, ms, 1, seq, failed, false FROM g),
+    i AS (SELECT *, sum((NOT failed AND NOT lost)::INTEGER) OVER (PARTITION BY video_id, segment ORDER BY ms, turn, seq) AS island FROM h)
+    SELECT video_id, ms AS captured_ms, seq, lost, (sum(failed::INTEGER) OVER w)::BIGINT AS fail_streak,
+           sum(failed::INTEGER) OVER w >= 3 OR sum(lost::INTEGER) OVER w > 0 AS degraded
+    FROM i WINDOW w AS (PARTITION BY video_id, segment, island ORDER BY ms, turn, seq)"""
+)
+def lost_coverage(spark, folder):
+    return temporal.lost_coverage(rounds_with_tracks(spark, folder), HOUR, 12 * HOUR)
+
+
+def rounds_with_tracks(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as detection rounds, with the times their live tracks were last seen."""
+    e = _events(spark, folder)
+    kind, older = F.col("event_type"), F.col("ms") - F.col("k") % 50 * 60000
+    live = F.when(kind == "click", F.array("ms", older)).when(kind == "view", F.array(older)).otherwise(F.array().cast("array<bigint>"))
+    return e.select("video_id", F.col("ms").alias("captured_ms"), "seq", (kind == "error").alias("failed"), live.alias("live"))
+
+
+@query(
+    """
+    WITH RECURSIVE e AS (
+      SELECT l_suppkey AS page, epoch_ms(l_shipdate) AS at_ms, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS seq, l_orderkey % 40 AS video,
+             floor(l_extendedprice / 2000) AS area,
+             CASE l_linenumber % 4 WHEN 2 THEN 'resize' WHEN 3 THEN CASE WHEN l_orderkey % 5 = 0 THEN 'leave' ELSE 'resize' END ELSE 'arrive' END AS kind
+      FROM lineitem
+    ),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY at_ms, seq) AS i FROM e),
+    r AS (
+      SELECT page, 0::BIGINT AS i, []::STRUCT(v BIGINT, a DOUBLE)[] AS held, NULL::BIGINT AS at_ms, NULL::BIGINT AS seq,
+             NULL::BIGINT AS video, NULL::BOOLEAN AS watched, NULL::BIGINT AS evicted
+      FROM (SELECT DISTINCT page FROM o)
+      UNION ALL
+      SELECT page, i,
+        CASE WHEN kind = 'leave' THEN list_filter(held, lambda x: x.v <> video)
+             WHEN inside THEN list_transform(held, lambda x: {'v': x.v, 'a': CASE WHEN x.v = video THEN area ELSE x.a END})
+             WHEN kind <> 'arrive' OR NOT room AND least >= area THEN held
+             ELSE list_append(list_filter(held, lambda x: room OR x.v <> loser), {'v': video, 'a': area}) END,
+        at_ms, seq, video, CASE WHEN kind = 'arrive' THEN inside OR room OR least < area END,
+        CASE WHEN kind = 'arrive' AND NOT inside AND NOT room AND least < area THEN loser END
+      FROM (
+        SELECT *, held[list_position(list_transform(held, lambda x: x.a), least)].v AS loser
+        FROM (
+          SELECT o.*, r.held, len(r.held) < 8 AS room, list_contains(list_transform(r.held, lambda x: x.v), o.video) AS inside,
+                 list_min(list_transform(r.held, lambda x: x.a)) AS least
+          FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1
+        )
+      )
+    )
+    SELECT page, at_ms, seq, video, watched, evicted FROM r WHERE watched IS NOT NULL"""
+)
+def watched_videos(spark, folder):
+    """Line items as arrivals, changes of size and departures of forty videos a page."""
+    return temporal.watched_videos(video_events(spark, folder))
+
+
+def video_events(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("l_linenumber") % 4
+    last = F.when(F.col("l_orderkey") % 5 == 0, temporal.LEAVE).otherwise(temporal.RESIZE)
+    return table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("page"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("at_ms"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"),
+        F.when(n == 2, temporal.RESIZE).when(n == 3, last).otherwise(temporal.ARRIVE).alias("kind"),
+        (F.col("l_orderkey") % 40).alias("video"), F.floor(F.col("l_extendedprice") / 2000).cast("double").alias("area"),
+    )

@@ -597,10 +597,14 @@ def threshold_sweep(spark, folder):
 
 
 @query(
-    f"""{_SCORES}
-    SELECT genuine, count(*) AS n, {sql.r6('min(score)')} AS low, {sql.r6('max(score)')} AS high
-    FROM sc GROUP BY genuine"""
+    f"""{_SCORES},
+    r AS (SELECT genuine, score, row_number() OVER (PARTITION BY genuine ORDER BY score) AS i, count(*) OVER (PARTITION BY genuine) AS n FROM sc)
+    SELECT genuine, count(*) AS n, {sql.r6('min(score)')} AS low, {sql.r6('max(score)')} AS high,
+           {sql.r6('max(score) FILTER (WHERE i = (5 * n + 99) // 100)')} AS p05,
+           {sql.r6('max(score) FILTER (WHERE i = (50 * n + 99) // 100)')} AS median,
+           {sql.r6('max(score) FILTER (WHERE i = (95 * n + 99) // 100)')} AS p95
+    FROM r GROUP BY genuine"""
 )
 def similarity_ranges(spark, folder):
     ranges = reports.similarity_ranges(_comparison_scores(spark, folder), ["genuine"])
-    return ranges.withColumn("low", r6(F.col("low"))).withColumn("high", r6(F.col("high")))
+    return ranges.select("genuine", "n", *(r6(F.col(c)).alias(c) for c in ("low", "p05", "median", "p95", "high")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright import settings
-from maskwright.functions import text
+from maskwright.functions import images, text
 
 
 def discover_media(
@@ -66,8 +66,10 @@ def read_image_bytes(
 ) -> tuple[DataFrame, DataFrame]:
     """Accepted files with content, and ``(path, reason)`` of refused ones.
 
-    Size tests read the file listing only, so a refused file is never opened. Spark's
-    file listing leaves empty files out, so they are in neither result.
+    Size tests read the file listing only, so a file refused by them is never opened; the
+    pixel cap reads the width and height in a file's header, before anything is decoded.
+    A file without a readable header is left to the decoder. Spark's file listing leaves
+    empty files out, so they are in neither result.
     """
     files = spark.read.format("binaryFile").load(path)
     if media_type is None:
@@ -79,9 +81,13 @@ def read_image_bytes(
             .when(ending == "", "")
             .otherwise("application/octet-stream")
         )
-    fault = image_fault(F.col("length"), media_type)
-    rejected = files.select("path", fault.alias("reason")).where("reason is not null")
-    return files.where(fault.isNull()).select("path", "length", "content"), rejected
+    listed = image_fault(F.col("length"), media_type)
+    sized = files.where(listed.isNull()).withColumn("__size", images.image_size("content"))
+    pixels = image_fault(F.col("length"), media_type, F.col("__size.width"), F.col("__size.height"))
+    rejected = files.where(listed.isNotNull()).select("path", listed.alias("reason")).unionByName(
+        sized.where(pixels.isNotNull()).select("path", pixels.alias("reason"))
+    )
+    return sized.where(pixels.isNull()).select("path", "length", "content"), rejected
 
 
 def decode_frames(frames: DataFrame, payload: str = "payload") -> DataFrame:

@@ -43,7 +43,7 @@ class TrackProcessor(StatefulProcessor):
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=list(TRACK_COLUMNS))
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.tracks.clear()
         yield pd.DataFrame([], columns=list(TRACK_COLUMNS))
 
