@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright import settings
 from maskwright.functions import text
 from maskwright.functions.bind import let
+from maskwright.operators import terms
 
 # The vocabulary and weights scores depend on. All of it can be replaced
 # by passing other Rules.
@@ -55,6 +58,14 @@ class Rules:
     suffix: float = 0.1
     co_subject: float = 0.5
 
+    def groups(self) -> list[tuple[str, str, float, tuple[str, ...]]]:
+        """The vocabulary as groups of a rule table (see ``terms.table``): a ``bonus`` is
+        added, a ``penalty`` multiplies, in the order of groups."""
+        return [
+            ("file", "bonus", self.composition, self.composition_terms),
+            *(("hay", "penalty", factor, terms) for terms, factor in self.negative),
+        ]
+
     def best_without_full_name(self) -> float:
         return max(self.all_tokens, self.coverage) + self.file_name + self.alias + self.composition
 
@@ -83,7 +94,9 @@ def _texts(name: Column, filename: Column, caption: Column) -> Column:
     )
 
 
-def _score(texts: Column, aliases: Column, rules: Rules) -> Column:
+def _score(texts: Column, aliases: Column, rules: Rules, found: tuple[Column, Column] | None = None) -> Column:
+    """``found``: bonuses and penalties of a rule table, in place of those of ``rules``."""
+
     def judge(t: Column) -> Column:
         hay, contig, file = t["hay"], t["contig"], t["file"]
         full, wanted, present = t["full"], t["want"], t["present"]
@@ -102,11 +115,15 @@ def _score(texts: Column, aliases: Column, rules: Rules) -> Column:
         score = score + F.when(
             F.when(hit, False).otherwise(F.coalesce(alias_hit, F.lit(False))), rules.alias
         ).otherwise(0.0)
-        score = score + F.when(
-            _any_term(file, rules.composition_terms), rules.composition
-        ).otherwise(0.0)
-        for terms, factor in rules.negative:
-            score = score * F.when(_any_term(hay, terms), factor).otherwise(1.0)
+        if found is None:
+            score = score + F.when(
+                _any_term(file, rules.composition_terms), rules.composition
+            ).otherwise(0.0)
+            for words, factor in rules.negative:
+                score = score * F.when(_any_term(hay, words), factor).otherwise(1.0)
+        else:
+            score = F.aggregate(found[0], score, lambda total, x: total + x)
+            score = F.aggregate(found[1], score, lambda total, x: total * x)
         following = F.split(F.trim(F.substring(contig, at + F.length(full), F.length(contig))), " ")[0]
         preceding = F.element_at(F.split(F.trim(F.substring(contig, F.lit(1), at - 1)), " "), -1)
         score = score * F.when(hit & following.isin(*SUFFIXES), rules.suffix).otherwise(1.0)
@@ -126,16 +143,27 @@ def score_candidates(
     aliases: DataFrame | None = None,
     rules: Rules = Rules(),
     floor: float | None = None,
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``score`` (0..1) to ``candidates(name, filename, caption, ...)``.
 
-    The page title is never scored. Without a contiguous full-name hit a score cannot
+    ``table`` is a rule table of the user's own (see ``terms``) for the targets ``hay``
+    (file name and caption, normalised) and ``file`` (file name, without single letters),
+    in place of the terms in ``rules``. The page title is never scored. Without a contiguous full-name hit a score cannot
     reach ``rules.best_without_full_name()``; when ``floor`` is above that, rows without
     the hit are dropped before the costly part.
     """
     rows = candidates
     texts = _texts(F.col("name"), F.col("filename"), F.col("caption"))
-    if floor is not None and floor > rules.best_without_full_name() + 1e-9:
+    if table is not None:
+        held = table.groupBy("group_ord").agg(F.first("kind").alias("kind"), F.first("weight").alias("weight")).orderBy("group_ord").collect()
+        bonuses = {r.group_ord: r.weight for r in held if r.kind == "bonus"}
+        best = dataclasses.replace(rules, composition=sum(max(0.0, w) for w in bonuses.values())).best_without_full_name()
+        penalties = {r.group_ord: r.weight for r in held if r.kind == "penalty"}
+        best *= math.prod(max(1.0, w) for w in penalties.values())
+    else:
+        best = rules.best_without_full_name()
+    if floor is not None and floor > best + 1e-9:
         hit = let(texts, lambda t: (t["full"] != "") & F.contains(t["contig"], t["full"]))
         rows = rows.where(hit)
     if aliases is not None:
@@ -144,7 +172,20 @@ def score_candidates(
         )
     else:
         rows = rows.withColumn("__aliases", F.array().cast("array<string>"))
-    scored = rows.withColumn("score", _score(texts, F.col("__aliases"), rules)).drop("__aliases")
+    found = None
+    if table is not None:
+        rows = terms.find_groups(
+            rows.withColumns({"__hay": let(texts, lambda t: t["hay"]), "__file": let(texts, lambda t: t["file"])}),
+            table.withColumn("target", F.concat(F.lit("__"), "target")), ["__hay", "__file"], "__groups",
+        )
+        weights = lambda of: F.transform(
+            F.filter("__groups", lambda g: g.isin(*of)) if of else F.array().cast("array<int>"),
+            lambda g: F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), g) if of else F.lit(1.0),
+        )
+        found = (weights(bonuses), weights(penalties))
+    scored = rows.withColumn("score", _score(texts, F.col("__aliases"), rules, found)).drop("__aliases")
+    if table is not None:
+        scored = scored.drop("__groups", "__hay", "__file")
     return scored if floor is None else scored.where(F.col("score") >= floor)
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text
 from maskwright.lineage import spread, table
-from maskwright.operators import gallery, ranking, reports
+from maskwright.operators import gallery, ranking, reports, terms
 from maskwright.plans import sql
-from maskwright.plans.registry import query
+from maskwright.plans.registry import ORACLES, query
 from maskwright.plans.rounding import r6
 from maskwright.sources import media, responses
 
@@ -284,6 +284,14 @@ def context_score(spark, folder):
     return scored.select("name", "source_ord", "ord", r6(F.col("score")).alias("score"))
 
 
+@query(ORACLES["context_score"])
+def context_score_by_table(spark, folder):
+    """The vocabulary as a user's table, compiled into one automaton."""
+    vocabulary = terms.table(spark, ranking.Rules().groups())
+    scored = ranking.score_candidates(_candidates(spark, folder), table=vocabulary)
+    return scored.select("name", "source_ord", "ord", r6(F.col("score")).alias("score"))
+
+
 @query(
     f"""
     WITH {_CANDIDATES},
