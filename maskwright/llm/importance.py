@@ -8,7 +8,8 @@ the corpus and of the target give each bucket a gain, a document's weight is the
 mean of its windows' gains, and a Gumbel term seeded by ``seed:doc_id`` is added; the
 highest scores are drawn, which samples without replacement by weight.
 
-A task hands on one histogram, whose size is fixed. Scores are whole numbers of a narrow
+Texts are split once; the windows' buckets are written, some two thirds of the text's
+bytes. A task hands on one histogram, whose size is fixed. Scores are whole numbers of a narrow
 range (logarithms of 64-bit counts), so ranks come from the counts per score and a window
 inside each drawn score; no task sees all documents.
 
@@ -61,19 +62,45 @@ class Features:
         return len(words), np.array(hashes, dtype=np.int64) % self.buckets
 
 
-def histogram(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, n_words: int = N_WORDS) -> DataFrame:
-    """``(bucket, n)``: windows per bucket, over all texts; empty buckets have no row."""
+def featured(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, n_words: int = N_WORDS) -> DataFrame:
+    """``docs`` without the text, with ``n_words`` and ``features``, the buckets of all
+    windows as 32-bit numbers, or 16-bit ones if they fit. Texts are split here only."""
+    kept = docs.drop("n_words", "features")
+    fields = [f for f in kept.schema if f.name != text]
+
+    def run(batches):
+        windows, kind = Features(buckets, n_words), _kind(buckets)
+        for batch in batches:
+            for part in tb.blocks(batch, text):
+                rows = [windows.of(value.as_py()) for value in part.column(text)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(f.name) for f in fields), pa.array([n for n, _ in rows], pa.int64()),
+                        pa.array([found.astype(kind).tobytes() for _, found in rows], pa.binary()),
+                    ],
+                    names=[*(f.name for f in fields), "n_words", "features"],
+                )
+
+    return kept.mapInArrow(run, tb.schema(fields, "n_words long, features binary"))
+
+
+def _kind(buckets: int):
+    return np.uint16 if buckets <= 1 << 16 else np.uint32
+
+
+def histogram(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``(bucket, n)``: windows per bucket, over all ``featured`` rows; empty buckets have
+    no row."""
 
     def run(batches):
-        features, total = Features(buckets, n_words), np.zeros(buckets, dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0):
-                total += np.bincount(features.of(value.as_py())[1], minlength=buckets)
+                total += np.bincount(np.frombuffer(value.as_py(), _kind(buckets)), minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
-    counted = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "bucket long, n long")
-    return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return found.select("features").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -100,28 +127,23 @@ def noise(seed: int = SEED, key: str = "doc_id") -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def weigh(docs: DataFrame, gain: np.ndarray, text: str = "text", n_words: int = N_WORDS) -> DataFrame:
-    """``docs`` without the text, with ``n_words``, ``n_features`` and ``weight``."""
-    kept = docs.drop("n_words", "n_features", "weight")
-    fields = [f for f in kept.schema if f.name != text]
-    held = docs.sparkSession.sparkContext.broadcast(gain)
+def weigh(found: DataFrame, gain: np.ndarray) -> DataFrame:
+    """``featured`` rows with ``n_features`` and ``weight`` in place of the features."""
+    kept = found.drop("n_features", "weight")
+    fields = [f for f in kept.schema if f.name != "features"]
+    held = found.sparkSession.sparkContext.broadcast(gain)
 
     def run(batches):
         table = held.value
-        features = Features(len(table), n_words)
         for batch in batches:
-            for part in tb.blocks(batch, text):
-                rows = []
-                for value in part.column(text):
-                    n, found = features.of(value.as_py())
-                    rows.append((n, len(found), int(table[found].sum()) // len(found) if len(found) else 0))
-                columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f.name) for f in fields), *columns],
-                    names=[*(f.name for f in fields), "n_words", "n_features", "weight"],
-                )
+            rows = [np.frombuffer(value.as_py(), _kind(len(table))) for value in batch.column("features")]
+            weight = [int(table[r].sum()) // len(r) if len(r) else 0 for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in fields), pa.array([len(r) for r in rows], pa.int64()), pa.array(weight, pa.int64())],
+                names=[*(f.name for f in fields), "n_features", "weight"],
+            )
 
-    return kept.mapInArrow(run, tb.schema(fields, "n_words long, n_features long, weight long"))
+    return kept.mapInArrow(run, tb.schema(fields, "n_features long, weight long"))
 
 
 def draw(weighed: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, seed: int = SEED, key: str = "doc_id") -> DataFrame:
@@ -156,8 +178,10 @@ def resample(
 ) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_features``, ``weight``, ``score`` and
     ``rank``, the place of the drawn ones in the order of the draw."""
-    found = gains(histogram(docs, text, buckets, n_words), histogram(target, text, buckets, n_words), buckets)
-    return draw(weigh(docs, found, text, n_words), percent, min_words, seed, key)
+    found = cut(featured(docs, text, buckets, n_words))
+    wanted = featured(target.select(F.col(f"`{text}`")), text, buckets, n_words)
+    gain = gains(histogram(found, buckets), histogram(wanted, buckets), buckets)
+    return draw(weigh(found, gain), percent, min_words, seed, key)
 
 
 def oracle() -> str:
