@@ -487,8 +487,10 @@ def top_k_cosines(
     k: int,
     broadcast_bytes: int = settings.BROADCAST_BYTES,
     block_rows: int | None = None,
+    pad: bool = False,
 ) -> DataFrame:
-    """The k highest cosines of each query within each identity, best first.
+    """The k highest cosines of each query within each identity, best first; with ``pad``
+    always k rows, of minus infinity where an identity has fewer vectors.
 
     Columns ``query_id, identity_id, rank, cosine``; queries are normalised, gallery
     rows are taken as they are. Each task keeps k scores per (query, identity), and
@@ -548,13 +550,21 @@ def top_k_cosines(
         block_rows = block_rows or max(1, broadcast_bytes // (4 * max(1, size["w"])))
         partial = _meet_in_parts(queries, rows, top, schema, block_rows, size["n"])
     best = Window.partitionBy("query_id", "identity_ord").orderBy(F.desc("cosine"))
-    names = gallery.select("identity_ord", "identity_id").distinct()
-    return (
+    names = gallery.groupBy("identity_ord", "identity_id").agg(F.count("*").alias("__held"))
+    ranked = (
         partial.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .join(names, "identity_ord")
-        .select("query_id", "identity_id", "rank", "cosine")
     )
+    if pad:  # the last row of an identity with fewer than k also stands for what is missing
+        missing = F.when(
+            (F.col("rank") == F.col("__held")) & (F.col("__held") < k), F.sequence(F.col("rank"), F.lit(k))
+        ).otherwise(F.array("rank"))
+        ranked = ranked.withColumn("__rank", F.explode(missing)).select(
+            "query_id", "identity_id", F.col("__rank").cast("int").alias("rank"),
+            F.when(F.col("__rank") == F.col("rank"), F.col("cosine")).otherwise(F.lit(float("-inf"))).alias("cosine"),
+        )
+    return ranked.select("query_id", "identity_id", "rank", "cosine")
 
 
 def enabled_only(media: DataFrame, meta: DataFrame, identity_count: int | None = None) -> DataFrame:

@@ -301,6 +301,23 @@ def top_k_cosines(spark, folder):
     )
 
 
+@query(
+    f"""
+    WITH RECURSIVE {_PROTOTYPES}, {_MATCH_TAIL},
+    r AS (SELECT query_id, label, s, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC) AS rn FROM s),
+    w AS (SELECT DISTINCT query_id, label, unnest(range(1, 12)) AS rn FROM s)
+    SELECT query_id AS vec_id, 'label-' || label AS identity_id, rn::INTEGER AS rank,
+           coalesce({sql.r6('s')}, '-inf'::DOUBLE) AS cosine
+    FROM w LEFT JOIN r USING (query_id, label, rn)"""
+)
+def top_k_padded(spark, folder):
+    """Eleven places for the eight prototypes of each label."""
+    gallery = _label_gallery(_prototype_rows(spark, folder), "prototype")
+    top = matching.top_k_cosines(_queries(spark, folder), gallery, 11, pad=True)
+    cosine = F.when(F.col("cosine") == float("-inf"), F.col("cosine")).otherwise(r6(F.col("cosine")))
+    return top.select(F.col("query_id").alias("vec_id"), "identity_id", "rank", cosine.alias("cosine"))
+
+
 def _one_group(spark: SparkSession, folder: str) -> DataFrame:
     return _vectors(spark, folder).select(
         F.lit("all").alias("name"), F.col("vec_id").alias("ord"), "embedding"
