@@ -8,7 +8,8 @@ counted first:
 * other groups up to ``group_rows`` go through one grouped task each;
 * larger groups run in rounds of block-pair tasks: a row with no earlier undecided
   conflict is kept, rows conflicting with a kept one leave. Only flags cross a
-  shuffle, so a group of near copies costs its rows, not its pairs.
+  shuffle, so a group of near copies costs its rows, not its pairs. Boxes only meet those
+  they share a cell of a hierarchical grid with, block pair by block pair in a full cell.
 
 All three give the same, order-defined result.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from maskwright import settings
 from maskwright.functions import boxes
 from maskwright.lineage import cut
-from maskwright.operators import blocks
+from maskwright.operators import blocks, grid
 from maskwright.operators.scan import rank_in_group
 
 # conflict(a, b) -> bool matrix [len(a), len(b)]
@@ -100,13 +101,46 @@ def _grouped(df: DataFrame, keys: list[str], conflict: Conflict) -> DataFrame:
     return df.select(*keys, "__ord", "__features", "__fixed").groupBy(*keys).applyInArrow(select, kept)
 
 
-def _pair_flag(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int) -> DataFrame:
+_CELL = ["__level", "__cx", "__cy"]
+_CELL_PX = 32.0
+
+
+def _bounds(df: DataFrame) -> DataFrame:
+    """The box of each row's features with sides that are not negative, as ``__box``."""
+    f = F.col("__features")
+    return df.withColumn("__box", boxes.box(
+        F.least(f[0], f[0] + f[2]), F.least(f[1], f[1] + f[3]), F.abs(f[2]), F.abs(f[3])
+    ))
+
+
+def _levels(df: DataFrame) -> list[int] | None:
+    """The grid levels that boxes take (one number for every doubling at most); None if a box
+    has no end, which the grid cannot hold."""
+    wild = F.exists("__features", lambda x: F.abs(x) == float("inf"))
+    known = ~F.exists("__features", F.isnan)
+    found = _bounds(df.where(known)).agg(
+        F.collect_set(F.when(~wild, grid.grid_level("__box", _CELL_PX))).alias("levels"), F.max(wild).alias("wild")
+    ).first()
+    return None if found["wild"] else found["levels"]
+
+
+def _in_cells(df: DataFrame, levels: list[int]) -> DataFrame:
+    """Rows in the grid's cells; a box with a NaN number conflicts with none and is in none."""
+    known = _bounds(df.where(~F.exists("__features", F.isnan)))
+    return grid.grid_cells(known, levels, _CELL_PX, "__box").drop("__box", "__own")
+
+
+def _pair_flag(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int, levels: list[int] | None = None) -> DataFrame:
     """Rows of role 'test' having an earlier conflicting row of role 'against' or 'test'.
 
-    ``__against`` marks rows that may block, ``__test`` rows that may be blocked.
+    ``__against`` marks rows that may block, ``__test`` rows that may be blocked. With
+    ``levels`` features are boxes, and only boxes of one grid cell meet.
     """
+    spots = keys
+    if levels is not None:
+        df, spots = _in_cells(df, levels), [*keys, *_CELL]
     out = T.StructType([*[df.schema[k] for k in keys], T.StructField("__ord", T.LongType())])
-    spread = blocks.pair_blocks(df, keys, "__ord", block_rows)
+    spread = blocks.pair_blocks(df, spots, "__ord", block_rows)
 
     def flag(task: pa.Table) -> pa.Table:
         ords = task["__ord"].to_numpy()
@@ -127,17 +161,18 @@ def _pair_flag(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: i
                 hit[b] |= c.any(axis=0)
         return task.select([*keys, "__ord"]).filter(pa.array(hit))
 
-    columns = [*keys, "__ord", "__features", "__against", "__test", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]
+    columns = [*spots, "__ord", "__features", "__against", "__test", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]
     return (
         spread.select(*columns)
-        .groupBy(*keys, blocks.LEFT, blocks.RIGHT)
+        .groupBy(*spots, blocks.LEFT, blocks.RIGHT)
         .applyInArrow(flag, out)
         .distinct()
     )
 
 
-def _rounds(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int) -> DataFrame:
+def _rounds(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int, boxed: bool = False) -> DataFrame:
     id_columns = [*keys, "__ord"]
+    levels = _levels(df) if boxed else None
     kept = df.where("__fixed").select(*id_columns)
     open_rows = df.where("not __fixed")
     # Fixed rows block wherever they stand, so they act as earlier than everything.
@@ -145,10 +180,10 @@ def _rounds(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int)
     first = fixed.withColumn("__against", F.lit(True)).withColumn("__test", F.lit(False)).unionByName(
         open_rows.withColumn("__against", F.lit(False)).withColumn("__test", F.lit(True))
     )
-    open_rows = cut(open_rows.join(_pair_flag(first, keys, conflict, block_rows), id_columns, "left_anti"))
+    open_rows = cut(open_rows.join(_pair_flag(first, keys, conflict, block_rows, levels), id_columns, "left_anti"))
     while not open_rows.isEmpty():
         both = open_rows.withColumn("__against", F.lit(True)).withColumn("__test", F.lit(True))
-        waiting = _pair_flag(both, keys, conflict, block_rows)
+        waiting = _pair_flag(both, keys, conflict, block_rows, levels)
         state = cut(
             open_rows.join(waiting.withColumn("__waits", F.lit(True)), id_columns, "left").withColumn(
                 "__waits", F.coalesce("__waits", F.lit(False))
@@ -156,7 +191,7 @@ def _rounds(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int)
         )
         kept = kept.unionByName(state.where("not __waits").select(*id_columns))
         roles = state.withColumn("__against", ~F.col("__waits")).withColumn("__test", F.col("__waits"))
-        removed = _pair_flag(roles.drop("__waits"), keys, conflict, block_rows)
+        removed = _pair_flag(roles.drop("__waits"), keys, conflict, block_rows, levels)
         open_rows = cut(
             state.where("__waits").drop("__waits").join(removed, id_columns, "left_anti")
         )
@@ -172,9 +207,11 @@ def keep_first_come(
     fixed: Column | None = None,
     group_rows: int = settings.GROUP_ROWS,
     block_rows: int = settings.BLOCK_ROWS,
+    boxed: bool = False,
 ) -> DataFrame:
     """``(keys, order)`` of the kept rows. ``order`` is an integer unique within a group;
-    ``features`` an array the conflict test reads; ``fixed`` rows are kept whatever happens."""
+    ``features`` an array the conflict test reads; ``fixed`` rows are kept whatever happens.
+    ``boxed``: features are boxes (x, y, width, height) that only conflict if they share a point."""
     named = df.select(
         *keys,
         F.col(order).cast("bigint").alias("__ord"),
@@ -184,7 +221,7 @@ def keep_first_come(
     small, large = blocks.split_by_size(named, keys, group_rows)
     kept = _grouped(small, keys, conflict)
     if large is not None:
-        kept = kept.unionByName(_rounds(large, keys, conflict, block_rows))
+        kept = kept.unionByName(_rounds(large, keys, conflict, block_rows, boxed))
     return kept.withColumnRenamed("__ord", order)
 
 
@@ -238,7 +275,7 @@ def keep_first_boxes(
     ranked = cut(rank_in_group(large, keys, order, "__rank"))
     flag = F.lit(False) if fixed is None else fixed
     kept = keep_first_come(
-        ranked, keys, "__rank", box_features(F.col(box)), matrix_conflict, flag, group_rows, block_rows
+        ranked, keys, "__rank", box_features(F.col(box)), matrix_conflict, flag, group_rows, block_rows, boxed=True
     )
     survivors = ranked.join(kept, [*keys, "__rank"], "left_semi")
     again = rank_in_group(survivors, keys, [F.col("__rank")], "kept_ord").drop("__rank")

@@ -123,3 +123,39 @@ def test_odd_boxes_give_one_answer_on_every_path(spark):
         kept = [sorted(r.place for r in run(sizes).collect()) for sizes in paths]
         assert kept[0] == kept[1] == kept[2]
         assert {1, 3, 8} <= set(kept[0])
+
+
+def test_boxes_of_a_large_group_only_meet_in_their_cells(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from maskwright.functions import boxes
+    from maskwright.operators import detections, greedy
+
+    rng = np.random.default_rng(7)
+    n = 400
+    x, y = rng.uniform(-4000, 4000, (2, n))
+    w, h = 2.0 ** rng.uniform(0, 9, (2, n))
+    w[::17] *= -1
+    x[5], w[6] = np.nan, np.nan
+    x[-60:], y[-60:], w[-60:], h[-60:] = 10.0, 20.0, 30.0, 40.0  # a pile in one cell
+    rows = [(1, k, *map(float, v)) for k, v in enumerate(zip(x, y, w, h))]
+    met = []
+    real = greedy.blocks.pair_blocks
+
+    def counted(df, keys, order, block_rows):
+        met.append((list(keys), df.select("__ord").count()))
+        return real(df, keys, order, block_rows)
+
+    monkeypatch.setattr(greedy.blocks, "pair_blocks", counted)
+
+    def kept(more=(), **sizes):
+        df = spark.createDataFrame([*rows, *more], "media_id int, i int, x double, y double, w double, h double").select(
+            "media_id", "i", boxes.box(*map(F.col, "xywh")).alias("box"), (F.lit(1.0) - F.col("i") / 1e4).alias("score"))
+        return {r.i for r in detections.suppress(df, ["media_id"], ["i"], 0.1, **sizes).collect()}
+
+    rounds = {"fold_rows": 1, "group_rows": 5, "block_rows": 9}
+    assert kept(**rounds) == kept(fold_rows=1) and met and all("__cx" in keys for keys, _ in met)
+    met.clear()
+    endless = [(1, 1000, 0.0, 0.0, float("inf"), 5.0)]
+    assert kept(endless, **rounds) == kept(endless, fold_rows=1) and all("__cx" not in keys for keys, _ in met)
