@@ -8,8 +8,9 @@ counted first:
 * other groups up to ``group_rows`` go through one grouped task each;
 * larger groups run in rounds of block-pair tasks: a row with no earlier undecided
   conflict is kept, rows conflicting with a kept one leave. Only flags cross a
-  shuffle, so a group of near copies costs its rows, not its pairs. Boxes only meet those
-  they share a cell of a hierarchical grid with, block pair by block pair in a full cell.
+  shuffle, so a group of near copies costs its rows, not its pairs. Boxes of groups of many
+  blocks only meet those they share a cell of a hierarchical grid with, block pair by block
+  pair in a full cell.
 
 All three give the same, order-defined result.
 """
@@ -103,6 +104,8 @@ def _grouped(df: DataFrame, keys: list[str], conflict: Conflict) -> DataFrame:
 
 _CELL = ["__level", "__cx", "__cy"]
 _CELL_PX = 32.0
+#: Blocks of a group from which on its boxes are spread over the grid.
+GRID_BLOCKS = 8
 
 
 def _bounds(df: DataFrame) -> DataFrame:
@@ -220,8 +223,12 @@ def keep_first_come(
     )
     small, large = blocks.split_by_size(named, keys, group_rows)
     kept = _grouped(small, keys, conflict)
+    if large is not None and boxed:  # a few blocks meet faster than many cells
+        large, huge = blocks.split_by_size(large, keys, GRID_BLOCKS * block_rows)
+        if huge is not None:
+            kept = kept.unionByName(_rounds(huge, keys, conflict, block_rows, True))
     if large is not None:
-        kept = kept.unionByName(_rounds(large, keys, conflict, block_rows, boxed))
+        kept = kept.unionByName(_rounds(large, keys, conflict, block_rows))
     return kept.withColumnRenamed("__ord", order)
 
 
