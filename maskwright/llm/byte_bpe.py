@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
-from itertools import chain, islice
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from maskwright.llm import textbytes as tb
 
 LONG_PIECE = 128
-CACHE_PIECES = 200_000
+CACHE_PIECES = 600_000
 STEP_ROWS = 1_500_000
 DECODE_IDS = 250_000
 
@@ -188,17 +188,20 @@ class Codec(Decoder):
         self.ints = list(range(int(tables.ids.max()) + 1))  # one object per id, shared by the cache
         self.whole = dict(zip(tables.tokens, (self.ints[i] for i in tables.ids.tolist())))
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # of which those still met come back
         left, right, rank = tables.merges.astype(np.int64).T
         self._load("merges", {"lr": (left << 32) | right, "id": rank})
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not in the cache; afterwards all of ``pieces`` are."""
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
-            for piece in list(islice(self.cache, len(self.cache) // 2)):
-                del self.cache[piece]
+        if len(self.cache) + len(pieces) > CACHE_PIECES // 2:
+            self.older, self.cache = self.cache, {}
         fresh, raw = [], []
         for piece in pieces:
             if piece not in self.cache:
+                if (seen := self.older.get(piece)) is not None:
+                    self.cache[piece] = seen
+                    continue
                 data = piece.encode()
                 if (known := self.whole.get(data)) is not None:
                     self.cache[piece] = (known,)
