@@ -14,8 +14,9 @@ and 50 at most. It finds repeats inside longer lines, or laid out in shorter one
 hold or nearly hold a piece; a shorter one may lie across two. Pieces are only compared
 with pieces, as they lie in the lines.
 
-Only classes that share a band with another class have their shingles built and shipped.
-Band groups with the same members are compared once. A group of more than ``group_rows``
+Texts are read once for the band keys. Classes that share one, or have copies, make a Bloom
+filter of fixed size, and only paragraphs it lets through are looked at again; texts never
+cross a shuffle. Band groups with the same members are compared once. A group of more than ``group_rows``
 classes is cut into chunks and each pair of chunks is a task of its own, so memory is
 bounded; a task returns one spanning star per linked set, never its pairs.
 
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.lineage import cut
+from maskwright.llm import bloom
 from maskwright.llm import textbytes as tb
 from maskwright.operators.components import connected_components
 
@@ -46,6 +48,7 @@ MIN_WORDS = 20
 GROUP_ROWS = 256
 RADIUS = 12
 MAX_PIECE = 50
+RECENT = 100_000
 
 _STEP = 0xD6E8FEB86659FD93
 _SECOND = np.uint64(_STEP)
@@ -105,6 +108,14 @@ class Paragraphs:
         newlines = np.concatenate(([0], np.cumsum(data == 0x0A)))
         self.line = newlines[lines[:-1][used]] - newlines[bounds[:-1]][self.text]
 
+    def only(self, at: np.ndarray) -> Paragraphs:
+        """Some of the paragraphs, in the same words."""
+        out = object.__new__(Paragraphs)
+        out.words = self.words
+        for name in ("first", "n_words", "word", "text", "line"):
+            setattr(out, name, getattr(self, name)[at])
+        return out
+
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each paragraph's word sequence."""
         last = self.first + self.n_words
@@ -128,6 +139,8 @@ class Paragraphs:
         return out, upto
 
     def bands(self, size: int, bands: int, rows: int) -> np.ndarray:
+        if not len(self.first):
+            return np.zeros((0, bands), dtype=np.uint64)
         hashes, upto = self.shingles(size)
         out = np.zeros((len(self.first), bands), dtype=np.uint64)
         for k in range(bands * rows):
@@ -141,35 +154,70 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def paragraphs(docs: DataFrame, min_words: int, size: int, bands: int, rows: int, pieces: bool = False) -> DataFrame:
-    """``(doc_id, line, word, n_words, a, b, bands)`` of every paragraph; (a, b) is its class."""
+def paragraphs(docs: DataFrame, min_words: int, size: int, pieces: bool, wanted) -> DataFrame:
+    """``(doc_id, line, word, n_words, a, b, id)`` of the paragraphs whose class may be in the
+    filter ``wanted``; (a, b) is a paragraph's class, ``id`` one number of both."""
 
     def run(batches):
         for batch in batches:
             for part in tb.blocks(batch, "text"):
                 found = Paragraphs(part.column("text"), min_words, size * pieces)
-                if not len(found.first):
+                ids = class_id(*found.classes())
+                at = np.flatnonzero(bloom.has(wanted.value, ids))
+                if not len(at):
                     continue
-                a, b = found.classes()
-                keys = found.bands(size, bands, rows)
-                offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands)
+                found, ids = found.only(at), ids[at]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(found.text)),
                         *(pa.array(x.astype(np.int32)) for x in (found.line, found.word, found.n_words)),
-                        _signed(a), _signed(b), pa.ListArray.from_arrays(offsets, _signed(keys.ravel())),
+                        *map(_signed, [*found.classes(), ids]),
                     ],
-                    names=["doc_id", "line", "word", "n_words", "a", "b", "bands"],
+                    names=["doc_id", "line", "word", "n_words", "a", "b", "id"],
                 )
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, line int, word int, n_words int, a long, b long, bands array<long>"
-    )
+    return _usable(docs).mapInArrow(run, "doc_id long, line int, word int, n_words int, a long, b long, id long")
+
+
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+
+
+def class_id(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number of a class's two."""
+    return tb.chain(a, b)
+
+
+def band_keys(docs: DataFrame, min_words: int, size: int, bands: int, rows: int, pieces: bool = False) -> DataFrame:
+    """``(key, id)``: the band keys of every class. A task gives them once for many copies of
+    a class: those of a block, and of the ``RECENT`` classes it has met; that there are
+    copies is told by two equal rows, under the class itself as a key."""
+
+    def run(batches):
+        recent = np.zeros(0, dtype=np.uint64)
+        for batch in batches:
+            for part in tb.blocks(batch, "text"):
+                found = Paragraphs(part.column("text"), min_words, size * pieces)
+                if not len(found.first):
+                    continue
+                ids, at, copies = np.unique(class_id(*found.classes()), return_index=True, return_counts=True)
+                met = np.isin(ids, recent)
+                repeated = ids[met | (copies > 1)]
+                ids, at = ids[~met], at[~met]
+                recent = np.concatenate((recent, ids))[-RECENT:]
+                keys = found.only(at).bands(size, bands, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(np.concatenate((keys.ravel(), repeated, repeated))), _signed(np.concatenate((np.repeat(ids, bands), repeated, repeated)))],
+                    names=["key", "id"],
+                )
+
+    return _usable(docs).mapInArrow(run, "key long, id long")
 
 
 def _groups(limit: int):
     """From rows sorted by key: members of keys with several, under a group id that is
-    equal for equal sets of up to ``limit`` members; larger sets keep their key."""
+    equal for equal sets of up to ``limit`` members; larger sets keep their key. A member
+    that is there twice is a class with copies, and comes out without a group too."""
 
     def flush(key, members, closed):
         if closed and len(members) < 2:
@@ -179,12 +227,29 @@ def _groups(limit: int):
         return np.full(len(ids), group, dtype=np.uint64 if group >= 0 else np.int64).view(np.int64), ids.view(np.int64)
 
     def run(batches):
-        key, members, large = None, [], False
+        key, members, large, before = None, [], False, (None, None)
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             keys, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            new = np.ones(len(keys), dtype=bool)  # a class that several tasks have named
+            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            new[:1] &= [(k, i) != before for k, i in zip(keys[:1].tolist(), ids[:1].tolist())]
+            before = (int(keys[-1]), int(ids[-1])) if len(keys) else before
+            if not new.all():
+                twice = pa.array(np.unique(ids[~new]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(twice), pa.int64()), twice], names=["grp", "id"])
+            keys, ids = keys[new], ids[new]
+            if not len(keys):
+                continue
             heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            for a, b in zip(heads, np.append(heads[1:], len(keys))):
+            ends = np.append(heads[1:], len(keys))
+            if key is not None and keys[0] != key:
+                if members and (got := flush(key, members, not large)) is not None:
+                    out.append(got)
+                key, members, large = None, [], False
+            # keys of one class hold no pair; the last one of a batch may go on in the next
+            live = np.flatnonzero((ends - heads > 1) | (ends == len(keys)) | (heads == 0))
+            for a, b in zip(heads[live].tolist(), ends[live].tolist()):
                 if key is not None and keys[a] == key:
                     members.extend(ids[a:b].tolist())
                 else:
@@ -212,9 +277,10 @@ def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     common = np.zeros((m, m), dtype=np.float64)
     order = np.argsort(ids, kind="stable")
     ids, owner = ids[order], owner[order]
-    for low in range(0, int(ids[-1]) + 1, 4096):
-        a, b = np.searchsorted(ids, (low, low + 4096))
-        block = np.zeros((m, 4096), dtype=np.float32)
+    width = min(4096, int(ids[-1]) + 1)
+    for low in range(0, int(ids[-1]) + 1, width):
+        a, b = np.searchsorted(ids, (low, low + width))
+        block = np.zeros((m, width), dtype=np.float32)
         block[owner[a:b], ids[a:b] - low] = 1
         common += block @ block.T
     linked = common >= similarity * (sizes[:, None] + sizes[None] - common)
@@ -258,27 +324,22 @@ def _links(rows):
     )
 
 
-def _shingles_of(docs: DataFrame, wanted: DataFrame, min_words: int, size: int, pieces: bool) -> DataFrame:
-    """``(id, shingles)``: the sorted shingle set of each wanted ``(id, doc_id, line, word)``."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "word", "id")).alias("wanted"))
-    needed = docs.select(F.col("doc_id").cast("long"), "text").join(per_doc, "doc_id")
+def _shingles_of(docs: DataFrame, wanted, min_words: int, size: int, pieces: bool) -> DataFrame:
+    """``(id, shingles)``: the sorted shingle set of each class that may be in ``wanted``."""
 
     def run(batches):
         for batch in batches:
             for part in tb.blocks(batch, "text"):
                 found = Paragraphs(part.column("text"), min_words, size * pieces)
-                hashes, upto = found.shingles(size) if len(found.first) else (None, None)
-                place = {at: k for k, at in enumerate(zip(found.text.tolist(), found.line.tolist(), found.word.tolist()))}
-                ids, sets = [], []
-                for row, own in enumerate(part.column("wanted").to_pylist()):
-                    for item in own:
-                        k = place.get((row, item["line"], item["word"]))
-                        if k is not None:
-                            ids.append(item["id"])
-                            sets.append(np.unique(hashes[upto[k] : upto[k + 1]]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                ids, at = np.unique(class_id(*found.classes()), return_index=True)
+                keep = bloom.has(wanted.value, ids)
+                if not keep.any():
+                    continue
+                hashes, upto = found.only(at[keep]).shingles(size)
+                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([_signed(ids[keep]), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return needed.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    return _usable(docs).mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def find_repeats(
@@ -312,19 +373,17 @@ def _repeats(
     docs: DataFrame, pieces: bool, min_words: int, similarity: float, recall: float, size: int, max_hashes: int, group_rows: int
 ) -> DataFrame:
     bands, rows = tune(similarity, recall, max_hashes)
-    found = paragraphs(docs.select("doc_id", "text"), min_words, size, bands, rows, pieces)
-    classes = cut(
-        found.groupBy("a", "b").agg(
-            F.min(F.struct("doc_id", "line", "word")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")
-        ).withColumn("id", F.xxhash64("a", "b"))
-    )
-    members = (
-        classes.select(F.explode("bands").alias("key"), "id")
-        .repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups(group_rows), "grp long, id long")
+    docs = docs.select("doc_id", "text")
+    grouped = cut(
+        band_keys(docs, min_words, size, bands, rows, pieces)
+        .repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups(group_rows), "grp long, id long").distinct()
     )
-    members = cut(members.distinct())
-    wanted = classes.join(members.select("id").distinct(), "id").select("id", "first.doc_id", "first.line", "first.word")
-    shingles = cut(_shingles_of(docs, wanted, min_words, size, pieces))
+    members = grouped.where("grp is not null")
+    found = paragraphs(docs, min_words, size, pieces, bloom.build(grouped.select("id").distinct()))
+    classes = cut(found.groupBy("a", "b").agg(
+        F.min(F.struct("doc_id", "line", "word")).alias("first"), F.count("*").alias("n"), F.first("id").alias("id")
+    ))
+    shingles = cut(_shingles_of(docs, bloom.build(members.select("id").distinct()), min_words, size, pieces))
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / (group_rows / 2)).cast("int").alias("chunks"))
     dealt = members.join(cut(sizes), "grp").withColumn(
         "own", F.pmod(F.xxhash64("id", "grp"), F.col("chunks")).cast("int")

@@ -103,3 +103,24 @@ def test_pieces_cover_all_words_once():
     for text in (hashes, hashes[:12], hashes[:3], hashes[:0], np.repeat(hashes[:1], 333)):
         sizes = np.diff(np.append(pdup.piece_starts(text, 5), len(text)))
         assert sizes.sum() == len(text) and (sizes <= 50).all() and (len(text) < 5 or (sizes >= 5).all())
+
+
+def test_recall_of_passages_inside_lines_and_across_them(spark):
+    """Passages of 51 to 150 words, each planted in two documents: in the middle of a long
+    line, or across lines of some words. One is found if a piece of it is removed."""
+    rng = np.random.default_rng(11)
+    fill = lambda n: [f"u{k}" for k in rng.integers(0, 1 << 40, n)]
+    rows, sizes = [], {}
+    for k in range(400):
+        passage = fill(int(rng.integers(51, 151)))
+        sizes[k] = len(passage)
+        width = int(rng.integers(3, 15))
+        lines = "\n".join(" ".join(passage[i : i + width]) for i in range(0, len(passage), width))
+        shapes = [" ".join(passage), lines if k % 2 else " ".join(passage)]
+        for n, text in enumerate(shapes):
+            rows.append((2 * k + n, f"{' '.join(fill(int(rng.integers(20, 200))))} {text} {' '.join(fill(int(rng.integers(20, 200))))}"))
+    found = pdup.find_pieces(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    assert all(r.keep_doc_id == r.doc_id - 1 for r in found)
+    caught = {r.doc_id // 2 for r in found}
+    by_layout = [np.mean([k in caught for k in sizes if k % 2 == odd]) for odd in (0, 1)]
+    assert min(by_layout) >= 0.9, by_layout
