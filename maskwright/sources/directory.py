@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,25 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_gallery(
-    folder: str, revision: int, gallery: DataFrame, identities: DataFrame, enabled: bool = True
+    folder: str, revision: int, gallery: DataFrame, identities: DataFrame, enabled: bool = True, retry: bool = False
 ) -> None:
     """One directory per revision; the small state row is written last, so a revision
-    without it was never committed."""
+    without it was never committed.
+
+    A revision is claimed by creating a file that must not exist, so of several writers of
+    one revision all but the first get an error, and a committed one is never written again.
+    ``retry`` takes over a claim whose writer failed before it committed.
+    """
+    spark = gallery.sparkSession
+    if revision in _revisions(spark, folder):
+        raise ValueError(f"revision {revision} is committed already")
     base = f"{folder}/revision={revision}"
+    claim = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/_claim")
+    fs = claim.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        fs.create(claim, retry).close()
+    except Py4JJavaError as error:
+        raise ValueError(f"revision {revision} is being written by another") from error
     gallery.write.mode("overwrite").parquet(f"{base}/gallery")
     identities.write.mode("overwrite").parquet(f"{base}/identity")
     state = gallery.sparkSession.createDataFrame([(enabled, revision)], META)

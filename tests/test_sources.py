@@ -37,6 +37,15 @@ def test_gallery_store_revisions(spark, tmp_path):
     assert (gallery.first().ord, tuple(meta.first())) == (2, (False, 2))
     assert directory.read_gallery(spark, folder, 1)[0].first().ord == 1
     assert directory.redacted_view(meta).columns == ["enabled", "revision"]
+    with pytest.raises(ValueError, match="committed already"):
+        directory.write_gallery(folder, 2, rows, people, retry=True)
+    (tmp_path / "store" / "revision=3").mkdir()
+    (tmp_path / "store" / "revision=3" / "_claim").write_bytes(b"")  # another writer, or one that failed
+    with pytest.raises(ValueError, match="by another"):
+        directory.write_gallery(folder, 3, rows, people)
+    assert tuple(directory.read_gallery(spark, folder)[2].first()) == (False, 2)
+    directory.write_gallery(folder, 3, rows, people, retry=True)
+    assert tuple(directory.read_gallery(spark, folder)[2].first()) == (True, 3)
 
 
 def test_image_bytes_and_frames(spark, tmp_path):
