@@ -40,7 +40,9 @@ def identity_id(name: Column) -> Column:
         code_points, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c) % F.lit(4294967296)
     )
     fallback = F.concat(F.lit("person-"), F.lower(F.conv(hashed.cast("string"), 10, 36)))
-    return let(identity_slug(name), lambda slug: F.when(slug != "", slug).otherwise(fallback))
+    # No column stands inside a lambda here: Spark would resolve it to an alias of the same
+    # select first, as in select(normalize_name(name).alias("name"), identity_id(name)).
+    return F.coalesce(F.nullif(identity_slug(name), F.lit("")), fallback)
 
 
 def strip_html(s: Column) -> Column:

@@ -31,6 +31,12 @@ def test_names_and_ids(spark):
     ] + [model(n) for n in odd]
 
 
+def test_an_id_beside_a_new_name_is_that_of_the_old_one(spark):
+    named = spark.createDataFrame([("Ç Ç ",)], "name string")
+    both = named.select(text.normalize_name(F.col("name")).alias("name"), text.identity_id(F.col("name")).alias("id"))
+    assert [r.id for r in both.collect()] == values(spark, text.identity_id, ["Ç Ç "])
+
+
 def test_urls(spark):
     urls = [
         "https://A.b:443/x/../y/./z.JPG?q=1#f", "http://u:p@h.c:8080", "nonsense", "https://h/a.b/c",
