@@ -7,13 +7,16 @@ Gallery rows: ``(identity_id, identity_ord, kind, ord, embedding)`` with kind
 A small gallery (its bytes are counted first) is shipped once to every executor and
 queries are scored where they lie: no shuffle. A larger one gets a metric index
 (:mod:`metric_index`): queries go only to those of its cells that can hold a decisive
-score. With ``block_rows`` it is shipped part by part instead, each of that size, which
-passes over all queries once per part. Partial results per (query, identity) are added up.
+score. With ``block_rows``, or where hardly a cell can be left out, it streams past blocks
+of queries instead, parts of that size at a time. Partial results per (query, identity)
+are added up.
 Vectors must share one width: :func:`reject_vectors` sets others aside first.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -187,8 +190,18 @@ def _scored_schema(queries: DataFrame) -> T.StructType:
     )
 
 
-def _score_locally(batches, g: _Gallery, margin: float, want_best: bool, want_match: bool):
+def _local_matches(queries: np.ndarray, rows: pa.Table, margin: float) -> dict[str, np.ndarray]:
+    """What :func:`_partial_matches` returns, from rows that are sorted by identity."""
+    tally = _MatchTally(pa.array(range(len(queries)), pa.int64()), queries, margin, PART_ROWS)
+    found = [part for held in rows.to_batches() for part in tally.add(held)]
+    found = pa.Table.from_batches([*found, *tally.close()], _LOCAL)
+    return {c: found[c].to_numpy() for c in ("query_id", "identity_ord", "best", "agree", "negative")}
+
+
+def _score_locally(batches, rows: pa.Table, margin: float, want_best: bool, want_match: bool):
     """mapInArrow body: the whole gallery is here, so each query is finished in place."""
+    rows = rows.sort_by("identity_ord")
+    g = _Gallery(rows)
     threshold = {int(o): t for o, t in zip(g.identity, g.threshold)}
     need = {int(o): n for o, n in zip(g.identity, g.need)}
     for batch in batches:
@@ -201,11 +214,11 @@ def _score_locally(batches, g: _Gallery, margin: float, want_best: bool, want_ma
         )
         score, match = np.full(n, -np.inf), np.full(n, -1, dtype=np.int64)
         if want_match:
-            p = _partial_matches(q, g, margin)
+            p = _local_matches(q, rows, margin)
             t = np.array([threshold[int(o)] for o in p["identity_ord"]])
             k = np.array([need[int(o)] for o in p["identity_ord"]])
             ok = _passing(p, t, k, margin)
-            row, ident, s = p["row"][ok], p["identity_ord"][ok], p["best"][ok]
+            row, ident, s = p["query_id"][ok], p["identity_ord"][ok], p["best"][ok]
             order = np.lexsort((ident, -s, row))
             row, ident, s = row[order], ident[order], s[order]
             first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
@@ -229,41 +242,217 @@ def _score_broadcast(queries, rules, margin, want_best, want_match):
     ).toArrow()
     shared = spark.sparkContext.broadcast(rows)
     return queries.select("query_id", "embedding").mapInArrow(
-        lambda batches: _score_locally(batches, _Gallery(shared.value), margin, want_best, want_match),
+        lambda batches: _score_locally(batches, shared.value, margin, want_best, want_match),
         _scored_schema(queries),
     )
 
 
-def _meet_in_parts(queries, gallery, meet, schema, part_rows, gallery_rows):
-    """Map-only passes over the queries, one per part of the gallery.
+#: Queries of one block, and the fewest of a block made only to keep all cores at work.
+BLOCK_QUERIES, LEAST_QUERIES = 8192, 1024
 
-    Parts are of about ``part_rows`` rows and shipped one after the other, so driver and
-    executors hold one part at a time and queries never cross a shuffle; ``meet(q, g)``
-    returns what a part adds, which is written before the next part is read.
-    """
-    parts = max(1, -(-gallery_rows // part_rows))
-    dealt = gallery.withColumn(
-        "__part", F.pmod(F.xxhash64("identity_ord", "kind", "ord"), F.lit(parts).cast("bigint"))
-    )
-    dealt = cut(dealt) if parts > 1 else dealt
-    slim = queries.select("query_id", "embedding")
-    found = None
-    for part in range(parts):
-        rows = dealt.where(F.col("__part") == part).drop("__part").toArrow()
-        if not rows.num_rows:
-            continue
-        shared = queries.sparkSession.sparkContext.broadcast(rows)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                for strip in blocks.strips(batch.num_rows, shared.value.num_rows):
-                    piece = batch.slice(strip.start, strip.stop - strip.start)
-                    yield from meet(pa.Table.from_batches([piece]), shared.value).to_batches()
+def _query_blocks(queries: DataFrame) -> int:
+    asked, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-asked // BLOCK_QUERIES), min(3 * cores, -(-asked // LEAST_QUERIES)))
 
-        own = cut(slim.mapInArrow(run, schema))
-        shared.unpersist()
-        found = own if found is None else found.unionByName(own)
-    return found
+
+def _meet_in_blocks(queries, gallery, tally, schema, query_blocks):
+    """Every block of queries meets the whole gallery, which streams past it by identity.
+
+    Queries cross one shuffle, gallery rows one per block of queries; nothing passes
+    through the driver. ``tally(ids, vectors)`` keeps what is known of a block:
+    ``add(rows)`` takes the gallery's rows and ``close()`` ends them, and both yield the
+    results of those identities that are complete.
+    """
+    kinds = {f.name: f.dataType for f in gallery.schema.fields if f.name != "embedding"}
+    unset = lambda named: [F.lit(None).cast(t).alias(c) for c, t in named.items()]
+    id_kind = {"query_id": queries.schema["query_id"].dataType}
+    asked = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("__block"), F.lit(0).alias("__side"),
+        "query_id", "embedding", *unset(kinds),
+    )
+    held = gallery.select(
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("__block"), F.lit(1).alias("__side"),
+        *unset(id_kind), "embedding", *kinds,
+    )
+    dealt = asked.unionByName(held).repartitionById(query_blocks, F.col("__block"))
+
+    def run(batches):
+        block, own, waiting = None, None, []
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("__block", "__side")])
+            heads = np.r_[0, np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1, batch.num_rows]
+            for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
+                if a == b:
+                    continue
+                if marks[0, a] != block:
+                    if own:
+                        yield from own.close()
+                    block, own, waiting = marks[0, a], None, []
+                part = batch.slice(a, b - a)
+                if not marks[1, a]:
+                    waiting.append(part)
+                elif own or waiting:
+                    if own is None:
+                        rows = pa.Table.from_batches(waiting)
+                        own, waiting = tally(rows["query_id"].combine_chunks(), blocks.matrix(rows["embedding"])), []
+                    yield from own.add(part)
+        if own:
+            yield from own.close()
+
+    return dealt.sortWithinPartitions("__block", "__side", "identity_ord").mapInArrow(run, schema)
+
+
+#: Most gallery rows of one product; agreements of a part are counted in bytes.
+PART_ROWS = 255
+
+
+def _slack(vectors: np.ndarray) -> np.ndarray:
+    """How far single-precision products of unit queries with these rows may be off."""
+    return blocks.SLACK * np.maximum(1.0, np.sqrt(blocks.exact_dots(vectors, vectors)))
+
+
+def _floats(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.float32)
+
+
+def _runs(values: np.ndarray):
+    """``(value, rows)`` of every stretch of equal values."""
+    heads = np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1, len(values)]
+    return [(values[a], slice(a, b)) for a, b in zip(heads[:-1], heads[1:]) if a < b]
+
+
+class _MatchTally:
+    """Best positive, agreements and best negative of a block's queries, identity by identity."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, margin: float, part_rows: int):
+        self.ids, self.margin, self.part_rows = ids, margin, min(part_rows, PART_ROWS)
+        self.unit = blocks.unit_rows(vectors)
+        self.identity = None
+
+    def _open(self, identity):
+        n = len(self.unit)
+        self.identity, self.agree = identity, np.zeros(n, dtype=np.int64)
+        self.best, self.negative = np.full(n, -np.inf), np.full(n, -np.inf)
+
+    def add(self, rows: pa.RecordBatch):
+        g = _Gallery(rows)
+        blocks.same_width(self.unit, g.vectors)
+        for identity, at in _runs(g.identity):
+            if identity != self.identity:
+                yield from self.close()
+                self._open(identity)
+            for start in range(at.start, at.stop, self.part_rows):
+                part = slice(start, min(start + self.part_rows, at.stop))
+                for strip in blocks.strips(len(self.unit), part.stop - part.start, 1_000_000):
+                    self._meet(strip, g, part)
+
+    def _meet(self, strip: slice, g: _Gallery, part: slice):
+        unit = self.unit[strip]
+        fits = np.flatnonzero(~g.negative[part]) + part.start
+        if len(fits):
+            vectors, bound = g.vectors[fits], g.threshold[fits]
+            slack = _slack(vectors)
+            rough = vectors @ unit.T
+            near, sure = (rough >= _floats(bound + by)[:, None] for by in (-slack, slack))
+            agree, best = self.agree[strip], self.best[strip]
+            agree += np.add.reduce(sure.view(np.uint8), axis=0, dtype=np.uint8)
+            top = _floats(np.maximum(rough.max(0), best) - slack.max())
+            j, i = np.nonzero(near & (~sure | (rough >= top)))
+            score = blocks.exact_dots(unit[i], vectors[j])
+            reached = score >= g.threshold[fits[j]]
+            np.add.at(agree, i[reached & ~sure[j, i]], 1)
+            np.maximum.at(best, i[reached], score[reached])
+        against = np.flatnonzero(g.negative[part]) + part.start
+        if len(against):
+            bound = g.threshold[against] - self.margin - blocks.SLACK
+            i, _, score = blocks.pairs_at_least(unit, g.vectors[against], bound)
+            np.maximum.at(self.negative[strip], i, score)
+
+    def close(self):
+        if self.identity is None:
+            return
+        row = np.flatnonzero((self.best > -np.inf) | (self.negative > -np.inf))
+        if len(row):
+            yield _partial_rows(self.ids, {
+                "row": row, "identity_ord": np.full(len(row), self.identity), "best": self.best[row],
+                "agree": self.agree[row], "negative": self.negative[row],
+            }, "match")
+        self.identity = None
+
+
+class _BestTally:
+    """The highest positive score of a block's queries and the earliest identity reaching it."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.best, self.owner = np.full(len(vectors), -np.inf), np.full(len(vectors), -1, dtype=np.int64)
+
+    def add(self, rows: pa.RecordBatch):
+        score, owner = _best_scores(self.vectors, _Gallery(rows))
+        better = (owner >= 0) & ((self.owner < 0) | (score > self.best) | ((score == self.best) & (owner < self.owner)))
+        self.best[better], self.owner[better] = score[better], owner[better]
+        return ()
+
+    def close(self):
+        hit = np.flatnonzero(self.owner >= 0)
+        none = np.zeros(len(hit))
+        if len(hit):
+            yield _partial_rows(self.ids, {
+                "row": hit, "identity_ord": self.owner[hit], "best": self.best[hit], "agree": none, "negative": none,
+            }, "best")
+
+
+class _TopTally:
+    """The k highest scores of a block's queries, identity by identity."""
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, part_rows: int):
+        self.ids, self.k, self.part_rows = ids, k, min(part_rows, PART_ROWS)
+        self.unit = blocks.unit_rows(vectors)
+        self.identity = None
+
+    def add(self, rows: pa.RecordBatch):
+        vectors = blocks.matrix(rows.column("embedding"))
+        blocks.same_width(self.unit, vectors)
+        for identity, at in _runs(rows.column("identity_ord").to_numpy()):
+            if identity != self.identity:
+                yield from self.close()
+                self.identity, self.top = identity, np.full((len(self.unit), self.k), -np.inf)
+            for start in range(at.start, at.stop, self.part_rows):
+                part = vectors[start : min(start + self.part_rows, at.stop)]
+                for strip in blocks.strips(len(self.unit), len(part), 1_000_000):
+                    self._meet(strip, part)
+
+    def _meet(self, strip: slice, vectors: np.ndarray):
+        unit, top = self.unit[strip], self.top[strip]
+        rough = unit @ vectors.T
+        floor = top[:, -1]
+        if len(vectors) > self.k and (floor == -np.inf).any():
+            floor = np.maximum(floor, np.partition(rough, -self.k, axis=1)[:, -self.k])
+        i, j = np.nonzero(rough >= _floats(floor - _slack(vectors).max())[:, None])
+        if not len(i):
+            return
+        hit = np.unique(i)
+        owner = np.r_[i, np.repeat(hit, self.k)]
+        score = np.r_[blocks.exact_dots(unit[i], vectors[j]), top[hit].ravel()]
+        order = np.lexsort((-score, owner))
+        first = np.searchsorted(owner[order], hit)
+        top[hit] = score[order][first[:, None] + np.arange(self.k)]
+
+    def close(self):
+        if self.identity is None:
+            return
+        row, place = np.nonzero(self.top > -np.inf)
+        for part in blocks.strips(len(row), 1, 500_000):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    self.ids.take(pa.array(row[part])),
+                    pa.array(np.full(len(row[part]), self.identity), pa.int64()),
+                    pa.array(self.top[row[part], place[part]]),
+                ],
+                names=["query_id", "identity_ord", "cosine"],
+            )
+        self.identity = None
 
 
 def _partial_schema(queries: DataFrame) -> T.StructType:
@@ -279,51 +468,25 @@ def _partial_schema(queries: DataFrame) -> T.StructType:
     )
 
 
-def _score_in_parts(queries, rules, margin, want_best, want_match, part_rows, gallery_rows):
-    """Every query meets the gallery part by part; partial results are added up."""
-    schema = _partial_schema(queries)
+def _match_in_blocks(queries, rules, margin, part_rows, query_blocks):
+    tally = lambda ids, vectors: _MatchTally(ids, vectors, margin, part_rows)
+    return _meet_in_blocks(queries, rules, tally, _partial_schema(queries), query_blocks)
 
-    def meet(q: pa.Table, g_rows: pa.Table) -> pa.Table:
-        g = _Gallery(g_rows)
-        vecs, ids = blocks.matrix(q["embedding"]), q["query_id"].combine_chunks()
-        parts = []
-        if want_match:
-            parts.append((_partial_matches(vecs, g, margin), "match"))
-        if want_best:
-            best, owner = _best_scores(vecs, g)
-            hit = np.nonzero(owner >= 0)[0]
-            none = np.zeros(len(hit))
-            parts.append(
-                (
-                    {
-                        "row": hit,
-                        "identity_ord": owner[hit],
-                        "best": best[hit],
-                        "agree": none,
-                        "negative": none,
-                    },
-                    "best",
-                )
-            )
-        return pa.concat_tables(
-            pa.table(
-                {
-                    "query_id": ids.take(pa.array(p["row"])),
-                    "identity_ord": pa.array(p["identity_ord"], pa.int64()),
-                    "best": pa.array(p["best"], pa.float64()),
-                    "agree": pa.array(p["agree"].astype(np.int64)),
-                    "negative": pa.array(p["negative"], pa.float64()),
-                    "role": pa.array([role] * len(p["row"]), pa.string()),
-                }
-            )
-            for p, role in parts
-        )
 
-    rows = rules.select(
-        "identity_ord", "kind", "ord", "embedding", "threshold", F.col("need").cast("bigint").alias("need")
-    )
-    partial = _meet_in_parts(queries, rows, meet, schema, part_rows, gallery_rows)
-    return _settled(queries, rules, partial, margin)
+def _best_in_blocks(queries, rules, query_blocks):
+    return _meet_in_blocks(queries, rules, _BestTally, _partial_schema(queries), query_blocks)
+
+
+def _score_in_parts(queries, rules, margin, want_best, want_match, part_rows):
+    """Every query meets the gallery part by part."""
+    rows = rules.select("identity_ord", "kind", "embedding", "threshold", F.col("need").cast("bigint").alias("need"))
+    slim, query_blocks = queries.select("query_id", "embedding"), _query_blocks(queries)
+    partial = []
+    if want_match:
+        partial.append(_match_in_blocks(slim, rows, margin, part_rows, query_blocks))
+    if want_best:
+        partial.append(_best_in_blocks(slim, rows, query_blocks))
+    return _settled(queries, rules, functools.reduce(DataFrame.unionByName, partial), margin)
 
 
 class _Ring(_Gallery):
@@ -334,6 +497,12 @@ class _Ring(_Gallery):
         self.negative, self.threshold, self.need = held["negative"].astype(bool), held["threshold"], held["need"]
 
 
+_LOCAL = pa.schema([
+    ("query_id", pa.int64()), ("identity_ord", pa.int64()), ("best", pa.float64()), ("agree", pa.int64()),
+    ("negative", pa.float64()), ("role", pa.string()),
+])
+
+
 def _partial_rows(ids: pa.Array, p: dict[str, np.ndarray], role: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -344,9 +513,20 @@ def _partial_rows(ids: pa.Array, p: dict[str, np.ndarray], role: str) -> pa.Reco
     )
 
 
+#: Visits up to which the index is used whatever blocks of queries would move.
+MANY_VISITS = 2_000_000
+
+
 def _score_by_index(queries, rules, margin, want_best, want_match, part_rows, gallery_rows):
-    """Queries visit only the cells of a metric index that can hold a decisive score."""
+    """Queries visit only the cells of a metric index that can hold a decisive score.
+
+    The visits are counted first. Where the bounds keep queries out of so few cells that
+    visits would move more rows than blocks of queries that meet the whole gallery, those
+    are used."""
     schema, key = _partial_schema(queries), ["identity_ord", "kind", "ord"]
+    query_blocks = _query_blocks(queries)
+    most = max(MANY_VISITS, query_blocks * gallery_rows)
+    plain = rules.select("identity_ord", "kind", "embedding", "threshold", F.col("need").cast("bigint").alias("need"))
     cells = 4 * -(-gallery_rows // part_rows)
     negative = F.col("kind") == "hard_negative"
     rows = rules.select(
@@ -378,17 +558,24 @@ def _score_by_index(queries, rules, margin, want_best, want_match, part_rows, ga
     partial = []
     if want_match:
         index = metric_index.build(rows, cells, key)
-        partial.append(metric_index.meet(metric_index.route(slim, index, metric_index.reaching_bound), index, matches, schema, part_rows))
+        routed = metric_index.route(slim, index, metric_index.reaching_bound)
+        counts = metric_index.counted(routed)
+        if sum(counts.values()) <= most:
+            partial.append(metric_index.meet(routed, index, matches, schema, part_rows, counts))
+        else:
+            partial.append(_match_in_blocks(slim, plain, margin, part_rows, query_blocks))
     if want_best:
         index = metric_index.build(rows.where("not negative"), cells, key)
         first = cut(metric_index.meet(metric_index.route(slim, index, metric_index.promising), index, bests, schema, part_rows))
         floors = first.groupBy("query_id").agg(F.max("best").alias("floor"))
         asked = slim.join(floors, "query_id")
-        partial += [first, metric_index.meet(metric_index.route(asked, index, metric_index.reaching_floor), index, bests, schema, part_rows)]
-    whole = partial[0]
-    for more in partial[1:]:
-        whole = whole.unionByName(more)
-    return _settled(queries, rules, whole, margin)
+        routed = metric_index.route(asked, index, metric_index.reaching_floor)
+        counts = metric_index.counted(routed)
+        if sum(counts.values()) <= most:
+            partial += [first, metric_index.meet(routed, index, bests, schema, part_rows, counts)]
+        else:
+            partial.append(_best_in_blocks(slim, plain, query_blocks))
+    return _settled(queries, rules, functools.reduce(DataFrame.unionByName, partial), margin)
 
 
 def _settled(queries, rules, partial, margin):
@@ -449,7 +636,7 @@ def score_queries(
         scored = _score_broadcast(queries, rules, margin, want_best, want_match)
     else:
         if block_rows:
-            scored = _score_in_parts(queries, rules, margin, want_best, want_match, block_rows, size["rows"])
+            scored = _score_in_parts(queries, rules, margin, want_best, want_match, block_rows)
         else:
             part_rows = part_rows or max(1, broadcast_bytes // (4 * max(1, size["width"])))
             scored = _score_by_index(queries, rules, margin, want_best, want_match, part_rows, size["rows"])
@@ -548,7 +735,9 @@ def top_k_cosines(
         partial = queries.select("query_id", "embedding").mapInArrow(local, schema)
     else:
         block_rows = block_rows or max(1, broadcast_bytes // (4 * max(1, size["w"])))
-        partial = _meet_in_parts(queries, rows, top, schema, block_rows, size["n"])
+        tally = lambda ids, vectors: _TopTally(ids, vectors, k, block_rows)
+        slim = queries.select("query_id", "embedding")
+        partial = _meet_in_blocks(slim, rows.select("identity_ord", "embedding"), tally, schema, _query_blocks(slim))
     best = Window.partitionBy("query_id", "identity_ord").orderBy(F.desc("cosine"))
     names = gallery.groupBy("identity_ord", "identity_id").agg(F.count("*").alias("__held"))
     ranked = (

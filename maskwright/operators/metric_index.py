@@ -142,12 +142,20 @@ def visits(queries: DataFrame, index: Index) -> DataFrame:
     return route(queries, index, reaching_bound).groupBy("cell").agg(F.count("*").alias("queries"))
 
 
-def meet(routed: DataFrame, index: Index, work, schema: T.StructType, part_rows: int, query_rows: int = QUERY_ROWS) -> DataFrame:
+def counted(routed: DataFrame) -> dict[int, int]:
+    """How many queries visit each cell."""
+    return {r.cell: r.n for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+
+
+def meet(
+    routed: DataFrame, index: Index, work, schema: T.StructType, part_rows: int, counts: dict[int, int] | None = None,
+    query_rows: int = QUERY_ROWS,
+) -> DataFrame:
     """``work(query ids, queries, rings)`` for every part of a cell and the queries there.
 
     ``rings`` are pairs of the highest score each unit query can have in a ring, and the
     ring's rows as a dict of arrays."""
-    counts = {r.cell: r.n for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    counts = counted(routed) if counts is None else counts
     plan = [(int(c), int(-(-index.sizes[c] // part_rows)), -(-n // query_rows)) for c, n in counts.items()]
     planned = F.broadcast(routed.sparkSession.createDataFrame(plan, "cell int, __parts int, __copies int"))
     spots = ["cell", "__part", "__copy"]

@@ -183,3 +183,21 @@ def test_latest_revision_decides(spark):
     states = spark.createDataFrame([(True, 1), (False, 3), (True, 2)], "enabled boolean, revision long")
     assert matching.enabled_only(media, states).count() == 0
     assert matching.enabled_only(media, states.where("revision < 3")).count() == 1
+
+
+def test_blocks_settle_each_identity_in_its_task(spark):
+    """Blocks of queries hand on one row per query and identity, however small the parts are."""
+    rng = np.random.default_rng(5)
+    known = _gallery(spark, [(o, "embedding", k, rng.normal(size=4).tolist()) for o in range(3) for k in range(40)])
+    asked = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "query_id long, embedding array<float>")
+    rows = known.select("identity_ord", "embedding")
+    tally = lambda ids, vectors: matching._TopTally(ids, vectors, 2, 3)
+    found = matching._meet_in_blocks(asked, rows, tally, "query_id long, identity_ord long, cosine double", 4)
+    assert found.count() == 30 * 3 * 2
+    rules = matching.with_rules(known, None, 0.1, 2)
+    for visits in (0, 10**9):  # blocks instead of an index that leaves out nothing, and the index itself
+        before, matching.MANY_VISITS = matching.MANY_VISITS, visits
+        whole = matching._score_by_index(asked, rules, 0.02, True, True, 3, 120).orderBy("query_id").collect()
+        matching.MANY_VISITS = before
+        plain = matching._score_broadcast(asked, rules, 0.02, True, True).orderBy("query_id").collect()
+        assert whole == plain
