@@ -175,11 +175,13 @@ def mask_coverage(
     finite = functools.reduce(lambda a, b: a & b, [F.abs(F.col(f"box.{c}")) < 1e300 for c in ("x", "y", "width", "height")])
     masks = masks.where("box.width > 0 and box.height > 0").where(finite).select(key, "box").distinct()
     held = targets.select(key, "target_id", "box").where(finite)
+    masks = masks.join(held.select(key).distinct(), key, "left_semi")
     # one row each, of a number for every doubling there is at most
     levels = [df.agg(F.collect_set(grid_level("box", cell))).first()[0] for df in (masks, held)]
     on_grid = grid_cells(masks, levels[1], cell).select(key, "__level", "__cx", "__cy", F.col("box").alias("mask"), F.col("__own").alias("__mask"))
     met = (
-        grid_cells(held, levels[0], cell).join(on_grid, [key, "__level", "__cx", "__cy"])
+        # Rows in cells are many times what Spark estimates, too many to ship to every executor.
+        grid_cells(held, levels[0], cell).join(on_grid.hint("merge"), [key, "__level", "__cx", "__cy"])
         .where(F.col("__level") == F.greatest("__own", "__mask"))
         .where(boxes.intersects(F.col("mask"), F.col("box")))
         .select(key, "target_id")

@@ -78,3 +78,12 @@ def test_exact_quantiles(spark):
     assert not found
     whole = reports.exact_quantiles(df, [], "score", {"m": 50}).collect()
     assert whole[0].n == len(rows) - 1
+
+
+def test_rows_in_cells_are_never_shipped_whole(spark, capsys):
+    row = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, 9.0)], "page int, target_id int, x double, y double, w double, h double")
+    rows = row.select("page", "target_id", boxes.box(*map(F.col, "xywh")).alias("box"))
+    reports.mask_coverage(rows, rows, "page").explain()
+    plan = capsys.readouterr().out
+    joins = [line for line in plan.splitlines() if "Join" in line and "__cx" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
