@@ -5,8 +5,9 @@ deduplication are this one operator with different conflict tests. Group sizes a
 counted first:
 
 * boxes in small groups are folded inside one JVM row, without Python;
-* other groups up to ``group_rows`` go through one grouped task each;
-* larger groups run in rounds of block-pair tasks: a row with no earlier undecided
+* other groups up to ``group_rows`` lie whole in one partition, where small ones are
+  compared all at once, row against later row, and larger ones one by one;
+* larger groups run in rounds of block-pair tasks, which lie in partitions likewise: a row with no earlier undecided
   conflict is kept, rows conflicting with a kept one leave. Only flags cross a
   shuffle, so a group of near copies costs its rows, not its pairs. Boxes of groups of many
   blocks only meet those they share a cell of a hierarchical grid with, block pair by block
@@ -35,20 +36,26 @@ from maskwright.operators.scan import rank_in_group
 Conflict = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
+def _conflict(matrix: Conflict, pairs: Conflict) -> Conflict:
+    """``pairs`` is the same test row by row, for many small groups at once."""
+    matrix.pairs = pairs
+    return matrix
+
+
 def cosine_conflict(minimum: float) -> Conflict:
+    floats = lambda v: np.ascontiguousarray(v, dtype=np.float32)
+
     def conflict(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros((len(a), len(b)), dtype=bool)
-        i, j, _ = blocks.pairs_at_least(
-            np.ascontiguousarray(a, dtype=np.float32), np.ascontiguousarray(b, dtype=np.float32), minimum
-        )
+        i, j, _ = blocks.pairs_at_least(floats(a), floats(b), minimum)
         out[i, j] = True
         return out
 
-    return conflict
+    return _conflict(conflict, lambda a, b: blocks.exact_dots(floats(a), floats(b)) >= minimum)
 
 
 def _box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a[:, None, :], b[None, :, :]
+    """Of boxes in the last axis; the others are broadcast."""
     wide = np.minimum(a[..., 0] + a[..., 2], b[..., 0] + b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
     high = np.minimum(a[..., 1] + a[..., 3], b[..., 1] + b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     inter = wide * high
@@ -57,20 +64,91 @@ def _box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(hit, inter / np.where(hit, union, 1.0), 0.0)
 
 
+def _box_conflict(pairs: Conflict) -> Conflict:
+    return _conflict(lambda a, b: pairs(a[:, None, :], b[None, :, :]), pairs)
+
+
 def overlap_conflict(threshold: float) -> Conflict:
-    return lambda a, b: _box_iou(a, b) > threshold
+    return _box_conflict(lambda a, b: _box_iou(a, b) > threshold)
 
 
 def same_face_conflict(threshold: float) -> Conflict:
-    def inside(outer, inner):
-        x = inner[None, :, 0] + inner[None, :, 2] / 2
-        y = inner[None, :, 1] + inner[None, :, 3] / 2
-        o = outer[:, None, :]
+    def inside(o, inner):
+        x = inner[..., 0] + inner[..., 2] / 2
+        y = inner[..., 1] + inner[..., 3] / 2
         return (x >= o[..., 0]) & (x <= o[..., 0] + o[..., 2]) & (y >= o[..., 1]) & (
             y <= o[..., 1] + o[..., 3]
         )
 
-    return lambda a, b: (_box_iou(a, b) > threshold) | inside(a, b) | inside(b, a).T
+    return _box_conflict(lambda a, b: (_box_iou(a, b) > threshold) | inside(a, b) | inside(b, a))
+
+
+#: Groups up to this many rows are worked off together, larger ones each on its own.
+SMALL_ROWS = 64
+
+
+def _whole_groups(batches, keys: list[str]):
+    """Tables of whole groups, and the first row of each group and the end, from rows sorted
+    by ``keys``."""
+    held = []
+
+    def heads(table):
+        codes = [table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
+        change = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+        for code in codes:
+            change |= code[1:] != code[:-1]
+        return np.r_[0, np.flatnonzero(change) + 1, table.num_rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        ends = pa.Table.from_batches([held[0].slice(held[0].num_rows - 1), batch.slice(batch.num_rows - 1)])
+        if len(held) > 1 and len(heads(ends)) == 2:
+            continue  # one group so far
+        table = pa.Table.from_batches(held)
+        at = heads(table)
+        if len(at) > 2:
+            yield table.slice(0, at[-2]).combine_chunks(), at[:-1]
+        held = table.slice(at[-2]).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, heads(table)
+
+
+def _near_pairs(at: np.ndarray, small: np.ndarray, may: Conflict, features: np.ndarray, conflict: Conflict):
+    """Conflicting pairs ``(i, j)``, i before j, inside the ``small`` groups that begin at ``at``;
+    only those that ``may(i, j)`` lets through are tested."""
+    size = np.diff(at)
+    end = np.repeat(np.where(small, at[1:], at[:-1]), size)
+    row = np.arange(at[-1])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for apart in range(1, int(size[small].max(initial=1))):
+        row = row[row + apart < end[row]]
+        i, j = row, row + apart
+        ok = may(i, j)
+        i, j = i[ok], j[ok]
+        hit = conflict.pairs(features[i], features[j])
+        left.append(i[hit]), right.append(j[hit])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _keep_in_groups(at: np.ndarray, features: np.ndarray, fixed: np.ndarray, conflict: Conflict) -> np.ndarray:
+    """Left-to-right selection of many groups, each in its order."""
+    size = np.diff(at)
+    small = (size <= SMALL_ROWS) & hasattr(conflict, "pairs")
+    keep = np.ones(at[-1], dtype=bool)
+    i, j = _near_pairs(at, small, lambda i, j: ~fixed[j], features, conflict)
+    place = (np.arange(at[-1]) - np.repeat(at[:-1], size))[i]
+    order = np.argsort(place, kind="stable")
+    i, j, place = i[order], j[order], place[order]
+    marks = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1, len(place)]
+    for a, b in zip(marks[:-1], marks[1:]):  # blockers of one place are decided before it
+        keep[j[a:b][keep[i[a:b]]]] = False
+    for g in np.flatnonzero(~small):
+        own = slice(at[g], at[g + 1])
+        keep[own] = _keep_in_order(features[own], fixed[own], conflict)
+    return keep
 
 
 def _keep_in_order(features: np.ndarray, fixed: np.ndarray, conflict: Conflict) -> np.ndarray:
@@ -92,14 +170,15 @@ def _keep_in_order(features: np.ndarray, fixed: np.ndarray, conflict: Conflict)
 def _grouped(df: DataFrame, keys: list[str], conflict: Conflict) -> DataFrame:
     kept = T.StructType([*[df.schema[k] for k in keys], T.StructField("__ord", T.LongType())])
 
-    def select(group: pa.Table) -> pa.Table:
-        group = group.sort_by("__ord")
-        features = blocks.matrix(group["__features"], np.float64)
-        fixed = np.asarray(group["__fixed"].to_pylist(), dtype=bool)
-        keep = _keep_in_order(features, fixed, conflict)
-        return group.select([*keys, "__ord"]).filter(pa.array(keep))
+    def select(batches):
+        for table, at in _whole_groups(batches, keys):
+            features = blocks.matrix(table["__features"], np.float64)
+            fixed = table["__fixed"].to_numpy().astype(bool)
+            keep = _keep_in_groups(at, features, fixed, conflict)
+            yield from table.select([*keys, "__ord"]).filter(pa.array(keep)).to_batches()
 
-    return df.select(*keys, "__ord", "__features", "__fixed").groupBy(*keys).applyInArrow(select, kept)
+    rows = df.select(*keys, "__ord", "__features", "__fixed").repartition(*keys)
+    return rows.sortWithinPartitions(*keys, "__ord").mapInArrow(select, kept)
 
 
 _CELL = ["__level", "__cx", "__cy"]
@@ -145,12 +224,10 @@ def _pair_flag(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: i
     out = T.StructType([*[df.schema[k] for k in keys], T.StructField("__ord", T.LongType())])
     spread = blocks.pair_blocks(df, spots, "__ord", block_rows)
 
-    def flag(task: pa.Table) -> pa.Table:
+    def flag_one(task: pa.Table, features: np.ndarray) -> np.ndarray:
         ords = task["__ord"].to_numpy()
         block = task[blocks.BLOCK].to_numpy()
-        against = np.asarray(task["__against"].to_pylist(), dtype=bool)
-        test = np.asarray(task["__test"].to_pylist(), dtype=bool)
-        features = blocks.matrix(task["__features"], np.float64)
+        against, test = (task[c].to_numpy().astype(bool) for c in ("__against", "__test"))
         i_block = task[blocks.LEFT][0].as_py()
         same = i_block == task[blocks.RIGHT][0].as_py()
         hit = np.zeros(len(ords), dtype=bool)
@@ -162,15 +239,27 @@ def _pair_flag(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: i
                 part = a[start : start + 1024]
                 c = conflict(features[part], features[b]) & (ords[part][:, None] < ords[b][None, :])
                 hit[b] |= c.any(axis=0)
-        return task.select([*keys, "__ord"]).filter(pa.array(hit))
+        return hit
+
+    tasks = [*spots, blocks.LEFT, blocks.RIGHT]
+
+    def flag(batches):
+        for table, at in _whole_groups(batches, tasks):
+            features = blocks.matrix(table["__features"], np.float64)
+            against, test = (table[c].to_numpy().astype(bool) for c in ("__against", "__test"))
+            block, one = table[blocks.BLOCK].to_numpy(), table[blocks.LEFT].to_numpy() == table[blocks.RIGHT].to_numpy()
+            small = (np.diff(at) <= SMALL_ROWS) & hasattr(conflict, "pairs")
+            may = lambda i, j: against[i] & test[j] & (one[i] | (block[i] != block[j]))  # noqa: E731, B023
+            hit = np.zeros(table.num_rows, dtype=bool)
+            hit[_near_pairs(at, small, may, features, conflict)[1]] = True
+            for g in np.flatnonzero(~small):
+                own = slice(at[g], at[g + 1])
+                hit[own] = flag_one(table.slice(at[g], at[g + 1] - at[g]), features[own])
+            yield from table.select([*keys, "__ord"]).filter(pa.array(hit)).to_batches()
 
     columns = [*spots, "__ord", "__features", "__against", "__test", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]
-    return (
-        spread.select(*columns)
-        .groupBy(*spots, blocks.LEFT, blocks.RIGHT)
-        .applyInArrow(flag, out)
-        .distinct()
-    )
+    rows = spread.select(*columns).repartition(*tasks).sortWithinPartitions(*tasks, "__ord")
+    return rows.mapInArrow(flag, out).distinct()
 
 
 def _rounds(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int, boxed: bool = False) -> DataFrame:
