@@ -1,7 +1,8 @@
 """Bounded tasks over the pairs of a group.
 
 Rows of a group are hashed into blocks of at most about ``block_rows`` rows and every
-pair of blocks becomes one task. A task sees two blocks and returns a few values per
+pair of blocks becomes one task. Since a row is sent to as many tasks as there are blocks,
+blocks of a group of more than ``FEW_BLOCKS`` of them grow to the default size first. A task sees two blocks and returns a few values per
 row (a flag, a count, a link), never the pairs themselves, so neither a hot group nor
 a pile of copies grows beyond one task's memory.
 """
@@ -19,6 +20,8 @@ from maskwright import settings
 from maskwright.lineage import cut
 
 LEFT, RIGHT, BLOCK = "__bi", "__bj", "__b"
+#: Blocks of a group up to which a smaller size than the default is kept.
+FEW_BLOCKS = 32
 
 
 def with_group_size(df: DataFrame, keys: list[str], name: str = "__n") -> DataFrame:
@@ -54,7 +57,8 @@ def pair_blocks(
 ) -> DataFrame:
     """Replicate each row to the block pairs of its group that it belongs to."""
     sized = with_group_size(df, keys)
-    count = F.ceil(F.col("__n") / F.lit(block_rows)).cast("bigint")
+    size = F.greatest(F.lit(block_rows), F.least(F.lit(settings.BLOCK_ROWS), F.ceil(F.col("__n") / F.lit(FEW_BLOCKS))))
+    count = F.ceil(F.col("__n") / size).cast("bigint")
     block = F.pmod(F.xxhash64(order), count)
     return (
         sized.withColumn("__blocks", count)
@@ -137,9 +141,10 @@ def _cells(df, keys, order, vector, minimum, block_rows):
     stats = placed.groupBy(*keys, "__cell").agg(F.count("*").alias("n"), F.max("__angle").alias("r"))
     cells: dict[tuple, dict] = {}
     for row in stats.collect():
-        cells.setdefault(tuple(row[k] for k in keys), {})[row["__cell"]] = (
-            -(-row["n"] // block_rows), row["r"]
-        )
+        cells.setdefault(tuple(row[k] for k in keys), {})[row["__cell"]] = (row["n"], row["r"])
+    for own in cells.values():
+        size = max(block_rows, min(settings.BLOCK_ROWS, -(-sum(n for n, _ in own.values()) // FEW_BLOCKS)))
+        own.update({c: (-(-n // size), r) for c, (n, r) in own.items()})
     reach = float(np.arccos(np.clip(minimum, -1, 1))) + ANGLE_SLACK
     plan = []
     for g, own in cells.items():

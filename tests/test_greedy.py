@@ -159,3 +159,30 @@ def test_boxes_of_a_large_group_only_meet_in_their_cells(spark, monkeypatch):
     met.clear()
     endless = [(1, 1000, 0.0, 0.0, float("inf"), 5.0)]
     assert kept(endless, **rounds) == kept(endless, fold_rows=1) and all("__cx" not in keys for keys, n in met if n)
+
+
+def test_small_groups_are_selected_together():
+    rng = np.random.default_rng(8)
+    sizes = [1, 7, 2, 70, 5, 64, 3]
+    at = np.r_[0, np.cumsum(sizes)]
+    rows = rng.integers(0, 20, (at[-1], 4)).astype(float)
+    rows[::9, 0] = np.nan
+    fixed = rng.random(at[-1]) < 0.1
+    calls = []
+    for conflict in (greedy.overlap_conflict(0.3), greedy.same_face_conflict(0.4), greedy.cosine_conflict(0.9)):
+        values = np.nan_to_num(rows) / 50 if "cosine" in conflict.__qualname__ else rows
+        want = np.concatenate([
+            greedy._keep_in_order(values[a:b], fixed[a:b], conflict) for a, b in zip(at[:-1], at[1:])
+        ])
+        counted = greedy._conflict(lambda a, b, c=conflict: calls.append(1) or c(a, b), conflict.pairs)
+        assert (greedy._keep_in_groups(at, values, fixed, counted) == want).all()
+    assert len(calls) <= 3 * 3  # matrices of the one group above SMALL_ROWS only
+
+
+def test_rows_of_a_group_of_tiny_blocks_are_sent_to_few_tasks(spark):
+    from maskwright.operators import blocks
+
+    rows = spark.range(400).select(F.lit(1).alias("g"), F.col("id").alias("ord"))
+    met = blocks.pair_blocks(rows, ["g"], "ord", 2)
+    assert met.count() <= 400 * blocks.FEW_BLOCKS
+    assert met.groupBy("ord").agg(F.count_distinct(blocks.LEFT, blocks.RIGHT).alias("n")).where(f"n > {blocks.FEW_BLOCKS}").count() == 0
