@@ -208,7 +208,8 @@ def box_position(spark, folder):
     mapped = boxes.fit_with_position(
         *[F.col(c) for c in ("a", "sw", "sh", "rw", "rh", "fit", "p")]
     )
-    m = d.join(parsed, "position").select(*_KEYS, "fit", "position", mapped.alias("m"))
+    # one row per entry of _POSITIONS; dealt out by position, each would be one task
+    m = d.join(F.broadcast(parsed), "position").select(*_KEYS, "fit", "position", mapped.alias("m"))
     return m.select(*_KEYS, "fit", "position", *_parts(m, F.col("m")))
 
 

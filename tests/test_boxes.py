@@ -149,3 +149,16 @@ def test_coverage_crosses_grid_cells(spark):
     )
     got = reports.mask_coverage(masks, targets, "page").collect()
     assert {r.target_id: r.covered for r in got} == {1: True, 2: False, 3: False}
+
+
+def test_rows_are_not_dealt_out_by_position(spark, capsys):
+    from maskwright.plans import box_queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        box_queries.box_position(spark, "/root/testdata/sf0.001").explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
