@@ -52,6 +52,45 @@ def split_by_size(
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
 
 
+#: Rows of one key and side that meet in one place, and result rows of one partition, of a dealt join.
+MEET_ROWS, MEET_PAIRS = 2048, 4_000_000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, meet_rows: int = MEET_ROWS, meet_pairs: int = MEET_PAIRS) -> DataFrame:
+    """The inner join on ``key``, dealt out by result rows instead of by key.
+
+    A key of many rows on both sides has a result that grows with their product and would
+    lie in one task. Both sides of such a key are hashed into parts of some ``meet_rows``
+    rows and every two parts meet in a place of their own; the partitions follow the counted
+    size of the result. All columns of a row are hashed, so rows should not be equal as a whole.
+    """
+    count = lambda df, name: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(name))
+    sizes = count(left, "__l").join(count(right, "__r"), key)
+    most = F.max(F.greatest("__l", "__r")).alias("rows")
+    total = sizes.agg(F.sum(F.col("__l").cast("double") * F.col("__r")).alias("pairs"), most).first()
+    if (total["pairs"] or 0) <= meet_pairs:
+        return left.join(right, key)
+    spark = left.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-total["pairs"] // meet_pairs)))
+    parts = lambda c: F.ceil(F.col(c) / F.lit(meet_rows)).cast("bigint")
+    # no more keys than rows / meet_rows
+    crowded = cut(sizes.where(F.greatest("__l", "__r") > meet_rows).select(key, parts("__l").alias("__lp"), parts("__r").alias("__rp")))
+    one, places = F.lit(1).cast("bigint"), [key, "__li", "__ri"]
+
+    def deal(df: DataFrame, own: str, other: str, mine: str, yours: str) -> DataFrame:
+        held = df.join(F.broadcast(crowded), key, "left")
+        spread = F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, one) - 1)
+        return (
+            held.withColumn(mine, F.pmod(F.xxhash64(*df.columns), F.coalesce(own, one)))
+            .withColumn(yours, F.explode(spread))
+            .drop("__lp", "__rp")
+            .repartition(partitions, *places)
+        )
+
+    met = deal(left, "__lp", "__rp", "__li", "__ri").join(deal(right, "__rp", "__lp", "__ri", "__li"), places)
+    return met.drop("__li", "__ri")
+
+
 def pair_blocks(
     df: DataFrame, keys: list[str], order: str, block_rows: int = settings.BLOCK_ROWS
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maskwright import settings
 from maskwright.functions import text
 from maskwright.functions.bind import let
-from maskwright.operators import terms
+from maskwright.operators import blocks, terms
 
 # The vocabulary and weights scores depend on. All of it can be replaced
 # by passing other Rules.
@@ -217,25 +217,27 @@ def rank_candidates(
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def resolve_titles(unresolved: DataFrame, imageinfo: DataFrame) -> DataFrame:
-    """Article image titles without a URL, joined to the repository's image records."""
+def resolve_titles(unresolved: DataFrame, imageinfo: DataFrame, **sizes) -> DataFrame:
+    """Article image titles without a URL, joined to the repository's image records; one title
+    may be that of many names and many records."""
     wanted = (
         unresolved.where("url = ''")
         .groupBy("name", F.col("filename").alias("__title"))
         .agg(F.min("ord").alias("__ord"))
     )
-    info = imageinfo.withColumn("__title", F.col("filename")).drop("name", "ord", "page_title")
+    own = [c for c in ("name", "ord", "page_title") if c in imageinfo.columns]
+    info = imageinfo.withColumn("__title", F.col("filename")).withColumnsRenamed({c: "__own_" + c for c in own})
     return (
-        wanted.join(info, "__title")
+        blocks.dealt_join(wanted, info, "__title", **sizes)
         .withColumn("ord", F.col("__ord"))
         .withColumn("page_title", F.col("name"))
-        .drop("__title", "__ord")
+        .drop("__title", "__ord", *["__own_" + c for c in own])
     )
 
 
-def expand_categories(categories: DataFrame, category_files: DataFrame) -> DataFrame:
+def expand_categories(categories: DataFrame, category_files: DataFrame, **sizes) -> DataFrame:
     """Files of each name's repository category."""
-    return categories.select("name", "category").join(category_files, "category").drop("category")
+    return blocks.dealt_join(categories.select("name", "category"), category_files, "category", **sizes).drop("category")
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

@@ -130,3 +130,22 @@ def test_people_and_targets(spark):
     assert got == {
         1: ("z", None), 2: (None, "no such identity"), 3: ("z", None), 4: ("ann-lee", None), 5: ("z", None), 6: (None, None)
     }
+
+
+def test_a_crowded_title_is_dealt_out(spark):
+    names = [(f"n{i}", "a.jpg" if i < 60 else f"{i}.jpg", i, "") for i in range(80)]
+    files = [("x", "a.jpg" if i < 70 else f"{i}.jpg", i, f"u{i % 50}", "p") for i in range(90)]
+    unresolved = spark.createDataFrame([*names, ("none", None, 99, "")], "name string, filename string, ord int, url string")
+    info = spark.createDataFrame(files, "name string, filename string, ord int, url string, page_title string")
+    found = ranking.resolve_titles(unresolved, info, meet_rows=16, meet_pairs=100)
+    got = sorted((r.name, r.filename, r.ord, r.url, r.page_title) for r in found.collect())
+    assert got == sorted((n, f, o, u, n) for n, f, o, _ in names for _, g, _, u, _ in files if f == g)
+    places = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in places) < len(got) / 4
+
+    kinds = names[:3], files[:5]
+    expanded = ranking.expand_categories(
+        spark.createDataFrame([(n, "c") for n, *_ in kinds[0]], "name string, category string"),
+        spark.createDataFrame([("c", f"u{i}") for i in range(5)], "category string, url string"), meet_rows=2, meet_pairs=4,
+    )
+    assert sorted(map(tuple, expanded.collect())) == sorted((n, f"u{i}") for n, *_ in kinds[0] for i in range(5))
