@@ -33,26 +33,16 @@ def decode_tensors(
     ``cell, score, box, landmarks``.
     """
     value = lambda a, i: F.get(F.col(a), i).cast("double")
-    cells = tensors.where(
-        "cls is not null and obj is not null and bbox is not null and kps is not null"
-    ).withColumn(
-        "__scores",
-        F.zip_with(
-            "cls",
-            "obj",
-            lambda c, o: F.sqrt(
-                F.greatest(F.lit(0.0), c.cast("double")) * F.greatest(F.lit(0.0), o.cast("double"))
-            ),
-        ),
+    cells = F.least(F.greatest(F.size("cls"), F.size("obj")), F.col("side") * F.col("side")).cast("int")
+    cell = F.col("__cell")
+    positive = lambda a: F.greatest(F.lit(0.0), value(a, cell))
+    # a row per cell costs far less than functions over arrays of them
+    hits = (
+        tensors.where("cls is not null and obj is not null and bbox is not null and kps is not null")
+        .withColumn("__cell", F.explode(F.when(cells > 0, F.sequence(F.lit(0), cells - 1))))
+        .withColumn("__score", F.sqrt(positive("cls") * positive("obj")))
+        .where(F.col("__score") >= threshold)
     )
-    numbered = F.transform(
-        F.slice("__scores", F.lit(1), F.col("side") * F.col("side")),
-        lambda s, i: F.struct(i.alias("cell"), s.alias("score")),
-    )
-    hits = cells.withColumn(
-        "__hit", F.explode(F.filter(numbered, lambda h: h["score"] >= threshold))
-    )
-    cell = F.col("__hit.cell")
     col = (cell % F.col("side")).cast("double")
     row = F.floor(cell / F.col("side")).cast("double")
     stride = F.col("stride").cast("double")
@@ -72,7 +62,7 @@ def decode_tensors(
         *keys,
         "stride",
         cell.alias("cell"),
-        F.col("__hit.score").alias("score"),
+        F.col("__score").alias("score"),
         boxes.box(cx - width / 2, cy - height / 2, width, height).alias("box"),
         points.alias("landmarks"),
     )

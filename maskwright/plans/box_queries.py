@@ -406,6 +406,10 @@ def _wave(i: Column, *terms: Column) -> Column:
     total = i * 37
     for k, t in enumerate(terms):
         total = total + t * (11 + 6 * k)
+    return _level(total)
+
+
+def _level(total: Column) -> Column:
     return ((total % 101) / F.lit(101.0)).cast("float")
 
 
@@ -438,25 +442,35 @@ _SIDE = {8: 8, 16: 4, 32: 2}
            {sql.r6('h')} AS height, {sql.r6('eye_x')} AS eye_x, {sql.r6('mouth_y')} AS mouth_y FROM b"""
 )
 def tensor_decode(spark, folder):
-    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
+    """Tensors of waves, which repeat: one row of ready arrays per remainder is joined."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    both = (k * 11 + c * 17) % 101
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), 200_000)
+    orders = orders.select(
+        k.alias("media_id"), (c % 4 != 0).alias("large"),
+        (k * 11 % 101).alias("__k"), (c * 11 % 101).alias("__c"), both.alias("__b"),
+    )
     parts = []
     for stride, side in _SIDE.items():
         series = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+        wave = lambda i: _level(i * 37 + F.col("at"))
         cells = side * side
-        score = lambda key: series(
-            cells, lambda i: (_wave(i, key).cast("double") - F.lit(0.1).cast("float").cast("double"))
+        waves = spark.range(101).withColumnRenamed("id", "at").select(
+            "at",
+            series(cells, lambda i: wave(i).cast("double") - F.lit(0.1).cast("float").cast("double")).alias("score"),
+            series(cells * 4, wave).alias("bbox"),
+            F.flatten(F.array_repeat(series(10, wave), cells)).alias("kps"),
         )
-        present = F.lit(True) if stride != 32 else c % 4 != 0
+        pick = lambda key, column, name: F.broadcast(waves.select(F.col("at").alias(key), F.col(column).alias(name)))
+        present = F.lit(True) if stride != 32 else F.col("large")
+        tensors = orders
+        for key, column, name in (("__k", "score", "cls"), ("__c", "score", "obj"), ("__b", "bbox", "bbox")):
+            tensors = tensors.join(pick(key, column, name), key, "left")
         parts.append(
-            orders.select(
-                k.alias("media_id"),
-                F.lit(stride).alias("stride"),
-                F.lit(side).alias("side"),
-                F.when(present, score(k)).alias("cls"),
-                score(c).alias("obj"),
-                series(cells * 4, lambda i: _wave(i, k, c)).alias("bbox"),
-                F.flatten(F.array_repeat(series(10, lambda i: _wave(i, k)), cells)).alias("kps"),
+            tensors.join(pick("__k", "kps", "kps"), "__k", "left")
+            .select(
+                "media_id", F.lit(stride).alias("stride"), F.lit(side).alias("side"),
+                F.when(present, F.col("cls")).alias("cls"), "obj", "bbox", "kps",
             )
         )
     tensors = parts[0].unionByName(parts[1]).unionByName(parts[2])

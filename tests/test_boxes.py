@@ -162,3 +162,23 @@ def test_rows_are_not_dealt_out_by_position(spark, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_cells_of_tensors_of_unequal_length(spark):
+    rows = [
+        (0, 8, 2, [1.0] * 5, [1.0] * 5), (1, 8, 2, [1.0] * 3, [1.0] * 4), (2, 8, 2, [], []),
+        (3, 8, 0, [1.0], [1.0]), (4, 8, 2, None, [1.0] * 4), (5, 8, 2, [1.0], [1.0] * 4),
+    ]
+    df = spark.createDataFrame(
+        [(*r, [0.0] * 16, [0.0] * 40) for r in rows],
+        "m int, stride int, side int, cls array<float>, obj array<float>, bbox array<float>, kps array<float>",
+    )
+    cells = lambda least: sorted((r.m, r.cell) for r in detections.decode_tensors(df, ["m"], least).collect())
+    assert cells(0.5) == [(0, i) for i in range(4)] + [(1, i) for i in range(3)] + [(5, 0)]
+    assert cells(0.0) == [(m, i) for m in (0, 1, 5) for i in range(4)]
+
+
+def test_costly_rows_are_dealt_by_their_number(spark):
+    from maskwright.lineage import spread
+
+    assert spread(spark.range(1000, numPartitions=1), 40).rdd.getNumPartitions() == 25
