@@ -41,8 +41,19 @@ class Ranges:
         return (slot * self.steps + F.coalesce(inside, F.lit(0))).cast("bigint")
 
 
-def plan_ranges(df: DataFrame, column: str, rows: int | None = None) -> Ranges:
-    """Ranges of about ``rows`` rows each. They shape the work, never the result."""
+def _largest_key(df: DataFrame, keys: list[str]) -> int | None:
+    if df.groupBy().count().first()[0] <= settings.SCAN_ROWS:
+        return None
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
+def plan_ranges(df: DataFrame, column: str, rows: int | None = None, keys: list[str] | None = None) -> Ranges:
+    """Ranges of about ``rows`` rows each. They shape the work, never the result.
+
+    With ``keys`` and no ``rows``, a table of any size takes the plain window, which moves far
+    less, as long as its largest key fits one range."""
+    if rows is None and keys and (_largest_key(df, keys) or 0) <= settings.SCAN_ROWS:
+        return Ranges()
     rows = rows or settings.SCAN_ROWS
     count = df.count()
     if count <= rows:
@@ -71,7 +82,7 @@ def running(
     rows should share one ``ranges``.
     """
     sums, lasts, maxes = sums or {}, lasts or {}, maxes or {}
-    ranges = plan_ranges(df, order[0]) if ranges is None else ranges
+    ranges = plan_ranges(df, order[0], keys=keys) if ranges is None else ranges
     inputs = {**sums, **lasts, **maxes}
     parts = list(keys)
     if ranges.cuts:

@@ -53,7 +53,7 @@ def degraded(
     marked = rounds.withColumn("__fail", failed.cast("bigint")).withColumn(
         "__lost", (F.lit(False) if lost is None else lost).cast("bigint")
     )
-    ranges = scan.plan_ranges(rounds, order[0], range_rows)
+    ranges = scan.plan_ranges(rounds, order[0], range_rows, keys)
     counted = scan.running(
         marked,
         keys,
@@ -106,7 +106,7 @@ def lost_coverage(
     backwards = cut_up.withColumn("__neg", -F.col("captured_ms")).withColumn("__tie", -F.col("seq"))
     followed = scan.running(
         backwards, ["video_id"], ["__neg", "__tie"], lasts={"__next": F.col("captured_ms")}, inclusive=False,
-        ranges=scan.plan_ranges(backwards, "__neg", range_rows),
+        ranges=scan.plan_ranges(backwards, "__neg", range_rows, ["video_id"]),
     )
     gone = F.filter(F.array_distinct("live"), lambda t: F.col("__next").isNull() | (t + max_age_ms < F.col("__next")))
     losses = followed.select(*keys, F.explode(gone).alias("__seen"), "seq").select(
@@ -134,7 +134,7 @@ def resource_latch(
     its epoch unreadable; other failures are recoverable.
     """
     known = F.when(F.col(resource) != "", F.col(resource))
-    ranges = scan.plan_ranges(samples, order[0], range_rows)
+    ranges = scan.plan_ranges(samples, order[0], range_rows, keys)
     prior = scan.running(
         samples, keys, order, lasts={"__before": known}, inclusive=False, ranges=ranges
     )
@@ -175,7 +175,7 @@ def admit_one_at_a_time(
     history is cut there and the stretches run independently.
     """
     order = [arrived, tie]
-    ranges = scan.plan_ranges(frames, arrived)
+    ranges = scan.plan_ranges(frames, arrived, keys=keys)
     earlier = scan.running(
         frames, keys, order, maxes={"__until": F.col(done)}, inclusive=False, ranges=ranges
     )

@@ -167,7 +167,7 @@ def with_segments(
     independent and one long video spreads over many tasks. Rows where ``keep`` holds
     never start a stretch.
     """
-    ranges = scan.plan_ranges(rows, time)
+    ranges = scan.plan_ranges(rows, time, keys=keys)
     timed = scan.running(
         rows, keys, [time, tie], lasts={"__previous": F.col(time)}, inclusive=False, ranges=ranges
     )
@@ -214,7 +214,7 @@ def velocities(observations: DataFrame, keys: list[str], tie: str) -> DataFrame:
     A non-positive time step keeps the previous velocity; the first has none.
     """
     order = ["seen_ms", tie]
-    ranges = scan.plan_ranges(observations, "seen_ms")
+    ranges = scan.plan_ranges(observations, "seen_ms", keys=keys)
     prior = scan.running(
         observations,
         keys,

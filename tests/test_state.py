@@ -238,3 +238,12 @@ def test_tied_capture_times_keep_the_last_round_visible(spark):
     )
     shown = tracking.coast_positions(frames, versions, ["video_id", "generation"]).collect()
     assert sorted((r.frame, r.x) for r in shown) == [("first", 4.0), ("second", 4.0)]
+
+
+def test_many_small_keys_need_no_ranges(spark, monkeypatch):
+    monkeypatch.setattr(settings, "SCAN_ROWS", 10)
+    many = spark.range(100).selectExpr("id AS t", "id % 20 AS k")
+    assert scan.plan_ranges(many, "t").cuts and not scan.plan_ranges(many, "t", keys=["k"]).cuts
+    hot = many.withColumn("k", F.when(F.col("t") < 50, F.lit(0)).otherwise(F.col("k")))
+    assert scan.plan_ranges(hot, "t", keys=["k"]).cuts
+    assert scan.plan_ranges(many, "t", rows=7, keys=["k"]).cuts
