@@ -17,6 +17,10 @@ from maskwright.functions.bind import let
 from maskwright.operators import blocks
 
 
+#: Values of the chips that a task holds at once.
+CHIP_VALUES = 1_000_000
+
+
 def _bilinear(pixels: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Sample HWC pixels at float coordinates; taps outside the image count as zero."""
     height, width, _ = pixels.shape
@@ -109,8 +113,10 @@ def face_chips(
         ]
     )
 
+    most = max(1, CHIP_VALUES // (3 * size * size))
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in (b.iloc[at : at + most] for b in batches for at in range(0, len(b), most)):
             chips = []
             for r in rows.itertuples(index=False):
                 if r.data is None or (r.marked and pd.isna(r.a)):

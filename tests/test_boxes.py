@@ -182,3 +182,17 @@ def test_costly_rows_are_dealt_by_their_number(spark):
     from maskwright.lineage import spread
 
     assert spread(spark.range(1000, numPartitions=1), 40).rdd.getNumPartitions() == 25
+
+
+def test_chips_of_a_batch_are_drawn_in_parts(spark, monkeypatch):
+    from maskwright.operators import chips
+
+    rows = spark.range(40).selectExpr("id AS media_id")
+    images = rows.select("media_id", F.lit(2).alias("width"), F.lit(2).alias("height"), F.unhex(F.lit("0a" * 12)).alias("data"))
+    found = rows.select(
+        "media_id", F.lit(0).alias("det_ord"), boxes.box(F.lit(0), F.lit(0), F.lit(2), F.lit(2)).alias("box"),
+        F.lit(None).cast("array<struct<x:double,y:double>>").alias("landmarks"),
+    )
+    whole = sorted(map(tuple, chips.face_chips(images, found, size=4).collect()))
+    monkeypatch.setattr(chips, "CHIP_VALUES", 100)  # two chips
+    assert sorted(map(tuple, chips.face_chips(images, found, size=4).collect())) == whole and len(whole) == 40
