@@ -286,13 +286,13 @@ def pairs_at_least(a: np.ndarray, b: np.ndarray, bound) -> tuple[np.ndarray, np.
     both sides reduces them strip by strip (:func:`strips`).
     """
     bound = np.broadcast_to(np.asarray(bound, dtype=np.float64), (len(b),))
-    strip = max(1, 8_000_000 // max(1, len(b)))
+    strip = max(1, 2_000_000 // max(1, len(b)))
     found_i, found_j, found_s = [], [], []
     for start in range(0, len(a), strip):
         rough = a[start : start + strip] @ b.T
         i, j = np.nonzero(rough >= bound - SLACK)
-        for cut in range(0, len(i), 500_000):
-            ci, cj = i[cut : cut + 500_000] + start, j[cut : cut + 500_000]
+        for cut in range(0, len(i), 50_000):
+            ci, cj = i[cut : cut + 50_000] + start, j[cut : cut + 50_000]
             score = exact_dots(a[ci], b[cj])
             ok = score >= bound[cj]
             found_i.append(ci[ok]), found_j.append(cj[ok]), found_s.append(score[ok])

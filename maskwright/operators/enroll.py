@@ -6,6 +6,8 @@ keys, and ``embedding``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -427,26 +429,29 @@ def similar_pairs(
         ]
     )
 
-    def pairs(task: pa.Table) -> pa.Table:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = pa.Table.from_batches(batches)
         ords, block = task["__ord"].to_numpy(), task[blocks.BLOCK].to_numpy()
         unit = blocks.unit_rows(blocks.matrix(task["embedding"]))
         i_block = task[blocks.LEFT][0].as_py()
         same = i_block == task[blocks.RIGHT][0].as_py()
         left = np.nonzero(block == i_block)[0]
         right = left if same else np.nonzero(block != i_block)[0]
-        i, j, s = blocks.pairs_at_least(unit[left], unit[right], minimum)
-        a, b = ords[left[i]], ords[right[j]]
-        if same:
-            a, b, s, i = a[a < b], b[a < b], s[a < b], left[i][a < b]
-        else:
-            i = left[i]
-        return (
-            task.select(keys)
-            .take(pa.array(i))
-            .append_column("ord_a", pa.array(np.minimum(a, b), pa.int64()))
-            .append_column("ord_b", pa.array(np.maximum(a, b), pa.int64()))
-            .append_column("cosine", pa.array(s, pa.float64()))
-        )
+        task = task.select(keys)
+        # strip by strip, so that a task never holds all its pairs
+        for part in blocks.strips(len(left), len(right), 1_000_000):
+            own = left[part]
+            i, j, s = blocks.pairs_at_least(unit[own], unit[right], minimum)
+            a, b = ords[own[i]], ords[right[j]]
+            if same:
+                i, s, a, b = i[a < b], s[a < b], a[a < b], b[a < b]
+            found = (
+                task.take(pa.array(own[i]))
+                .append_column("ord_a", pa.array(np.minimum(a, b), pa.int64()))
+                .append_column("ord_b", pa.array(np.maximum(a, b), pa.int64()))
+                .append_column("cosine", pa.array(s, pa.float64()))
+            )
+            yield from found.combine_chunks().to_batches(100_000)
 
     spread = blocks.near_blocks(distinct, keys, "__ord", "embedding", minimum, block_rows)
     columns = [*keys, "__ord", "embedding", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]

@@ -149,3 +149,18 @@ def test_curated_and_confirm(spark):
     ids, gallery = enroll.confirm(faces_df, known, now_ms=5)
     assert {(r.name, r.identity_id) for r in ids.collect()} == {("X Y", "x"), ("Új", "j")}
     assert gallery.count() == 2
+
+
+def test_pairs_of_a_task_come_in_parts(spark, monkeypatch):
+    from maskwright.operators import blocks
+
+    strips = blocks.strips
+    monkeypatch.setattr(blocks, "strips", lambda rows, columns, cells: strips(rows, columns, 300))
+    seen = []
+    found = blocks.pairs_at_least
+    unit = blocks.unit_rows(np.random.default_rng(3).normal(size=(60, 8)).astype(np.float32))
+    monkeypatch.setattr(blocks, "pairs_at_least", lambda a, b, m: (seen.append(len(a)), found(a, b, m))[1])
+    faces = spark.createDataFrame([("n", i, v.tolist()) for i, v in enumerate(unit)], "name string, ord int, embedding array<float>")
+    got = sorted((r.ord_a, r.ord_b) for r in enroll.similar_pairs(faces, ["name"], 0.3, block_rows=20).collect())
+    exact = blocks.exact_dots(np.repeat(unit, 60, 0), np.tile(unit, (60, 1))).reshape(60, 60)
+    assert got == [(a, b) for a in range(60) for b in range(a + 1, 60) if exact[a, b] >= 0.3]
