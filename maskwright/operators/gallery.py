@@ -38,6 +38,10 @@ def find_people(requests: DataFrame, people: DataFrame) -> DataFrame:
     )
 
 
+#: Requests that one task sorts.
+LOOKUP_ROWS = 250_000
+
+
 def choose_target(requests: DataFrame, identities: DataFrame) -> DataFrame:
     """Which stored identity a preview refreshes.
 
@@ -46,26 +50,31 @@ def choose_target(requests: DataFrame, identities: DataFrame) -> DataFrame:
     the canonical id, the name's slug, the earliest identity with the same name.
     """
     ids = identities.select("identity_id").distinct()
-
-    def lookup(df: DataFrame, column: str, out: str) -> DataFrame:
-        return df.join(
-            ids.select(F.col("identity_id").alias(column), F.col("identity_id").alias(out)),
-            column,
-            "left",
-        )
-
     by_name = identities.groupBy(text.normalize_name(F.col("name")).alias("__wanted")).agg(
         F.min_by("identity_id", "identity_ord").alias("__by_name")
     )
+
+    shuffled = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffled, -(-requests.count() // LOOKUP_ROWS))
+
+    def lookup(df: DataFrame, column: str, known: DataFrame, key: str, value: str, out: str) -> DataFrame:
+        """Sorted on both sides: a hash table of all identities would lie in every task. Rows
+        without a key are spread, so that they do not meet in one task."""
+        none = F.when(F.col(column).isNull(), 1 + F.pmod(F.xxhash64("request_id"), F.lit(10_007)))
+        at = lambda c, spread: F.struct(F.coalesce(c, F.lit("")).alias("key"), spread.cast("bigint").alias("none"))
+        own = known.where(F.col(key).isNotNull()).select(at(key, F.lit(0)).alias("__at"), F.col(value).alias(out))
+        asked = df.withColumn("__at", at(column, F.coalesce(none, F.lit(0))))
+        asked, own = asked.repartition(parts, "__at"), own.repartition(parts, "__at")
+        return asked.join(own.hint("merge"), "__at", "left").drop("__at")
+
     found = (
         requests.withColumn("__explicit", F.when(F.col("explicit_id") != "", F.col("explicit_id")))
         .withColumn("__slug", text.identity_id(F.col("name")))
         .withColumn("__wanted", text.normalize_name(F.col("name")))
     )
-    found = lookup(found, "__explicit", "__by_explicit")
-    found = lookup(found.withColumn("__canonical", F.col("canonical_id")), "__canonical", "__by_canonical")
-    found = lookup(found, "__slug", "__by_slug")
-    found = found.join(by_name, "__wanted", "left")
+    for column, out in (("__explicit", "__by_explicit"), ("canonical_id", "__by_canonical"), ("__slug", "__by_slug")):
+        found = lookup(found, column, ids, "identity_id", "identity_id", out)
+    found = lookup(found, "__wanted", by_name, "__wanted", "__by_name", "__by_name")
     explicit = F.col("__explicit").isNotNull()
     return found.select(
         *requests.columns,

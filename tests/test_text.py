@@ -149,3 +149,18 @@ def test_a_crowded_title_is_dealt_out(spark):
         spark.createDataFrame([("c", f"u{i}") for i in range(5)], "category string, url string"), meet_rows=2, meet_pairs=4,
     )
     assert sorted(map(tuple, expanded.collect())) == sorted((n, f"u{i}") for n, *_ in kinds[0] for i in range(5))
+
+
+def test_lookups_spread_requests_without_a_key(spark, monkeypatch):
+    monkeypatch.setattr(gallery, "LOOKUP_ROWS", 20)
+    rows = [(i, f"n{i % 7}", "i3" if i % 10 == 0 else "", None) for i in range(300)] + [(300, None, "i9", ""), (301, "x", None, "i1")]
+    requests = spark.createDataFrame(rows, "request_id long, name string, explicit_id string, canonical_id string")
+    identities = spark.createDataFrame([(f"i{i}", i, f"N{i}") for i in range(5)], "identity_id string, identity_ord int, name string")
+    found = gallery.choose_target(requests, identities)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 4
+    got = {r.request_id: (r.identity_id, r.error) for r in found.collect()}
+    want = {
+        i: ("i3", None) if i % 10 == 0 else (f"i{i % 7}" if i % 7 < 5 else None, None) for i in range(300)
+    } | {300: (None, "no such identity"), 301: ("i1", None)}
+    assert got == want
