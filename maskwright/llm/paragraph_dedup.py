@@ -14,11 +14,15 @@ and 50 at most. It finds repeats inside longer lines, or laid out in shorter one
 hold or nearly hold a piece; a shorter one may lie across two. Pieces are only compared
 with pieces, as they lie in the lines.
 
-Texts are read once for the band keys. Classes that share one, or have copies, make a Bloom
-filter of fixed size, and only paragraphs it lets through are looked at again; texts never
-cross a shuffle. Band groups with the same members are compared once. A group of more than ``group_rows``
-classes is cut into chunks and each pair of chunks is a task of its own, so memory is
-bounded; a task returns one spanning star per linked set, never its pairs.
+Lines and pieces are found in the same words, and texts are read twice: for the band keys,
+then for the paragraphs whose class shares a key or has copies, as a Bloom filter of fixed
+size lets them through, and their shingle sets; texts never cross a shuffle. Band groups
+with the same members are compared once. Classes of groups of more than ``group_rows`` meet
+instead by the rarest of their shingles, of which any linked pair shares one. Where still
+more than that meet, each is compared with some pivots and a chunk of the others, and then,
+chunk by chunk, only with classes of other components; memory is bounded throughout, and a
+task returns one spanning star per linked set, never its pairs. Seconds stay quadratic only
+in classes of a crowded shingle that the pivots leave outside its largest component.
 
 Defined cases: a null text has no paragraphs; rows with a null id are ignored; repeated
 rows of one id are one document; paragraphs below ``min_words`` are never touched; one of
@@ -32,10 +36,10 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.lineage import cut
+from maskwright.lineage import cut, freeing_shuffles
 from maskwright.llm import bloom
 from maskwright.llm import textbytes as tb
 from maskwright.operators.components import connected_components
@@ -49,6 +53,8 @@ GROUP_ROWS = 256
 RADIUS = 12
 MAX_PIECE = 50
 RECENT = 100_000
+PIVOTS = 8
+LINE, PIECE = 0, 1  # kinds of paragraphs
 
 _STEP = 0xD6E8FEB86659FD93
 _SECOND = np.uint64(_STEP)
@@ -67,10 +73,19 @@ def tune(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int
 
 def piece_starts(hashes: np.ndarray, size: int) -> np.ndarray:
     """Where the pieces of one text begin, from the hashes of its words."""
-    n = len(hashes)
-    if n < 2 * size:
-        return np.zeros(min(n, 1), dtype=np.int64)
-    shingle = tb.chain(*(hashes[k : n - size + 1 + k] for k in range(size)))
+    if len(hashes) < 2 * size:
+        return np.zeros(min(len(hashes), 1), dtype=np.int64)
+    return _cuts(_shingles(hashes, size), len(hashes), size)
+
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` words from each word on."""
+    count = max(len(words) - size + 1, 0)
+    return tb.chain(*(words[k : count + k] for k in range(size)))
+
+
+def _cuts(shingle: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Where the pieces of a text of ``n`` words, 2 * ``size`` at least, begin."""
     full = np.full(RADIUS, np.iinfo(np.uint64).max, dtype=np.uint64)
     near = np.lib.stride_tricks.sliding_window_view(np.concatenate((full, shingle, full)), RADIUS)
     before, after = near[: len(shingle)].min(1), near[RADIUS + 1 :].min(1)
@@ -82,101 +97,146 @@ def piece_starts(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs, or pieces, of a block of texts, as arrays over words."""
+    """The lines and pieces of a block of texts, as arrays over its words. ``units`` gives
+    the least number of words of each kind that is wanted; shingles are ``shingle[at : at + made]``."""
 
-    def __init__(self, texts: pa.Array, min_words: int, pieces: int = 0):
+    def __init__(self, texts: pa.Array, units: dict[int, int], size: int):
         data, bounds = tb.flatten(texts)
         data = tb.LOWER[data]
         breaks = np.flatnonzero(data == 0x0A) + 1
         lines = np.unique(np.concatenate((bounds, breaks)))
         starts, ends, firsts = tb.words(data, lines, tb.NOT_SPACE)
         self.words = tb.span_hashes(tb.prefix_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        if pieces:  # of so many words a shingle
-            owns = np.searchsorted(starts, bounds)
-            heads = [a + piece_starts(self.words[a:b], pieces) for a, b in zip(owns[:-1].tolist(), owns[1:].tolist())]
-            first = np.concatenate([np.zeros(0, np.int64), *heads])
-            last = np.minimum(np.append(first[1:], len(starts)), owns[np.searchsorted(owns, first, side="right")])
-            used = np.searchsorted(firsts, first, side="right") - 1
-            keep = last - first >= max(min_words, 1)
-            self.first, self.n_words, used = first[keep], (last - first)[keep], used[keep]
-        else:
-            counts = np.diff(firsts)
-            used = np.flatnonzero(counts >= max(min_words, 1))
-            self.first, self.n_words = firsts[:-1][used], counts[used]
+        full = _shingles(self.words, size)
+        kinds = []
+        for unit, least in units.items():
+            if unit == PIECE:
+                owns = np.searchsorted(starts, bounds)
+                heads = [np.zeros(0, np.int64)]
+                for a, b in zip(owns[:-1].tolist(), owns[1:].tolist()):
+                    if b - a >= 2 * size:
+                        heads.append(a + _cuts(full[a : b - size + 1], b - a, size))
+                    elif b > a:
+                        heads.append(np.array([a]))
+                first = np.concatenate(heads)
+                last = np.minimum(np.append(first[1:], len(starts)), owns[np.searchsorted(owns, first, side="right")])
+                used = np.searchsorted(firsts, first, side="right") - 1
+                keep = last - first >= max(least, 1)
+                kinds.append((unit, first[keep], (last - first)[keep], used[keep]))
+            else:
+                counts = np.diff(firsts)
+                used = np.flatnonzero(counts >= max(least, 1))
+                kinds.append((unit, firsts[:-1][used], counts[used], used))
+        self.unit = np.concatenate([np.full(len(first), unit, dtype=np.int8) for unit, first, _, _ in kinds])
+        self.first, self.n_words, used = (np.concatenate(x) for x in list(zip(*kinds))[1:])
         self.word = self.first - firsts[:-1][used]
         self.text = np.searchsorted(bounds, lines[:-1][used], side="right") - 1
-        newlines = np.concatenate(([0], np.cumsum(data == 0x0A)))
-        self.line = newlines[lines[:-1][used]] - newlines[bounds[:-1]][self.text]
+        newlines = lambda at: np.searchsorted(breaks, at, side="right")
+        self.line = newlines(lines[:-1][used]) - newlines(bounds[:-1][self.text])
+        self.made = np.maximum(self.n_words - size + 1, 1)
+        short = self.n_words < size
+        self.at = np.where(short, len(full) + np.cumsum(short) - 1, self.first)
+        self.shingle = np.concatenate((full, self._short(np.flatnonzero(short), size)))
+
+    def _short(self, which: np.ndarray, size: int) -> np.ndarray:
+        """The only shingle of each paragraph of fewer words than one has."""
+        first, last = self.first[which], (self.first + self.n_words)[which]
+        out = self.words[first]
+        for k in range(1, size):
+            at = first + k
+            out = tb.chain(out, np.where(at < last, self.words[np.minimum(at, len(self.words) - 1)], np.uint64(k)))
+        return out
 
-    def only(self, at: np.ndarray) -> Paragraphs:
+    def only(self, which: np.ndarray) -> Paragraphs:
         """Some of the paragraphs, in the same words."""
         out = object.__new__(Paragraphs)
-        out.words = self.words
-        for name in ("first", "n_words", "word", "text", "line"):
-            setattr(out, name, getattr(self, name)[at])
+        out.words, out.shingle = self.words, self.shingle
+        for name in ("unit", "first", "n_words", "word", "text", "line", "at", "made"):
+            setattr(out, name, getattr(self, name)[which])
         return out
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each paragraph's word sequence."""
+        """Two hashes of each paragraph's word sequence; a line and a piece differ."""
         last = self.first + self.n_words
         out = []
         for words in (self.words, tb.mix(self.words ^ _SECOND)):
             sums = np.zeros(len(words) + 1, dtype=np.uint64)
             np.cumsum(words * tb.powers(len(words), tb._STEP), out=sums[1:])
             out.append(tb.span_hashes(sums, self.first, last))
-        return out[0], out[1]
-
-    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all shingles, and the number before each paragraph."""
-        made = np.maximum(self.n_words - size + 1, 1)
-        upto = np.concatenate(([0], np.cumsum(made)))
-        heads = np.repeat(self.first - upto[:-1], made) + np.arange(upto[-1])
-        last = np.repeat(self.first + self.n_words, made)
-        out = self.words[heads]
-        for k in range(1, size):
-            at = heads + k
-            out = tb.chain(out, np.where(at < last, self.words[np.minimum(at, len(self.words) - 1)], np.uint64(k)))
-        return out, upto
+        return out[0] + self.unit.astype(np.uint64), out[1]
 
-    def bands(self, size: int, bands: int, rows: int) -> np.ndarray:
-        if not len(self.first):
-            return np.zeros((0, bands), dtype=np.uint64)
-        hashes, upto = self.shingles(size)
+    def sets(self) -> list[bytes]:
+        """The sorted shingle set of each paragraph."""
+        return [np.unique(self.shingle[a:b]).tobytes() for a, b in zip(self.at.tolist(), (self.at + self.made).tolist())]
+
+    def bands(self, bands: int, rows: int) -> np.ndarray:
         out = np.zeros((len(self.first), bands), dtype=np.uint64)
+        if not len(self.first):
+            return out
+        # places are hashed once, whichever paragraphs they are in; every other range is the gap
+        # to the next paragraph, and short in their order
+        order = np.lexsort((self.at, self.unit))
+        ranges = np.column_stack((self.at, self.at + self.made))[order].ravel()
+        places = np.append(self.shingle, np.uint64(0))
+        hashed, spare, low = np.empty_like(places), np.empty_like(places), np.empty(len(order), dtype=np.uint64)
         for k in range(bands * rows):
-            low = np.minimum.reduceat(tb.mix(hashes + np.uint64((k + 1) * _STEP % (1 << 64))), upto[:-1])
+            np.add(places, np.uint64((k + 1) * _STEP % (1 << 64)), out=hashed)
+            _mix_in_place(hashed, spare)
+            low[order] = np.minimum.reduceat(hashed, ranges)[::2]
             band = k // rows
             out[:, band] = tb.chain(out[:, band] if k % rows else np.full(len(low), band, np.uint64), low)
-        return out
+        return out + self.unit.astype(np.uint64)[:, None]
+
+
+def _mix_in_place(x: np.ndarray, spare: np.ndarray) -> None:
+    """``tb.mix`` without new arrays."""
+    for shift, times in ((30, tb._MIX_A), (27, tb._MIX_B), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if times is not None:
+            np.multiply(x, times, out=x)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def paragraphs(docs: DataFrame, min_words: int, size: int, pieces: bool, wanted) -> DataFrame:
-    """``(doc_id, line, word, n_words, a, b, id)`` of the paragraphs whose class may be in the
-    filter ``wanted``; (a, b) is a paragraph's class, ``id`` one number of both."""
+def paragraphs(docs: DataFrame, units: dict[int, int], size: int, wanted, compared) -> DataFrame:
+    """``(doc_id, unit, line, word, n_words, a, b, id, shingles)`` of the paragraphs whose class
+    may be in the filter ``wanted``; (a, b) is a paragraph's class, ``id`` one number of both.
+    The sorted shingle set of classes that may be in ``compared`` is given with a first copy
+    in a block, unless it was with one of the ``RECENT`` classes before."""
 
     def run(batches):
+        recent = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             for part in tb.blocks(batch, "text"):
-                found = Paragraphs(part.column("text"), min_words, size * pieces)
-                ids = class_id(*found.classes())
+                found = Paragraphs(part.column("text"), units, size)
+                a, b = found.classes()
+                ids = class_id(a, b)
                 at = np.flatnonzero(bloom.has(wanted.value, ids))
                 if not len(at):
                     continue
-                found, ids = found.only(at), ids[at]
+                found, a, b, ids = found.only(at), a[at], b[at], ids[at]
+                new, first = np.unique(ids, return_index=True)
+                live = bloom.has(compared.value, new) & ~np.isin(new, recent)
+                recent = np.concatenate((recent, new[live]))[-RECENT:]
+                sets = np.full(len(ids), None, dtype=object)
+                sets[first[live]] = found.only(first[live]).sets()
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(found.text)),
+                        pa.array(found.unit),
                         *(pa.array(x.astype(np.int32)) for x in (found.line, found.word, found.n_words)),
-                        *map(_signed, [*found.classes(), ids]),
+                        *map(_signed, [a, b, ids]),
+                        pa.array(sets, pa.binary()),
                     ],
-                    names=["doc_id", "line", "word", "n_words", "a", "b", "id"],
+                    names=["doc_id", "unit", "line", "word", "n_words", "a", "b", "id", "shingles"],
                 )
 
-    return _usable(docs).mapInArrow(run, "doc_id long, line int, word int, n_words int, a long, b long, id long")
+    return _usable(docs).mapInArrow(
+        run, "doc_id long, unit byte, line int, word int, n_words int, a long, b long, id long, shingles binary"
+    )
 
 
 def _usable(docs: DataFrame) -> DataFrame:
@@ -188,7 +248,7 @@ def class_id(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return tb.chain(a, b)
 
 
-def band_keys(docs: DataFrame, min_words: int, size: int, bands: int, rows: int, pieces: bool = False) -> DataFrame:
+def band_keys(docs: DataFrame, units: dict[int, int], size: int, bands: int, rows: int) -> DataFrame:
     """``(key, id)``: the band keys of every class. A task gives them once for many copies of
     a class: those of a block, and of the ``RECENT`` classes it has met; that there are
     copies is told by two equal rows, under the class itself as a key."""
@@ -197,7 +257,7 @@ def band_keys(docs: DataFrame, min_words: int, size: int, bands: int, rows: int,
         recent = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             for part in tb.blocks(batch, "text"):
-                found = Paragraphs(part.column("text"), min_words, size * pieces)
+                found = Paragraphs(part.column("text"), units, size)
                 if not len(found.first):
                     continue
                 ids, at, copies = np.unique(class_id(*found.classes()), return_index=True, return_counts=True)
@@ -205,7 +265,7 @@ def band_keys(docs: DataFrame, min_words: int, size: int, bands: int, rows: int,
                 repeated = ids[met | (copies > 1)]
                 ids, at = ids[~met], at[~met]
                 recent = np.concatenate((recent, ids))[-RECENT:]
-                keys = found.only(at).bands(size, bands, rows)
+                keys = found.only(at).bands(bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [_signed(np.concatenate((keys.ravel(), repeated, repeated))), _signed(np.concatenate((np.repeat(ids, bands), repeated, repeated)))],
                     names=["key", "id"],
@@ -216,7 +276,7 @@ def band_keys(docs: DataFrame, min_words: int, size: int, bands: int, rows: int,
 
 def _groups(limit: int):
     """From rows sorted by key: members of keys with several, under a group id that is
-    equal for equal sets of up to ``limit`` members; larger sets keep their key. A member
+    equal for equal sets of up to ``limit`` members; larger sets keep their key and are marked. A member
     that is there twice is a class with copies, and comes out without a group too."""
 
     def flush(key, members, closed):
@@ -224,7 +284,8 @@ def _groups(limit: int):
             return None
         ids = np.array(members, dtype=np.int64).view(np.uint64)
         group = int(tb.mix(ids).sum(dtype=np.uint64)) if closed and len(members) <= limit else int(key)
-        return np.full(len(ids), group, dtype=np.uint64 if group >= 0 else np.int64).view(np.int64), ids.view(np.int64)
+        large = np.full(len(ids), not closed or len(members) > limit)
+        return np.full(len(ids), group, dtype=np.uint64 if group >= 0 else np.int64).view(np.int64), ids.view(np.int64), large
 
     def run(batches):
         key, members, large, before = None, [], False, (None, None)
@@ -237,7 +298,7 @@ def _groups(limit: int):
             before = (int(keys[-1]), int(ids[-1])) if len(keys) else before
             if not new.all():
                 twice = pa.array(np.unique(ids[~new]))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(twice), pa.int64()), twice], names=["grp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(twice), pa.int64()), twice, pa.nulls(len(twice), pa.bool_())], names=["grp", "id", "large"])
             keys, ids = keys[new], ids[new]
             if not len(keys):
                 continue
@@ -260,10 +321,10 @@ def _groups(limit: int):
                     out.append(flush(key, members, False))
                     members, large = [], True
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["grp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["grp", "id", "large"])
                 out = []
         if members and (got := flush(key, members, not large)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["grp", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["grp", "id", "large"])
 
     return run
 
@@ -271,6 +332,9 @@ def _groups(limit: int):
 def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The least index each set is linked to, by exact Jaccard over sorted hash sets."""
     m = len(sets)
+    if m == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if both >= similarity * (len(sets[0]) + len(sets[1]) - both) else 1])
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), sizes.astype(int))
@@ -324,22 +388,92 @@ def _links(rows):
     )
 
 
-def _shingles_of(docs: DataFrame, wanted, min_words: int, size: int, pieces: bool) -> DataFrame:
-    """``(id, shingles)``: the sorted shingle set of each class that may be in ``wanted``."""
+def _compare(dealt: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(node, root)`` among the classes dealt to each ``(grp, i, j)``."""
+    return (
+        dealt.join(shingles, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id")
+        .mapInArrow(_verify(similarity), "node long, root long")
+    )
 
-    def run(batches):
-        for batch in batches:
-            for part in tb.blocks(batch, "text"):
-                found = Paragraphs(part.column("text"), min_words, size * pieces)
-                ids, at = np.unique(class_id(*found.classes()), return_index=True)
-                keep = bloom.has(wanted.value, ids)
-                if not keep.any():
-                    continue
-                hashes, upto = found.only(at[keep]).shingles(size)
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([_signed(ids[keep]), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return _usable(docs).mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+def _rare_first(shingles: DataFrame, similarity: float) -> DataFrame:
+    """``(key, id, size, usual, reach)``: the shingles of each class, rarest first, by which any set
+    linked to it shares one with it. ``usual`` is the mean count of its shingles; a partner
+    whose first shared shingle this is has at most ``reach`` shingles."""
+    one = shingles.select("id", "shingles").mapInArrow(_explode, "id long, key long")
+    counted = one.join(one.groupBy("key").agg(F.count("*").alias("n")), "key")
+    whole = Window.partitionBy("id")
+    size, place = F.col("size"), F.col("place")
+    return (
+        counted.withColumn("place", F.row_number().over(whole.orderBy("n", "key")) - 1)
+        .withColumn("size", F.count("*").over(whole)).withColumn("usual", F.avg("n").over(whole))
+        .where((place <= size - F.ceil(size * similarity - 1e-9)) & (F.col("n") > 1))
+        .select("key", "id", "size", "usual", ((size - place) * ((1 + similarity) / similarity) - size + 1e-6).alias("reach"))
+    )
+
+
+def _explode(batches):
+    for batch in batches:
+        sets = [np.frombuffer(raw, dtype=np.int64) for raw in batch.column("shingles").to_pylist()]
+        if sets:
+            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "key"])
+
+
+def _large_links(shingles: DataFrame, links: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """Links among the classes of large band groups, known ``links`` and what they lack.
+
+    Linked sets share one of their rarest shingles, so classes meet by those. Where still too
+    many meet, each is compared with some pivots and a chunk of the others; after that only
+    classes of different components are, chunk by chunk."""
+    half = max(1, group_rows // 2)
+    prefixes = cut(_rare_first(shingles, similarity))
+    grouped = cut(
+        prefixes.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+        .mapInArrow(_groups(group_rows), "grp long, id long, large boolean").distinct()
+    )
+    flat = lambda rows: rows.select("grp", "id", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    links = links.unionByName(_compare(flat(grouped.where("not large")), shingles, similarity))
+    crowded = grouped.where("large").select("grp", "id").join(prefixes.withColumnRenamed("key", "grp"), ["grp", "id"])
+    crowd = cut(crowded.groupBy("grp").agg(
+        F.count("*").alias("n"),
+        F.array_distinct(F.array(
+            F.max_by("id", F.struct("usual", "id")), *(F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(PIVOTS - 1))
+        )).alias("pivots"),
+    ))
+    if crowd.isEmpty():
+        return links
+    own = F.pmod(F.xxhash64("id", "grp"), F.ceil(F.col("n") / half)).cast("int")
+    first = crowded.join(crowd, "grp").where(~F.array_contains("pivots", F.col("id"))).select(
+        "grp", "id", own.alias("i"), F.lit(0).alias("j")
+    ).unionByName(
+        crowd.select("grp", F.explode("pivots").alias("id"), "n").select(
+            "grp", "id", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / half) - 1).cast("int"))).alias("i"), F.lit(0).alias("j")
+        )
+    )
+    links = cut(links.unionByName(_compare(first, shingles, similarity)).distinct())
+    known = cut(connected_components(links, []))
+    stars = known.select("node", F.col("component").alias("root"))
+    apart = crowded.join(known, F.col("id") == F.col("node"), "left").select(
+        "grp", "id", "size", "reach", F.coalesce("component", "id").alias("component")
+    )
+    parts = apart.groupBy("grp", "component").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+    most = parts.groupBy("grp").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.min("size").alias("least"), F.count("*").alias("parts")
+    ).where("parts > 1")
+    # a class whose partners would have to be smaller than any that is there has none
+    apart = cut(apart.join(most, "grp").where("reach >= least").withColumn("rest", F.expr("component <> main")))
+    chunks = cut(apart.groupBy("grp").agg(
+        F.ceil(F.count(F.when(F.col("rest"), 1)) / half).cast("int").alias("r"),
+        F.ceil(F.count(F.when(~F.col("rest"), 1)) / half).cast("int").alias("m"),
+    ).where("r > 0"))
+    # chunks 0 to r - 1 are of the rest, r to r + m - 1 of the main component, which do not meet each other
+    dealt = apart.join(chunks, "grp").withColumn(
+        "own", F.expr("if(rest, pmod(xxhash64(id, grp), r), r + pmod(xxhash64(id, grp), greatest(m, 1)))").cast("int")
+    ).withColumn("other", F.explode(F.expr("sequence(0, if(rest, r + m, r) - 1)"))).select(
+        "grp", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+    return stars.unionByName(_compare(dealt, shingles, similarity))
 
 
 def find_repeats(
@@ -353,7 +487,7 @@ def find_repeats(
 ) -> DataFrame:
     """``(doc_id, line, n_words, keep_doc_id, keep_line, removed)`` of every paragraph that
     has a repeat; the kept paragraph of each component is among them."""
-    return _repeats(docs, False, min_words, similarity, recall, size, max_hashes, group_rows).drop("word", "keep_word")
+    return repeats(docs, {LINE: min_words}, similarity, recall, size, max_hashes, group_rows).drop("unit", "word", "keep_word")
 
 
 def find_pieces(
@@ -366,56 +500,57 @@ def find_pieces(
 ) -> DataFrame:
     """``(doc_id, line, word, n_words, keep_doc_id, keep_line, keep_word, removed)`` of every
     piece that has a repeat; ``word`` is its first word's place in ``line``."""
-    return _repeats(docs, True, size, similarity, recall, size, max_hashes, group_rows)
+    return repeats(docs, {PIECE: size}, similarity, recall, size, max_hashes, group_rows).drop("unit")
 
 
-def _repeats(
-    docs: DataFrame, pieces: bool, min_words: int, similarity: float, recall: float, size: int, max_hashes: int, group_rows: int
+def repeats(
+    docs: DataFrame,
+    units: dict[int, int],
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    size: int = SHINGLE,
+    max_hashes: int = MAX_HASHES,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
+    """What ``find_repeats`` and ``find_pieces`` give, with ``unit``, of the kinds in ``units``
+    (``LINE``, ``PIECE``: the least number of words) in one go."""
+    with freeing_shuffles(docs.sparkSession):
+        found, kept = _found_and_kept(docs.select("doc_id", "text"), units, similarity, recall, size, max_hashes, group_rows)
+    return (
+        found.drop("id", "shingles").join(kept, ["a", "b"])
+        .select(
+            "unit", "doc_id", "line", "word", "n_words",
+            *(F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("doc_id", "line", "word")),
+            (F.struct("doc_id", "line", "word") != F.col("keep")).alias("removed"),
+        )
+    )
+
+
+def _found_and_kept(
+    docs: DataFrame, units: dict[int, int], similarity: float, recall: float, size: int, max_hashes: int, group_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """The paragraphs that may have a repeat, and ``(a, b, keep)`` of every class that has one."""
     bands, rows = tune(similarity, recall, max_hashes)
-    docs = docs.select("doc_id", "text")
     grouped = cut(
-        band_keys(docs, min_words, size, bands, rows, pieces)
-        .repartition("key").sortWithinPartitions("key", "id").mapInArrow(_groups(group_rows), "grp long, id long").distinct()
+        band_keys(docs, units, size, bands, rows)
+        .repartition("key").sortWithinPartitions("key", "id")
+        .mapInArrow(_groups(group_rows), "grp long, id long, large boolean").distinct()
     )
     members = grouped.where("grp is not null")
-    found = paragraphs(docs, min_words, size, pieces, bloom.build(grouped.select("id").distinct()))
+    wanted, compared = (bloom.build(x.select("id").distinct()) for x in (grouped, members))
+    found = cut(paragraphs(docs, units, size, wanted, compared))
     classes = cut(found.groupBy("a", "b").agg(
         F.min(F.struct("doc_id", "line", "word")).alias("first"), F.count("*").alias("n"), F.first("id").alias("id")
     ))
-    shingles = cut(_shingles_of(docs, bloom.build(members.select("id").distinct()), min_words, size, pieces))
-    sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / (group_rows / 2)).cast("int").alias("chunks"))
-    dealt = members.join(cut(sizes), "grp").withColumn(
-        "own", F.pmod(F.xxhash64("id", "grp"), F.col("chunks")).cast("int")
-    ).withColumn("other", F.explode(F.expr("if(chunks <= 2, array(-1), sequence(0, chunks - 1))"))).select(
-        "grp", "id",
-        F.expr("if(chunks <= 2, 0, least(own, other))").alias("i"),
-        F.expr("if(chunks <= 2, 0, greatest(own, other))").alias("j"),
-    )
-    links = (
-        dealt.join(shingles, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "id")
-        .mapInArrow(_verify(similarity), "node long, root long")
+    shingles = cut(found.where("shingles is not null").select("id", "shingles").dropDuplicates(["id"]))
+    links = _compare(
+        members.where("not large").select("grp", "id", F.lit(0).alias("i"), F.lit(0).alias("j")), shingles, similarity
     )
-    firsts = classes.select("id", "first")
-    named = (
-        cut(links.distinct())
-        .join(firsts.withColumnRenamed("first", "node_first"), F.col("node") == F.col("id")).drop("id")
-        .join(firsts.withColumnRenamed("first", "root_first"), F.col("root") == F.col("id")).drop("id")
-    )
-    joined = connected_components(
-        named.select(F.col("node_first").alias("node"), F.col("root_first").alias("root")), []
-    )
-    kept = (
-        classes.select("a", "b", "first", "n")
-        .join(joined.withColumnRenamed("node", "first"), "first", "left")
-        .where("n > 1 or component is not null")
-        .select("a", "b", F.coalesce("component", "first").alias("keep"))
-    )
-    return (
-        found.select("doc_id", "line", "word", "n_words", "a", "b").join(cut(kept), ["a", "b"])
-        .select(
-            "doc_id", "line", "word", "n_words",
-            *(F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("doc_id", "line", "word")),
-            (F.struct("doc_id", "line", "word") != F.col("keep")).alias("removed"),
-        )
+    crowded = members.where("large").select("id").distinct()
+    if not crowded.isEmpty():
+        links = _large_links(cut(shingles.join(crowded, "id", "left_semi")), links, similarity, group_rows)
+    joined = connected_components(cut(links.distinct()), [])
+    linked = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null").select(
+        "a", "b", "first", F.coalesce("component", "id").alias("component")
     )
+    return found, cut(linked.join(linked.groupBy("component").agg(F.min("first").alias("keep")), "component").select("a", "b", "keep"))

@@ -69,6 +69,26 @@ def test_large_groups_are_cut_into_chunks():
     assert pdup.similar_sets(sets, 0.8).tolist() == [0, 0, 0, 3]
 
 
+def test_rows_dealt_for_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Variants of one line, most of them too far apart to be linked, that share band keys."""
+    rng = np.random.default_rng(5)
+    core = [f"c{k}" for k in range(24)]
+    extra = lambda n: [f"u{k}" for k in rng.integers(0, 1 << 40, n)]
+    rows = [(k, " ".join(core + extra(int(rng.integers(0, 12))))) for k in range(800)]
+    dealt, compare = [], pdup._compare
+
+    def counted(members, *rest):
+        dealt[-1] += members.count()
+        return compare(members, *rest)
+
+    monkeypatch.setattr(pdup, "_compare", counted)
+    for n in (400, 800):
+        dealt.append(0)
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        assert {tuple(r) for r in pdup.find_repeats(docs, group_rows=16).collect()} == brute_force(rows[:n], 20)
+    assert dealt[1] < 3 * dealt[0] and dealt[1] < 40 * 800, dealt
+
+
 def test_odd_rows(spark):
     line = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame(
