@@ -739,13 +739,14 @@ def top_k_cosines(
         slim = queries.select("query_id", "embedding")
         partial = _meet_in_blocks(slim, rows.select("identity_ord", "embedding"), tally, schema, _query_blocks(slim))
     best = Window.partitionBy("query_id", "identity_ord").orderBy(F.desc("cosine"))
-    names = gallery.groupBy("identity_ord", "identity_id").agg(F.count("*").alias("__held"))
+    names = gallery.select("identity_ord", "identity_id").distinct()
     ranked = (
         partial.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .join(names, "identity_ord")
     )
-    if pad:  # the last row of an identity with fewer than k also stands for what is missing
+    if pad:  # the last row of fewer than k, of a query id that may be there twice, also stands for what is missing
+        ranked = ranked.withColumn("__held", F.count("*").over(Window.partitionBy("query_id", "identity_ord")))
         missing = F.when(
             (F.col("rank") == F.col("__held")) & (F.col("__held") < k), F.sequence(F.col("rank"), F.lit(k))
         ).otherwise(F.array("rank"))

@@ -87,6 +87,21 @@ def test_top_k(spark, sizes):
     assert {((r.query_id, r.identity_id), r["rank"], r.cosine) for r in got} == expected
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_bytes": 0, "block_rows": 3}])
+def test_top_k_padded_of_a_query_id_that_is_there_twice(spark, sizes):
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    gallery = spark.createDataFrame(
+        [("a", 0, "prototype", 0, one), ("a", 0, "prototype", 1, two), ("b", 1, "prototype", 0, one)], GALLERY
+    )
+    q = spark.createDataFrame([(7, one), (7, two), (8, one)], "query_id bigint, embedding array<float>")
+    got = matching.top_k_cosines(q, gallery, 3, pad=True, **sizes).collect()
+    none = -math.inf
+    want = {(7, "a"): [1, 1, 0], (7, "b"): [1, 0, none], (8, "a"): [1, 0, none], (8, "b"): [1, none, none]}
+    assert sorted((r.query_id, r.identity_id, r["rank"], r.cosine) for r in got) == sorted(
+        (q, i, n + 1, float(s)) for (q, i), scores in want.items() for n, s in enumerate(scores)
+    )
+
+
 def test_sanitize_gallery(spark):
     good, bad = [1.0, 0.0], [2.0, 0.0]
     rows = [
