@@ -36,7 +36,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.lineage import cut, freeing_shuffles
@@ -54,6 +54,7 @@ RADIUS = 12
 MAX_PIECE = 50
 RECENT = 100_000
 PIVOTS = 8
+MAX_SLOTS, SLOT_RANGES = 1 << 22, 64  # of the counts of shingles
 LINE, PIECE = 0, 1  # kinds of paragraphs
 
 _STEP = 0xD6E8FEB86659FD93
@@ -396,28 +397,90 @@ def _compare(dealt: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     )
 
 
+def _slots(keys: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The two slots of each shingle."""
+    mixed = tb.mix(keys.view(np.uint64))
+    return [((mixed >> np.uint64(shift)) & np.uint64(slots - 1)).astype(np.int64) for shift in (0, 32)]
+
+
+def _shingle_counts(shingles: DataFrame):
+    """In how many classes shingles are, counted in up to ``MAX_SLOTS`` slots of their hash, two
+    for each, ready to be shipped; the lesser of the two is the count or above it. A task hands on
+    one row a range of slots, with those that it has met."""
+    total = shingles.agg(F.sum(F.expr("length(shingles) div 8"))).first()[0] or 0
+    slots = SLOT_RANGES
+    while slots < min(MAX_SLOTS, 16 * total):
+        slots *= 2
+    width = slots // SLOT_RANGES
+
+    def count(batches):
+        held = np.zeros(slots, dtype=np.int64)
+        for batch in batches:
+            for part in tb.blocks(batch, "shingles"):
+                keys = np.frombuffer(b"".join(part.column("shingles").to_pylist()), dtype=np.int64)
+                for at in _slots(keys, slots):
+                    np.add.at(held, at, 1)
+        for k in range(SLOT_RANGES):
+            own = held[k * width : (k + 1) * width]
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([own[at].tobytes()])], names=["part", "at", "n"]
+                )
+
+    def add(batches):
+        held = {}
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                own = held.setdefault(k, np.zeros(width, dtype=np.int64))
+                own[np.frombuffer(at, dtype=np.int32)] += np.frombuffer(n, dtype=np.int64)
+        for k, own in held.items():
+            counts = np.minimum(own, np.iinfo(np.int32).max).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts.tobytes()])], names=["part", "n"])
+
+    counted = (
+        shingles.select("shingles").mapInArrow(count, "part int, at binary, n binary")
+        .repartition("part").mapInArrow(add, "part int, n binary").toArrow()
+    )
+    out = np.zeros((SLOT_RANGES, width), dtype=np.int32)
+    for k, n in zip(*(c.to_pylist() for c in counted.columns)):
+        out[k] = np.frombuffer(n, dtype=np.int32)
+    return shingles.sparkSession.sparkContext.broadcast(out.ravel())
+
+
 def _rare_first(shingles: DataFrame, similarity: float) -> DataFrame:
     """``(key, id, size, usual, reach)``: the shingles of each class, rarest first, by which any set
-    linked to it shares one with it. ``usual`` is the mean count of its shingles; a partner
+    linked to it shares one with it. Any order that holds for all classes will do, so the
+    counts of slots serve. ``usual`` is the mean count of its shingles; a partner
     whose first shared shingle this is has at most ``reach`` shingles."""
-    one = shingles.select("id", "shingles").mapInArrow(_explode, "id long, key long")
-    counted = one.join(one.groupBy("key").agg(F.count("*").alias("n")), "key")
-    whole = Window.partitionBy("id")
-    size, place = F.col("size"), F.col("place")
-    return (
-        counted.withColumn("place", F.row_number().over(whole.orderBy("n", "key")) - 1)
-        .withColumn("size", F.count("*").over(whole)).withColumn("usual", F.avg("n").over(whole))
-        .where((place <= size - F.ceil(size * similarity - 1e-9)) & (F.col("n") > 1))
-        .select("key", "id", "size", "usual", ((size - place) * ((1 + similarity) / similarity) - size + 1e-6).alias("reach"))
-    )
+    counts = _shingle_counts(shingles)
 
+    def prefixes(batches):
+        for batch in batches:
+            for part in tb.blocks(batch, "shingles"):
+                raw = part.column("shingles").to_pylist()
+                keys = np.frombuffer(b"".join(raw), dtype=np.int64)
+                sizes = np.array([len(x) // 8 for x in raw])
+                if not len(keys):
+                    continue
+                owner, first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+                n = np.minimum(*(counts.value[at] for at in _slots(keys, len(counts.value)))).astype(np.int64)
+                usual = np.bincount(owner, weights=n, minlength=len(sizes)) / np.maximum(sizes, 1)
+                order = np.lexsort((keys, n, owner))
+                place, size = np.arange(len(keys)) - first[owner], sizes[owner]
+                # a count of one is of a shingle that is in no other class
+                at = np.flatnonzero((place <= size - np.ceil(size * similarity - 1e-9)) & (n[order] > 1))
+                own, size = owner[at], size[at]
+                reach = (size - place[at]) * ((1 + similarity) / similarity) - size + 1e-6
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[order[at]]), part.column("id").take(pa.array(own)),
+                        pa.array(size), pa.array(usual[own]), pa.array(reach),
+                    ],
+                    names=["key", "id", "size", "usual", "reach"],
+                )
 
-def _explode(batches):
-    for batch in batches:
-        sets = [np.frombuffer(raw, dtype=np.int64) for raw in batch.column("shingles").to_pylist()]
-        if sets:
-            ids = np.repeat(batch.column("id").to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "key"])
+    return shingles.select("id", "shingles").mapInArrow(prefixes, "key long, id long, size long, usual double, reach double")
 
 
 def _large_links(shingles: DataFrame, links: DataFrame, similarity: float, group_rows: int) -> DataFrame:

@@ -89,6 +89,29 @@ def test_rows_dealt_for_a_large_group_grow_with_its_size(spark, monkeypatch):
     assert dealt[1] < 3 * dealt[0] and dealt[1] < 40 * 800, dealt
 
 
+def test_rare_shingles_are_told_without_a_row_for_every_shingle(spark, monkeypatch):
+    """Linked sets share a kept shingle within reach, also if many shingles share a slot."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(1 << 62), 1 << 62, 60)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(30, 61)], rng.integers(-(1 << 62), 1 << 62, int(rng.integers(0, 9))))).view(np.uint64)) for _ in range(150)]
+    df = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "id long, shingles binary")
+    linked = [(a, b) for b in range(150) for a in range(b) if (n := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(linked) > 100
+    for most in (pdup.MAX_SLOTS, pdup.SLOT_RANGES):
+        monkeypatch.setattr(pdup, "MAX_SLOTS", most)
+        made = pdup._rare_first(df, 0.8)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+        keys = defaultdict(dict)
+        for r in made.collect():
+            assert r.size == len(sets[r.id]) and r.key in sets[r.id].view(np.int64)
+            keys[r.id][r.key] = r.reach
+        assert all(len(own) <= 0.2 * len(sets[k]) + 1 for k, own in keys.items())
+        for a, b in linked:
+            shared = keys[a].keys() & keys[b].keys()
+            assert any(keys[a][s] >= len(sets[b]) and keys[b][s] >= len(sets[a]) for s in shared)
+
+
 def test_odd_rows(spark):
     line = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame(
