@@ -411,15 +411,18 @@ def confirm(
 
 
 def similar_pairs(
-    faces: DataFrame, keys: list[str], minimum: float, block_rows: int = settings.BLOCK_ROWS
+    faces: DataFrame, keys: list[str], minimum: float, block_rows: int = settings.BLOCK_ROWS, copies: bool = False
 ) -> DataFrame:
-    """``(keys, ord_a, ord_b, cosine)`` of distinct vectors at least ``minimum`` alike.
+    """``(keys, ord_a, ord_b, cosine)`` of vectors at least ``minimum`` alike, ``ord_a`` the
+    lesser. Scores are of unit-length rows.
 
-    A copy of a vector is represented by the lowest ``ord`` carrying it, so copies do
-    not multiply the result. Scores are of unit-length rows.
+    With ``copies`` all pairs of rows: copies of a vector are rows like any others, so ``n`` of
+    them give all their ``n(n-1)/2`` pairs, and a task hands on those of two bounded blocks.
+    Without, a copy is represented by the lowest ``ord`` carrying the vector.
     """
-    rows = faces.select(*keys, F.col("ord").cast("bigint").alias("ord"), "embedding")
-    distinct = rows.groupBy(*keys, "embedding").agg(F.min("ord").alias("__ord"))
+    rows = faces.select(*keys, F.col("ord").cast("bigint").alias("__ord"), "embedding")
+    if not copies:
+        rows = rows.groupBy(*keys, "embedding").agg(F.min("__ord").alias("__ord"))
     schema = T.StructType(
         [
             *[faces.schema[k] for k in keys],
@@ -443,8 +446,8 @@ def similar_pairs(
             own = left[part]
             i, j, s = blocks.pairs_at_least(unit[own], unit[right], minimum)
             a, b = ords[own[i]], ords[right[j]]
-            if same:
-                i, s, a, b = i[a < b], s[a < b], a[a < b], b[a < b]
+            once = a < b if same else a != b
+            i, s, a, b = i[once], s[once], a[once], b[once]
             found = (
                 task.take(pa.array(own[i]))
                 .append_column("ord_a", pa.array(np.minimum(a, b), pa.int64()))
@@ -453,7 +456,7 @@ def similar_pairs(
             )
             yield from found.combine_chunks().to_batches(100_000)
 
-    spread = blocks.near_blocks(distinct, keys, "__ord", "embedding", minimum, block_rows)
+    spread = blocks.near_blocks(rows, keys, "__ord", "embedding", minimum, block_rows)
     columns = [*keys, "__ord", "embedding", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]
     return (
         spread.select(*columns)

@@ -136,7 +136,7 @@ def top_k_cosines_parts(spark, folder):
 
 @query(ORACLES["similarity_join"])
 def similarity_join_blocks(spark, folder):
-    pairs = enroll.similar_pairs(vector_queries._one_group(spark, folder), ["name"], 0.35, block_rows=90)
+    pairs = enroll.similar_pairs(vector_queries._one_group(spark, folder), ["name"], 0.35, block_rows=90, copies=True)
     return pairs.select("ord_a", "ord_b", r6(F.col("cosine")).alias("cosine"))
 
 

@@ -334,7 +334,7 @@ _UNITS = f"u AS (SELECT vec_id, label, {sql.unit('embedding')}::DOUBLE[] AS u FR
     FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.35"""
 )
 def similarity_join(spark, folder):
-    pairs = enroll.similar_pairs(_one_group(spark, folder), ["name"], 0.35)
+    pairs = enroll.similar_pairs(_one_group(spark, folder), ["name"], 0.35, copies=True)
     return pairs.select("ord_a", "ord_b", r6(F.col("cosine")).alias("cosine"))
 
 

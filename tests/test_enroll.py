@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import duckdb
 import naive
 import numpy as np
 import pytest
@@ -85,6 +86,30 @@ def test_pairs_collapse_copies(spark, block_rows):
     assert {(r.ord_a, r.ord_b) for r in got} == want
 
 
+@pytest.mark.parametrize("block_rows", [4096, 4])
+def test_pairs_of_copies_are_all_there(spark, block_rows):
+    rows = faces(8, ("a",))
+    rows += [(name, len(rows) + i, v) for i, (name, _, v) in enumerate(rows)]
+    got = enroll.similar_pairs(spark.createDataFrame(rows, FACES), ["name"], 0.7, block_rows, copies=True).collect()
+    u = [naive.unit(v) for _, _, v in rows]
+    want = [(i, j) for i in range(len(u)) for j in range(i + 1, len(u)) if naive.dot(u[i], u[j]) >= 0.7]
+    assert sorted((r.ord_a, r.ord_b) for r in got) == want
+
+
+@pytest.mark.parametrize("query", ["similarity_join", "similarity_join_blocks"])
+def test_similarity_join_on_repeated_vectors_equals_its_sql(spark, tmp_path, query):
+    from maskwright.plans import all_queries
+    from tools import check
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    again = rows.withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    rows.unionByName(again).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = all_queries.QUERIES[query](spark, str(tmp_path))
+    assert check.compare(found, con, all_queries.ORACLES[query]).startswith("ok")
+
+
 def test_far_cells_never_meet(spark):
     """Tight clusters in a group of many blocks: fewer block pairs, the same graph."""
     from maskwright.operators import blocks
