@@ -126,7 +126,7 @@ def _partial_matches(queries: np.ndarray, g: _Gallery, margin: float) -> dict[st
     bound = np.where(g.negative, g.threshold - margin - blocks.SLACK, g.threshold)
     parts = [
         _reduced(blocks.unit_rows(queries[strip]), strip.start, g, bound)
-        for strip in blocks.strips(len(queries), len(g.vectors))
+        for strip in blocks.strips(len(queries), len(g.vectors), 1_000_000)
     ] or [_reduced(queries[:0], 0, g, bound)]
     return {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
 
@@ -558,20 +558,22 @@ def _score_by_index(queries, rules, margin, want_best, want_match, part_rows, ga
     partial = []
     if want_match:
         index = metric_index.build(rows, cells, key)
-        routed = metric_index.route(slim, index, metric_index.reaching_bound)
-        counts = metric_index.counted(routed)
+        counts = metric_index.counted(slim, index)
         if sum(counts.values()) <= most:
+            routed = metric_index.route(slim, index, metric_index.reaching_bound)
             partial.append(metric_index.meet(routed, index, matches, schema, part_rows, counts))
         else:
             partial.append(_match_in_blocks(slim, plain, margin, part_rows, query_blocks))
     if want_best:
         index = metric_index.build(rows.where("not negative"), cells, key)
-        first = cut(metric_index.meet(metric_index.route(slim, index, metric_index.promising), index, bests, schema, part_rows))
+        routed = metric_index.route(slim, index, metric_index.promising)
+        once = metric_index.counted(slim, index, metric_index.promising)
+        first = cut(metric_index.meet(routed, index, bests, schema, part_rows, once))
         floors = first.groupBy("query_id").agg(F.max("best").alias("floor"))
         asked = slim.join(floors, "query_id")
-        routed = metric_index.route(asked, index, metric_index.reaching_floor)
-        counts = metric_index.counted(routed)
+        counts = metric_index.counted(asked, index, metric_index.reaching_floor)
         if sum(counts.values()) <= most:
+            routed = metric_index.route(asked, index, metric_index.reaching_floor)
             partial += [first, metric_index.meet(routed, index, bests, schema, part_rows, counts)]
         else:
             partial.append(_best_in_blocks(slim, plain, query_blocks))

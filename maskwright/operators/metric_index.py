@@ -32,6 +32,9 @@ from maskwright.operators import blocks
 MAX_CELLS = 1024
 RING_ROWS = 1024
 QUERY_ROWS = 200_000
+#: Angles between rows and pivots that a task holds at once, and visits of one batch it hands on.
+ANGLES, VISITS = 500_000, 16_384
+
 
 @dataclass
 class Index:
@@ -77,10 +80,13 @@ def build(rows: DataFrame, cells: int, key: list[str]) -> Index:
             if not batch.num_rows:
                 continue
             vectors = blocks.matrix(batch.column("embedding"))
-            apart = angles(blocks.unit_rows(vectors), shared.value)
-            cell = apart.argmin(1).astype(np.int32)
+            unit = blocks.unit_rows(vectors)
+            cell, angle = np.zeros(len(unit), dtype=np.int32), np.zeros(len(unit))
+            for strip in blocks.strips(len(unit), len(shared.value), ANGLES):
+                apart = angles(unit[strip], shared.value)
+                cell[strip], angle[strip] = apart.argmin(1), apart.min(1)
             norm = np.sqrt(blocks.exact_dots(vectors, vectors))
-            columns = [cell, np.where(norm > 0, apart[np.arange(len(cell)), cell], 0.0), norm]
+            columns = [cell, np.where(norm > 0, angle, 0.0), norm]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=[*batch.schema.names, "cell", "angle", "norm"])
 
     rows = rows.withColumn("deal", F.xxhash64(*key))
@@ -118,44 +124,66 @@ def reaching_floor(index: Index, upper: np.ndarray, part: pa.RecordBatch) -> np.
     return ~(upper * length < floor - blocks.SLACK * length) & ~promising(index, upper, part)
 
 
+def _visiting(queries: DataFrame, index: Index, visits):
+    """``run(batch)`` for tasks: parts of the batch with the queries and the cells they visit."""
+    held = queries.sparkSession.sparkContext.broadcast((index.pivots, index.radius, index.norms, index.bound, index.sizes))
+
+    def run(batch: pa.RecordBatch):
+        here = Index(None, *held.value)
+        for strip in blocks.strips(batch.num_rows, len(here.sizes), ANGLES):
+            part = batch.slice(strip.start, strip.stop - strip.start)
+            upper = here.upper(blocks.unit_rows(blocks.matrix(part.column("embedding"))))
+            yield part, *np.nonzero(visits(here, upper, part))
+
+    return run
+
+
 def route(queries: DataFrame, index: Index, visits) -> DataFrame:
     """``(query_id, embedding, cell)`` of every cell that a query visits."""
-    held = queries.sparkSession.sparkContext.broadcast((index.pivots, index.radius, index.norms, index.bound, index.sizes))
-    names = ["query_id", "embedding"]
+    visiting, names = _visiting(queries, index, visits), ["query_id", "embedding"]
     schema = T.StructType([*(queries.schema[c] for c in names), T.StructField("cell", T.IntegerType())])
 
     def run(batches):
-        here = Index(None, *held.value)
         for batch in batches:
-            for strip in blocks.strips(batch.num_rows, len(here.sizes)):
-                part = batch.slice(strip.start, strip.stop - strip.start)
-                upper = here.upper(blocks.unit_rows(blocks.matrix(part.column("embedding"))))
-                i, cell = np.nonzero(visits(here, upper, part))
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names), pa.array(cell.astype(np.int32))], names=[*names, "cell"])
+            for part, i, cell in visiting(batch):
+                for some in blocks.strips(len(i), 1, VISITS):
+                    at = pa.array(i[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [*(part.column(c).take(at) for c in names), pa.array(cell[some].astype(np.int32))], names=[*names, "cell"]
+                    )
 
     return queries.mapInArrow(run, schema)
 
 
-def visits(queries: DataFrame, index: Index) -> DataFrame:
-    """``(cell, queries)``: how many queries visit each cell; cells without one are left out."""
-    return route(queries, index, reaching_bound).groupBy("cell").agg(F.count("*").alias("queries"))
+def visits(queries: DataFrame, index: Index, reaching=reaching_bound) -> DataFrame:
+    """``(cell, queries)``: how many queries visit each cell; cells without one are left out.
+    A task counts them without laying out a row for every visit."""
+    visiting, cells = _visiting(queries, index, reaching), len(index.sizes)
+
+    def run(batches):
+        total = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for _, _, cell in visiting(batch):
+                total += np.bincount(cell, minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["cell", "queries"])
+
+    return queries.mapInArrow(run, "cell int, queries long").groupBy("cell").agg(F.sum("queries").alias("queries"))
 
 
-def counted(routed: DataFrame) -> dict[int, int]:
+def counted(queries: DataFrame, index: Index, reaching=reaching_bound) -> dict[int, int]:
     """How many queries visit each cell."""
-    return {r.cell: r.n for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    return {r.cell: r.queries for r in visits(queries, index, reaching).collect()}
 
 
 def meet(
-    routed: DataFrame, index: Index, work, schema: T.StructType, part_rows: int, counts: dict[int, int] | None = None,
+    routed: DataFrame, index: Index, work, schema: T.StructType, part_rows: int, counts: dict[int, int],
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """``work(query ids, queries, rings)`` for every part of a cell and the queries there.
 
     ``rings`` are pairs of the highest score each unit query can have in a ring, and the
     ring's rows as a dict of arrays."""
-    counts = counted(routed) if counts is None else counts
     plan = [(int(c), int(-(-index.sizes[c] // part_rows)), -(-n // query_rows)) for c, n in counts.items()]
     planned = F.broadcast(routed.sparkSession.createDataFrame(plan, "cell int, __parts int, __copies int"))
     spots = ["cell", "__part", "__copy"]

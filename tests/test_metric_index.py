@@ -49,6 +49,29 @@ def test_most_partitions_are_skipped(spark):
     assert index.sizes.sum() == len(gallery)
 
 
+def test_visits_are_counted_without_rows_and_handed_on_in_bounded_batches(spark):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    gallery, queries = rng.normal(size=(2, 600, 16)).astype(np.float32)
+    known, asked = frames(spark, gallery, queries)
+    rules = matching.with_rules(known, None, -1.0, 1).selectExpr("*", "false as negative", "threshold as bound")
+    index = metric_index.build(rules, 100, ["identity_ord", "kind", "ord"])
+    routed = metric_index.route(asked, index, metric_index.reaching_bound)
+    rows = {r.cell: r["count"] for r in routed.groupBy("cell").count().collect()}
+    assert metric_index.counted(asked, index) == rows and sum(rows.values()) > 3 * metric_index.VISITS
+
+    context = SimpleNamespace(broadcast=lambda v: SimpleNamespace(value=v))
+    batch = pa.table({"query_id": np.arange(600), "embedding": pa.array(queries.tolist(), pa.list_(pa.float32()))}).to_batches()
+    local = SimpleNamespace(
+        schema=asked.schema, sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda run, _: list(run(iter(batch)))
+    )
+    made = [b.num_rows for b in metric_index.route(local, index, metric_index.reaching_bound)]
+    assert sum(made) == sum(rows.values()) and max(made) <= metric_index.VISITS
+
+
 def test_rings_out_of_reach_are_not_scored():
     import pyarrow as pa
 
