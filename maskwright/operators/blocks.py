@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright import settings
-from maskwright.lineage import cut
+from maskwright.lineage import cut, cut_packed, freeing_shuffles
 
 LEFT, RIGHT, BLOCK = "__bi", "__bj", "__b"
 #: Blocks of a group up to which a smaller size than the default is kept.
@@ -38,18 +38,21 @@ def with_group_size(df: DataFrame, keys: list[str], name: str = "__n") -> DataFr
 
 
 def split_by_size(
-    df: DataFrame, keys: list[str], limit: int
+    df: DataFrame, keys: list[str], limit: int, size: str | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``limit`` rows, and rows of larger groups or None.
+    """Rows of groups up to ``limit`` rows, and rows of larger groups or None; with ``size``
+    those have their group's row count in a column of that name.
 
     Only the keys are read and counted (map-side first). Without a large group the input
     is handed back as it is; otherwise the few large keys are written once and joined.
     """
-    large = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
-    if large.isEmpty():
-        return df, None
-    large = cut(large)
-    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
+    with freeing_shuffles(df.sparkSession):
+        large = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+        if large.isEmpty():
+            return df, None
+        large = cut_packed(large)
+    found = df.join(large.withColumnRenamed("__n", size), keys) if size else df.join(large, keys, "left_semi")
+    return df.join(large, keys, "left_anti"), found
 
 
 #: Rows of one key and side that meet in one place, and result rows of one partition, of a dealt join.
@@ -94,8 +97,9 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, meet_rows: int = MEE
 def pair_blocks(
     df: DataFrame, keys: list[str], order: str, block_rows: int = settings.BLOCK_ROWS
 ) -> DataFrame:
-    """Replicate each row to the block pairs of its group that it belongs to."""
-    sized = with_group_size(df, keys)
+    """Replicate each row to the block pairs of its group that it belongs to. A column ``__n``
+    of ``df`` is taken for the group's size, which is counted otherwise."""
+    sized = df if "__n" in df.columns else with_group_size(df, keys)
     size = F.greatest(F.lit(block_rows), F.least(F.lit(settings.BLOCK_ROWS), F.ceil(F.col("__n") / F.lit(FEW_BLOCKS))))
     count = F.ceil(F.col("__n") / size).cast("bigint")
     block = F.pmod(F.xxhash64(order), count)

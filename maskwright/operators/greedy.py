@@ -4,21 +4,22 @@ Near-duplicate removal, non-maximum suppression, cross-pass merging and tile
 deduplication are this one operator with different conflict tests. Group sizes are
 counted first:
 
-* boxes in small groups are compared all at once like those, but as whole rows that a window
-  has ranked: nothing is collected and nothing joined back;
-* other groups up to ``group_rows`` lie whole in one partition, where small ones are
-  compared all at once, row against later row, and larger ones one by one;
+* groups up to ``group_rows`` lie whole in one partition, where small ones are compared all
+  at once, row against later row, and larger ones one by one;
+* boxes in such groups are compared as whole rows that a window has ranked: nothing is
+  written or joined back;
 * larger groups run in rounds of block-pair tasks, which lie in partitions likewise: a row with no earlier undecided
   conflict is kept, rows conflicting with a kept one leave. Only flags cross a
   shuffle, so a group of near copies costs its rows, not its pairs. Boxes of groups of many
   blocks only meet those they share a cell of a hierarchical grid with, block pair by block
   pair in a full cell.
 
-All three give the same, order-defined result.
+All give the same, order-defined result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -29,9 +30,9 @@ from pyspark.sql import types as T
 
 from maskwright import settings
 from maskwright.functions import boxes
-from maskwright.lineage import cut
+from maskwright.lineage import cut_packed, dealt, freeing_shuffles
 from maskwright.operators import blocks, grid
-from maskwright.operators.scan import rank_in_group
+from maskwright.operators.scan import group_heads, rank_in_group
 
 # conflict(a, b) -> bool matrix [len(a), len(b)]
 Conflict = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -93,28 +94,21 @@ def _whole_groups(batches, keys: list[str]):
     by ``keys``."""
     held = []
 
-    def heads(table):
-        codes = [table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
-        change = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
-        for code in codes:
-            change |= code[1:] != code[:-1]
-        return np.r_[0, np.flatnonzero(change) + 1, table.num_rows]
-
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         ends = pa.Table.from_batches([held[0].slice(held[0].num_rows - 1), batch.slice(batch.num_rows - 1)])
-        if len(held) > 1 and len(heads(ends)) == 2:
+        if len(held) > 1 and len(group_heads(ends, keys)) == 2:
             continue  # one group so far
         table = pa.Table.from_batches(held)
-        at = heads(table)
+        at = group_heads(table, keys)
         if len(at) > 2:
             yield table.slice(0, at[-2]).combine_chunks(), at[:-1]
         held = table.slice(at[-2]).combine_chunks().to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
-        yield table, heads(table)
+        yield table, group_heads(table, keys)
 
 
 def _near_pairs(at: np.ndarray, small: np.ndarray, may: Conflict, features: np.ndarray, conflict: Conflict):
@@ -178,7 +172,7 @@ def _grouped(df: DataFrame, keys: list[str], conflict: Conflict) -> DataFrame:
             keep = _keep_in_groups(at, features, fixed, conflict)
             yield from table.select([*keys, "__ord"]).filter(pa.array(keep)).to_batches()
 
-    rows = df.select(*keys, "__ord", "__features", "__fixed").repartition(*keys)
+    rows = dealt(df.select(*keys, "__ord", "__features", "__fixed"), *keys)
     return rows.sortWithinPartitions(*keys, "__ord").mapInArrow(select, kept)
 
 
@@ -221,7 +215,7 @@ def _pair_flag(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: i
     """
     spots = keys
     if levels is not None:
-        df, spots = _in_cells(df, levels), [*keys, *_CELL]
+        df, spots = _in_cells(df.drop("__n"), levels), [*keys, *_CELL]
     out = T.StructType([*[df.schema[k] for k in keys], T.StructField("__ord", T.LongType())])
     spread = blocks.pair_blocks(df, spots, "__ord", block_rows)
 
@@ -259,36 +253,35 @@ def _pair_flag(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: i
             yield from table.select([*keys, "__ord"]).filter(pa.array(hit)).to_batches()
 
     columns = [*spots, "__ord", "__features", "__against", "__test", blocks.BLOCK, blocks.LEFT, blocks.RIGHT]
-    rows = spread.select(*columns).repartition(*tasks).sortWithinPartitions(*tasks, "__ord")
+    rows = dealt(spread.select(*columns), *tasks).sortWithinPartitions(*tasks, "__ord")
     return rows.mapInArrow(flag, out).distinct()
 
 
-def _rounds(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int, boxed: bool = False) -> DataFrame:
+def _rounds(df: DataFrame, keys: list[str], conflict: Conflict, block_rows: int, boxed: bool = False, fixed: bool = True) -> DataFrame:
+    """``(keys, __ord)`` of the kept rows of ``df``, which has been written. What a round
+    writes are ids of rows that wait or leave, and the few rows that stay open."""
     id_columns = [*keys, "__ord"]
     levels = _levels(df) if boxed else None
-    kept = df.where("__fixed").select(*id_columns)
-    open_rows = df.where("not __fixed")
-    # Fixed rows block wherever they stand, so they act as earlier than everything.
-    fixed = df.where("__fixed").withColumn("__ord", F.col("__ord") - F.lit(2**62))
-    first = fixed.withColumn("__against", F.lit(True)).withColumn("__test", F.lit(False)).unionByName(
-        open_rows.withColumn("__against", F.lit(False)).withColumn("__test", F.lit(True))
-    )
-    open_rows = cut(open_rows.join(_pair_flag(first, keys, conflict, block_rows, levels), id_columns, "left_anti"))
-    while not open_rows.isEmpty():
-        both = open_rows.withColumn("__against", F.lit(True)).withColumn("__test", F.lit(True))
-        waiting = _pair_flag(both, keys, conflict, block_rows, levels)
-        state = cut(
-            open_rows.join(waiting.withColumn("__waits", F.lit(True)), id_columns, "left").withColumn(
-                "__waits", F.coalesce("__waits", F.lit(False))
-            )
-        )
-        kept = kept.unionByName(state.where("not __waits").select(*id_columns))
-        roles = state.withColumn("__against", ~F.col("__waits")).withColumn("__test", F.col("__waits"))
-        removed = _pair_flag(roles.drop("__waits"), keys, conflict, block_rows, levels)
-        open_rows = cut(
-            state.where("__waits").drop("__waits").join(removed, id_columns, "left_anti")
-        )
-    return kept
+    role = lambda rows, against, test: rows.withColumn("__against", against).withColumn("__test", test)
+    yes, no = F.lit(True), F.lit(False)
+    kept, open_rows = [], df
+    if fixed:
+        kept, open_rows = [df.where("__fixed").select(*id_columns)], df.where("not __fixed")
+        # Fixed rows block wherever they stand, so they act as earlier than everything.
+        ahead = df.where("__fixed").withColumn("__ord", F.col("__ord") - F.lit(2**62))
+        first = role(ahead, yes, no).unionByName(role(open_rows, no, yes))
+        blocked = cut_packed(_pair_flag(first, keys, conflict, block_rows, levels))
+        open_rows = cut_packed(open_rows.join(blocked, id_columns, "left_anti"))
+    while open_rows.count():
+        waiting = cut_packed(_pair_flag(role(open_rows, yes, yes), keys, conflict, block_rows, levels))
+        kept.append(open_rows.select(*id_columns).join(waiting, id_columns, "left_anti"))
+        waits = F.coalesce("__waits", no)
+        state = role(open_rows.join(waiting.withColumn("__waits", yes), id_columns, "left"), ~waits, waits).drop("__waits")
+        removed = cut_packed(_pair_flag(state, keys, conflict, block_rows, levels))
+        left = waiting.join(removed, id_columns, "left_anti")
+        # sizes are counted anew, as few rows are left
+        open_rows = cut_packed(open_rows.drop("__n").join(left, id_columns, "left_semi"))
+    return functools.reduce(DataFrame.unionByName, kept, df.limit(0).select(*id_columns))
 
 
 def keep_first_come(
@@ -300,11 +293,9 @@ def keep_first_come(
     fixed: Column | None = None,
     group_rows: int = settings.GROUP_ROWS,
     block_rows: int = settings.BLOCK_ROWS,
-    boxed: bool = False,
 ) -> DataFrame:
     """``(keys, order)`` of the kept rows. ``order`` is an integer unique within a group;
-    ``features`` an array the conflict test reads; ``fixed`` rows are kept whatever happens.
-    ``boxed``: features are boxes (x, y, width, height) that only conflict if they share a point."""
+    ``features`` an array the conflict test reads; ``fixed`` rows are kept whatever happens."""
     named = df.select(
         *keys,
         F.col(order).cast("bigint").alias("__ord"),
@@ -313,12 +304,10 @@ def keep_first_come(
     )
     small, large = blocks.split_by_size(named, keys, group_rows)
     kept = _grouped(small, keys, conflict)
-    if large is not None and boxed:  # a few blocks meet faster than many cells
-        large, huge = blocks.split_by_size(large, keys, GRID_BLOCKS * block_rows)
-        if huge is not None:
-            kept = kept.unionByName(_rounds(huge, keys, conflict, block_rows, True))
     if large is not None:
-        kept = kept.unionByName(_rounds(large, keys, conflict, block_rows))
+        with freeing_shuffles(df.sparkSession):
+            found = cut_packed(_rounds(cut_packed(large), keys, conflict, block_rows, fixed=fixed is not None))
+        kept = kept.unionByName(found)
     return kept.withColumnRenamed("__ord", order)
 
 
@@ -388,15 +377,22 @@ def keep_first_boxes(
     ``order`` is ascending and total within a group; ``fixed`` rows must come first.
     """
     data = list(df.columns)
-    small, large = blocks.split_by_size(df, keys, fold_rows)
+    # groups that fit in a task need no ranks
+    small, large = blocks.split_by_size(df, keys, max(fold_rows, group_rows), "__n")
     result = fold_boxes(small, keys, order, box, matrix_conflict, fixed)
     if large is None:
         return result
-    ranked = cut(rank_in_group(large, keys, order, "__rank"))
-    flag = F.lit(False) if fixed is None else fixed
-    kept = keep_first_come(
-        ranked, keys, "__rank", box_features(F.col(box)), matrix_conflict, flag, group_rows, block_rows, boxed=True
-    )
-    survivors = ranked.join(kept, [*keys, "__rank"], "left_semi")
-    again = rank_in_group(survivors, keys, [F.col("__rank")], "kept_ord").drop("__rank")
-    return result.unionByName(again.select(*data, "kept_ord"))
+    with freeing_shuffles(df.sparkSession):
+        ranked = rank_in_group(large, keys, [*order, *[F.col(c) for c in data]], "__ord")  # ties fall as in fold_boxes
+        flag = F.lit(False) if fixed is None else fixed
+        rows = ranked.select(*keys, "__ord", box_features(F.col(box)).alias("__features"), flag.alias("__fixed"), "__n")
+        most = GRID_BLOCKS * block_rows  # a few blocks meet faster than many cells
+        sizes = rows.agg(F.min("__n").alias("least"), F.max("__n").alias("most")).first()
+        found = []
+        if sizes["least"] <= most:
+            found.append(_rounds(rows.where(F.col("__n") <= most), keys, matrix_conflict, block_rows, False, fixed is not None))
+        if sizes["most"] > most:
+            found.append(_rounds(rows.where(F.col("__n") > most), keys, matrix_conflict, block_rows, True, fixed is not None))
+        kept = rank_in_group(functools.reduce(DataFrame.unionByName, found), keys, [F.col("__ord")], "kept_ord")
+    survivors = ranked.join(kept, [*keys, "__ord"])
+    return result.unionByName(survivors.select(*data, "kept_ord"))

@@ -12,11 +12,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright import settings
-from maskwright.lineage import cut
+from maskwright.lineage import cut, cut_packed
 
 _RANGE, _CARRY, _LOCAL = "__range", "__carry_", "__local_"
 
@@ -131,23 +135,60 @@ def running(
     return joined.withColumns(merged).drop(*helpers)
 
 
+def group_heads(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The first row of every stretch of equal ``keys``, and the end."""
+    codes = [table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
+    change = np.zeros(max(table.num_rows - 1, 0), dtype=bool)
+    for code in codes:
+        change |= code[1:] != code[:-1]
+    return np.r_[0, np.flatnonzero(change) + 1, table.num_rows]
+
+
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Rank 1, 2, ... of every row in its group, also for a group too large for one task.
+    Keys are not null.
 
-    Rows are range-partitioned by group and order and written once; ranks inside a
-    partition are then shifted by the sizes of the group's earlier partitions.
+    Rows are range-partitioned by group and order and written once, ranked inside their
+    partition. Only a group that crosses a border of partitions, one for each border at most,
+    has its ranks shifted by the sizes of its earlier partitions.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order))
-    ordered = ordered.withColumn("__part", F.spark_partition_id())
-    sizes = ordered.groupBy(*keys, "__part").agg(F.count("*").alias("__size"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *order]
+    fields = [T.StructField("__part", T.IntegerType()), T.StructField(name, T.LongType())]
+
+    def count(batches):
+        part, last, upto = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch.select(keys)])
+            if last is not None:
+                own = pa.concat_tables([last, own])
+            heads = group_heads(own, keys)
+            rank = np.arange(own.num_rows) - np.repeat(heads[:-1], np.diff(heads)) + 1
+            if last is not None:  # the row that goes on from the batch before
+                rank[: heads[1]] += upto - 1
+                rank = rank[1:]
+            last, upto = own.slice(own.num_rows - 1), int(rank[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(rank), part, dtype=np.int32)), pa.array(rank.astype(np.int64))],
+                names=[*batch.schema.names, "__part", name],
+            )
+
+    ordered = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    placed = cut_packed(ordered.mapInArrow(count, T.StructType([*df.schema.fields, *fields])))
+    key = F.struct(*keys)
+    edges = placed.groupBy("__part").agg(F.array(F.min(key), F.max(key)).alias("ends"))
+    crossing = edges.select(F.explode("ends").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = (
+        placed.join(F.broadcast(crossing.select("k.*")), keys, "left_semi")
+        .groupBy(*keys, "__part").agg(F.max(name).alias("__size"))
+    )
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.withColumn("__shift", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    inside = Window.partitionBy(*keys, "__part").orderBy(*order)
+    # no more rows than twice the partitions and borders
+    shift = cut(sizes.withColumn("__shift", F.sum("__size").over(before)).where("__shift is not null").drop("__size"))
     return (
-        ordered.withColumn("__inside", F.row_number().over(inside))
-        .join(shift.drop("__size"), [*keys, "__part"])
-        .withColumn(name, (F.col("__inside") + F.col("__shift")).cast("bigint"))
-        .drop("__inside", "__shift", "__part")
+        placed.join(F.broadcast(shift), [*keys, "__part"], "left")
+        .withColumn(name, F.col(name) + F.coalesce("__shift", F.lit(0)))
+        .select(*df.columns, name)
     )

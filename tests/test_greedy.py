@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
+
 import naive
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from maskwright import lineage
 from maskwright.functions import boxes
 from maskwright.operators import detections, enroll, greedy
 
@@ -206,3 +209,50 @@ def test_rows_of_a_group_of_tiny_blocks_are_sent_to_few_tasks(spark):
     met = blocks.pair_blocks(rows, ["g"], "ord", 2)
     assert met.count() <= 400 * blocks.FEW_BLOCKS
     assert met.groupBy("ord").agg(F.count_distinct(blocks.LEFT, blocks.RIGHT).alias("n")).where(f"n > {blocks.FEW_BLOCKS}").count() == 0
+
+
+def test_groups_stay_whole_beside_a_large_one(spark):
+    """Small groups that lie in many input partitions, after the join that sets a large one aside."""
+    rows = [(g, i, [1.0, 0.0] if i else [0.0, 1.0]) for i in range(4) for g in range(3000)]
+    rows += [(-1, i, [float(np.cos(i)), float(np.sin(i))]) for i in range(9)]
+    df = lineage.cut(spark.createDataFrame(rows, "name long, ord long, embedding array<float>").repartition(16, "ord", "name"))
+    # planned as a sort-merge join of several partitions, found to be small enough for a broadcast when it runs
+    sizes = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        unique, _ = enroll.drop_near_duplicates(df, ["name"], 0.9, group_rows=5, block_rows=3)
+        found = unique.where("name >= 0").groupBy("ord").count().orderBy("ord").collect()
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert [tuple(r) for r in found] == [(0, 3000), (1, 3000)]
+
+
+def test_groups_up_to_group_rows_are_neither_ranked_nor_written(spark, monkeypatch):
+    rows = random_boxes(5)
+    df = spark.createDataFrame(rows, f"g int, i int, score double, box {BOX}")
+    want = sorted(map(str, detections.suppress(df, ["g"], ["i"], 0.3).collect()))
+    monkeypatch.setattr(greedy, "rank_in_group", None)
+    monkeypatch.setattr(greedy, "cut_packed", None)
+    assert sorted(map(str, detections.suppress(df, ["g"], ["i"], 0.3, fold_rows=1).collect())) == want
+
+
+def test_packed_rows_take_less_room_and_come_back(spark):
+    df = spark.range(50_000).selectExpr(
+        "id", "id % 7 as k", "named_struct('x', id % 97 + 0.5D) as box", "array(id % 5 + 0.0D, 1.0D) as f"
+    )
+
+    def room():
+        folder = lineage.ensure_checkpoint_dir(spark).removeprefix("file:")
+        return sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(folder) for x in names)
+
+    start = room()
+    lineage.cut(df)
+    plain = room() - start
+    packed = lineage.cut_packed(df)
+    assert room() - start - plain < plain / 3
+    assert packed.schema == df.schema and packed.exceptAll(df).count() == 0 and packed.count() == 50_000
