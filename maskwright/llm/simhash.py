@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.lineage import cut
+from maskwright.lineage import cut, dealt
 from maskwright.llm import textbytes as tb
 from maskwright.operators.components import connected_components
 
@@ -186,8 +186,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_R
         sizes = cut(sizes)
         small = rows.join(sizes.where(F.col("n") <= bucket_rows).drop("n"), ["mask", "key"])
         part = (
-            small.select("mask", "key", "value")
-            .repartition("mask", "key")
+            dealt(small.select("mask", "key", "value"), "mask", "key")
             .sortWithinPartitions("mask", "key", "value")
             .mapInArrow(_compare(radius, 50_000), "node long, root long")
         )

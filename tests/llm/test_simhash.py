@@ -72,6 +72,24 @@ def test_refined_buckets_keep_every_link(spark):
     assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def test_buckets_stay_whole_if_their_sizes_are_broadcast_when_it_runs(spark):
+    rng = np.random.default_rng(2)
+    values = [int(v) ^ (1 << int(k)) ^ (1 << int(j)) for v in rng.integers(0, 2**62, 300) for k, j in rng.integers(0, 62, (6, 2))]
+    prints = spark.createDataFrame(list(enumerate(values)), "doc_id long, fingerprint long")
+    sizes = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        found = {r.doc_id: r.component_id for r in sh.components(prints).collect()}
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert found == lowest(list(range(len(values))), values)
+
+
 def test_keep_one_and_empty(spark):
     docs = spark.createDataFrame(
         [(3, "a b c d e f g", 1), (2, "A b c d e f g", 2), (2, "A b c d e f g", 2), (None, "a b c d e f g", 3), (9, "other words", 4)],
